@@ -31,6 +31,11 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def odd_factors(n: int, salt: int = 0) -> np.ndarray:
+    """Unrelated odd factors, so that sums of products tell sequences apart."""
+    return mix(np.arange(n, dtype=np.uint64), 1000 + salt) | np.uint64(1)
+
+
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers[base]) < n:
         p = np.full(max(n, BATCH_BYTES + 4096), base, np.uint64)
