@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quality_rules import split_words
 from .store import written
 
 WEIGHTS = (5, 2, 1)
@@ -33,8 +34,7 @@ MAX_BROADCAST_SOURCES = 100_000
 
 def word_count(text: str | F.Column) -> F.Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null: 0."""
-    blanks = F.translate(F.col(text) if isinstance(text, str) else text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.array_remove(F.split(blanks, " "), "")), F.lit(0)).cast("long")
+    return F.coalesce(F.size(split_words(F.col(text) if isinstance(text, str) else text)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:

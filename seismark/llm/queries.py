@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing
+from . import mixing, neardup, packing, quality_rules
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,5 +29,9 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op5_quality_rules": op5_quality_rules}
 ORACLES: dict[str, str] = {}
