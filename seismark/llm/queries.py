@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality_rules
+from . import mixing, neardup, packing, quality_rules, substrings
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,9 +29,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op5_quality_rules": op5_quality_rules}
+QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules}
 ORACLES: dict[str, str] = {}
