@@ -1,10 +1,10 @@
 """Near-duplicate detection: SuperMinHash signatures, banding, verification on full shingle sets, union-find groups.
 
 Documents with equal shingle sets form one class first, so copies cost no pairs. Classes meet in the buckets of a band;
-each tests one partner of another group per round, links join groups, and a bucket is done when all in it are in one
-group. What is left of a small bucket is compared in full; a large one is cut again by every other band, which parts
-unlike texts that share a frequent passage and keeps like ones together. So the work per document stays bounded and no
-candidate is dropped.
+in two rounds each tests one partner of another group, and links join groups. Buckets that still hold several groups are
+compared in full, block against block inside a task, which returns only the links that join groups: never a row per pair.
+A bucket that is too large for that is first cut by every other band, which parts unlike texts that share a frequent
+passage. No candidate is dropped.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than
 a shingle has its whole sequence as one; a row without doc_id is linked with nothing and kept; repeated rows get the same
@@ -28,10 +28,8 @@ from .words import mix, odd_factors, signed, slices, split_words
 SHINGLE, PERCENT = 5, 80
 #: 40 bands of 6 rows: a pair at similarity 0.8 is missed with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Rounds with one partner per class, and the members up to which a bucket is then compared in full.
-ROUNDS, SMALL_BUCKET = 3, 24
-#: Times that large buckets are cut by further bands before they are compared in full all the same.
-CUTS = 4
+#: Rounds with one partner per class; members of a block; members above which a bucket is cut by further bands, and how often.
+ROUNDS, BLOCK, LARGE_BUCKET, CUTS = 2, 512, 1 << 14, 3
 #: Ids up to this many are broadcast to pick their texts.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -145,6 +143,51 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _shared(sets: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets left x right: products of 0/1 columns, 4096 shingles at a time."""
+    names, column = np.unique(sets, return_inverse=True)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    common = np.bincount(column, minlength=len(names)) > 1
+    column, owner = (np.cumsum(common) - 1)[column[common[column]]], owner[common[column]]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(common.sum()), 4096):
+        a, b = np.searchsorted(column, [start, start + 4096])
+        held = np.zeros((len(first) - 1, 4096), np.float32)
+        held[owner[a:b], column[a:b] - start] = 1
+        out += held[left] @ held[right].T
+    return out.astype(np.int64)
+
+
+def _link_blocks(k: int, percent: int):
+    """Links between different groups of two blocks of a bucket (or within one): enough to join them, no more."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sets, first = shingle_sets(rows["text"], k)
+        size, ids, roots, side = np.diff(first), rows["id"].to_pylist(), rows["root"].to_numpy(), rows["side"].to_numpy()
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if side.any() else left
+        both = _shared(sets, first, left, right)
+        linked = (100 * both >= percent * (size[left][:, None] + size[right] - both)) & (both > 0) & (roots[left][:, None] != roots[right])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in parent:
+                x = parent[x]
+            return x
+
+        links = []
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            a, b = find(int(roots[left[i]])), find(int(roots[right[j]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                links.append((ids[left[i]], ids[right[j]]))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([x for _, x in links], pa.int64())})
+
+    return run
+
+
 def _picked(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose column is among the distinct ``ids``."""
     ids = ids.withColumnRenamed(ids.columns[0], "_picked")
@@ -154,22 +197,37 @@ def _picked(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 class _Linker:
-    """Pairs that were tested and the groups that their links make."""
+    """The links that were found, the pairs that were tested, and the groups that the links make."""
 
     def __init__(self, texts: DataFrame, k: int, percent: int) -> None:
         self.texts, self.k, self.percent = texts, k, percent
         self.tested: DataFrame | None = None
+        self.links: DataFrame | None = None
         self.groups: DataFrame | None = None
 
-    def new(self, pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        return pairs if self.tested is None else pairs.join(self.tested, ["u", "v"], "left_anti")
+    def open(self, members: DataFrame) -> DataFrame:
+        """Members (band, id, n) of buckets with two groups or more; root, lo and hi (two members of different groups), members."""
+        grouped = members.withColumn("root", F.col("id"))
+        if self.groups is not None:
+            grouped = members.join(self.groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        buckets = (
+            grouped.groupBy("band")
+            .agg(F.min(F.struct("root", "id")).alias("lo"), F.max(F.struct("root", "id")).alias("hi"), F.count("*").alias("members"))
+            .where("lo.root <> hi.root")
+        )
+        return written(grouped.join(buckets, "band"))
 
-    def test(self, pairs: DataFrame) -> bool:
-        """Whether any of the pairs were new."""
-        pairs = written(pairs)
-        if pairs.isEmpty():
-            return False
+    def add(self, links: DataFrame) -> None:
+        self.links = links if self.links is None else self.links.union(links)
+        self.groups = written(components(self.links))
+
+    def test_partners(self, left: DataFrame) -> None:
+        """One partner of another group for each id, which it was not tested with before."""
+        partner = F.when(F.col("root") == F.col("lo.root"), F.col("hi.id")).otherwise(F.col("lo.id"))
+        pairs = left.select("id", partner.alias("other")).select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["u", "v"], "left_anti")
+        pairs = written(pairs.groupBy("u").agg(F.min("v").alias("v")))
         needed = written(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
         texts = _picked(self.texts, "doc_id", needed)
         both = (
@@ -178,29 +236,25 @@ class _Linker:
             .select("u", "v", "text_u", "text_v")
         )
         found = written(both.mapInArrow(_verify(self.k, self.percent), "u long, v long, linked boolean"))
-        self.tested = found if self.tested is None else self.tested.union(found)
-        self.groups = components(self.tested.where("linked").select("u", "v"))
-        self.groups = written(self.groups)
-        return True
-
-    def grouped(self, members: DataFrame) -> DataFrame:
-        """Members (band, id, n) with their group."""
-        if self.groups is None:
-            return members.withColumn("root", F.col("id"))
-        return members.join(self.groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-
-    def open(self, members: DataFrame) -> DataFrame:
-        """The members of buckets in which two groups are left, with two members of different groups and the members' number."""
-        grouped = self.grouped(members)
-        buckets = (
-            grouped.groupBy("band")
-            .agg(F.min(F.struct("root", "id")).alias("lo"), F.max(F.struct("root", "id")).alias("hi"), F.count("*").alias("members"))
-            .where("lo.root <> hi.root")
+        self.tested = found.select("u", "v") if self.tested is None else self.tested.union(found.select("u", "v"))
+        self.add(found.where("linked").select("u", "v"))
+
+    def test_blocks(self, left: DataFrame) -> None:
+        """All pairs of different groups in a bucket, within tasks: a member goes to the pairs of its block with each block."""
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        placed = left.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+        paired = (
+            placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+            .withColumn("_a", F.least("_own", "_other"))
+            .withColumn("_b", F.greatest("_own", "_other"))
+            .withColumn("side", F.when(F.col("_own") == F.col("_a"), 0).otherwise(1))
+            .select("band", "_a", "_b", "side", "id", "root")
         )
-        return written(grouped.join(buckets, "band"))
+        rows = paired.join(self.texts, F.col("id") == F.col("doc_id")).drop("doc_id")
+        self.add(written(rows.groupBy("band", "_a", "_b").applyInArrow(_link_blocks(self.k, self.percent), "u long, v long")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach) and kept."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, set_high long, set_low long, bands array<long>"
@@ -208,33 +262,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     same_set = ["set_high", "set_low", "n_shingles"]
     named = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(named.groupBy(*same_set).agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
-    members = classes.select(F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("n"))
+    members = classes.select(F.explode("bands").alias("band"), "id")
     shared = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     members = written(members.join(shared, "band"))
     ids = written(members.select("id").distinct())
-    texts = _picked(plain.where("doc_id IS NOT NULL"), "doc_id", ids).select("doc_id", "text")
-    linker = _Linker(written(texts), shingle, percent)
-    sized = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    linker = _Linker(written(_picked(plain, "doc_id", ids)), shingle, percent)
     for cut in range(CUTS + 1):
         for _ in range(ROUNDS):
             left = linker.open(members)
-            partner = F.when(F.col("root") == F.col("lo.root"), F.col("hi.id")).otherwise(F.col("lo.id"))
-            pairs = linker.new(left.select(F.col("id").alias("u"), partner.alias("v")))
-            if not linker.test(pairs.groupBy("u").agg(F.min("v").alias("v"))):
+            if left.isEmpty():
                 break
+            linker.test_partners(left)
         left = linker.open(members)
-        whole = left if cut == CUTS else left.where(F.col("members") <= SMALL_BUCKET)
-        one, other = (whole.select("band", F.col("id").alias(x), F.col("root").alias(f"root_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv")
-        pairs = one.join(other, "band").where(F.col("root_u") < F.col("root_v")).where(sized(F.col("n_u"), F.col("n_v")))
-        linker.test(linker.new(pairs))
-        large = left.where(F.col("members") > SMALL_BUCKET).select("band", "id", "n")
-        if cut == CUTS or large.isEmpty():
+        large = F.col("members") > (large_bucket if cut < CUTS else 1 << 60)
+        linker.test_blocks(left.where(~large))
+        if left.where(large).isEmpty():
             break
-        again = large.join(classes.select("id", "bands"), "id").select(F.explode("bands").alias("further"), "band", "id", "n")
-        members = written(again.where("further <> band").select(F.xxhash64("band", "further").alias("band"), "id", "n").distinct())
-    roots = classes.select(*same_set, "id")
-    if linker.groups is not None:
-        roots = roots.join(linker.groups, F.col("id") == F.col("node"), "left").select(*same_set, F.coalesce("root", "id").alias("id"))
+        again = left.where(large).select("band", "id").join(classes.select("id", "bands"), "id").select(F.explode("bands").alias("further"), "band", "id")
+        members = written(again.where("further <> band").select(F.xxhash64("band", "further").alias("band"), "id").distinct())
+    roots = classes.join(linker.groups, F.col("id") == F.col("node"), "left").select(*same_set, F.coalesce("root", "id").alias("id"))
     found = sketches.drop("bands").join(roots, same_set, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
