@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, neighbours, packing, quality_rules, substrings
+from . import language, mixing, neardup, neighbours, packing, quality_rules, substrings
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -44,5 +44,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {}
