@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, neighbours, packing, quality_rules, substrings
+from . import language, mixing, neardup, neighbours, packing, quality_rules, substrings, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,5 +48,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op10_language_id": op10_language_id}
-ORACLES: dict[str, str] = {}
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_top_k": op7_top_k, "op10_language_id": op10_language_id}
+ORACLES: dict[str, str] = {
+    "op7_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+        ), r AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
