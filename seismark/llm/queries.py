@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, neardup, neighbours, packing, pii, quality_rules, substrings, topk
+from . import language, licences, mixing, neardup, neighbours, packing, pii, quality_rules, substrings, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -63,7 +63,17 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_top_k": op7_top_k, "op9_pii": op9_pii, "op10_language_id": op10_language_id}
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand as source/doc_id, pages at their URL; tags of a page break its lines."""
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select(F.concat(F.lit("documents/"), "doc_id").alias("file"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
+    pages = table(spark, sf_dir, "pages")
+    text = F.when(F.col("html").rlike(licences.CUE), F.regexp_replace("html", "<[^>]*>", "\n"))
+    pages = pages.select(F.concat(F.lit("pages/"), "page_id").alias("file"), licences.url_path(F.col("url")).alias("path"), text.alias("text"))
+    return licences.scan_licences(docs.union(pages))
+
+
+QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_top_k": op7_top_k, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_language_id": op10_language_id}
 ORACLES: dict[str, str] = {
     "op7_top_k": """
         WITH v AS (
