@@ -123,7 +123,7 @@ def mix_units(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     units = written(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")))
     per_source = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("_units"))
     targets = written(source_targets(per_source, weights, share, most))
-    sources, largest = targets.agg(F.count("*"), F.max("_units")).first()
+    sources, largest = targets.agg(F.count("*"), F.coalesce(F.max("_units"), F.lit(0))).first()
     named = targets.withColumnRenamed("source", "_source")
     named = F.broadcast(named) if sources <= MAX_BROADCAST_SOURCES else named
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
