@@ -98,7 +98,7 @@ class Model:
         cosines = self.project(counts) @ self.vectors.T
         k = min(NEIGHBOURS, cosines.shape[1])
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-6) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(cosines, near, 1).astype(float), 1e-3) ** SHARPNESS
         return np.where(full, (weight * self.labels[near]).sum(1) / weight.sum(1), 0.0)
 
 
