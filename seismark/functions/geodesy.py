@@ -70,3 +70,52 @@ def in_bounds(
     for test in tests:
         out = out & F.coalesce(test, F.lit(False))
     return out
+
+
+# The WGS84 ellipsoid.
+WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+
+
+def ellipsoid_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, a: float = WGS84_A, f: float = WGS84_F, rounds: int = 60) -> Column:
+    """(meters, azimuth, back_azimuth) of a geodesic, by Vincenty's fixed point for the longitude on the auxiliary sphere.
+
+    Null where it does not settle (nearly antipodal points) or a coordinate is null.
+    """
+    b = a * (1 - f)
+    reduced = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
+    given = F.struct(F.sin(reduced(lat1)).alias("s1"), F.cos(reduced(lat1)).alias("c1"), F.sin(reduced(lat2)).alias("s2"), F.cos(reduced(lat2)).alias("c2"), F.radians(lon2 - lon1).alias("L"))
+    start = F.struct(given.alias("g"), F.radians(lon2 - lon1).alias("lam"), F.lit(1.0).alias("moved"))
+
+    def sphere(g: Column, lam: Column) -> dict[str, Column]:
+        east, north = g["c2"] * F.sin(lam), g["c1"] * g["s2"] - g["s1"] * g["c2"] * F.cos(lam)
+        sine = F.sqrt(east * east + north * north)
+        cosine = g["s1"] * g["s2"] + g["c1"] * g["c2"] * F.cos(lam)
+        alpha = F.when(sine > 0, g["c1"] * g["c2"] * F.sin(lam) / sine).otherwise(0.0)
+        flat = 1 - alpha * alpha
+        middle = F.when(flat > 1e-15, cosine - 2 * g["s1"] * g["s2"] / flat).otherwise(0.0)
+        return {"sine": sine, "cosine": cosine, "sigma": F.atan2(sine, cosine), "alpha": alpha, "flat": flat, "middle": middle, "east": east, "north": north}
+
+    def step(state: Column, _i: Column) -> Column:
+        g, lam = state["g"], state["lam"]
+        s = sphere(g, lam)
+        c = f / 16 * s["flat"] * (4 + f * (4 - 3 * s["flat"]))
+        new = g["L"] + (1 - c) * f * s["alpha"] * (s["sigma"] + c * s["sine"] * (s["middle"] + c * s["cosine"] * (2 * s["middle"] * s["middle"] - 1)))
+        settled = state["moved"] <= 1e-12
+        return F.struct(g.alias("g"), F.when(settled, lam).otherwise(new).alias("lam"), F.when(settled, F.lit(0.0)).otherwise(F.abs(new - lam)).alias("moved"))
+
+    def finish(state: Column) -> Column:
+        g, lam = state["g"], state["lam"]
+        s = sphere(g, lam)
+        u = s["flat"] * (a * a - b * b) / (b * b)
+        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+        m = s["middle"]
+        shift = small * s["sine"] * (m + small / 4 * (s["cosine"] * (2 * m * m - 1) - small / 6 * m * (4 * s["sine"] * s["sine"] - 3) * (4 * m * m - 3)))
+        back = F.atan2(g["c1"] * F.sin(lam), -g["s1"] * g["c2"] + g["c1"] * g["s2"] * F.cos(lam))
+        turn = lambda x: F.pmod(F.degrees(x), F.lit(360.0))
+        return F.when(
+            state["moved"] <= 1e-9,
+            F.struct((b * big * (s["sigma"] - shift)).alias("meters"), turn(F.atan2(s["east"], s["north"])).alias("azimuth"), turn(back + pi).alias("back_azimuth")),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)

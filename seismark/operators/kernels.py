@@ -239,3 +239,41 @@ def polarization(x: np.ndarray) -> np.ndarray:
     flip = incidence > 90
     azimuth, incidence = np.where(flip, azimuth + 180, azimuth), np.where(flip, 180 - incidence, incidence)
     return np.stack([azimuth % 360, incidence, rect, planar], 1)
+
+
+def weighted_slopes(step: float) -> Kernel:
+    """Cubic Hermite values at multiples of ``step`` samples; slopes are means weighted by the inverse of their size, 0 at turns."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        rise = np.diff(x, axis=1)
+        weight = 1 / np.maximum(np.abs(rise), np.spacing(1))
+        slope = np.empty_like(x)
+        slope[:, 0], slope[:, -1] = rise[:, 0], rise[:, -1]
+        inner = (weight[:, :-1] * rise[:, :-1] + weight[:, 1:] * rise[:, 1:]) / (weight[:, :-1] + weight[:, 1:])
+        slope[:, 1:-1] = np.where(np.sign(rise[:, :-1]) == np.sign(rise[:, 1:]), inner, 0.0)
+        at = np.arange(0, x.shape[1] - 1 + 1e-9, step)
+        i = np.minimum(at.astype(int), x.shape[1] - 2)
+        t = at - i
+        return x[:, i] * (1 + 2 * t) * (1 - t) ** 2 + slope[:, i] * t * (1 - t) ** 2 + x[:, i + 1] * t * t * (3 - 2 * t) + slope[:, i + 1] * t * t * (t - 1)
+
+    return run
+
+
+def with_phasors(x: np.ndarray) -> np.ndarray:
+    """The samples, then the cosines and the sines of their instantaneous phases."""
+    a = _analytic(x)
+    a = a / np.maximum(np.abs(a), 1e-30)
+    return np.concatenate([x, a.real, a.imag], 1)
+
+
+def band_energies(rate: float, lowest: float, bands: int, frames: int) -> Kernel:
+    """Energy in half-octave bands from ``lowest`` up, in equal frames: frames x bands, flattened."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        parts = x[:, : x.shape[1] // frames * frames].reshape(len(x), frames, -1)
+        power = np.abs(np.fft.rfft(parts * np.hanning(parts.shape[2]))) ** 2
+        f = np.fft.rfftfreq(parts.shape[2], 1 / rate)
+        edges = lowest * 2 ** (np.arange(bands + 1) / 2)
+        return np.stack([power[:, :, (f >= a) & (f < b)].sum(2) for a, b in zip(edges, edges[1:], strict=False)], 2).reshape(len(x), -1)
+
+    return run

@@ -208,3 +208,36 @@ def statistics(df: DataFrame) -> DataFrame:
         F.sqrt(F.avg(F.col(X) * F.col(X))).alias("sample_rms"),
         F.stddev_pop(X).alias("sample_stdev"),
     )
+
+
+def carl_sta_trig(df: DataFrame, nsta: int, nlta: int, ratio: float, quiet: float) -> DataFrame:
+    """star - ratio ltar - |sta - lta| - quiet; -1 for the first nlta samples.
+
+    sta and star are means of x and of |x - lta| over the nsta samples before, lta and ltar are means of those over nlta
+    samples, one sample late; all are 0 where their window is not full.
+    """
+    before = lambda x, n, late=0: lambda rows: F.when(F.col(IDX) >= n + late, F.avg(x).over(rows(-n - late, -1 - late))).otherwise(0.0)
+    out = moving(df, nsta, 0, _sta=before(F.col(X), nsta))
+    out = moving(out, nlta + 1, 0, _lta=before(F.col("_sta"), nlta, 1))
+    out = moving(out, nsta, 0, _star=before(F.abs(F.col(X) - F.col("_lta")), nsta))
+    out = moving(out, nlta + 1, 0, _ltar=before(F.col("_star"), nlta, 1))
+    eta = F.col("_star") - ratio * F.col("_ltar") - F.abs(F.col("_sta") - F.col("_lta")) - quiet
+    return out.withColumn("cft", F.when(F.col(IDX) < nlta, -1.0).otherwise(eta)).drop("_sta", "_lta", "_star", "_ltar")
+
+
+def delayed_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
+    """Ratio of running sums of each sample's square and a delayed one's; 0 for the first nlta + nsta + 50 samples.
+
+    As in the definition that is matched here, delayed squares are added, and a delay beyond the start wraps to the end.
+    """
+    sizes = df.groupBy(TRACE).agg(F.count("*").alias("_n"))
+    sized = df.join(sizes, TRACE).withColumn("_square", F.col(X) * F.col(X))
+    late = lambda k: sized.select(TRACE, F.pmod(F.col(IDX) + k, F.col("_n")).alias(IDX), F.col("_square").alias(f"_late{k}"))
+    delays = (nsta, nsta + 1, nsta + nlta + 1)
+    out = sized
+    for k in dict.fromkeys(delays):
+        out = out.join(late(k), [TRACE, IDX])
+    run = Window.partitionBy(TRACE).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+    sta = F.sum(F.col("_square") + F.col(f"_late{delays[0]}")).over(run) / nsta
+    lta = F.sum(F.col(f"_late{delays[1]}") + F.col(f"_late{delays[2]}")).over(run) / nlta
+    return out.withColumn("cft", F.when(F.col(IDX) >= nlta + nsta + 50, sta / lta).otherwise(0.0)).select(*df.columns, "cft")

@@ -678,3 +678,59 @@ def rt_kurtosis(spark, d):
 @query("SELECT trace, min(t) AS first, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY trace ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY trace ORDER BY t, event_id) >= 21600000000 THEN 1 ELSE 0 END AS f FROM e)) GROUP BY trace, g", TIMED)
 def session_windows(spark, d):
     return processes.sessions(data.timed(spark, d), "6 hours")
+
+
+# --- further triggers, geometry and stacks
+
+
+@query(
+    "SELECT trace, idx, round(CASE WHEN idx < 12 THEN -1 ELSE star - 0.8 * CASE WHEN idx >= 13 THEN avg(star) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 13 PRECEDING AND 2 PRECEDING) ELSE 0 END - abs(sta - lta) - 0.8 END, 9) + 0.0 AS cft FROM (SELECT *, CASE WHEN idx >= 4 THEN avg(abs(x - lta)) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) ELSE 0 END AS star FROM (SELECT *, CASE WHEN idx >= 13 THEN avg(sta) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 13 PRECEDING AND 2 PRECEDING) ELSE 0 END AS lta FROM (SELECT *, CASE WHEN idx >= 4 THEN avg(x) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) ELSE 0 END AS sta FROM s)))",
+    SAMPLES,
+)
+def carl_sta_trig(spark, d):
+    return rounded(series.carl_sta_trig(data.samples(spark, d), 4, 12, 0.8, 0.8).drop("x"), 9, "cft")
+
+
+@query(
+    "SELECT trace, idx, round(CASE WHEN idx >= 58 THEN (sum(a + b) OVER w / 2) / (sum(c + e) OVER w / 6) ELSE 0 END, 6) AS cft FROM (SELECT s.trace, s.idx, s.x * s.x AS a, p.x * p.x AS b, q.x * q.x AS c, r.x * r.x AS e FROM s JOIN (SELECT trace, count(*) AS n FROM s GROUP BY 1) m ON m.trace = s.trace JOIN s p ON p.trace = s.trace AND s.idx = (p.idx + 2) % m.n JOIN s q ON q.trace = s.trace AND s.idx = (q.idx + 3) % m.n JOIN s r ON r.trace = s.trace AND s.idx = (r.idx + 9) % m.n) WINDOW w AS (PARTITION BY trace ORDER BY idx ROWS UNBOUNDED PRECEDING)",
+    SAMPLES,
+)
+def delayed_sta_lta(spark, d):
+    return rounded(series.delayed_sta_lta(data.samples(spark, d), 2, 6).drop("x"), 6, "cft")
+
+
+@query(
+    "SELECT a.trace, a.idx, round(a.x * cos(i) - b.x * sin(i) * cos(ba) - c.x * sin(i) * sin(ba), 8) + 0.0 AS l, round(a.x * sin(i) + b.x * cos(i) * cos(ba) + c.x * cos(i) * sin(ba), 8) + 0.0 AS q, round(b.x * sin(ba) - c.x * cos(ba), 8) + 0.0 AS t FROM (SELECT *, radians(trace % 90) AS i, radians((trace * 7) % 360) AS ba FROM v) a JOIN v b ON b.trace = a.trace + 1 AND b.idx = a.idx JOIN v c ON c.trace = a.trace + 2 AND c.idx = a.idx",
+    VECTORS,
+)
+def rotate_zne_lqt(spark, d):
+    rows = data.vectors(spark, d).select("trace", F.col("data").alias("z"))
+    later = lambda k, name: rows.select((F.col("trace") - k).alias("trace"), F.col("z").alias(name))
+    sets = rows.join(later(1, "n"), "trace").join(later(2, "e"), "trace").withColumn("i", F.radians(F.col("trace") % 90)).withColumn("ba", F.radians((F.col("trace") * 7) % 360))
+    out = sets.select("trace", "i", "ba", F.posexplode(F.arrays_zip("z", "n", "e")).alias("idx", "s")).select("trace", F.col("idx").cast("long").alias("idx"), "i", "ba", "s.z", "s.n", "s.e")
+    l = F.col("z") * F.cos("i") - F.col("n") * F.sin("i") * F.cos("ba") - F.col("e") * F.sin("i") * F.sin("ba")  # noqa: E741
+    q = F.col("z") * F.sin("i") + F.col("n") * F.cos("i") * F.cos("ba") + F.col("e") * F.cos("i") * F.sin("ba")
+    t = F.col("n") * F.sin("ba") - F.col("e") * F.cos("ba")
+    return rounded(out.select("trace", "idx", l.alias("l"), q.alias("q"), t.alias("t")), 8, "l", "q", "t")
+
+
+@query()
+def ellipsoid_pairs(spark, d):
+    a = data.stations(spark, d)
+    b = a.select("network", *[F.col(c).alias(f"_{c}") for c in ("station", "latitude", "longitude")])
+    pairs = a.join(b, "network").where(F.col("station") < F.col("_station"))
+    return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), geodesy.ellipsoid_inverse(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude")).alias("g")).select("one", "other", "g.*")
+
+
+@query()
+def stack_phase_weighted(spark, d):
+    """Mean of the traces of a label times the squared length of their mean phasor."""
+    both = data.vectors(spark, d).select("label", F.size("data").alias("n"), kernels.on_segments(kernels.with_phasors)(F.col("data")).alias("p"))
+    rows = both.select("label", "n", F.posexplode("p").alias("place", "x"))
+    means = rows.withColumn("part", F.floor(F.col("place") / F.col("n"))).withColumn("idx", F.pmod("place", "n"))
+    part = lambda k: F.avg(F.when(F.col("part") == k, F.col("x")))
+    return means.groupBy("label", "idx").agg((part(0) * (part(1) * part(1) + part(2) * part(2))).alias("y"))
+
+
+_kernel("interpolate_weighted_slopes", kernels.weighted_slopes(0.75))
+_kernel("band_energies", kernels.band_energies(100.0, 3.0, 6, 2))

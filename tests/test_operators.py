@@ -115,3 +115,20 @@ def test_process_state_carries_over():
             y, state = make(part, state)
             parts.append(y)
         assert np.allclose(whole, np.concatenate(parts))
+
+
+def test_ellipsoid_inverse_known_line(spark):
+    lat1, lon1 = -(37 + 57 / 60 + 3.72030 / 3600), 144 + 25 / 60 + 29.52440 / 3600
+    lat2, lon2 = -(37 + 39 / 60 + 10.15610 / 3600), 143 + 55 / 60 + 35.38390 / 3600
+    line = geodesy.ellipsoid_inverse(*[F.lit(x) for x in (lat1, lon1, lat2, lon2)])
+    same = geodesy.ellipsoid_inverse(*[F.lit(x) for x in (10.0, 20.0, 10.0, 20.0)])
+    got = spark.range(1).select(line.alias("g"), same.alias("s")).first()
+    assert abs(got.g.meters - 54972.27) < 0.02
+    assert abs(got.g.azimuth - (306 + 52 / 60 + 5.37 / 3600)) < 1e-4 and abs(got.g.back_azimuth - (127 + 10 / 60 + 25.07 / 3600)) < 1e-4
+    assert got.s.meters == 0
+
+
+def test_weighted_slopes_keep_samples_and_extrema():
+    x = np.array([[0.0, 1.0, 3.0, 2.0, 2.0, 5.0]])
+    y = kernels.weighted_slopes(0.25)(x)[0]
+    assert np.allclose(y[::4], x[0]) and y.max() <= 5 and y[4:13].max() == 3
