@@ -1,11 +1,11 @@
 """Quality classifier by nearest-neighbour voting over latent-semantic vectors.
 
-A text is its byte trigrams, hashed into ``DIMENSIONS`` buckets, as log counts times inverse document frequencies over all
-documents. The singular vectors of a bounded sample of labelled rows (at most ``SAMPLE``) give the latent space; the labelled
+A text is its byte trigrams, hashed into ``TRIGRAMS`` buckets, and its words that equal the word before, dealt in turn to
+``REPEATS`` buckets, as log counts times inverse document frequencies over all documents. The singular vectors of a bounded sample of labelled rows (at most ``SAMPLE``) give the latent space; the labelled
 vectors (``SAMPLE`` x ``RANK`` floats, 1 MB) are broadcast. Every document gets its exact cosines with all of them, block by
 block, and its nearest ``NEIGHBOURS`` vote with a power of their similarity.
 
-Defined cases: a null or empty text, which has no trigram, scores 0; a table without labelled rows gives score 0.5 to all
+Defined cases: a null or empty text, which has no feature, scores 0; a table without labelled rows gives score 0.5 to all
 others; a null doc_id is held out and never learned from; repeated rows get equal scores; other columns are ignored.
 """
 
@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import slices, text_bytes
+from .words import slices, split_words, text_bytes
 
-DIMENSIONS, RANK, SAMPLE, NEIGHBOURS, SHARPNESS = 4096, 64, 4096, 25, 12.0
+TRIGRAMS, REPEATS = 4096, 256
+DIMENSIONS = TRIGRAMS + REPEATS
+RANK, SAMPLE, NEIGHBOURS, SHARPNESS = 64, 4096, 25, 12.0
 #: Documents whose cosines are computed together.
 BLOCK = 512
 
@@ -30,19 +32,25 @@ def remainder(column: str, n: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def trigram_counts(texts: pa.Array, dimensions: int = DIMENSIONS) -> np.ndarray:
-    """Counts of hashed byte trigrams of each text (its ends count as a byte 0)."""
+def text_counts(texts: pa.Array) -> np.ndarray:
+    """Counts of each text's hashed byte trigrams (its ends count as a byte 0) and of its immediately repeated words."""
     data, offsets = text_bytes(texts)
-    out = np.zeros((len(offsets) - 1, dimensions), np.float32)
+    out = np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
     for row, a, b in zip(out, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        if b > a:
-            for start in range(a, b, 1 << 20):
-                codes = np.zeros(min(b, start + (1 << 20)) - start + 2, np.uint32)
-                codes[1:-1] = data[start : start + len(codes) - 2]
-                codes[0] = data[start - 1] if start > a else 0
-                codes[-1] = data[start + len(codes) - 2] if start + len(codes) - 2 < b else 0
-                hashed = ((codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:]) * np.uint32(2654435761)) >> np.uint32(20)
-                row += np.bincount(hashed & np.uint32(dimensions - 1), minlength=dimensions)
+        for start in range(a, b, 1 << 20):
+            end = min(b, start + (1 << 20))
+            codes = np.zeros(end - start + 2, np.uint32)
+            codes[1:-1] = data[start:end]
+            codes[0] = data[start - 1] if start > a else 0
+            codes[-1] = data[end] if end < b else 0
+            hashed = ((codes[:-2] << 16 | codes[1:-1] << 8 | codes[2:]) * np.uint32(2654435761)) >> np.uint32(20)
+            row[:TRIGRAMS] += np.bincount(hashed & np.uint32(TRIGRAMS - 1), minlength=TRIGRAMS)
+    words = split_words(texts)
+    again = np.flatnonzero(words.hashes[1:] == words.hashes[:-1]) + 1
+    owner = np.searchsorted(words.first, again, "right") - 1
+    inside = again > words.first[owner]
+    again, owner = again[inside], owner[inside]
+    np.add.at(out, (owner, TRIGRAMS + (again - words.first[owner]) % REPEATS), 1)
     return out
 
 
@@ -50,7 +58,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     total, n = np.zeros(DIMENSIONS, np.int64), 0
     for batch in slices(batches):
         for i in range(0, batch.num_rows, BLOCK):
-            total += (trigram_counts(batch.column("text").slice(i, BLOCK)) > 0).sum(0)
+            total += (text_counts(batch.column("text").slice(i, BLOCK)) > 0).sum(0)
         n += batch.num_rows
     yield pa.record_batch({"bucket": pa.array(range(-1, DIMENSIONS), pa.int32()), "n": pa.array([n, *total.tolist()], pa.int64())})
 
@@ -110,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts = trigram_counts(batch.column("text"))
+            counts = text_counts(batch.column("text"))
             owner, bucket = np.nonzero(counts)
             lists = pa.ListArray.from_arrays(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32), pa.array(bucket.astype(np.int16)))
             sizes = pa.ListArray.from_arrays(lists.offsets, pa.array(counts[owner, bucket]))
@@ -130,7 +138,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            scores = [model.value.score(trigram_counts(batch.column("text").slice(i, BLOCK))) for i in range(0, batch.num_rows, BLOCK)]
+            scores = [model.value.score(text_counts(batch.column("text").slice(i, BLOCK))) for i in range(0, batch.num_rows, BLOCK)]
             yield batch.append_column("score", pa.array(np.concatenate(scores), pa.float64()))
 
     rows = docs.select(*kept, F.coalesce(remainder("doc_id", 5) == 0, F.lit(True)).alias("held_out"))

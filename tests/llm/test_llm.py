@@ -352,7 +352,7 @@ def test_quality_classifier(spark, docs):
 def test_voting_equals_brute_force():
     rng = np.random.default_rng(4)
     samples = [" ".join(rng.choice(["alpha", "beta", "gam%%ma", "de|lta", "eps"], 30)) for _ in range(60)]
-    counts = neighbours.trigram_counts(pa.array(samples))
+    counts = neighbours.text_counts(pa.array(samples))
     model = neighbours.Model(counts[:40], np.arange(40) % 2, 60, (counts > 0).sum(0))
     vectors, asked = model.project(counts[:40]), model.project(counts[40:])
     for score, v in zip(model.score(counts[40:]), asked, strict=True):
