@@ -101,7 +101,7 @@ def _sketches(k: int, bands: int, rows: int):
     factors = odd_factors(rows, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=1 << 19):
             elements, first = shingle_sets(batch.column("text"), k)
             sizes = np.diff(first)
             full = np.flatnonzero(sizes)

@@ -27,9 +27,9 @@ from .words import slices, span_hashes
 WINDOW = 2048
 END_ID = 1
 #: Pieces and ids that are packed together at most.
-BLOCK_PIECES, BLOCK_IDS = 1 << 16, 1 << 24
+BLOCK_PIECES, BLOCK_IDS = 1 << 15, 1 << 22
 #: Words whose ids a worker remembers.
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
 #: Sequences of one task: its number, then 33 bits.
 TASK_BITS = 33
 
@@ -279,8 +279,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
         for block in _packed(batches, tokenizer, window, end_id):
             block.sort(key=lambda x: (x[4], x[5]))
             first = [i for i, x in enumerate(block) if not i or x[4] != block[i - 1][4]] + [len(block)]
-            for chunk in range(0, len(first) - 1, 4096):
-                groups = [block[a:b] for a, b in zip(first[chunk : chunk + 4096], first[chunk + 1 : chunk + 4097], strict=False)]
+            for chunk in range(0, len(first) - 1, 256):
+                groups = [block[a:b] for a, b in zip(first[chunk : chunk + 256], first[chunk + 1 : chunk + 257], strict=False)]
                 ids = np.full((len(groups), window), pad_id, np.int32)
                 for row, group in zip(ids, groups, strict=True):
                     for x in group:
