@@ -2,9 +2,11 @@
 
 A text is its words, maximal runs of letters in lower case; a character is predicted from up to four before it, back to the
 blank before its word, and each word ends with a blank. Spark counts the words of each language, then their n-grams
-and, for lower orders, the distinct characters before an n-gram. Per order the gram probabilities and context weights of all
-languages stand in sorted hash arrays. The language with the lowest cross-entropy per character wins; a text is rejected
-where that entropy is above what all but a thousandth of a bounded sample of training texts reach.
+and, for lower orders, the distinct characters before an n-gram. Discounts, context sums and back-off weights come from all
+n-grams; none is dropped. The estimates stay a table, each order joined to the one below; a distinct word's bits are the sum
+over its joined n-grams, and are joined back to the batches of texts that hold the word. The language with the lowest
+cross-entropy per character wins; a text is rejected where that entropy is above what all but a thousandth of the
+language's training texts reach.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with a null lang or doc_id
 are not learned from; without any training text all are ``und``; ties go to the language first in order; repeated rows get
@@ -15,25 +17,23 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .neighbours import remainder
 from .store import written
-from .words import mix, slices, span_hashes
+from .words import mix, signed, slices, span_hashes
 
 ORDER = 5
-#: Grams that a language keeps per order (the most frequent), so that the arrays are bounded; texts for the rejection limits.
-MAX_GRAMS, CALIBRATION = 100_000, 4096
 #: Bits of cross-entropy that are added to the calibrated limit, and characters after which the score grows no further.
 MARGIN, EVIDENCE = 0.5, 40
-#: Words whose bits a task remembers.
-KNOWN_WORDS = 1 << 18
+#: Bytes of text that share one list of distinct words, and ranks that the rejection limits tell apart.
+SHARED_BYTES, RANKS = 4 << 20, 100_000
 _BLANK = 0x20
 
 _tables: list[np.ndarray] = []
@@ -74,28 +74,53 @@ def spelled(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     return out, places, begin[word[places]]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        langs = batch.column("lang").to_pylist()
+#: Rows of a text (doc_id to times: the distinct words' places in the batch's list, and how often each stands), of a word in
+#: that list (i, hash), and of a word's count in a training language, or outside training (lang, hash, word, n).
+_PREPARED = "kind byte, batch long, doc_id long, held_out boolean, lang string, characters long, at binary, times binary, i int, hash long, word string, n long"
+
+
+def _rows(kind: int, batch: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "int": pa.int32(), "byte": pa.int8()}
+    out = {"kind": pa.array(np.full(size, kind, np.int8)), "batch": pa.array(np.full(size, batch, np.int64))} | columns
+    fields = [x.split() for x in _PREPARED.split(", ")]
+    return pa.record_batch({name: out[name] if name in out else pa.nulls(size, types[t]) for name, t in fields})
+
+
+def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _PREPARED, from rows of doc_id, held_out, lang (null outside training) and text."""
+    for number, batch in enumerate(slices(batches, limit=SHARED_BYTES), TaskContext.get().partitionId() << 32):
+        n = batch.num_rows
         codes, starts, ends, first = letter_words([t or "" for t in batch.column("text").to_pylist()])
-        names = sorted(set(langs))
-        owner = np.repeat(np.array([names.index(x) for x in langs]), np.diff(first))
-        keys = mix(span_hashes(codes, starts, ends) + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _, at, n = np.unique(keys, return_index=True, return_counts=True)
-        words = [codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        yield pa.record_batch({"lang": pa.array([names[i] for i in owner[at]], pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
+        hashes, one, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        text, distinct = np.repeat(np.arange(n), np.diff(first)), max(1, len(hashes))
+        pairs, times = np.unique(text * distinct + inverse, return_counts=True)
+        cuts = (4 * np.searchsorted(pairs, np.arange(n + 1) * distinct)).astype(np.int32)
+        packed = lambda x, cuts=cuts, n=n: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(x.astype(np.uint32))])
+        length = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+        characters = length[first[1:]] - length[first[:-1]]
+        yield _rows(0, number, n, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang=batch.column("lang"), characters=pa.array(characters, pa.int64()), at=packed(pairs % distinct), times=packed(times))
+        if not len(hashes):
+            continue
+        yield _rows(1, number, len(hashes), i=pa.array(np.arange(len(hashes)), pa.int32()), hash=pa.array(signed(hashes)))
+        langs = batch.column("lang").to_pylist()
+        names = list(dict.fromkeys(langs))
+        place = {x: i for i, x in enumerate(names)}
+        keys, counts = np.unique(inverse * len(names) + np.array([place[x] for x in langs])[text], return_counts=True)
+        words = pa.array([codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], pa.string())
+        at, owner = keys // len(names), keys % len(names)
+        yield _rows(2, number, len(keys), lang=pa.array(names, pa.string()).take(pa.array(owner)), hash=pa.array(signed(hashes[at])), word=words.take(pa.array(at)), n=pa.array(counts, pa.int64()))
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n): all n-grams of ' word ' that end after its first blank, over a batch of words."""
-    for batch in batches:
+    for batch in slices(batches, "word"):
         langs = batch.column("lang").to_pylist()
-        names = sorted(set(langs))
+        names = list(dict.fromkeys(langs))
         codes, starts, ends, first = letter_words(batch.column("word").to_pylist())
         text, places, begin = spelled(codes, starts, ends)
         lengths = ends - starts + 1
         row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(first)), lengths)
-        owner, weight = np.array([names.index(x) for x in langs])[row], batch.column("n").to_numpy()[row]
+        owner, weight = np.array([names.index(x) for x in langs], np.int64)[row], batch.column("n").to_numpy()[row]
         for k in range(1, ORDER + 1):
             fits = places - begin >= k - 1
             at = places[fits] - k + 1
@@ -106,6 +131,18 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"lang": pa.array([names[i] for i in owner[fits][one]], pa.string()), "gram": pa.array(grams, pa.string()), "n": pa.array(n)})
 
 
+def _longest_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, gram): for each place of ' word ', the character there with all that predict it."""
+    for batch in slices(batches, "word"):
+        codes, starts, ends, first = letter_words(batch.column("word").to_pylist())
+        text, places, begin = spelled(codes, starts, ends)
+        row = np.repeat(np.repeat(np.arange(batch.num_rows), np.diff(first)), ends - starts + 1)
+        at = np.maximum(begin, places - ORDER + 1)
+        _, one, inverse = np.unique(span_hashes(text, at, places + 1), return_index=True, return_inverse=True)
+        grams = [text[a:b].tobytes().decode("utf-32-le") for a, b in zip(at[one].tolist(), (places[one] + 1).tolist(), strict=True)]
+        yield pa.record_batch({"hash": pa.array(batch.column("hash").to_numpy()[row]), "gram": pa.array(grams, pa.string()).take(pa.array(inverse))})
+
+
 class Order(NamedTuple):
     """Sorted hashes of grams with their discounted probabilities, and of contexts with the weight of the order below, per language."""
 
@@ -116,11 +153,12 @@ class Order(NamedTuple):
 
 
 class Model(NamedTuple):
+    """All estimates in memory: for a look at a corpus that is known to be small. The operator itself joins tables."""
+
     languages: list[str]
     orders: list[Order]
     #: Probability of a character that was never seen.
     floor: float
-    limits: np.ndarray
 
     def word_bits(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Bits that each language needs for each word."""
@@ -143,139 +181,143 @@ class Model(NamedTuple):
         return np.add.reduceat(bits, np.flatnonzero(np.diff(begin, prepend=-1)), axis=0) if len(places) else bits[:0]
 
 
-class Scorer:
-    """A model at work in one task: a word's bits are computed once and remembered, for a bounded number of words."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.bits = np.zeros((1024, len(self.model.languages)))
-
-    def _word_bits(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.known) > KNOWN_WORDS:
-            self.forget()
-        keys = hashes.tolist()
-        index = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            n = len(self.known)
-            if n + len(new) > len(self.bits):
-                self.bits = np.resize(self.bits, (max(n + len(new), 2 * len(self.bits)), self.bits.shape[1]))
-            self.bits[n : n + len(new)] = self.model.word_bits(codes, starts[new], ends[new])
-            index[new] = np.arange(n, n + len(new))
-            self.known.update(zip([keys[i] for i in new.tolist()], range(n, n + len(new)), strict=True))
-        return self.bits[index]
-
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character in each language (zeros for a text without a letter), and characters."""
-        codes, starts, ends, first = letter_words(texts)
-        hashes, one, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        bits = self._word_bits(hashes, codes, starts[one], ends[one])
-        total = np.zeros((len(starts) + 1, len(self.model.languages)))
-        np.cumsum(bits[inverse], axis=0, out=total[1:])
-        length = np.concatenate([[0], np.cumsum(ends - starts + 1)])
-        characters = length[first[1:]] - length[first[:-1]]
-        return (total[first[1:]] - total[first[:-1]]) / np.maximum(characters, 1)[:, None], characters
+class Estimates(NamedTuple):
+    """``grams`` has gram, k, and of each language i the discounted probability p{i} and the weight w{i} of the order below."""
+
+    languages: list[str]
+    grams: DataFrame
+    floor: float
+
+
+def _prepare(docs: DataFrame) -> DataFrame:
+    fold = remainder("doc_id", 3)
+    rows = docs.select("doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), F.when(fold != 1, F.col("lang")).alias("lang"), "text")
+    return written(rows.mapInArrow(_prepared, _PREPARED))
+
+
+def _words(prepared: DataFrame) -> DataFrame:
+    return written(prepared.where("kind = 2").groupBy("lang", "hash", "word").agg(F.sum("n").alias("n")))
 
 
-def _orders(grams: DataFrame) -> tuple[list[str], list[Order], float]:
-    """Interpolated Kneser-Ney estimates from bounded tables: grams by (lang, k), the most frequent MAX_GRAMS of each."""
-    best = Window.partitionBy("lang", "k").orderBy(F.col("n").desc(), "gram")
-    kept = grams.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= MAX_GRAMS)
-    rows = kept.select("lang", "k", "gram", "n").toArrow().to_pandas()
-    languages = sorted(rows["lang"].unique())
+def _each(n: int, name: str, value) -> list[Column]:
+    return [value(i).alias(f"{name}{i}") for i in range(n)]
+
+
+def estimate(words: DataFrame) -> Estimates | None:
+    """Interpolated Kneser-Ney estimates of all grams of all words; rows without a lang only add grams to back off for."""
+    languages = [r["lang"] for r in words.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]
     if not languages:
-        return [], [], 0.0
-    number = {x: i for i, x in enumerate(languages)}
-    alphabet = max(2, rows.loc[rows["k"] == 1, "gram"].nunique() + 1)
-    orders = []
+        return None
+    every = len(languages)
+    each = lambda name, value: _each(every, name, value)
+    some = lambda x: F.when(x > 0, 1).otherwise(0)
+    counted = words.select("lang", "word", "n").mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("gram")
+    wide = counted.agg(*each("n", lambda i: F.sum(F.when(F.col("lang") == languages[i], F.col("n")).otherwise(0)))).withColumn("k", F.length("gram"))
+    wide = written(wide)
+    before = wide.where("k > 1").groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*each("m", lambda i: F.sum(some(F.col(f"n{i}")))))
+    raw = (F.col("k") == ORDER) | F.col("gram").startswith(" ")
+    counts = wide.join(before, "gram", "left").select(
+        "gram", "k", F.expr("substring(gram, 1, k - 1)").alias("context"),
+        *each("n", lambda i: F.when(raw | (F.col(f"n{i}") == 0), F.col(f"n{i}")).otherwise(F.greatest(F.coalesce(f"m{i}", F.lit(0)), F.lit(1)))),
+    )
+    counts = written(counts)
+    of_counts = counts.groupBy("k").agg(
+        *each("once", lambda i: F.sum((F.col(f"n{i}") == 1).cast("long"))), *each("twice", lambda i: F.sum((F.col(f"n{i}") == 2).cast("long"))), F.sum((F.greatest(*each("n", lambda i: F.col(f"n{i}")), F.lit(0)) > 0).cast("long")).alias("seen")
+    ).collect()  # one row per order
+    discounts = {(r["k"], i): min(0.95, max(0.1, (r[f"once{i}"] + 0.5) / (r[f"once{i}"] + 2 * r[f"twice{i}"] + 1))) for r in of_counts for i in range(every)}
+    alphabet = max(2, next(r["seen"] for r in of_counts if r["k"] == 1) + 1)
+    discount = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k in sorted({k for k, _ in discounts}) for x in (k, discounts[k, i])]), F.col("k"))
+    contexts = counts.groupBy("context").agg(*each("s", lambda i: F.sum(f"n{i}")), *each("c", lambda i: F.sum(some(F.col(f"n{i}")))))
+    grams = counts.join(contexts, "context").select(
+        "gram", "k",
+        *each("p", lambda i: F.when(F.col(f"n{i}") > 0, F.greatest(F.col(f"n{i}") - discount(i), F.lit(0.0)) / F.col(f"s{i}")).otherwise(0.0)),
+        *each("w", lambda i: F.when(F.col(f"s{i}") > 0, discount(i) * F.col(f"c{i}") / F.col(f"s{i}")).otherwise(1.0)),
+    )
+    return Estimates(languages, written(grams), 1 / alphabet)
+
+
+def word_bits(words: DataFrame, known: Estimates) -> DataFrame:
+    """hash and bits b{i} in each language, one row per distinct word."""
+    every = len(known.languages)
+    level, longest = None, []
     for k in range(1, ORDER + 1):
-        part = rows[rows["k"] == k].copy()
-        if not len(part):  # no word is as long as that
-            break
-        part["context"] = part["gram"].str.slice(0, k - 1)
-        by_lang = part.groupby("lang")["n"]
-        once, twice = by_lang.agg(lambda n: (n == 1).sum()), by_lang.agg(lambda n: (n == 2).sum())
-        discount = ((once + 0.5) / (once + 2 * twice + 1)).clip(0.1, 0.95)
-        of = part.groupby(["lang", "context"])["n"].agg(["sum", "count"]).reset_index()
-        part = part.merge(of, on=["lang", "context"])
-        part["p"] = (part["n"] - part["lang"].map(discount)).clip(lower=0) / part["sum"]
-        of["weight"] = of["lang"].map(discount) * of["count"] / of["sum"]
-        names, grams_p = _spread(part["gram"].tolist(), part["lang"].map(number).to_numpy(), part["p"].to_numpy(), len(languages), 0.0)
-        contexts, weights = _spread(of["context"].tolist(), of["lang"].map(number).to_numpy(), of["weight"].to_numpy(), len(languages), 1.0)
-        orders.append(Order(names, grams_p, contexts, weights))
-    return languages, orders, 1 / alphabet
-
-
-def _spread(strings: list[str], language: np.ndarray, values: np.ndarray, languages: int, default: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, and a row of each language's value."""
+        now = known.grams.where(F.col("k") == k)
+        if level is not None:
+            now = now.join(level, F.expr("substring(gram, 2)") == F.col("_below"))
+        lower = lambda i, k=k: F.lit(known.floor) if k == 1 else F.col(f"q{i}")
+        now = written(now.select("gram", *_each(every, "q", lambda i, lower=lower: F.col(f"p{i}") + F.col(f"w{i}") * lower(i))))
+        longest.append(now if k == ORDER else now.where(F.col("gram").startswith(" ")))
+        level = now.withColumnRenamed("gram", "_below")
+    table = longest[0]
+    for x in longest[1:]:
+        table = table.union(x)
+    each = words.select("hash", "word").distinct().mapInArrow(_longest_grams, "hash long, gram string")
+    return each.join(table, "gram").groupBy("hash").agg(*_each(every, "b", lambda i: F.sum(-F.log2(f"q{i}"))))
+
+
+def _hashes(strings: list[str]) -> np.ndarray:
     codes = np.frombuffer("".join(strings).encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(s) for s in strings], dtype=np.int64)
-    hashes = span_hashes(codes, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
-    unique, inverse = np.unique(hashes, return_inverse=True)
-    out = np.full((len(unique), languages), default)
-    out[inverse, language] = values
-    return unique, out
+    return span_hashes(codes, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """From rows with a lang whose crc32(doc_id) mod 3 is not 1."""
-    train = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", 3) != 1)).select("doc_id", "lang", "text")
-    words = train.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = written(words.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("k", F.length("gram")))
-    before = counted.where("k > 1").groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("m"))
-    raw = (F.col("k") == ORDER) | F.col("gram").startswith(" ")
-    counts = counted.join(before, ["lang", "gram"], "left").withColumn("n", F.when(raw, F.col("n")).otherwise(F.coalesce("m", F.lit(1))))
-    languages, orders, floor = _orders(counts)
-    if not languages:
+    """The estimates, from rows with a lang whose crc32(doc_id) mod 3 is not 1, in the driver's memory."""
+    known = estimate(_words(_prepare(docs)))
+    if known is None:
         return None
-    model = Model(languages, orders, floor, np.zeros(len(languages)))
-    ids = train.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    sample = train.join(F.broadcast(ids), "doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def own_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for batch in slices(batches):
-            bits, characters = scorer.entropies([t or "" for t in batch.column("text").to_pylist()])
-            own = bits[np.arange(len(bits)), [shared.value.languages.index(x) for x in batch.column("lang").to_pylist()]]
-            yield pa.record_batch({"lang": batch.column("lang"), "bits": pa.array(np.where(characters > 0, own, np.nan))})
-
-    limits = dict(sample.select("lang", "text").mapInArrow(own_bits, "lang string, bits double").where("NOT isnan(bits)").groupBy("lang").agg(F.percentile("bits", 0.999)).collect())
-    return model._replace(limits=np.array([limits.get(x, np.inf) + MARGIN for x in languages]))
+    rows, orders = known.grams.toArrow().to_pandas(), []
+    for k in range(1, int(rows["k"].max()) + 1):
+        part = rows[rows["k"] == k]
+        p, w = (part[[f"{x}{i}" for i in range(len(known.languages))]].to_numpy() for x in "pw")
+        grams, contexts = (np.unique(_hashes(part["gram"].str.slice(0, n).tolist()), return_index=True) for n in (k, k - 1))
+        orders.append(Order(grams[0], p[grams[1]], contexts[0], w[contexts[1]]))
+    return Model(known.languages, orders, known.floor)
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score, bits (per character) and rejected."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(plain))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
-        scorer = Scorer(known) if known is not None else None
-        for batch in slices(batches):
-            n = batch.num_rows
-            out = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
-            if known is None:
-                yield pa.record_batch(out | {"lang_pred": pa.array(["und"] * n), "score": pa.array(np.zeros(n)), "bits": pa.array(np.zeros(n)), "rejected": pa.array([True] * n)})
-                continue
-            bits, characters = scorer.entropies([t or "" for t in batch.column("text").to_pylist()])
-            best = bits.argmin(1)
-            lowest = bits[np.arange(n), best]
-            score = 1 / np.exp2((lowest[:, None] - bits) * np.minimum(characters, EVIDENCE)[:, None]).sum(1)
-            some = characters > 0
-            yield pa.record_batch(
-                out
-                | {
-                    "lang_pred": pa.array([known.languages[i] if x else "und" for i, x in zip(best.tolist(), some.tolist(), strict=True)]),
-                    "score": pa.array(np.where(some, score, 0.0)),
-                    "bits": pa.array(np.where(some, lowest, 0.0)),
-                    "rejected": pa.array(~some | (lowest > known.limits[best])),
-                }
-            )
-
-    rows = plain.select("doc_id", F.coalesce(remainder("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
+    prepared = _prepare(plain)
+    texts, listed = prepared.where("kind = 0"), prepared.where("kind = 1").select(F.col("batch").alias("_batch"), "i", "hash")
+    words = _words(prepared)
+    known = estimate(words)
+    if known is None:
+        return texts.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"))
+    languages = known.languages
+    bits = listed.join(word_bits(words, known), "hash").drop("hash")
+
+    def score(texts: pa.Table, bits: pa.Table) -> pa.Table:
+        n = texts.num_rows
+        table = np.column_stack([bits.column(f"b{i}").to_numpy() for i in range(len(languages))])[np.argsort(bits.column("i").to_numpy())]
+        at, times = (texts.column(x).to_pylist() for x in ("at", "times"))
+        size = np.array([len(x) // 4 for x in at])
+        at, times = (np.frombuffer(b"".join(x), np.uint32) for x in (at, times))
+        full, total = size > 0, np.zeros((n, len(languages)))
+        if full.any():
+            total[full] = np.add.reduceat(table[at] * times[:, None], (np.cumsum(size) - size)[full], axis=0)
+        characters = texts.column("characters").to_numpy()
+        each = total / np.maximum(characters, 1)[:, None]
+        best = each.argmin(1)
+        lowest = each[np.arange(n), best]
+        likely = 1 / np.exp2((lowest[:, None] - each) * np.minimum(characters, EVIDENCE)[:, None]).sum(1)
+        trained = np.array([languages.index(x) if x is not None else -1 for x in texts.column("lang").to_pylist()])
+        own, some = each[np.arange(n), trained], characters > 0
+        return pa.table(
+            {
+                "doc_id": texts.column("doc_id"),
+                "held_out": texts.column("held_out"),
+                "lang": texts.column("lang"),
+                "lang_pred": pa.array([languages[i] if x else "und" for i, x in zip(best.tolist(), some.tolist(), strict=True)], pa.string()),
+                "score": pa.array(np.where(some, likely, 0.0)),
+                "bits": pa.array(np.where(some, lowest, 0.0)),
+                "own": pa.array(own, mask=~some | (trained < 0)),
+            }
+        )
+
+    texts = texts.select("batch", "doc_id", "held_out", "lang", "characters", "at", "times")
+    scored = texts.groupBy("batch").cogroup(bits.groupBy("_batch")).applyInArrow(score, "doc_id long, held_out boolean, lang string, lang_pred string, score double, bits double, own double")
+    scored = written(scored)
+    limits = dict(scored.where("own IS NOT NULL").groupBy("lang").agg(F.percentile_approx("own", 0.999, RANKS)).collect())  # one row per language
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lang_pred")) + MARGIN
+    return scored.select("doc_id", "held_out", "lang_pred", "score", "bits", F.coalesce((F.col("lang_pred") == "und") | (F.col("bits") > limit), F.lit(False)).alias("rejected"))

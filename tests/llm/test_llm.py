@@ -552,6 +552,44 @@ def sum_bits(model, prefix):
     return whole + np.log2(p)
 
 
+def brute_kneser_ney(words):
+    """Bits of a word, from the counts of all grams of a language's words."""
+    grams = Counter()
+    for w, n in words.items():
+        for end in range(1, len(w) + 2):
+            for k in range(1, min(5, end + 1) + 1):
+                grams[f" {w} "[end - k + 1 : end + 1]] += n
+    before = Counter(g[1:] for g in grams if len(g) > 1)
+    counts = {g: n if len(g) == 5 or g[0] == " " else before[g] or 1 for g, n in grams.items()}
+    of = {k: Counter(n for g, n in counts.items() if len(g) == k) for k in range(1, 6)}
+    discount = {k: min(0.95, max(0.1, (c[1] + 0.5) / (c[1] + 2 * c[2] + 1))) for k, c in of.items()}
+    total, kinds = Counter(), Counter()
+    for g, n in counts.items():
+        total[g[:-1]] += n
+        kinds[g[:-1]] += 1
+
+    def p(gram):
+        if not gram:
+            return 1 / (sum(of[1].values()) + 1)
+        d, context, lower = discount[len(gram)], gram[:-1], p(gram[1:])
+        return (max(0, counts.get(gram, 0) - d) + d * kinds[context] * lower) / total[context] if total[context] else lower
+
+    return lambda w: -sum(np.log2(p(f" {w} "[max(0, end - 4) : end + 1])) for end in range(1, len(w) + 2))
+
+
+def test_language_estimates_use_all_grams(spark):
+    """More than 100,000 grams of an order, most of them seen once."""
+    chosen = np.random.default_rng(1).integers(0x4E00, 0x4E00 + 5000, (45_000, 5))
+    spelt = ["".join(map(chr, x)) for x in chosen.tolist()]
+    rows = [(i, " ".join(spelt[i * 100 : i * 100 + 100]), "zz") for i in range(450)]
+    train = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in t.split())
+    bits = brute_kneser_ney(train)
+    got = {r.doc_id: r.bits for r in language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows[::15]:
+        assert got[i] == pytest.approx(sum(map(bits, t.split())) / sum(len(w) + 1 for w in t.split()), rel=1e-9)
+
+
 def test_language_odd(odd, empty):
     got = {r.doc_id: r for r in language.identify_languages(odd).collect()}
     assert {got[i].lang_pred for i in (1, 2, 3)} == {"und"} and got[4].lang_pred != "und"
