@@ -16,8 +16,8 @@ from .store import written
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate above both.
-MIN_DOCUMENTS, MAX_SHARE = 50, 0.01
+#: A line is boilerplate above both; the floor is small, so that the share decides for hosts of more than 500 documents.
+MIN_DOCUMENTS, MAX_SHARE = 5, 0.01
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Positions are packed into so many bits beside a hash; longer texts are compared without the hash.
 _BITS = 21

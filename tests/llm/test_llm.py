@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import re
 import zlib
 from collections import Counter
@@ -327,6 +328,30 @@ def test_frequent_lines(spark):
     assert got[1].removed_words == 40 and got[1].kept and not got[0].kept and got[99].removed_words == 0 and got[99].kept
 
 
+def brute_frequent(docs):
+    """(host, line) pairs in more than five documents and more than a hundredth of the host's."""
+    held, size = {}, Counter(r.source for r in docs)
+    for r in docs:
+        for line in r.text.split("\n"):
+            held.setdefault((r.source, normal_line(line)), set()).add(r.doc_id)
+    return {k for k, ids in held.items() if k[1] and len(ids) > 5 and len(ids) > 0.01 * size[k[0]]}
+
+
+def normal_line(line):
+    return tuple(words(re.sub("[1-9]", "0", line.lower())))
+
+
+def test_frequent_lines_of_small_hosts(spark):
+    """With the limits as they are, on the driver's table of 50 documents a host."""
+    docs = spark.read.parquet(f"{os.path.dirname(SF)}/sf0.01/documents.parquet")
+    rows = docs.collect()
+    frequent = brute_frequent(rows)
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    lost = {r.doc_id: sum(len(words(x)) for x in r.text.split("\n") if (r.source, normal_line(x)) in frequent) for r in rows}
+    assert any(lost.values()) and lost == {i: r.removed_words for i, r in got.items()}
+    assert all(r.kept == (not r.base_failed and 2 * lost[i] <= r.n_words) for i, r in got.items())
+
+
 def test_quality_rules_odd(odd, empty):
     rows = quality_rules.quality_rules(odd).collect()
     assert Counter(map(statistics, rows)) == Counter(brute_statistics(r[1]) for r in ODD)
