@@ -1,9 +1,10 @@
 """Quality rules: text statistics of each document, and cross-document line frequency per host. DataFrame functions only.
 
 Normalised lines are hashed; a line that stands in more than max(min_documents, share of the host's documents) distinct
-documents of a host is boilerplate there and removed; a document that loses more than half of its words is depleted.
+documents of a host is boilerplate there and removed from the text; a document that loses more than half of its words is
+depleted.
 
-Defined cases: a null text counts as empty; blank lines never count; a null host is a host of its own; repeated rows of a
+Defined cases: a null text counts as empty and stays null; blank lines never count and stay; a null host is a host of its own; repeated rows of a
 document count once for a line's frequency; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -76,14 +77,20 @@ def text_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length("_text") - F.length(without(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(steps, F.lit(0).cast("long"), lambda total, x: total + x).alias("n_repeat_words"),
-        F.transform(F.transform("_lines", normal_line), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(x).alias("words"))).alias("_lines"),
     )
 
 
+def placed_lines(text: Column) -> Column:
+    """Hash (line) and place (at) of each line that has words."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(normal_line(x).alias("words"), i.alias("at"))), lambda x: F.size(x["words"]) > 0)
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x["words"]).alias("line"), x["at"].alias("at")))
+
+
 def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MIN_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the statistics, base_failed, removed_words (in frequent lines) and kept."""
+    """One row per row of ``docs``: doc_id, the text without frequent lines, the statistics of the text as it was, base_failed, removed_words and kept."""
     plain = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("host"))
-    known = written(text_statistics(plain.withColumn("key", F.xxhash64("text"))).drop("text"))
+    plain = plain.withColumn("key", F.xxhash64("text"))
+    known = written(plain.select("doc_id", "key", "host", placed_lines(F.col("text")).alias("_lines")))
     lines = known.select("doc_id", "key", "host", F.explode("_lines").alias("_line")).select("doc_id", "key", "host", "_line.*")
     hosts = known.groupBy("host").agg(F.countDistinct("doc_id").alias("documents"))
     counted = lines.groupBy("host", "line", "doc_id").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
@@ -92,14 +99,15 @@ def quality_rules(docs: DataFrame, host: str = "source", min_documents: int = MI
     removed = (
         lines.join(frequent, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")))
         .groupBy("doc_id", "key", "host")
-        .agg(F.sum("words").alias("words"), F.count("*").alias("_rows"))
-        .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("host").alias("_host"), "words")
+        .agg(F.collect_set("at").alias("_removed"))
+        .select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("host").alias("_host"), "_removed")
     )
-    rows = known.groupBy("doc_id", "key", "host").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("_doc2"), F.col("key").alias("_key2"), F.col("host").alias("_host2"), "_rows")
-    same = lambda n: (F.col("key") == F.col(f"_key{n}")) & F.col("doc_id").eqNullSafe(F.col(f"_doc{n}")) & F.col("host").eqNullSafe(F.col(f"_host{n}"))
-    joined = known.drop("_lines").join(removed, same(""), "left").join(rows, same("2"), "left")
+    same = (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("host").eqNullSafe(F.col("_host"))
+    clean = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n"))
+    joined = text_statistics(plain).join(removed, same, "left").withColumn("_clean", clean)
+    lost = F.when(F.col("_removed").isNull(), F.lit(0)).otherwise(F.col("n_words") - F.size(split_words(F.col("_clean")))).cast("long")
+    joined = joined.withColumn("_lost", lost)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    lost = (F.coalesce("words", F.lit(0)) / F.coalesce("_rows", F.lit(1))).cast("long")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), lost.alias("removed_words"), (~failed & (2 * lost <= F.col("n_words"))).alias("kept")
+        "doc_id", F.col("_clean").alias("text"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("_lost").alias("removed_words"), (~failed & (2 * F.col("_lost") <= F.col("n_words"))).alias("kept")
     )

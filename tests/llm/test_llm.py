@@ -328,6 +328,15 @@ def test_frequent_lines(spark):
     assert got[1].removed_words == 40 and got[1].kept and not got[0].kept and got[99].removed_words == 0 and got[99].kept
 
 
+def test_frequent_lines_leave_the_text(spark):
+    rows = [(i, f"own {'y' * (i + 1)}\n\nAlways 1{i % 10} here\nlast {'x' * (i + 1)}", "h") for i in range(8)] + [(0, rows_text, "h") for rows_text in ("always 00 HERE", None)]
+    rows += [(7, rows[7][1], "h")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    expected = [t and "\n".join(x for x in t.split("\n") if "lways" not in x) for _, t, _ in rows]
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(zip([r[0] for r in rows], expected, strict=True))
+    assert sum(r.removed_words for r in got) == 3 * 10
+
+
 def brute_frequent(docs):
     """(host, line) pairs in more than five documents and more than a hundredth of the host's."""
     held, size = {}, Counter(r.source for r in docs)
