@@ -62,8 +62,11 @@ def nearest(words: Column, lines: int, counts: dict[str, int]) -> Column:
     top = log(1 + lines) + 1
     idf = {t: log((1 + lines) / (1 + counts.get(t, 0))) + 1 for t in VOCABULARY}
     table = _map(idf)
-    count = lambda all_words, t: F.size(F.filter(all_words, lambda x: x == t))
-    weighed = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("t"), ((1 + F.log(count(words, t).cast("double"))) * F.coalesce(F.try_element_at(table, t), F.lit(top))).alias("w")))
+    # Sorted terms are counted by the distances of their first places.
+    places = lambda ts: F.filter(F.transform(ts, lambda _, i: i), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+    weight = lambda ts, at, i, j: (1 + F.log((F.coalesce(F.get(at, j + 1), F.size(ts)) - i).cast("double"))) * F.coalesce(F.try_element_at(table, F.get(ts, i)), F.lit(top))
+    counted = lambda ts, at: F.transform(at, lambda i, j: F.struct(F.get(ts, i).alias("t"), weight(ts, at, i, j).alias("w")))
+    weighed = F.get(F.transform(F.array(F.sort_array(words)), lambda ts: F.get(F.transform(F.array(places(ts)), lambda at: counted(ts, at)), 0)), 0)
     norm = lambda ws: F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     scored = []
     for name, texts in TEMPLATES.items():
@@ -96,9 +99,8 @@ def scan_licences(files: DataFrame) -> DataFrame:
     ``file`` is any column that tells files apart.
     """
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    cued = files.select("file", "path", F.when(F.col("text").rlike(CUE), lines).otherwise(F.array().cast("array<string>")).alias("_lines"), F.when(F.col("text").rlike(CUE), F.struct(F.array_distinct(terms(F.col("text"))).alias("t"), terms(F.col("text")).alias("all"))).alias("_whole"))
-    short = F.when(F.size("_whole.all") <= 2000, F.col("_whole.all"))
-    held = written(cued.select("file", "path", F.transform("_lines", terms).alias("_lines"), short.alias("_whole")))
+    cued = files.select("file", "path", F.when(F.col("text").rlike(CUE), lines).otherwise(F.array().cast("array<string>")).alias("_lines"), F.when(F.col("text").rlike(CUE), terms(F.col("text"))).alias("_whole"))
+    held = written(cued.select("file", "path", F.transform("_lines", terms).alias("_lines"), "_whole"))
     each = held.select(F.explode("_lines").alias("words"))
     found = each.select(F.explode(F.array_union(F.array(F.lit("")), F.array_intersect("words", F.array(*[F.lit(t) for t in VOCABULARY])))).alias("t")).groupBy("t").count()
     counts = {r["t"]: r["count"] for r in found.collect()}  # one row per term of the templates at most

@@ -460,6 +460,13 @@ def test_licences(spark):
     }
 
 
+def test_licences_of_long_files(spark):
+    line = "This work is licensed under the GNU General Public License, version 3."
+    rows = [("a", "h/x/terms", "\n".join([line] * 200)), ("b", "h/x/y/z", "nothing")]
+    got = licences.scan_licences(spark.createDataFrame(rows, "file string, path string, text string")).collect()
+    assert {(r.file, r.licence, r.via) for r in got} == {("a", "GPL-3.0", "file"), ("b", "GPL-3.0", "inherited")}
+
+
 def test_licences_query_finds_all_lines(spark, docs):
     lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "licensed under the GNU General Public License, version 3."}
     got = {r.file: r.licence for r in queries.op8_licences(spark, SF).collect()}
