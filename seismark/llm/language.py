@@ -3,14 +3,17 @@
 A text is its words, maximal runs of letters in lower case; a character is predicted from up to four before it, back to the
 blank before its word, and each word ends with a blank. Spark counts the words of each language, then their n-grams
 and, for lower orders, the distinct characters before an n-gram. Discounts, context sums and back-off weights come from all
-n-grams; none is dropped. The estimates stay a table, each order joined to the one below; a distinct word's bits are the sum
-over its joined n-grams, and are joined back to the batches of texts that hold the word. The language with the lowest
-cross-entropy per character wins; a text is rejected where that entropy is above what all but a thousandth of the
-language's training texts reach.
+n-grams; none is dropped. The estimates become sorted hash arrays, which are broadcast where their size, which is counted
+first, is within ``MAX_BROADCAST``; beyond it they stay a table, each order joined to the one below, a distinct word's bits
+are the sum over its joined n-grams, and are joined back to the batches of texts that hold the word. Both ways give the same
+bits. The language with the lowest cross-entropy per character wins; a text is rejected where that entropy is above what
+all but a thousandth of the language's calibration texts reach: a sixteenth of the rows that may be learned from, whose
+words are not counted.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; rows with a null lang or doc_id
-are not learned from; without any training text all are ``und``; ties go to the language first in order; repeated rows get
-equal results; other columns are ignored.
+are not learned from; without any training text, as in an empty table, all are ``und``; a language without calibration rows
+rejects nothing; a very long text is a batch of its own, and only its distinct words are scored; ties go to the language
+first in order; repeated rows get equal results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ ORDER = 5
 MARGIN, EVIDENCE = 0.5, 40
 #: Bytes of text that share one list of distinct words, and ranks that the rejection limits tell apart.
 SHARED_BYTES, RANKS = 4 << 20, 100_000
+#: One of so many rows that may be learned from calibrates instead.
+CALIBRATION = 16
+#: Arrays of up to this many values (n-grams times languages and one; 64 MB) are broadcast. Words whose bits a task remembers.
+MAX_BROADCAST, REMEMBERED = 4_000_000, 1_000_000
 _BLANK = 0x20
 
 _tables: list[np.ndarray] = []
@@ -76,7 +83,7 @@ def spelled(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 #: Rows of a text (doc_id to times: the distinct words' places in the batch's list, and how often each stands), of a word in
 #: that list (i, hash), and of a word's count in a training language, or outside training (lang, hash, word, n).
-_PREPARED = "kind byte, batch long, doc_id long, held_out boolean, lang string, characters long, at binary, times binary, i int, hash long, word string, n long"
+_PREPARED = "kind byte, batch long, doc_id long, held_out boolean, lang string, calibrates string, characters long, at binary, times binary, i int, hash long, word string, n long"
 
 
 def _rows(kind: int, batch: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -87,7 +94,7 @@ def _rows(kind: int, batch: int, size: int, **columns: pa.Array) -> pa.RecordBat
 
 
 def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _PREPARED, from rows of doc_id, held_out, lang (null outside training) and text."""
+    """Rows of _PREPARED, from rows of doc_id, held_out, lang (null outside training), calibrates and text."""
     for number, batch in enumerate(slices(batches, limit=SHARED_BYTES), TaskContext.get().partitionId() << 32):
         n = batch.num_rows
         codes, starts, ends, first = letter_words([t or "" for t in batch.column("text").to_pylist()])
@@ -98,7 +105,7 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = lambda x, cuts=cuts, n=n: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(cuts), pa.py_buffer(x.astype(np.uint32))])
         length = np.concatenate([[0], np.cumsum(ends - starts + 1)])
         characters = length[first[1:]] - length[first[:-1]]
-        yield _rows(0, number, n, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang=batch.column("lang"), characters=pa.array(characters, pa.int64()), at=packed(pairs % distinct), times=packed(times))
+        yield _rows(0, number, n, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang=batch.column("lang"), calibrates=batch.column("calibrates"), characters=pa.array(characters, pa.int64()), at=packed(pairs % distinct), times=packed(times))
         if not len(hashes):
             continue
         yield _rows(1, number, len(hashes), i=pa.array(np.arange(len(hashes)), pa.int32()), hash=pa.array(signed(hashes)))
@@ -111,6 +118,22 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(2, number, len(keys), lang=pa.array(names, pa.string()).take(pa.array(owner)), hash=pa.array(signed(hashes[at])), word=words.take(pa.array(at)), n=pa.array(counts, pa.int64()))
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of batches of lang and text."""
+    for batch in slices(batches, limit=SHARED_BYTES):
+        codes, starts, ends, first = letter_words([t or "" for t in batch.column("text").to_pylist()])
+        if not len(starts):
+            continue
+        _, one, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        words = pa.array([codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], pa.string())
+        langs = batch.column("lang").to_pylist()
+        names = list(dict.fromkeys(langs))
+        place = {x: i for i, x in enumerate(names)}
+        text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        keys, counts = np.unique(inverse * len(names) + np.array([place[x] for x in langs])[text], return_counts=True)
+        yield pa.record_batch({"lang": pa.array(names, pa.string()).take(pa.array(keys % len(names))), "word": words.take(pa.array(keys // len(names))), "n": pa.array(counts, pa.int64())})
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n): all n-grams of ' word ' that end after its first blank, over a batch of words."""
     for batch in slices(batches, "word"):
@@ -153,7 +176,7 @@ class Order(NamedTuple):
 
 
 class Model(NamedTuple):
-    """All estimates in memory: for a look at a corpus that is known to be small. The operator itself joins tables."""
+    """All estimates as sorted hash arrays."""
 
     languages: list[str]
     orders: list[Order]
@@ -189,31 +212,34 @@ class Estimates(NamedTuple):
     floor: float
 
 
-def _prepare(docs: DataFrame) -> DataFrame:
-    fold = remainder("doc_id", 3)
-    rows = docs.select("doc_id", F.coalesce(fold == 1, F.lit(True)).alias("held_out"), F.when(fold != 1, F.col("lang")).alias("lang"), "text")
-    return written(rows.mapInArrow(_prepared, _PREPARED))
-
-
-def _words(prepared: DataFrame) -> DataFrame:
-    return written(prepared.where("kind = 2").groupBy("lang", "hash", "word").agg(F.sum("n").alias("n")))
+def _folds(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang of rows to learn from, calibrates (lang of rows to calibrate with) and text."""
+    fold, part = remainder("doc_id", 3), remainder("doc_id", CALIBRATION)
+    held_out = F.coalesce(fold == 1, F.lit(True)).alias("held_out")
+    return docs.select("doc_id", held_out, F.when((fold != 1) & (part != 0), F.col("lang")).alias("lang"), F.when((fold != 1) & (part == 0), F.col("lang")).alias("calibrates"), "text")
 
 
 def _each(n: int, name: str, value) -> list[Column]:
     return [value(i).alias(f"{name}{i}") for i in range(n)]
 
 
-def estimate(words: DataFrame) -> Estimates | None:
-    """Interpolated Kneser-Ney estimates of all grams of all words; rows without a lang only add grams to back off for."""
-    languages = [r["lang"] for r in words.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect()]
+def _learned(docs: DataFrame) -> tuple[list[str], DataFrame | None]:
+    """The languages in order, and, if there are any, (gram, n of each language) of all words of the rows to learn from."""
+    words = docs.where("lang IS NOT NULL").select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
+    words = written(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    languages = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]  # one row per language
     if not languages:
-        return None
+        return languages, None
+    counted = words.mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("gram")
+    return languages, written(counted.agg(*_each(len(languages), "n", lambda i: F.sum(F.when(F.col("lang") == languages[i], F.col("n")).otherwise(0)))))
+
+
+def estimate(wide: DataFrame, languages: list[str]) -> Estimates:
+    """Interpolated Kneser-Ney estimates of all grams; those with counts of 0 only back off."""
     every = len(languages)
     each = lambda name, value: _each(every, name, value)
     some = lambda x: F.when(x > 0, 1).otherwise(0)
-    counted = words.select("lang", "word", "n").mapInArrow(_gram_counts, "lang string, gram string, n long").groupBy("gram")
-    wide = counted.agg(*each("n", lambda i: F.sum(F.when(F.col("lang") == languages[i], F.col("n")).otherwise(0)))).withColumn("k", F.length("gram"))
-    wide = written(wide)
+    wide = wide.withColumn("k", F.length("gram"))
     before = wide.where("k > 1").groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(*each("m", lambda i: F.sum(some(F.col(f"n{i}")))))
     raw = (F.col("k") == ORDER) | F.col("gram").startswith(" ")
     counts = wide.join(before, "gram", "left").select(
@@ -261,63 +287,107 @@ def _hashes(strings: list[str]) -> np.ndarray:
     return span_hashes(codes, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends)
 
 
-def fit(docs: DataFrame) -> Model | None:
-    """The estimates, from rows with a lang whose crc32(doc_id) mod 3 is not 1, in the driver's memory."""
-    known = estimate(_words(_prepare(docs)))
-    if known is None:
-        return None
-    rows, orders = known.grams.toArrow().to_pandas(), []
-    for k in range(1, int(rows["k"].max()) + 1):
-        part = rows[rows["k"] == k]
-        p, w = (part[[f"{x}{i}" for i in range(len(known.languages))]].to_numpy() for x in "pw")
-        grams, contexts = (np.unique(_hashes(part["gram"].str.slice(0, n).tolist()), return_index=True) for n in (k, k - 1))
-        orders.append(Order(grams[0], p[grams[1]], contexts[0], w[contexts[1]]))
+def arrays(known: Estimates) -> Model:
+    """The estimates as sorted hash arrays in the driver's memory; their number is to be checked before."""
+    rows, orders = known.grams.toArrow(), []
+    lengths = rows["k"].to_numpy()
+    for k in range(1, int(lengths.max()) + 1):
+        part = rows.filter(pa.array(lengths == k))
+        grams = part["gram"].to_pylist()
+        p, w = (np.column_stack([part[f"{x}{i}"].to_numpy() for i in range(len(known.languages))]) for x in "pw")
+        (gram, at), (context, held) = np.unique(_hashes(grams), return_index=True), np.unique(_hashes([g[:-1] for g in grams]), return_index=True)
+        orders.append(Order(gram, p[at], context, w[held]))
     return Model(known.languages, orders, known.floor)
 
 
-def identify_languages(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, bits (per character) and rejected."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    prepared = _prepare(plain)
+def fit(docs: DataFrame) -> Model | None:
+    """The model of a corpus whose n-grams are known to be few."""
+    languages, wide = _learned(_folds(docs))
+    return arrays(estimate(wide, languages)) if languages else None
+
+
+_SCORED = "doc_id long, held_out boolean, calibrates string, lang_pred string, score double, bits double, own double"
+
+
+def _scored(texts: pa.RecordBatch | pa.Table, characters: np.ndarray, total: np.ndarray, languages: list[str]) -> dict[str, pa.Array]:
+    """Columns of _SCORED from each text's bits in each language."""
+    each, rows = total / np.maximum(characters, 1)[:, None], np.arange(len(total))
+    best = each.argmin(1)
+    lowest = each[rows, best]
+    likely = 1 / np.exp2((lowest[:, None] - each) * np.minimum(characters, EVIDENCE)[:, None]).sum(1)
+    own = np.array([languages.index(x) if x in languages else -1 for x in texts.column("calibrates").to_pylist()], np.int64)
+    some = characters > 0
+    return {
+        **{c: texts.column(c) for c in ("doc_id", "held_out", "calibrates")},
+        "lang_pred": pa.array([languages[i] if x else "und" for i, x in zip(best.tolist(), some.tolist(), strict=True)], pa.string()),
+        "score": pa.array(np.where(some, likely, 0.0)),
+        "bits": pa.array(np.where(some, lowest, 0.0)),
+        "own": pa.array(each[rows, own], mask=~some | (own < 0)),
+    }
+
+
+def _score_with_arrays(model):
+    """Rows of _SCORED from batches of _folds; bits of words are remembered within a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = model.value
+        words, held = np.zeros(0, np.uint64), np.zeros((0, len(known.languages)))
+        for batch in slices(batches, limit=SHARED_BYTES):
+            codes, starts, ends, first = letter_words([t or "" for t in batch.column("text").to_pylist()])
+            hashes, one, inverse = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+            new = ~np.isin(hashes, words, assume_unique=True)
+            if new.any():
+                if len(words) > REMEMBERED:
+                    words, held, new = words[:0], held[:0], np.ones(len(hashes), bool)
+                words, bits = np.concatenate([words, hashes[new]]), known.word_bits(codes, starts[one[new]], ends[one[new]])
+                order = np.argsort(words)
+                words, held = words[order], np.concatenate([held, bits])[order]
+            length = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+            total, full = np.zeros((batch.num_rows, len(known.languages))), np.diff(first) > 0
+            if full.any():
+                total[full] = np.add.reduceat(held[np.searchsorted(words, hashes)][inverse], first[:-1][full], axis=0)
+            yield pa.record_batch(_scored(batch, length[first[1:]] - length[first[:-1]], total, known.languages))
+
+    return run
+
+
+def _score_with_tables(docs: DataFrame, wide: DataFrame, languages: list[str]) -> DataFrame:
+    """The same rows by joins: for estimates of any size."""
+    every = len(languages)
+    prepared = written(docs.mapInArrow(_prepared, _PREPARED))
     texts, listed = prepared.where("kind = 0"), prepared.where("kind = 1").select(F.col("batch").alias("_batch"), "i", "hash")
-    words = _words(prepared)
-    known = estimate(words)
-    if known is None:
-        return texts.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"))
-    languages = known.languages
+    words = written(prepared.where("kind = 2").groupBy("hash", "word").agg(F.lit(0).cast("long").alias("n")))
+    others = words.select(F.lit(None).cast("string").alias("lang"), "word", "n").mapInArrow(_gram_counts, "lang string, gram string, n long")
+    others = others.select("gram", *_each(every, "n", lambda _i: F.lit(0).cast("long")))
+    known = estimate(written(wide.union(others).groupBy("gram").agg(*_each(every, "n", lambda i: F.sum(f"n{i}")))), languages)
     bits = listed.join(word_bits(words, known), "hash").drop("hash")
 
     def score(texts: pa.Table, bits: pa.Table) -> pa.Table:
-        n = texts.num_rows
-        table = np.column_stack([bits.column(f"b{i}").to_numpy() for i in range(len(languages))])[np.argsort(bits.column("i").to_numpy())]
+        table = np.column_stack([bits.column(f"b{i}").to_numpy() for i in range(every)])[np.argsort(bits.column("i").to_numpy())]
         at, times = (texts.column(x).to_pylist() for x in ("at", "times"))
         size = np.array([len(x) // 4 for x in at])
         at, times = (np.frombuffer(b"".join(x), np.uint32) for x in (at, times))
-        full, total = size > 0, np.zeros((n, len(languages)))
+        full, total = size > 0, np.zeros((texts.num_rows, every))
         if full.any():
             total[full] = np.add.reduceat(table[at] * times[:, None], (np.cumsum(size) - size)[full], axis=0)
-        characters = texts.column("characters").to_numpy()
-        each = total / np.maximum(characters, 1)[:, None]
-        best = each.argmin(1)
-        lowest = each[np.arange(n), best]
-        likely = 1 / np.exp2((lowest[:, None] - each) * np.minimum(characters, EVIDENCE)[:, None]).sum(1)
-        trained = np.array([languages.index(x) if x is not None else -1 for x in texts.column("lang").to_pylist()])
-        own, some = each[np.arange(n), trained], characters > 0
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held_out"),
-                "lang": texts.column("lang"),
-                "lang_pred": pa.array([languages[i] if x else "und" for i, x in zip(best.tolist(), some.tolist(), strict=True)], pa.string()),
-                "score": pa.array(np.where(some, likely, 0.0)),
-                "bits": pa.array(np.where(some, lowest, 0.0)),
-                "own": pa.array(own, mask=~some | (trained < 0)),
-            }
-        )
-
-    texts = texts.select("batch", "doc_id", "held_out", "lang", "characters", "at", "times")
-    scored = texts.groupBy("batch").cogroup(bits.groupBy("_batch")).applyInArrow(score, "doc_id long, held_out boolean, lang string, lang_pred string, score double, bits double, own double")
+        return pa.table(_scored(texts, texts.column("characters").to_numpy(), total, languages))
+
+    texts = texts.select("batch", "doc_id", "held_out", "calibrates", "characters", "at", "times")
+    return texts.groupBy("batch").cogroup(bits.groupBy("_batch")).applyInArrow(score, _SCORED)
+
+
+def identify_languages(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, lang_pred, score, bits (per character) and rejected."""
+    plain = _folds(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))
+    languages, wide = _learned(plain)
+    if not languages:
+        return plain.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"))
+    if wide.count() * (len(languages) + 1) <= max_broadcast:
+        model = docs.sparkSession.sparkContext.broadcast(arrays(estimate(wide, languages)))
+        scored = plain.select("doc_id", "held_out", "calibrates", "text").mapInArrow(_score_with_arrays(model), _SCORED)
+    else:
+        scored = _score_with_tables(plain, wide, languages)
     scored = written(scored)
-    limits = dict(scored.where("own IS NOT NULL").groupBy("lang").agg(F.percentile_approx("own", 0.999, RANKS)).collect())  # one row per language
-    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lang_pred")) + MARGIN
+    limits = dict(scored.where("own IS NOT NULL").groupBy("calibrates").agg(F.percentile_approx("own", 0.999, RANKS)).collect())  # one row per language
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lang_pred")) + MARGIN if limits else F.lit(float("inf"))
     return scored.select("doc_id", "held_out", "lang_pred", "score", "bits", F.coalesce((F.col("lang_pred") == "und") | (F.col("bits") > limit), F.lit(False)).alias("rejected"))

@@ -556,41 +556,18 @@ def test_language(docs):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in rows if r.held_out]) > 0.97
 
 
-def test_kneser_ney_probabilities_sum_to_one(spark):
-    rows = [(i, t, "xx") for i, t in enumerate(["abc abd bcd", "abab cab", "dab abc abcd"])]
-    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("doc_id", F.col("doc_id") * 3))
-    letters = sorted({c for _, t, _ in rows for c in t})
-    for context in (" ", " a", " ab"):
-        p = 0.0
-        for c in letters:
-            text = np.array([ord(x) for x in (context[1:] + c).strip() or "a"], np.uint32)
-            if c == " ":
-                bits = model.word_bits(text, np.array([0]), np.array([len(text)])) if context != " " else np.array([[np.inf]])
-                before = sum_bits(model, context[1:])
-                p += 2 ** -(bits[0, 0] - before) if context != " " else 0
-            else:
-                p += 2 ** -(sum_bits(model, context[1:] + c) - sum_bits(model, context[1:]))
-        assert p == pytest.approx(1, abs=0.35)
-
-
-def sum_bits(model, prefix):
-    """Bits of the characters of a word's start."""
-    if not prefix:
-        return 0.0
-    text = np.array([ord(c) for c in prefix], np.uint32)
-    whole = model.word_bits(text, np.array([0]), np.array([len(text)]))[0, 0]
-    spelled, places, begin = language.spelled(text, np.array([0]), np.array([len(text)]))
-    p = model.floor
-    for k, order in enumerate(model.orders, 1):
-        at, end = places[-1] - k + 1, places[-1]
-        if at < 0:
-            continue
-        context = language.span_hashes(spelled, np.array([at]), np.array([end]))[0]
-        gram = language.span_hashes(spelled, np.array([at]), np.array([end + 1]))[0]
-        i, j = np.searchsorted(order.contexts, context), np.searchsorted(order.grams, gram)
-        p *= order.weights[i, 0] if i < len(order.contexts) and order.contexts[i] == context else 1.0
-        p += order.probabilities[j, 0] if j < len(order.grams) and order.grams[j] == gram else 0.0
-    return whole + np.log2(p)
+def learned(i):
+    """Whether the language models learn from a doc_id."""
+    return zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) % language.CALIBRATION != 0
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    rows = [(i, t, "xx") for i, t in enumerate(["abc abd bcd", "abab cab", "dab abc abcd", "a b cab", "ddd abcab"] * 4)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    bits = brute_kneser_ney(Counter(w for i, t, _ in rows if learned(i) for w in t.split()))
+    for word in ("abc", "a", "zzz", "abcabcabc", "dbz", "cabd"):
+        text = np.array([ord(c) for c in word], np.uint32)
+        assert model.word_bits(text, np.array([0]), np.array([len(text)]))[0, 0] == pytest.approx(bits(word), rel=1e-12)
 
 
 def brute_kneser_ney(words):
@@ -623,12 +600,19 @@ def test_language_estimates_use_all_grams(spark):
     chosen = np.random.default_rng(1).integers(0x4E00, 0x4E00 + 5000, (45_000, 5))
     spelt = ["".join(map(chr, x)) for x in chosen.tolist()]
     rows = [(i, " ".join(spelt[i * 100 : i * 100 + 100]), "zz") for i in range(450)]
-    train = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in t.split())
-    bits = brute_kneser_ney(train)
-    got = {r.doc_id: r.bits for r in language.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert len(got) == len(rows)
-    for i, t, _ in rows[::15]:
-        assert got[i] == pytest.approx(sum(map(bits, t.split())) / sum(len(w) + 1 for w in t.split()), rel=1e-9)
+    bits = brute_kneser_ney(Counter(w for i, t, _ in rows if learned(i) for w in t.split()))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for max_broadcast in (language.MAX_BROADCAST, 0):
+        got = {r.doc_id: r.bits for r in language.identify_languages(frame, max_broadcast).collect()}
+        assert len(got) == len(rows)
+        for i, t, _ in rows[::15]:
+            assert got[i] == pytest.approx(sum(map(bits, t.split())) / sum(len(w) + 1 for w in t.split()), rel=1e-9)
+
+
+def test_language_by_tables_equals_arrays(docs):
+    one, other = ({r.doc_id: r for r in language.identify_languages(docs, n).collect()} for n in (language.MAX_BROADCAST, 0))
+    assert one.keys() == other.keys()
+    assert all(x.lang_pred == other[i].lang_pred and x.rejected == other[i].rejected and x.bits == pytest.approx(other[i].bits, rel=1e-9) for i, x in one.items())
 
 
 def test_language_odd(odd, empty):
