@@ -1,17 +1,23 @@
-"""Licence scan: sparse TF-IDF cosine of lines and whole files to templates, then inheritance from the nearest directory.
+"""Licence scan: sparse TF-IDF cosine of headers and whole files to templates, then inheritance from the nearest directory.
 
-A file's header is its line that is nearest to a template; a licence file is named like one, or is near to a template as a
-whole, and governs its directory. A file without a header of its own takes the licence of its nearest governed ancestor
-directory, found by joins on paths. Term weights come from all lines of the corpus that speak of licences: a term of the
-templates weighs by the share of lines that hold it, any other by the largest weight. DataFrame functions only.
+Lines, windows of two and three lines, paragraphs and whole files are held against the templates; a file's header is what
+of it is nearest to one. A licence file is named like one and has a header, or is near to a template as a whole, and governs
+its directory. A file without a header of its own takes the licence of its nearest governed ancestor directory, found by
+joins on paths. Term weights come from all lines of the corpus: a term of the templates weighs by the share of lines that
+hold it, any other by the largest weight.
+
+By the Cauchy-Schwarz inequality a text reaches a cosine of ``HEADER`` only if it holds one of a template's heavy terms: the
+light ones alone make up less than that share of the template's length. Only lines with such a term are looked at; this
+leaves nothing out. Terms are counted by grouping, so files may be of any length. DataFrame functions only.
 
 Defined cases: a null or empty text has no header but may inherit; a null path inherits nothing; of equally near templates
-the name first in order counts; repeated rows get equal results; an empty table gives an empty result; other columns are
-ignored.
+the first in order counts; rows that share file and path share the nearest header of them, so repeated rows get equal
+results; very long lines and texts are compared as a whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -19,21 +25,64 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-# Usual wordings of each licence.
+# Usual wordings of each licence (names, notices, full short texts, and the heads of long ones).
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0"],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "AGPL-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
+    "All rights reserved": ["All rights reserved."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "SPDX-License-Identifier: Apache-2.0",
+    ],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0."],
     "CC-BY-NC-4.0": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0"],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0"],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License.", "SPDX-License-Identifier: MIT"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-3.0",
+    ],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "SPDX-License-Identifier: MIT",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
 }
-CUE = "(?i)licen[cs]|spdx|redistribution|public domain"
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 HEADER, WHOLE = 0.6, 0.75
+#: Lines of the longest window.
+LINES = 3
+#: Governed directories and files with a licence of their own up to this many are broadcast.
+MAX_BROADCAST_ROWS = 100_000
 _TERM = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 
 
@@ -42,50 +91,95 @@ def terms(text: Column) -> Column:
 
 
 def _template_terms(text: str) -> dict[str, int]:
-    import re
-
     found: dict[str, int] = {}
     for term in re.findall(_TERM, text.lower()):
         found[term] = found.get(term, 0) + 1
     return found
 
 
-VOCABULARY = sorted({t for texts in TEMPLATES.values() for text in texts for t in _template_terms(text)})
-
-
-def _map(values: dict[str, float]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
-
-
-def nearest(words: Column, lines: int, counts: dict[str, int]) -> Column:
-    """(similarity, licence) of the template with the highest cosine to a list of terms."""
-    top = log(1 + lines) + 1
-    idf = {t: log((1 + lines) / (1 + counts.get(t, 0))) + 1 for t in VOCABULARY}
-    table = _map(idf)
-    # Sorted terms are counted by the distances of their first places.
-    places = lambda ts: F.filter(F.transform(ts, lambda _, i: i), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
-    weight = lambda ts, at, i, j: (1 + F.log((F.coalesce(F.get(at, j + 1), F.size(ts)) - i).cast("double"))) * F.coalesce(F.try_element_at(table, F.get(ts, i)), F.lit(top))
-    counted = lambda ts, at: F.transform(at, lambda i, j: F.struct(F.get(ts, i).alias("t"), weight(ts, at, i, j).alias("w")))
-    weighed = F.get(F.transform(F.array(F.sort_array(words)), lambda ts: F.get(F.transform(F.array(places(ts)), lambda at: counted(ts, at)), 0)), 0)
-    norm = lambda ws: F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    scored = []
-    for name, texts in TEMPLATES.items():
-        for text in texts:
-            weights = {t: (1 + log(n)) * idf[t] for t, n in _template_terms(text).items()}
-            own, held = sqrt(sum(w * w for w in weights.values())), _map(weights)
-            dot = lambda ws, held=held: F.aggregate(ws, F.lit(0.0), lambda a, x: a + x["w"] * F.coalesce(F.try_element_at(held, x["t"]), F.lit(0.0)))
-            scored.append((name, own, dot))
-    best = F.transform(
-        F.array(weighed),
-        lambda ws: F.array_max(F.array(*[F.struct(F.round(F.coalesce(dot(ws) / (norm(ws) * own), F.lit(0.0)), 6).alias("similarity"), F.lit(-i).alias("order"), F.lit(name).alias("licence")) for i, (name, own, dot) in enumerate(scored)])),
-    )
-    return F.get(best, 0)
+class Weights:
+    """Inverse frequencies of the templates' terms, and of each template (in order) its name, weighted terms and length."""
+
+    def __init__(self, templates: dict[str, list[str]], lines: int, counts: dict[str, int]) -> None:
+        self.top = log(1 + lines) + 1
+        self.templates, self.idf = [], {}
+        for name in sorted(templates):
+            for text in templates[name]:
+                found = _template_terms(text)
+                self.idf |= {t: log((1 + lines) / (1 + counts.get(t, 0))) + 1 for t in found}
+                weights = {t: (1 + log(n)) * self.idf[t] for t, n in found.items()}
+                self.templates.append((name, weights, sqrt(sum(w * w for w in weights.values()))))
+
+    def heavy(self, share: float) -> list[str]:
+        """Terms of which a text with that cosine to a template holds at least one."""
+        found: set[str] = set()
+        for _, weights, length in self.templates:
+            left = (share * length) ** 2 * (1 - 1e-9)
+            for term in sorted(weights, key=lambda t: (weights[t], t)):
+                left -= weights[term] ** 2
+                if left <= 0:
+                    found.add(term)
+        return sorted(found)
+
+    def table(self, like: DataFrame) -> DataFrame:
+        """(term, idf, templates): one row per term of the templates."""
+        held: dict[str, list] = {t: [] for t in self.idf}
+        for i, (_, weights, length) in enumerate(self.templates):
+            for t, w in weights.items():
+                held[t].append((i, w / length))
+        return like.sparkSession.createDataFrame([(t, self.idf[t], held[t]) for t in sorted(held)], "term string, idf double, templates array<struct<i:int,w:double>>")
+
+
+def line_counts(texts: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """The number of lines with a term, and of those with each term of the vocabulary."""
+    known = F.broadcast(texts.sparkSession.createDataFrame([("",), *[(t,) for t in vocabulary]], "term string"))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line")).select(terms(F.col("line")).alias("words")).where(F.size("words") > 0)
+    held = lines.select(F.explode(F.array_union(F.array(F.lit("")), F.col("words"))).alias("term")).join(known, "term")
+    counts = {r["term"]: r["count"] for r in held.groupBy("term").count().collect()}  # one row per term of the templates at most
+    return counts.pop("", 0), counts
+
+
+def _units(files: DataFrame, heavy: list[str]) -> DataFrame:
+    """(file, path, whole, start, size, unit): all windows, paragraphs (size 0) and whole texts (size -1) that hold a heavy term."""
+    marks = F.array(*[F.lit(t) for t in heavy])
+    held = files.where(F.arrays_overlap(terms(F.col("text")), marks)).withColumn("_lines", F.split("text", "\n"))
+    hit = F.filter(F.transform("_lines", lambda x, i: F.when(F.arrays_overlap(terms(x), marks), i)), lambda i: i.isNotNull())
+    blank = F.concat(F.array(F.lit(-1)), F.filter(F.transform("_lines", lambda x, i: F.when(F.trim(x, F.lit(" \t\r")) == "", i)), lambda i: i.isNotNull()), F.array(F.size("_lines")))
+    held = held.withColumn("_hit", hit).withColumn("_blank", blank)
+    joined = lambda start, size: F.array_join(F.slice("_lines", start + 1, size), "\n")
+    unit = lambda start, size, text: F.struct(start.cast("int").alias("start"), F.lit(size).alias("size"), text.alias("unit"))
+
+    def windows(size: int) -> Column:
+        starts = F.array_distinct(F.flatten(F.transform("_hit", lambda i: F.sequence(F.greatest(i - size + 1, F.lit(0)), i))))
+        starts = F.filter(starts, lambda s: s + size <= F.size("_lines"))
+        return F.transform(starts, lambda s: unit(s, size, joined(s, F.lit(size))))
+
+    parts = [windows(size) for size in range(1, LINES + 1)]
+    gaps = F.filter(F.transform("_blank", lambda b, i: F.struct((b + 1).alias("a"), (F.get(F.col("_blank"), i + 1) - b - 1).alias("n"))), lambda p: p["n"] > LINES)
+    parts.append(F.transform(gaps, lambda p: unit(p["a"], 0, joined(p["a"], p["n"]))))
+    parts.append(F.array(unit(F.lit(0), -1, F.col("text"))))
+    return held.select("file", "path", F.explode(F.concat(*parts)).alias("u")).select("file", "path", "u.*").distinct()
+
+
+def nearest(units: DataFrame, weights: Weights) -> DataFrame:
+    """(file, path, size, best): the nearest template of each unit, as (similarity, -place, licence)."""
+    key = ["file", "path", "size", "start", "unit_hash"]
+    units = units.withColumn("unit_hash", F.xxhash64("unit"))
+    counted = units.select(*key, F.explode(terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
+    weighed = counted.join(F.broadcast(weights.table(units)), "term", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("idf", F.lit(weights.top)))
+    own = F.array(F.struct(F.lit(-1).alias("i"), F.col("w")))  # the unit's own length stands at template -1
+    each = weighed.select(*key, "w", F.explode(F.when(F.col("templates").isNull(), own).otherwise(F.concat(own, F.col("templates")))).alias("t"))
+    dots = each.groupBy(*key, "t.i").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
+    names = F.array(*[F.lit(name) for name, _, _ in weights.templates])
+    lists = dots.groupBy(*key).agg(F.sqrt(F.max(F.when(F.col("i") < 0, F.col("dot")))).alias("length"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "dot"))).alias("dots"))
+    scored = F.transform("dots", lambda d: F.struct(F.round(d["dot"] / F.col("length"), 6).alias("similarity"), (-d["i"]).alias("order"), F.get(names, d["i"]).alias("licence")))
+    return lists.select("file", "path", "size", F.array_max(scored).alias("best"))
 
 
 def directories(path: Column) -> Column:
-    """All proper ancestor directories of a path, the root-most first."""
+    """All ancestor directories of a directory and itself, the root-most first."""
     parts = F.split(path, "/")
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
 def url_path(url: Column) -> Column:
@@ -93,43 +187,35 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, "^[a-zA-Z]+://", ""), "[?#].*$", ""), "/+$", "")
 
 
-def scan_licences(files: DataFrame) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def scan_licences(files: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per row of (file, path, text): file, path, licence, similarity and via (header, file, inherited), null without any.
 
-    ``file`` is any column that tells files apart.
+    ``file`` is any column that tells files apart; ``templates`` holds wordings of each licence.
     """
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    cued = files.select("file", "path", F.when(F.col("text").rlike(CUE), lines).otherwise(F.array().cast("array<string>")).alias("_lines"), F.when(F.col("text").rlike(CUE), terms(F.col("text"))).alias("_whole"))
-    held = written(cued.select("file", "path", F.transform("_lines", terms).alias("_lines"), "_whole"))
-    each = held.select(F.explode("_lines").alias("words"))
-    found = each.select(F.explode(F.array_union(F.array(F.lit("")), F.array_intersect("words", F.array(*[F.lit(t) for t in VOCABULARY])))).alias("t")).groupBy("t").count()
-    counts = {r["t"]: r["count"] for r in found.collect()}  # one row per term of the templates at most
-    total = counts.pop("", 0)
-    near = lambda words: nearest(words, total, counts)
+    templates = TEMPLATES if templates is None else templates
+    texts = files.select("file", "path", F.col("text").cast("string").alias("text"))
+    vocabulary = sorted({t for wordings in templates.values() for text in wordings for t in _template_terms(text)})
+    weights = Weights(templates, *line_counts(texts, vocabulary))
+    near = nearest(_units(texts, weights.heavy(min(HEADER, WHOLE))), weights)
+    best = near.groupBy("file", "path").agg(F.max(F.when(F.col("size") >= 0, F.col("best"))).alias("_header"), F.max(F.when(F.col("size") < 0, F.col("best"))).alias("_whole"))
+    header = F.when(F.col("_header.similarity") >= HEADER, F.col("_header"))
+    whole = F.when(F.col("_whole.similarity") >= WHOLE, F.col("_whole"))
     named = F.coalesce(F.col("path").rlike(NAMED), F.lit(False))
-    own = held.select(
-        "file",
-        "path",
-        F.array_max(F.transform("_lines", near)).alias("_header"),
-        F.when(F.col("_whole").isNotNull(), near(F.col("_whole"))).alias("_whole"),
-    )
-    as_file = (F.col("_whole.similarity") >= WHOLE) | (named & (F.greatest("_whole.similarity", "_header.similarity") >= HEADER))
-    own = written(
-        own.select(
-            "file",
-            "path",
-            F.when(F.col("_header.similarity") >= HEADER, F.col("_header")).alias("_header"),
-            F.when(as_file, F.when(F.coalesce(F.col("_whole.similarity") >= F.col("_header.similarity"), F.lit(False)), F.col("_whole")).otherwise(F.coalesce("_header", "_whole"))).alias("_file"),
-        )
-    )
-    governed = (
-        own.where(F.col("_file").isNotNull() & F.col("path").contains("/"))
-        .groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory"))
-        .agg(F.max("_file").alias("_given"))
-    )
-    bare = own.where(F.col("_file").isNull() & F.col("_header").isNull()).select("file", F.posexplode(directories(F.col("path"))).alias("depth", "directory"))
-    inherited = bare.join(governed, "directory").groupBy("file").agg(F.max_by("_given", "depth").alias("_given"))
-    out = own.join(inherited, "file", "left")
-    best = F.coalesce("_file", "_header", "_given")
+    own = best.select("file", "path", header.alias("_header"), F.coalesce(F.greatest(whole, F.when(named, header)), F.when(named & (F.col("_whole.similarity") >= HEADER), F.col("_whole"))).alias("_file"))
+    own = written(own.where(F.coalesce("_header", "_file").isNotNull()))
+    parent = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
+    governed = own.where(F.col("_file").isNotNull() & F.col("path").contains("/")).groupBy(parent.alias("directory")).agg(F.max("_file").alias("_given"))
+    governed = written(governed)
+    # directories are few against files: each is looked up once, with all its ancestors
+    below = files.select(parent.alias("_parent")).where("_parent IS NOT NULL").distinct().select("_parent", F.posexplode(directories(F.col("_parent"))).alias("depth", "directory"))
+    inherited = written(below.join(_small(governed), "directory").groupBy("_parent").agg(F.max_by("_given", "depth").alias("_given")))
+    mine = own.select(F.col("file").alias("_f"), F.col("path").alias("_p"), "_header", "_file")
+    out = files.select("file", "path", parent.alias("_dir")).join(_small(mine), F.col("file").eqNullSafe(F.col("_f")) & F.col("path").eqNullSafe(F.col("_p")), "left")
+    out = out.join(_small(inherited), F.col("_dir") == F.col("_parent"), "left")
+    found = F.coalesce("_file", "_header", "_given")
     via = F.when(F.col("_file").isNotNull(), "file").when(F.col("_header").isNotNull(), "header").when(F.col("_given").isNotNull(), "inherited")
-    return out.select("file", "path", best["licence"].alias("licence"), best["similarity"].alias("similarity"), via.alias("via"))
+    return out.select("file", "path", found["licence"].alias("licence"), found["similarity"].alias("similarity"), via.alias("via"))

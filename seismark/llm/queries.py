@@ -68,7 +68,7 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     docs = docs.select(F.concat(F.lit("documents/"), "doc_id").alias("file"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text")
     pages = table(spark, sf_dir, "pages")
-    text = F.when(F.col("html").rlike(licences.CUE), F.regexp_replace("html", "<[^>]*>", "\n"))
+    text = F.regexp_replace("html", "<[^>]*>", "\n")
     pages = pages.select(F.concat(F.lit("pages/"), "page_id").alias("file"), licences.url_path(F.col("url")).alias("path"), text.alias("text"))
     return licences.scan_licences(docs.union(pages))
 

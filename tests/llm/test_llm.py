@@ -439,7 +439,7 @@ def test_licences(spark):
         ("a", "h/x/LICENSE", "Released under the MIT License."),
         ("b", "h/x/y/z.txt", "nothing"),
         ("c", "h/q.txt", "nothing"),
-        ("d", "h/x/y/k", "foo\nLicensed under CC BY-NC 4.0.\nbar"),
+        ("d", "h/x/y/k", "foo\nLicensed under CC BY-NC 4.0.\nbar of a body with more words than its header"),
         ("e", None, None),
         ("f", "h/x/y/COPYING", "This work is licensed under the GNU General Public License, version 3."),
         ("g", "h/x/v", "The licence of words"),
@@ -467,8 +467,98 @@ def test_licences_of_long_files(spark):
     assert {(r.file, r.licence, r.via) for r in got} == {("a", "GPL-3.0", "file"), ("b", "GPL-3.0", "inherited")}
 
 
+def brute_licences(rows, templates):
+    """Licence, similarity and via of each (file, path, text): every window, paragraph and whole text against every template."""
+    words = lambda text: re.findall("[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]", text.lower())
+    lines = [set(words(x)) for _, _, text in rows for x in (text or "").split("\n") if words(x)]
+    wordings = [(name, Counter(words(t))) for name in sorted(templates) for t in templates[name]]
+    known = {t for _, c in wordings for t in c}
+    idf = lambda t: np.log((1 + len(lines)) / (1 + (sum(t in x for x in lines) if t in known else 0))) + 1
+    weigh = lambda c: {t: (1 + np.log(n)) * idf(t) for t, n in c.items()}
+    length = lambda w: sum(x * x for x in w.values()) ** 0.5
+    weighed = [(name, weigh(c)) for name, c in wordings]
+
+    def best(text):
+        own = weigh(Counter(words(text)))
+        if not own:
+            return (0.0, 0, "")
+        return max((round(sum(x * own.get(t, 0) for t, x in w.items()) / length(own) / length(w), 6), -i, name) for i, (name, w) in enumerate(weighed))
+
+    given, header = {}, {}
+    for file, path, text in rows:
+        each = (text or "").split("\n")
+        found = [best("\n".join(each[i : i + n])) for n in (1, 2, 3) for i in range(len(each) - n + 1)]
+        found += [best("\n".join(g)) for blank, g in itertools.groupby(each, lambda x: not x.strip(" \t\r")) if not blank]
+        line, whole = max(found), best(text or "")
+        head, is_named = line if line[0] >= 0.6 else None, bool(re.search(licences.NAMED, path or ""))
+        as_file = [x for x in (whole if whole[0] >= 0.75 else None, head if is_named else None) if x] or [x for x in (whole,) if is_named and x[0] >= 0.6]
+        header[file] = (max(as_file), "file") if as_file else (head, "header") if head else None
+        if as_file and "/" in path:
+            directory = path.rsplit("/", 1)[0]
+            given[directory] = max(given.get(directory, max(as_file)), max(as_file))
+    out = {}
+    for file, path, _ in rows:
+        got, parts = header[file], (path or "").split("/")[:-1]
+        for n in range(len(parts), 0, -1):
+            if got is None and "/".join(parts[:n]) in given:
+                got = given["/".join(parts[:n])], "inherited"
+        out[file] = (got[0][2], got[0][0], got[1]) if got else (None, None, None)
+    return out
+
+
+def licence_rows():
+    rng = np.random.default_rng(3)
+    prose = ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(60)] + ["the", "of", "and", "to", "work", "under", "license", "software"]
+    said = [t for texts in licences.TEMPLATES.values() for t in texts]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(rng.choice(prose, rng.integers(0, 14))) for _ in range(rng.integers(0, 8))]
+        if i % 3 == 0:
+            text = said[int(rng.integers(len(said)))].split(" ")
+            cut = int(rng.integers(1, len(text) + 1)) if i % 2 else len(text)
+            lines[1:1] = [" ".join(text[:cut]), " ".join(text[cut:])]
+        folder = "/".join(["r", *rng.choice(list("abc"), rng.integers(0, 4))])
+        rows.append((f"f{i}", f"{folder}/{'LICENSE' if i % 7 == 0 else f'f{i}'}" if i % 11 else None, "\n".join(lines)))
+    return rows
+
+
+def test_licences_equal_brute_force(spark):
+    rows = licence_rows()
+    got = licences.scan_licences(spark.createDataFrame(rows, "file string, path string, text string")).collect()
+    want = brute_licences(rows, licences.TEMPLATES)
+    assert {r.via for r in got} == {"file", "header", "inherited", None} and len(got) == len(rows)
+    for r in got:
+        licence, similarity, via = want[r.file]
+        assert (r.licence, r.via) == (licence, via), r
+        assert r.similarity == pytest.approx(similarity, abs=2e-6) if similarity is not None else r.similarity is None
+
+
+def test_licences_of_whole_texts(spark):
+    """A licence of 6,000 words under any name, one cut over two lines, and a body without the word licence."""
+    whole = " ".join(f"term{i * 7919 % 2003}" for i in range(6000))
+    mit = licences.TEMPLATES["MIT"][2].replace(", ", ",\n")
+    rows = [
+        ("a", "p/terms", "\n".join(whole[i : i + 400] for i in range(0, len(whole), 400)) + "\nand more"),
+        ("b", "p/x", "prose"),
+        ("c", "q/a", "// This work is licensed under a Creative Commons\n// Attribution 4.0 International License."),
+        ("d", "q/b", mit),
+        ("e", "s/LICENSE.txt", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + "\n".join(f"clause {i} of many words" for i in range(3000))),
+        ("f", "s/t/u", "All rights reserved."),
+    ]
+    templates = licences.TEMPLATES | {"Long": [whole]}
+    got = {r.file: (r.licence, r.via) for r in licences.scan_licences(spark.createDataFrame(rows, "file string, path string, text string"), templates).collect()}
+    assert got == {"a": ("Long", "file"), "b": ("Long", "inherited"), "c": ("CC-BY-4.0", "file"), "d": ("MIT", "file"), "e": ("GPL-3.0", "file"), "f": ("All rights reserved", "file")}
+
+
+def test_licences_odd(odd, empty):
+    frame = lambda x: x.select("*", F.lit("y").alias("_dir"), F.lit("y").alias("start"), F.lit("y").alias("_parent"))
+    got = licences.scan_licences(frame(odd)).collect()
+    assert len(got) == len(ODD) and all(r.licence is None for r in got)
+    assert licences.scan_licences(frame(empty)).count() == 0
+
+
 def test_licences_query_finds_all_lines(spark, docs):
-    lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "licensed under the GNU General Public License, version 3."}
+    lines = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "licensed under the GNU General Public License, version 3.", "All rights reserved": "All rights reserved."}
     got = {r.file: r.licence for r in queries.op8_licences(spark, SF).collect()}
     for r in docs.collect():
         said = {name for name, line in lines.items() if line in r.text}
