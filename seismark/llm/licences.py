@@ -8,7 +8,7 @@ hold it, any other by the largest weight.
 
 By the Cauchy-Schwarz inequality a text reaches a cosine of ``HEADER`` only if it holds one of a template's heavy terms: the
 light ones alone make up less than that share of the template's length. Only lines with such a term are looked at; this
-leaves nothing out. Terms are counted by grouping, so files may be of any length. DataFrame functions only.
+leaves nothing out. Cosines are worked out row by row, so no term is shuffled. DataFrame functions only.
 
 Defined cases: a null or empty text has no header but may inherit; a null path inherits nothing; of equally near templates
 the first in order counts; rows that share file and path share the nearest header of them, so repeated rows get equal
@@ -17,6 +17,7 @@ results; very long lines and texts are compared as a whole; an empty table gives
 
 from __future__ import annotations
 
+import json
 import re
 from math import log, sqrt
 
@@ -121,13 +122,9 @@ class Weights:
                     found.add(term)
         return sorted(found)
 
-    def table(self, like: DataFrame) -> DataFrame:
-        """(term, idf, templates): one row per term of the templates."""
-        held: dict[str, list] = {t: [] for t in self.idf}
-        for i, (_, weights, length) in enumerate(self.templates):
-            for t, w in weights.items():
-                held[t].append((i, w / length))
-        return like.sparkSession.createDataFrame([(t, self.idf[t], held[t]) for t in sorted(held)], "term string, idf double, templates array<struct<i:int,w:double>>")
+    def table(self) -> Column:
+        """A constant map of each term to its inverse frequency and its share in each template."""
+        return F.from_json(F.lit(json.dumps({t: [idf, *[weights.get(t, 0.0) / length for _, weights, length in self.templates]] for t, idf in self.idf.items()})), "map<string,array<double>>")
 
 
 def line_counts(texts: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
@@ -158,22 +155,36 @@ def _units(files: DataFrame, heavy: list[str]) -> DataFrame:
     gaps = F.filter(F.transform("_blank", lambda b, i: F.struct((b + 1).alias("a"), (F.get(F.col("_blank"), i + 1) - b - 1).alias("n"))), lambda p: p["n"] > LINES)
     parts.append(F.transform(gaps, lambda p: unit(p["a"], 0, joined(p["a"], p["n"]))))
     parts.append(F.array(unit(F.lit(0), -1, F.col("text"))))
-    return held.select("file", "path", F.explode(F.concat(*parts)).alias("u")).select("file", "path", "u.*").distinct()
+    return held.select("file", "path", F.explode(F.concat(*parts)).alias("u")).select("file", "path", "u.*")
+
+
+def _with(x: Column, f) -> Column:
+    """f(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _squares(words: Column) -> Column:
+    """The sum of (1 + log n)^2 over distinct terms; sorted ones are counted by the distances of their first places."""
+    starts = lambda ts: F.filter(F.transform(ts, lambda _, i: i), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+    ends = lambda at, n: F.transform(at, lambda i, j: 1 + F.log((F.coalesce(F.get(at, j + 1), n) - i).cast("double")))
+    logs = _with(F.sort_array(words), lambda ts: _with(starts(ts), lambda at: ends(at, F.size(ts))))
+    return F.aggregate(logs, F.lit(0.0), lambda a, x: a + x * x)
 
 
 def nearest(units: DataFrame, weights: Weights) -> DataFrame:
-    """(file, path, size, best): the nearest template of each unit, as (similarity, -place, licence)."""
-    key = ["file", "path", "size", "start", "unit_hash"]
-    units = units.withColumn("unit_hash", F.xxhash64("unit"))
-    counted = units.select(*key, F.explode(terms(F.col("unit"))).alias("term")).groupBy(*key, "term").agg(F.count("*").alias("n"))
-    weighed = counted.join(F.broadcast(weights.table(units)), "term", "left").withColumn("w", (1 + F.log("n")) * F.coalesce("idf", F.lit(weights.top)))
-    own = F.array(F.struct(F.lit(-1).alias("i"), F.col("w")))  # the unit's own length stands at template -1
-    each = weighed.select(*key, "w", F.explode(F.when(F.col("templates").isNull(), own).otherwise(F.concat(own, F.col("templates")))).alias("t"))
-    dots = each.groupBy(*key, "t.i").agg(F.sum(F.col("w") * F.col("t.w")).alias("dot"))
+    """(file, path, size, best): the nearest template of each unit, as (similarity, -place, licence); worked out row by row."""
+    top, table = weights.top, weights.table()
+    rows = units.select("file", "path", "size", terms(F.col("unit")).alias("_terms")).where(F.size("_terms") > 0)
+    times = lambda t: 1 + F.log(F.size(F.filter("_terms", lambda x: x == t)).cast("double"))
+    mine = F.transform(F.array_intersect("_terms", F.array(*[F.lit(t) for t in sorted(weights.idf)])), lambda t: F.struct(times(t).alias("f"), F.try_element_at(table, t).alias("v")))
+    rows = rows.select("file", "path", "size", _squares(F.col("_terms")).alias("_squares"), mine.alias("_mine"))
+    length = F.sqrt(F.aggregate("_mine", top * top * F.col("_squares"), lambda a, m: a + m["f"] * m["f"] * (F.get(m["v"], 0) * F.get(m["v"], 0) - top * top)))
+    add = lambda total, m: F.zip_with(total, F.slice(m["v"], 2, len(weights.templates)), lambda a, x: a + m["f"] * F.get(m["v"], 0) * x)
+    dots = F.aggregate("_mine", F.array_repeat(F.lit(0.0), len(weights.templates)), add)
+    rows = rows.select("file", "path", "size", length.alias("_length"), dots.alias("_dots"))
     names = F.array(*[F.lit(name) for name, _, _ in weights.templates])
-    lists = dots.groupBy(*key).agg(F.sqrt(F.max(F.when(F.col("i") < 0, F.col("dot")))).alias("length"), F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "dot"))).alias("dots"))
-    scored = F.transform("dots", lambda d: F.struct(F.round(d["dot"] / F.col("length"), 6).alias("similarity"), (-d["i"]).alias("order"), F.get(names, d["i"]).alias("licence")))
-    return lists.select("file", "path", "size", F.array_max(scored).alias("best"))
+    scored = F.transform("_dots", lambda d, i: F.struct(F.round(d / F.col("_length"), 6).alias("similarity"), (-i).alias("order"), F.get(names, i).alias("licence")))
+    return rows.select("file", "path", "size", F.array_max(scored).alias("best"))
 
 
 def directories(path: Column) -> Column:
