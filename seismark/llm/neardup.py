@@ -3,13 +3,13 @@
 Documents with equal shingle sets form one class first, so copies cost no pairs. Classes meet in the buckets of a band;
 in two rounds each tests one partner of another group, and links join groups. Buckets that still hold several groups are
 compared in full, block against block inside a task, which returns only the links that join groups: never a row per pair.
-A bucket that is too large for that is first cut by every other band, which parts unlike texts that share a frequent
-passage. No candidate is dropped.
+Blocks of a bucket hold sets of like size, and blocks whose sizes lie too far apart for a link do not meet. No candidate is
+dropped, however large its bucket.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; a text with fewer words than
 a shingle has its whole sequence as one; a row without doc_id is linked with nothing and kept; repeated rows get the same
-component; rows that share a doc_id but not a text are linked if any of their texts are; an empty table gives an empty
-result; other columns are ignored.
+component; rows that share a doc_id but not a text are linked if any of their texts are, and each text of a kept id stays;
+very long texts are sets like others; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -28,8 +28,8 @@ from .words import mix, odd_factors, signed, slices, split_words
 SHINGLE, PERCENT = 5, 80
 #: 40 bands of 6 rows: a pair at similarity 0.8 is missed with probability 5e-6.
 BANDS, ROWS = 40, 6
-#: Rounds with one partner per class; members of a block; members above which a bucket is cut by further bands, and how often.
-ROUNDS, BLOCK, LARGE_BUCKET, CUTS = 2, 512, 1 << 14, 3
+#: Rounds with one partner per class; members of a block.
+ROUNDS, BLOCK = 2, 512
 #: Ids up to this many are broadcast to pick their texts.
 MAX_BROADCAST_IDS = 2_000_000
 
@@ -206,7 +206,7 @@ class _Linker:
         self.groups: DataFrame | None = None
 
     def open(self, members: DataFrame) -> DataFrame:
-        """Members (band, id, n) of buckets with two groups or more; root, lo and hi (two members of different groups), members."""
+        """Members (band, id, size) of buckets with two groups or more; root, lo and hi (two members of different groups), members."""
         grouped = members.withColumn("root", F.col("id"))
         if self.groups is not None:
             grouped = members.join(self.groups, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
@@ -240,21 +240,30 @@ class _Linker:
         self.add(found.where("linked").select("u", "v"))
 
     def test_blocks(self, left: DataFrame) -> None:
-        """All pairs of different groups in a bucket, within tasks: a member goes to the pairs of its block with each block."""
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        placed = left.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-        paired = (
-            placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-            .withColumn("_a", F.least("_own", "_other"))
-            .withColumn("_b", F.greatest("_own", "_other"))
-            .withColumn("side", F.when(F.col("_own") == F.col("_a"), 0).otherwise(1))
-            .select("band", "_a", "_b", "side", "id", "root")
-        )
+        """All pairs of different groups in a bucket, within tasks: a member goes to the pairs of its block with each block of like sizes."""
+        kind = F.when(F.col("members") > BLOCK, _size_class(F.col("size"), self.percent)).otherwise(0)
+        left = left.select("band", "id", "root", kind.alias("_class"))
+        counted = left.groupBy("band", "_class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+        blocks = counted.groupBy("band").agg(F.map_from_entries(F.collect_list(F.struct("_class", "n"))).alias("_blocks"))
+        placed = left.join(blocks, "band").withColumn("_own", F.pmod(F.xxhash64("id"), F.try_element_at("_blocks", F.col("_class"))).cast("int"))
+        own = F.struct(F.col("_class").alias("c"), F.col("_own").alias("i"))
+        every = lambda c: F.coalesce(F.transform(F.sequence(F.lit(0), F.try_element_at("_blocks", c) - 1), lambda i: F.struct(c.alias("c"), i.alias("i"))), F.array())
+        same = F.transform(every(F.col("_class")), lambda x: F.struct(F.least(own, x).alias("a"), F.greatest(own, x).alias("b"), F.when(own <= x, 0).otherwise(1).alias("side")))
+        above = F.transform(every(F.col("_class") + 1), lambda x: F.struct(own.alias("a"), x.alias("b"), F.lit(0).alias("side")))
+        below = F.transform(every(F.col("_class") - 1), lambda x: F.struct(x.alias("a"), own.alias("b"), F.lit(1).alias("side")))
+        paired = placed.select("band", "id", "root", F.explode(F.concat(same, above, below)).alias("_pair")).select("band", "_pair.*", "id", "root")
         rows = paired.join(self.texts, F.col("id") == F.col("doc_id")).drop("doc_id")
-        self.add(written(rows.groupBy("band", "_a", "_b").applyInArrow(_link_blocks(self.k, self.percent), "u long, v long")))
+        self.add(written(rows.groupBy("band", "a", "b").applyInArrow(_link_blocks(self.k, self.percent), "u long, v long")))
+
 
+def _size_class(size: Column, percent: int) -> Column:
+    """Classes of set sizes such that linked sets are in the same class or in neighbouring ones."""
+    if percent >= 100:
+        return 2 * size
+    return F.floor(F.log(size.cast("double")) / np.log(100 / percent) + 1e-9).cast("long")
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, large_bucket: int = LARGE_BUCKET) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id that links reach) and kept."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_shingles long, set_high long, set_low long, bands array<long>"
@@ -262,24 +271,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     same_set = ["set_high", "set_low", "n_shingles"]
     named = sketches.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = written(named.groupBy(*same_set).agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")))
-    members = classes.select(F.explode("bands").alias("band"), "id")
+    members = classes.select(F.explode("bands").alias("band"), "id", F.col("n_shingles").alias("size"))
     shared = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band")
     members = written(members.join(shared, "band"))
     ids = written(members.select("id").distinct())
     linker = _Linker(written(_picked(plain, "doc_id", ids)), shingle, percent)
-    for cut in range(CUTS + 1):
-        for _ in range(ROUNDS):
-            left = linker.open(members)
-            if left.isEmpty():
-                break
-            linker.test_partners(left)
-        left = linker.open(members)
-        large = F.col("members") > (large_bucket if cut < CUTS else 1 << 60)
-        linker.test_blocks(left.where(~large))
-        if left.where(large).isEmpty():
-            break
-        again = left.where(large).select("band", "id").join(classes.select("id", "bands"), "id").select(F.explode("bands").alias("further"), "band", "id")
-        members = written(again.where("further <> band").select(F.xxhash64("band", "further").alias("band"), "id").distinct())
+    for _ in range(ROUNDS):
+        linker.test_partners(linker.open(members))
+    linker.test_blocks(linker.open(members))
     roots = classes.join(linker.groups, F.col("id") == F.col("node"), "left").select(*same_set, F.coalesce("root", "id").alias("id"))
     found = sketches.drop("bands").join(roots, same_set, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
@@ -291,5 +290,5 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group; of repeated rows, one."""
     kept = near_duplicates(docs, shingle, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(written(kept), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where("doc_id IS NOT NULL").join(written(kept), F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.union(docs.where("doc_id IS NULL"))

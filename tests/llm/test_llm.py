@@ -157,22 +157,39 @@ def test_near_duplicates(docs, texts):
     assert got == brute_components(texts, 4)
 
 
-def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    """Families of chained near copies, cut into small blocks and by further bands."""
+def families():
+    """Chained near copies of several lengths that share passages."""
     rng = np.random.default_rng(5)
-    base = [f"b{i}" for i in range(120)]
-    texts = {}
-    for n in range(60):
+    base, texts = [f"b{i}" for i in range(120)], {}
+    for n in range(80):
         w = list(base) if n % 3 else [*base[:60], *[f"o{n}-{i}" for i in range(60)]]
         for i in rng.integers(0, 120, int(rng.integers(0, 9))):
             w[i] = f"r{n}-{i}"
-        texts[n] = " ".join(w)
+        texts[n] = " ".join(w[: 120 - 3 * (n % 20)])
+    return texts
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Buckets of many blocks, of several sizes."""
+    texts = families()
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, 4, 80).collect()}
+    assert got == brute_components(texts, 4)
+
+
+def test_near_duplicates_that_share_one_large_bucket(spark, monkeypatch):
+    """With one band of one row, every pair meets in one bucket at most, and each that meets is compared."""
+    texts = families()
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    want = brute_components(texts, 4)
+    elements, first = neardup.shingle_sets(pa.array(list(texts.values())), 4)
+    bucket = neardup.superminhash(elements, np.repeat(np.arange(len(texts)), np.diff(first)), len(texts), 1)[:, 0]
+    want = {}
+    for x in np.unique(bucket):
+        want |= brute_components({i: texts[i] for i in np.flatnonzero(bucket == x).tolist()}, 4)
+    assert np.unique(bucket, return_counts=True)[1].max() > 20
     monkeypatch.setattr(neardup, "BLOCK", 7)
-    for large in (1 << 14, 16):
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, 4, 80, large_bucket=large).collect()}
-        assert got == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(frame, 4, 80, bands=1, rows=1).collect()} == want
 
 
 def test_superminhash_estimates_similarity():
