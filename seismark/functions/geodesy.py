@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import pi, radians, sin
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
@@ -72,6 +72,26 @@ def in_bounds(
     return out
 
 
+def near_pairs(points: DataFrame, key: str, degrees: float) -> DataFrame:
+    """Pairs of rows (``key`` < ``_key``, with all columns of both) at most ``degrees`` of arc apart.
+
+    Points become unit vectors in a grid whose cells are as wide as the chord of that arc, so partners lie in the 27 cells
+    around; the join is one of equal cells, and its work grows with the pairs that are near.
+    """
+    chord = 2 * sin(radians(min(degrees, 180.0)) / 2) + 1e-9
+    lat, lon = F.radians("latitude"), F.radians("longitude")
+    xyz = F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)
+    cell = [F.floor(c / chord).alias(f"_c{i}") for i, c in enumerate(xyz)]
+    around = F.array(*[F.lit(x) for x in (-1, 0, 1)])
+    one = points.select("*", *cell)
+    for i in range(3):
+        one = one.withColumn("_d", F.explode(around)).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_d")).drop("_d")
+    other = points.select(*[F.col(c).alias(f"_{c}") for c in points.columns], *cell)
+    away = degrees_between(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude"))
+    pairs = one.join(other, ["_c0", "_c1", "_c2"]).where(F.col(key) < F.col(f"_{key}"))
+    return pairs.withColumn("degrees", away).where(F.col("degrees") <= degrees).drop("_c0", "_c1", "_c2")
+
+
 # The WGS84 ellipsoid.
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
 

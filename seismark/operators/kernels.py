@@ -40,7 +40,7 @@ def butterworth(kind: str, corners: int, rate: float, low: float | None = None,
     """
     nyquist = rate / 2
     if kind in ("bandpass", "bandstop") and high is not None and high >= nyquist:
-        kind = "highpass" if kind == "bandpass" else "lowpass"
+        kind, high = ("highpass", high) if kind == "bandpass" else ("lowpass", low)
     if low is not None and low > nyquist:
         raise ValueError("the low corner lies above the Nyquist frequency")
     warp = lambda f: 2 * rate * np.tan(np.pi * min(f, nyquist * 0.999999) / rate)
@@ -113,6 +113,8 @@ def envelope(x: np.ndarray) -> np.ndarray:
 
 def instantaneous_frequency(rate: float) -> Kernel:
     def run(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] < 2:
+            return np.full_like(x, np.nan)
         a = _analytic(x)
         change = np.gradient(a, 1 / rate, axis=1)
         return (a.real * change.imag - a.imag * change.real) / (2 * np.pi * np.maximum(np.abs(a) ** 2, 1e-30))
@@ -128,15 +130,26 @@ def polynomial_detrend(order: int) -> Kernel:
     return run
 
 
-def fourier_resample(npts: int) -> Kernel:
-    """To ``npts`` samples over the same span, by the spectrum cut or padded."""
+def fourier_resample(factor: float, window: bool = True) -> Kernel:
+    """To a rate that is ``factor`` times lower: the spectrum is interpolated linearly at the new length's frequencies.
+
+    The new length is cut to an integer; frequencies above the old ones take the last bin. With ``window`` a raised cosine
+    over the spectrum, centred on frequency 0, dampens its upper end.
+    """
 
     def run(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        npts = max(1, int(n / factor))
         spectrum = np.fft.rfft(x)
-        keep = min(npts, x.shape[1]) // 2 + 1
-        out = np.zeros((len(x), npts // 2 + 1), complex)
-        out[:, :keep] = spectrum[:, :keep]
-        return np.fft.irfft(out, npts) * npts / x.shape[1]
+        if window:
+            spectrum = spectrum * (0.5 - 0.5 * np.cos(2 * np.pi * (np.arange(n // 2 + 1) + n // 2) / n))
+        at = np.minimum(np.arange(npts // 2 + 1) * n / (factor * npts), n // 2)
+        low = np.minimum(at.astype(int), max(n // 2 - 1, 0))
+        out = spectrum[:, low] + (at - low) * (spectrum[:, np.minimum(low + 1, n // 2)] - spectrum[:, low])
+        out[:, 0] = out[:, 0].real
+        if npts % 2 == 0:
+            out[:, -1] = out[:, -1].real
+        return np.fft.irfft(out, npts) * npts / n
 
     return run
 
@@ -154,10 +167,12 @@ def lanczos(step: float, a: int) -> Kernel:
 
 
 def power_density(rate: float) -> Kernel:
-    """One-sided periodogram after demeaning and a 10 % cosine taper at each end."""
+    """One-sided periodogram after demeaning and a 10 % cosine taper at each end; 0 for a single sample."""
 
     def run(x: np.ndarray) -> np.ndarray:
         n = x.shape[1]
+        if n < 2:
+            return np.zeros_like(x)
         ramp = max(1, n // 10)
         window = np.ones(n)
         window[:ramp] = 0.5 * (1 - np.cos(np.pi * np.arange(ramp) / ramp))
@@ -185,9 +200,11 @@ def konno_ohmachi(frequencies: np.ndarray, bandwidth: float = 40.0) -> Kernel:
 
 
 def spectral_attributes(rate: float) -> Kernel:
-    """Central frequency, bandwidth and dominant period of each segment."""
+    """Central frequency, bandwidth and dominant period of each segment; a single sample has none."""
 
     def run(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] < 2:
+            return np.full((len(x), 3), np.nan)
         power = np.abs(np.fft.rfft(x - x.mean(1, keepdims=True))) ** 2
         f = np.fft.rfftfreq(x.shape[1], 1 / rate)
         total = np.maximum(power.sum(1), 1e-30)
@@ -237,14 +254,16 @@ def polarization(x: np.ndarray) -> np.ndarray:
         planar = np.nan_to_num(1 - 2 * values[:, 0] / (values[:, 1] + values[:, 2]))
     azimuth, incidence = np.degrees(np.arctan2(e, up)), np.degrees(np.arctan2(np.hypot(e, up), z))
     flip = incidence > 90
-    azimuth, incidence = np.where(flip, azimuth + 180, azimuth), np.where(flip, 180 - incidence, incidence)
-    return np.stack([azimuth % 360, incidence, rect, planar], 1)
+    incidence = np.where(flip, 180 - incidence, incidence)
+    return np.stack([azimuth % 180, incidence, rect, planar], 1)  # an axis has no sense: azimuths lie in [0, 180)
 
 
 def weighted_slopes(step: float) -> Kernel:
     """Cubic Hermite values at multiples of ``step`` samples; slopes are means weighted by the inverse of their size, 0 at turns."""
 
     def run(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] < 2:
+            return x
         rise = np.diff(x, axis=1)
         weight = 1 / np.maximum(np.abs(rise), np.spacing(1))
         slope = np.empty_like(x)
@@ -270,6 +289,8 @@ def band_energies(rate: float, lowest: float, bands: int, frames: int) -> Kernel
     """Energy in half-octave bands from ``lowest`` up, in equal frames: frames x bands, flattened."""
 
     def run(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] < frames:
+            return np.zeros((len(x), frames * bands))
         parts = x[:, : x.shape[1] // frames * frames].reshape(len(x), frames, -1)
         power = np.abs(np.fft.rfft(parts * np.hanning(parts.shape[2]))) ** 2
         f = np.fft.rfftfreq(parts.shape[2], 1 / rate)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TRACE = "trace"
+#: Samples of a trace that are worked on together.
+BLOCK = 1 << 16
 
 
 def gaps(segments: DataFrame, step: float, min_gap: float | None = None, max_gap: float | None = None) -> DataFrame:
@@ -60,8 +62,9 @@ def cleanup(samples: DataFrame) -> DataFrame:
 def grid(samples: DataFrame) -> DataFrame:
     """Every idx between a trace's first and last, null where no sample is."""
     ends = samples.groupBy(TRACE).agg(F.min("idx").alias("_a"), F.max("idx").alias("_b"))
-    full = ends.select(TRACE, F.explode(F.sequence("_a", "_b")).alias("idx"))
-    return full.join(samples, [TRACE, "idx"], "left")
+    blocks = ends.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK), F.floor(F.col("_b") / BLOCK))))
+    inside = F.sequence(F.greatest("_a", F.col("_block") * BLOCK), F.least("_b", F.col("_block") * BLOCK + BLOCK - 1))
+    return blocks.select(TRACE, F.explode(inside).alias("idx")).join(samples, [TRACE, "idx"], "left")
 
 
 def fill(samples: DataFrame, how: str | float) -> DataFrame:
@@ -69,15 +72,23 @@ def fill(samples: DataFrame, how: str | float) -> DataFrame:
     full = grid(samples)
     if how not in ("latest", "interpolate"):
         return full.withColumn("x", F.coalesce("x", F.lit(float(how))))
-    back = Window.partitionBy(TRACE).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(TRACE).orderBy("idx").rowsBetween(0, Window.unboundedFollowing)
+    # the last value before and the first after a block come from one row per block
+    full = full.withColumn("_block", F.floor(F.col("idx") / BLOCK))
+    known = F.when(F.col("x").isNotNull(), F.struct("idx", "x"))
+    edges = full.groupBy(TRACE, "_block").agg(F.max(known).alias("_z"), F.min(known).alias("_a"))
+    past = Window.partitionBy(TRACE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(TRACE).orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(TRACE, "_block", F.last("_z", ignorenulls=True).over(past).alias("_before"), F.last("_a", ignorenulls=True).over(future).alias("_after"))
+    full = full.join(edges, [TRACE, "_block"])
+    up = Window.partitionBy(TRACE, "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.coalesce(F.last(known, ignorenulls=True).over(up), F.col("_before"))
     if how == "latest":
-        return full.withColumn("x", F.last("x", ignorenulls=True).over(back))
-    at = F.when(F.col("x").isNotNull(), F.col("idx"))
-    full = full.withColumn("_x0", F.last("x", ignorenulls=True).over(back)).withColumn("_x1", F.first("x", ignorenulls=True).over(ahead))
-    full = full.withColumn("_i0", F.last(at, ignorenulls=True).over(back)).withColumn("_i1", F.first(at, ignorenulls=True).over(ahead))
-    line = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("idx") - F.col("_i0")) / (F.col("_i1") - F.col("_i0"))
-    return full.withColumn("x", F.coalesce("x", line)).drop("_x0", "_x1", "_i0", "_i1")
+        return full.select(TRACE, "idx", left["x"].alias("x"))
+    down = Window.partitionBy(TRACE, "_block").orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    right = F.coalesce(F.last(known, ignorenulls=True).over(down), F.col("_after"))
+    full = full.withColumn("_l", left).withColumn("_r", right)
+    line = F.col("_l.x") + (F.col("_r.x") - F.col("_l.x")) * (F.col("idx") - F.col("_l.idx")) / (F.col("_r.idx") - F.col("_l.idx"))
+    return full.select(TRACE, "idx", F.coalesce("x", line).alias("x"))
 
 
 def epoch_join(events: DataFrame, epochs: DataFrame, key: str, at: str, bucket: int, start: str = "start", end: str = "end") -> DataFrame:

@@ -6,6 +6,8 @@ operators that need a whole trace's figure take it from a pre-aggregated table t
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,20 +45,44 @@ def classic_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
     return moving(df, nlta - 1, 0, cft=ratio)
 
 
-def recursive_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
-    """Ratio of two exponential means, folded over each trace's ordered samples; 0 for the first nlta samples."""
-    cs, cl = 1.0 / nsta, 1.0 / nlta
-    traces = df.groupBy(TRACE).agg(F.array_sort(F.collect_list(F.struct(IDX, X))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("sta"), F.lit(1e-99).alias("lta"), F.array().cast("array<double>").alias("out"))
+#: Samples of a step of the recursion, and the share of an old state that no longer counts.
+STEPS, FORGOTTEN = 64, 1e-18
+
+
+def exponential_means(df: DataFrame, value: Column, **weights: float) -> DataFrame:
+    """y[i] = c value[i] + (1 - c) y[i - 1], with y[0] = 0, for each weight c.
+
+    A recursion of this kind is a sum of decayed values: one within groups of ``STEPS`` samples, whose terms are scaled to
+    the group's start, plus the decayed ends of the groups before, back to where less than ``FORGOTTEN`` of them is left.
+    """
+    kept = df.withColumn("_group", F.floor(F.col(IDX) / STEPS)).withColumn("_at", F.col(IDX) % STEPS).withColumn("_v", F.when(F.col(IDX) == 0, F.lit(0.0)).otherwise(value))
+    inside = Window.partitionBy(TRACE, "_group").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+
+    def within(c: float) -> Column:
+        return F.col("_v") if c >= 1 else F.pow(F.lit(1 - c), F.col("_at")) * F.sum(c * F.col("_v") * F.pow(F.lit(1 - c), -F.col("_at"))).over(inside)
+
+    kept = kept.withColumns({f"_in_{name}": within(c) for name, c in weights.items()})
+    ends = kept.groupBy(TRACE, F.col("_group").alias(IDX)).agg(*[F.max_by(f"_in_{name}", "_at").alias(f"_end_{name}") for name in weights])
+    for name, c in weights.items():
+        back = max(1, ceil(log(FORGOTTEN) / (STEPS * log(1 - c)))) if c < 1 else 1
+        decay = [(1 - c) ** (STEPS * j) for j in range(back)]
 
-    def step(state: Column, sample: Column) -> Column:
-        square = sample[X] * sample[X]
-        sta = F.when(sample[IDX] == 0, F.lit(0.0)).otherwise(cs * square + (1 - cs) * state["sta"])
-        lta = F.when(sample[IDX] == 0, F.lit(1e-99)).otherwise(cl * square + (1 - cl) * state["lta"])
-        return F.struct(sta.alias("sta"), lta.alias("lta"), F.concat(state["out"], F.array(F.when(sample[IDX] < nlta, 0.0).otherwise(sta / lta))).alias("out"))
+        def carried(rows, name=name, back=back, decay=decay) -> Column:
+            listed = F.reverse(F.collect_list(f"_end_{name}").over(rows(-back, -1)))
+            return F.aggregate(F.zip_with(listed, F.array(*[F.lit(x) for x in decay]), lambda x, w: F.coalesce(x * w, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
 
-    folded = traces.withColumn("cft", F.aggregate("s", start, step, lambda s: s["out"]))
-    return folded.select(TRACE, F.posexplode("cft").alias("idx", "cft"))
+        ends = moving(ends, back, 0, **{f"_carry_{name}": carried})
+    carries = ends.select(TRACE, F.col(IDX).alias("_group"), *[f"_carry_{name}" for name in weights])
+    out = kept.join(carries, [TRACE, "_group"])
+    out = out.withColumns({name: F.col(f"_in_{name}") + F.col(f"_carry_{name}") * F.pow(F.lit(1 - c), F.col("_at") + 1) for name, c in weights.items()})
+    return out.select(*df.columns, *weights)
+
+
+def recursive_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
+    """Ratio of two exponential means of the squares, from the second sample on; 0 for the first nlta samples."""
+    means = exponential_means(df, F.col(X) * F.col(X), _sta=1.0 / nsta, _lta=1.0 / nlta)
+    lta = F.col("_lta") + 1e-99 * F.pow(F.lit(1 - 1.0 / nlta), F.col(IDX))
+    return means.select(TRACE, IDX, F.when(F.col(IDX) < nlta, F.lit(0.0)).otherwise(F.col("_sta") / lta).alias("cft"))
 
 
 def z_detect(df: DataFrame, nsta: int) -> DataFrame:
@@ -85,10 +111,9 @@ def modified_energy_ratio(df: DataFrame, nsta: int, power: float = 3) -> DataFra
 
 def aic_simple(df: DataFrame) -> DataFrame:
     """(i + 1) log var(x[0..i]) + (n - i - 2) log var(x[i+1..]) from running sums."""
-    up = Window.partitionBy(TRACE).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(TRACE)
-    out = df.withColumn("_n", F.count("*").over(whole)).withColumn("_s", F.sum(X).over(up)).withColumn("_q", F.sum(F.col(X) * F.col(X)).over(up))
-    out = out.withColumn("_total", F.sum(X).over(whole)).withColumn("_squares", F.sum(F.col(X) * F.col(X)).over(whole))
+    square = F.col(X) * F.col(X)
+    totals = df.groupBy(TRACE).agg(F.count("*").alias("_n"), F.sum(X).alias("_total"), F.sum(square).alias("_squares"))
+    out = running(df, _s=F.col(X), _q=square).join(totals, TRACE)
     k, m = F.col(IDX) + 1, F.col("_n") - F.col(IDX) - 1
     left = F.col("_q") / k - F.pow(F.col("_s") / k, 2)
     right = (F.col("_squares") - F.col("_q")) / m - F.pow((F.col("_total") - F.col("_s")) / m, 2)
@@ -96,15 +121,36 @@ def aic_simple(df: DataFrame) -> DataFrame:
     return out.withColumn("cft", F.when((F.col(IDX) >= 1) & (m >= 2) & (left > 1e-9) & (right > 1e-9), value)).drop("_n", "_s", "_q", "_total", "_squares")
 
 
-def trigger_onset(df: DataFrame, on: float, off: float) -> DataFrame:
+def _runs(high: DataFrame) -> DataFrame:
+    """(trace, _first, _last): maximal runs of consecutive samples; runs are found in blocks and joined at their edges."""
+    order = Window.partitionBy(TRACE, "_block").orderBy(IDX)
+    blocked = high.select(TRACE, IDX).withColumn("_block", F.floor(F.col(IDX) / BLOCK))
+    parts = blocked.withColumn("_run", F.col(IDX) - F.row_number().over(order)).groupBy(TRACE, "_block", "_run").agg(F.min(IDX).alias("_a"), F.max(IDX).alias("_z"))
+    along = Window.partitionBy(TRACE).orderBy("_a")
+    fresh = F.when(F.col("_a") == F.lag("_z").over(along) + 1, 0).otherwise(1)
+    joined = parts.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy(TRACE, "_run").agg(F.min("_a").alias("_first"), F.max("_z").alias("_last")).drop("_run")
+
+
+def trigger_onset(df: DataFrame, on: float, off: float, max_len: int | None = None, max_len_delete: bool = False) -> DataFrame:
     """(trace, on_idx, off_idx): a trigger starts where cft first reaches ``on`` and lasts while cft is at least ``off``.
 
-    Runs of cft >= off are islands; an island counts from its first sample at or above ``on``.
+    Runs of cft >= off are found first; in each, starts are the first samples of runs of cft >= on. Without ``max_len`` a run
+    counts once, from its first start. With it, a trigger of more than ``max_len`` samples after its start ends there and the
+    next start beyond may trigger again; with ``max_len_delete`` it is dropped and the next start is tried.
     """
-    order = Window.partitionBy(TRACE).orderBy(IDX)
-    high = df.where(F.col("cft") >= off).withColumn("_run", F.col(IDX) - F.row_number().over(order))
-    runs = high.groupBy(TRACE, "_run").agg(F.min(F.when(F.col("cft") >= on, F.col(IDX))).alias("on_idx"), F.max(IDX).alias("off_idx"))
-    return runs.where("on_idx IS NOT NULL").select(TRACE, "on_idx", "off_idx")
+    low = _runs(df.where(F.col("cft") >= off)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_first") / BLOCK), F.floor(F.col("_last") / BLOCK))))
+    starts = _runs(df.where(F.col("cft") >= on)).select(TRACE, F.col("_first").alias("_on"), F.floor(F.col("_first") / BLOCK).alias("_bucket"))
+    hit = starts.join(low, [TRACE, "_bucket"]).where(F.col("_on").between(F.col("_first"), F.col("_last")))
+    if max_len is None:
+        return hit.groupBy(TRACE, F.col("_last").alias("off_idx")).agg(F.min("_on").alias("on_idx")).select(TRACE, "on_idx", "off_idx")
+    if max_len_delete:
+        short = hit.where(F.col("_last") - F.col("_on") <= max_len)
+        return short.groupBy(TRACE, F.col("_last").alias("off_idx")).agg(F.min("_on").alias("on_idx")).select(TRACE, "on_idx", "off_idx")
+    listed = hit.groupBy(TRACE, "_last").agg(F.array_sort(F.collect_list("_on")).alias("_starts"))
+    # starts that lie within max_len of the last one taken are skipped
+    taken = F.aggregate("_starts", F.array().cast("array<bigint>"), lambda done, s: F.when((F.size(done) == 0) | (s > F.get(done, F.size(done) - 1) + max_len), F.concat(done, F.array(s))).otherwise(done))
+    return listed.select(TRACE, F.explode(taken).alias("on_idx"), "_last").select(TRACE, "on_idx", F.least("_last", F.col("on_idx") + max_len).alias("off_idx"))
 
 
 def coincidences(triggers: DataFrame, start: str, end: str, station: str, least: int) -> DataFrame:
@@ -155,6 +201,17 @@ def normalize(df: DataFrame, over_all: bool = False) -> DataFrame:
     return joined.withColumn("y", F.when(F.col("_norm") > 0, F.col(X) / F.col("_norm")).otherwise(F.col(X))).drop("_norm")
 
 
+def running(df: DataFrame, **columns: Column) -> DataFrame:
+    """Running sums over each trace: within blocks, plus the sums of the blocks before, which are one row per block."""
+    blocked = df.withColumn("_block", F.floor(F.col(IDX) / BLOCK))
+    sums = blocked.groupBy(TRACE, "_block").agg(*[F.sum(x).alias(f"_sum_{c}") for c, x in columns.items()])
+    earlier = Window.partitionBy(TRACE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(TRACE, "_block", *[F.coalesce(F.sum(f"_sum_{c}").over(earlier), F.lit(0.0)).alias(f"_base_{c}") for c in columns])
+    inside = Window.partitionBy(TRACE, "_block").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
+    out = blocked.join(base, [TRACE, "_block"]).withColumns({c: F.col(f"_base_{c}") + F.sum(x).over(inside) for c, x in columns.items()})
+    return out.drop("_block", *[f"_base_{c}" for c in columns])
+
+
 def differentiate(df: DataFrame, dt: float = 1.0) -> DataFrame:
     """Central differences, one-sided at the ends; null for a single sample."""
 
@@ -168,17 +225,14 @@ def differentiate(df: DataFrame, dt: float = 1.0) -> DataFrame:
 def integrate(df: DataFrame, dt: float = 1.0) -> DataFrame:
     """Cumulative trapezoids, 0 first: running sums within blocks, plus the sum of the blocks before."""
     steps = moving(df, 1, 0, _step=lambda rows: F.when(F.col(IDX) > 0, (F.col(X) + F.first(X).over(rows(-1, 0))) * dt / 2).otherwise(0.0))
-    steps = steps.withColumn("_block", F.floor(F.col(IDX) / BLOCK))
-    sums = steps.groupBy(TRACE, "_block").agg(F.sum("_step").alias("_sum"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(TRACE).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("_sum")
-    inside = Window.partitionBy(TRACE, "_block").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.join(base, [TRACE, "_block"]).withColumn("y", F.col("_base") + F.sum("_step").over(inside)).drop("_step", "_block", "_base")
+    return running(steps, y=F.col("_step")).drop("_step")
 
 
 def smooth(df: DataFrame, k: int) -> DataFrame:
-    """Mean of k past and k future samples without the one itself; only where all of them exist."""
+    """Mean of k past and k future samples without the one itself; edges repeat the nearest full value, null if there is none."""
     around = lambda rows: F.when(F.count("*").over(rows(-k, k)) == 2 * k + 1, (F.sum(X).over(rows(-k, -1)) + F.sum(X).over(rows(1, k))) / (2 * k))
-    return moving(df, k, k, y=around)
+    nearest = lambda rows: F.coalesce("_full", F.first("_full", ignorenulls=True).over(rows(1, k)), F.last("_full", ignorenulls=True).over(rows(-k, -1)))
+    return moving(moving(df, k, k, _full=around), k, k, y=nearest).drop("_full")
 
 
 def slide(df: DataFrame, length: int, step: int) -> DataFrame:
@@ -231,13 +285,14 @@ def delayed_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
     As in the definition that is matched here, delayed squares are added, and a delay beyond the start wraps to the end.
     """
     sizes = df.groupBy(TRACE).agg(F.count("*").alias("_n"))
-    sized = df.join(sizes, TRACE).withColumn("_square", F.col(X) * F.col(X))
-    late = lambda k: sized.select(TRACE, F.pmod(F.col(IDX) + k, F.col("_n")).alias(IDX), F.col("_square").alias(f"_late{k}"))
+    square = F.col(X) * F.col(X)
     delays = (nsta, nsta + 1, nsta + nlta + 1)
-    out = sized
-    for k in dict.fromkeys(delays):
-        out = out.join(late(k), [TRACE, IDX])
-    run = Window.partitionBy(TRACE).orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0)
-    sta = F.sum(F.col("_square") + F.col(f"_late{delays[0]}")).over(run) / nsta
-    lta = F.sum(F.col(f"_late{delays[1]}") + F.col(f"_late{delays[2]}")).over(run) / nlta
-    return out.withColumn("cft", F.when(F.col(IDX) >= nlta + nsta + 50, sta / lta).otherwise(0.0)).select(*df.columns, "cft")
+    # a sample stands for itself and for those that it is the delayed one of; the sums meet in one aggregation
+    sized = df.join(sizes, TRACE)
+    places = F.array(*[F.struct(F.lit(0 if k in (0, nsta) else 1).alias("part"), F.pmod(F.col(IDX) + k, F.col("_n")).alias("at")) for k in (0, *delays)])
+    spread = sized.select(TRACE, square.alias("_square"), F.explode(places).alias("_p"))
+    part = lambda n: F.sum(F.when(F.col("_p.part") == n, F.col("_square")).otherwise(0.0))
+    sums = spread.groupBy(TRACE, F.col("_p.at").alias(IDX)).agg(part(0).alias("_short"), part(1).alias("_long"))
+    out = running(df.join(sums, [TRACE, IDX]), _sta=F.col("_short"), _lta=F.col("_long"))
+    ratio = (F.col("_sta") / nsta) / (F.col("_lta") / nlta)
+    return out.withColumn("cft", F.when(F.col(IDX) >= nlta + nsta + 50, ratio).otherwise(0.0)).select(*df.columns, "cft")

@@ -241,7 +241,10 @@ def integrate_cumtrapz(spark, d):
     return rounded(series.integrate(data.samples(spark, d)).drop("x"), 4, "y")
 
 
-@query("SELECT trace, idx, round(CASE WHEN count(*) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7 THEN (sum(x) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) - x) / 6 END, 5) + 0.0 AS y FROM s", SAMPLES)
+@query(
+    "SELECT trace, idx, round(coalesce(y, first_value(y IGNORE NULLS) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), last_value(y IGNORE NULLS) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)), 5) + 0.0 AS y FROM (SELECT trace, idx, CASE WHEN count(*) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) = 7 THEN (sum(x) OVER (PARTITION BY trace ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) - x) / 6 END AS y FROM s)",
+    SAMPLES,
+)
 def smooth(spark, d):
     return rounded(series.smooth(data.samples(spark, d), 3).drop("x"), 5, "y")
 
@@ -429,13 +432,11 @@ def geobounds(spark, d):
 _ARC = "degrees(atan2(sqrt(pow(cos(radians(B.latitude)) * sin(radians(B.longitude - A.longitude)), 2) + pow(cos(radians(A.latitude)) * sin(radians(B.latitude)) - sin(radians(A.latitude)) * cos(radians(B.latitude)) * cos(radians(B.longitude - A.longitude)), 2)), sin(radians(A.latitude)) * sin(radians(B.latitude)) + cos(radians(A.latitude)) * cos(radians(B.latitude)) * cos(radians(B.longitude - A.longitude))))"
 
 
-@query(f"SELECT a.station AS one, b.station AS other, round({_ARC.replace('A.', 'a.').replace('B.', 'b.')}, 6) AS degrees FROM st a JOIN st b ON a.network = b.network AND a.station < b.station", STATIONS)
+@query(f"SELECT * FROM (SELECT a.station AS one, b.station AS other, round({_ARC.replace('A.', 'a.').replace('B.', 'b.')}, 6) AS degrees FROM st a JOIN st b ON a.station < b.station) WHERE degrees <= 10", STATIONS)
 def great_circle_pairs(spark, d):
-    a = data.stations(spark, d)
-    b = a.select("network", *[F.col(c).alias(f"_{c}") for c in ("station", "latitude", "longitude")])
-    pairs = a.join(b, "network").where(F.col("station") < F.col("_station"))
-    away = geodesy.degrees_between(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude"))
-    return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), F.round(away, 6).alias("degrees"))
+    """Stations at most ten degrees apart."""
+    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.0)
+    return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), F.round("degrees", 6).alias("degrees"))
 
 
 _EPOCHS = "ep AS (SELECT p_partkey % 150 AS trace, p_partkey AS epoch, a + (p_partkey // 150) * w AS start, CASE WHEN (p_partkey // 150) % 3 <> 2 THEN a + (p_partkey // 150 + 1) * w END AS stop FROM part, (SELECT min(epoch_us(ts)) AS a, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3 + 1 AS w FROM events))"
@@ -517,7 +518,7 @@ _kernel("detrend_filter_envelope", kernels.polynomial_detrend(1), kernels.sectio
 _kernel("detrend_polynomial", kernels.polynomial_detrend(3))
 _kernel("envelope", kernels.envelope)
 _kernel("instantaneous_frequency", kernels.instantaneous_frequency(100.0))
-_kernel("resample", kernels.fourier_resample(48))
+_kernel("resample", kernels.fourier_resample(64 / 48))
 _kernel("interpolate_lanczos", kernels.lanczos(0.75, 8))
 _kernel("power_density", kernels.power_density(100.0))
 _kernel("konno_ohmachi", kernels.power_density(100.0), kernels.konno_ohmachi(np.fft.rfftfreq(64, 0.01)))
@@ -716,9 +717,7 @@ def rotate_zne_lqt(spark, d):
 
 @query()
 def ellipsoid_pairs(spark, d):
-    a = data.stations(spark, d)
-    b = a.select("network", *[F.col(c).alias(f"_{c}") for c in ("station", "latitude", "longitude")])
-    pairs = a.join(b, "network").where(F.col("station") < F.col("_station"))
+    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.0)
     return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), geodesy.ellipsoid_inverse(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude")).alias("g")).select("one", "other", "g.*")
 
 

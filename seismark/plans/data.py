@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import micros
 
 
+#: Microseconds of a trace that are numbered in one task: a day.
+BLOCK_US = 86_400_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, time: Column, *order: str) -> DataFrame:
+    """``idx`` of each row in its trace: its number within a block of time, plus the rows of the blocks before."""
+    rows = rows.withColumn("_block", F.floor(time / BLOCK_US))
+    counts = rows.groupBy("trace", "_block").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("trace").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("trace", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("trace", "_block").orderBy(*order)
+    return rows.join(base, ["trace", "_block"]).withColumn("idx", F.col("_base") + F.row_number().over(inside) - 1).drop("_block", "_base")
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(trace, idx, x): events of a user in time order."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), "event_id", "ts", F.col("value").alias("x"))
-    order = Window.partitionBy("trace").orderBy("ts", "event_id")
-    return rows.withColumn("idx", F.row_number().over(order).cast("long") - 1).select("trace", "idx", "x")
+    return numbered(rows, micros(F.col("ts")), "ts", "event_id").select("trace", "idx", "x")
 
 
 SAMPLES = "s AS (SELECT user_id AS trace, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS x FROM events)"

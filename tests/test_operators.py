@@ -99,7 +99,7 @@ def test_kernels():
     x = np.sin(2 * np.pi * 5 * np.arange(200) / 100)[None, :]
     assert np.allclose(kernels.envelope(x)[0, 20:-20], 1, atol=1e-6)
     assert np.allclose(kernels.instantaneous_frequency(100.0)(x)[0, 20:-20], 5, atol=0.1)
-    assert np.allclose(kernels.fourier_resample(400)(x)[0, ::2], x[0], atol=1e-9)
+    assert np.allclose(kernels.fourier_resample(0.5, window=False)(x)[0, ::2], x[0], atol=1e-9)
     assert np.allclose(kernels.polynomial_detrend(2)(np.arange(50.0)[None, :] ** 2), 0, atol=1e-6)
     assert np.isclose(kernels.spectral_attributes(100.0)(x)[0, 0], 5)
     filtered = kernels.sections_filter(kernels.butterworth("bandpass", 4, 100.0, 20.0, 30.0))(x)
@@ -132,3 +132,54 @@ def test_weighted_slopes_keep_samples_and_extrema():
     x = np.array([[0.0, 1.0, 3.0, 2.0, 2.0, 5.0]])
     y = kernels.weighted_slopes(0.25)(x)[0]
     assert np.allclose(y[::4], x[0]) and y.max() <= 5 and y[4:13].max() == 3
+
+
+def _triggers(cft, on, off, max_len=None, delete=False):
+    """One sample at a time: a trigger opens at a rise to ``on`` and closes where cft falls under ``off`` or max_len is over."""
+    rises = [i for i, v in enumerate(cft) if v >= on and (i == 0 or cft[i - 1] < on)]
+    out, last = [], -1
+    for i in rises:
+        end = i
+        while end + 1 < len(cft) and cft[end + 1] >= off:
+            end += 1
+        if i <= last:
+            continue
+        if max_len is not None and end - i > max_len:
+            if delete:
+                continue
+            end = i + max_len
+        out.append((i, end))
+        last = end
+    return out
+
+
+@pytest.mark.parametrize("max_len, delete", [(None, False), (3, False), (3, True), (20, False)])
+def test_trigger_lengths(spark, monkeypatch, max_len, delete):
+    monkeypatch.setattr(series, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    cft = np.round(np.abs(np.sin(np.arange(200) / 7) * 2 + rng.normal(0, 0.4, 200)), 3).tolist()
+    frame = spark.createDataFrame([("a", i, v) for i, v in enumerate(cft)], "trace string, idx long, cft double")
+    got = sorted((r.on_idx, r.off_idx) for r in series.trigger_onset(frame, 1.5, 0.7, max_len, delete).collect())
+    assert got == _triggers(cft, 1.5, 0.7, max_len, delete) and got
+
+
+def test_recursive_means_over_many_groups(spark):
+    x = np.random.default_rng(8).normal(0, 1, 3000)
+    frame = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "trace string, idx long, x double")
+    got = {r.idx: r.cft for r in series.recursive_sta_lta(frame, 1, 400).collect()}
+    sta, lta = 0.0, 1e-99
+    for i in range(1, 3000):
+        sta, lta = x[i] ** 2, x[i] ** 2 / 400 + (1 - 1 / 400) * lta
+        assert got[i] == pytest.approx(sta / lta if i >= 400 else 0, rel=1e-9)
+
+
+def test_segments_of_one_sample(spark):
+    every = [kernels.instantaneous_frequency(100.0), kernels.power_density(100.0), kernels.spectral_attributes(100.0), kernels.weighted_slopes(0.75), kernels.band_energies(100.0, 3.0, 6, 2)]
+    assert all(len(kernel(np.ones((2, 1)))) == 2 for kernel in every)
+
+
+def test_bandstop_up_to_nyquist_stops_all_above():
+    t = np.arange(2000) / 100
+    stop = kernels.sections_filter(kernels.butterworth("bandstop", 4, 100.0, 20.0, 60.0))
+    assert np.abs(stop(np.sin(2 * np.pi * 40 * t)[None])[0, 500:]).max() < 0.01
+    assert np.abs(stop(np.sin(2 * np.pi * 5 * t)[None])[0, 500:]).max() == pytest.approx(1, abs=0.01)
