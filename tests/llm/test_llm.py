@@ -425,27 +425,69 @@ def test_quality_classifier_odd(spark, odd, empty):
 # --- 7 top-k
 
 
+def brute_top_k(x, every=50, k=5):
+    want = []
+    for q in (i for i in x if i % every == 0):
+        best = sorted((-int(sum(int(a) * int(b) for a, b in zip(x[q], x[c], strict=True))), c) for c in x if c != q)[:k]
+        want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    return sorted(want)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(7)
     vectors = {i: (rng.standard_normal(8) / 3).astype(np.float32).tolist() for i in range(400)}
     vectors |= {i: vectors[0] for i in range(100, 160)}
     odd = [(900, None), (901, []), (902, [None] * 8), (903, [float("nan")] * 8), (950, [float("inf")] * 8), (None, vectors[0]), (904, [1.0])]
-    frame = spark.createDataFrame([*vectors.items(), *odd], "vec_id long, embedding array<float>").withColumn("score", F.lit("x"))
-    x = {i: np.floor(256 * np.array(v, float)).astype(int) for i, v in vectors.items()}
-    want = []
-    for q in (i for i in x if i % 50 == 0):
-        best = sorted(((-int(x[q] @ x[c]), c) for c in x if c != q))[:5]
-        want += [(q, k, c, -s) for k, (s, c) in enumerate(best, 1)]
-    assert sorted(map(tuple, topk.top_k(frame).collect())) == sorted(want)
+    frame = spark.createDataFrame([*vectors.items(), *odd], "vec_id long, embedding array<float>").withColumn("score", F.lit("x")).withColumn("cell", F.lit("x"))
+    x = {i: np.floor(256 * np.array(v, float)).astype(int).tolist() for i, v in (vectors | {904: [1.0] + [0.0] * 7}).items()}
+    assert sorted(map(tuple, topk.top_k(frame).collect())) == brute_top_k(x)
     assert topk.top_k(frame.limit(0)).count() == 0
+    assert sorted(map(tuple, topk.top_k(frame.where("vec_id IN (0, 3, 50)")).collect())) == brute_top_k({i: x[i] for i in (0, 3, 50)})
+
+
+def test_top_k_over_many_chunks(spark, monkeypatch):
+    """Cells, chunks, blocks of queries, ties and repeated rows."""
+    for name, value in {"POINTS": 64, "QUERIES": 8, "LEAF": 16, "SAMPLE": 500, "CELLS": 5}.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((6, 5))
+    vectors = [(i, np.round(centres[i % 6] + rng.standard_normal(5) / 8, 1).tolist()) for i in range(900)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    x = {i: np.floor(256 * np.array(v)).astype(int).tolist() for i, v in vectors}
+    assert sorted(map(tuple, topk.top_k(frame, every=10).collect())) == brute_top_k(x, 10)
+
+
+def test_top_k_of_large_numbers(spark):
+    vectors = [(0, [2.0**22, 1.0]), (1, [2.0**22, 2.0]), (2, [2.0**21, 3.0]), (3, [2.0**22, -1.0]), (50, [2.0**20 + 1, -(2.0**20)])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(frame).collect())) == brute_top_k({i: [int(256 * y) for y in v] for i, v in vectors})
+    assert topk.products(np.array([[2**31, 3]]), np.array([[2**31, 1], [-(2**40), 0]])).tolist() == [[2**62 + 3, -(2**63) + 1]]
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(8)
+    points = np.floor(rng.standard_normal((3000, 6)) * 50 + rng.integers(0, 5, (3000, 1)) * 200).astype(np.int64)
+    tree = topk.Tree.unpacked(points, *topk.Tree(points).packed())
+    assert sorted(tree.order.tolist()) == list(range(3000))
+    for node, below in enumerate(tree.children):
+        rows = tree.order[tree.start[node] : tree.end[node]]
+        away = np.sqrt(((points[rows] - points[tree.centre[node]]) ** 2).sum(1))
+        assert away.max() <= tree.radius[node] + 1e-9
+        if below:
+            centres = points[[tree.centre[c] for c in below]].astype(float)
+            apart = np.sqrt(((centres[:, None] - centres) ** 2).sum(2))[np.triu_indices(len(below), 1)]
+            assert tree.centre[below[0]] == tree.centre[node] and apart.min() >= max(tree.radius[c] for c in below) - 1e-9
+            assert sum(tree.end[c] - tree.start[c] for c in below) == len(rows)
 
 
 def test_dual_tree_prunes_exactly():
     rng = np.random.default_rng(8)
-    points = np.floor(rng.standard_normal((3000, 6)) * 50 + rng.integers(0, 5, (3000, 1)) * 200).astype(int)
-    score, row = topk.dual_tree(points[:200], points, np.arange(3000), 6)
+    points = np.floor(rng.standard_normal((3000, 6)) * 50 + rng.integers(0, 5, (3000, 1)) * 200).astype(np.int64)
+    search = topk.Search(points[:200], np.full(200, -np.inf), 6)
+    search.walk(points, np.arange(3000), topk.Tree(points))
     exact = -np.sort(-(points[:200] @ points.T), axis=1)[:, :6]
-    assert (score == exact).all() and ((points[:200, None] * points[row]).sum(2) == score).all()
+    assert (search.score == exact).all() and ((points[:200, None] * points[search.row]).sum(2) == exact).all()
+    assert search.pruned
 
 
 # --- 8 licences
