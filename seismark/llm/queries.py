@@ -60,6 +60,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(kind).alias(f"n_{kind}") for kind in pii.BASE],
         F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
         pii.spans_text(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 

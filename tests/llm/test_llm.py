@@ -677,6 +677,33 @@ def test_personal_data_base_spans(spark, docs, texts):
         assert set(spans) <= set(r.spans.split(",")) | {""}
 
 
+def test_added_spans_find_planted_secrets(spark):
+    """All secrets of a whole table and nothing else, though the trees see neither the word nor the sign before them."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    frame = frame.union(spark.createDataFrame([(-1, 'words "8ef5f278dec875d2b96fdf291615913d21aee5ca" and words')], "doc_id long, text string"))
+    secrets = re.compile("(?i)token = \"([0-9a-f]{40})\"")
+    found, planted, extra = 0, 0, 0
+    for r in pii.find_spans(frame).select("doc_id", "text", "added").collect():
+        want, got = {m.span(1) for m in secrets.finditer(r.text or "")}, {(x.start, x.end) for x in r.added}
+        want |= {(7, 47)} if r.doc_id == -1 else set()
+        found, planted, extra = found + len(want & got), planted + len(want), extra + len(got - want)
+        assert r.doc_id != -1 or got == {(7, 47)}
+    print(planted, found, extra)
+    assert planted > 100 and found >= 0.95 * planted and extra <= 0.05 * planted
+
+
+def test_candidates_have_no_length_limit(spark):
+    long = "a" * 300 + "1" * 5000
+    text = f"x {long} y {'12 ' * 4000}z {'n' * 100}@{'m' * 400} GB82 WEST 1234 5698 7654 32 end 1234567 8a"
+    row = spark.createDataFrame([(text,)], "text string").select(*[pii.matches(F.col("text"), kind, pattern).alias(kind) for kind, pattern in pii.CANDIDATES.items()]).first()
+    assert [x.value for x in row.token] == [long]
+    assert [x.value for x in row.address] == ["n" * 100 + "@" + "m" * 400]
+    assert [x.value for x in row.account] == ["GB82 WEST 1234 5698 7654 32"]
+    assert ("12 " * 4000).strip() in [x.value for x in row.number] and "1234567" in [x.value for x in row.number]
+    check = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82 WEST 1234 5698 7654 33",)], "v string").select(pii.account_check(F.col("v"))).collect()
+    assert [r[0] for r in check] == [True, False]
+
+
 def test_redaction(spark, odd, empty):
     rows = spark.createDataFrame([(1, "mail a@b.co, call +1 (555) 123-4567!"), (2, None), (3, "\U0001f600 1.2.3.4")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
