@@ -8,15 +8,19 @@ windows have equal anchors. A window without any is its own anchor.
 
 Spark counts anchors, and only windows whose anchor stands at two places or more are named by their own hash, of which the
 first occurrence is found. So the rows that are shuffled are about one in seven words, plus the repeated windows.
+Consecutive windows that repeat the same place make one passage, and a passage goes only if its words and those of the place
+it repeats have the same 128-bit cryptographic digest; whole texts that repeat are found by SHA-256.
 
-Defined cases: null and empty texts have no words and nothing is removed; a null doc_id comes before all others; rows that
-share a doc_id are judged by the places found in any of them, equal rows alike; an empty table gives an empty result;
-other columns are ignored.
+Defined cases: null and empty texts have no words and nothing is removed; very long texts are searched whole, and ties
+between places go to the smaller doc_id, then the earlier start; a null doc_id comes before all others; rows that share a
+doc_id are judged by the places found in any of them, equal rows alike; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +155,7 @@ def _anchor_rows(window: int, rounds: int):
 
 
 def _window_rows(window: int, rounds: int):
-    """(high, low, doc, start) of each text's windows with a repeated anchor; ``again``: a later one of the same text."""
+    """(high, low, doc, start) of each text's windows with a repeated anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -165,12 +169,6 @@ def _window_rows(window: int, rounds: int):
             hit = np.isin(mark(owner, key), mark(np.repeat(np.arange(batch.num_rows), counts), held))
             starts, owner = starts[hit], owner[hit]
             name = span_hashes(words.hashes, starts, starts + window)
-            order = np.lexsort((starts, name, owner))
-            starts, owner, name = starts[order], owner[order], name[order]
-            again = np.zeros(len(name), bool)
-            again[1:] = (name[1:] == name[:-1]) & (owner[1:] == owner[:-1])
-            order = np.argsort(starts, kind="stable")
-            starts, owner, name, again = starts[order], owner[order], name[order], again[order]
             check = np.zeros(len(starts), np.uint64)
             for j, factor in enumerate(odd_factors(window, 5)):
                 check += (words.hashes[starts + j] ^ np.uint64(0x5851F42D4C957F2D)) * factor
@@ -181,30 +179,63 @@ def _window_rows(window: int, rounds: int):
                     "low": pa.array((mix(check, 12) >> np.uint64(33)).astype(np.int32)),
                     "doc": pa.array(docs[owner]),
                     "start": pa.array((starts - words.first[owner]).astype(np.int32)),
-                    "again": pa.array(again),
                 }
             )
 
     return run
 
 
+_PASSAGES = "doc long, at int, size int, source long, source_at int"
+
+
+def _passages(window: int):
+    """Rows of _PASSAGES from each document's repeated windows (places: start, source, source_at): maximal runs of them, in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("places")
+            doc = np.repeat(batch.column("doc").to_numpy(), lists.value_lengths().to_numpy())
+            start, source, at = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+            order = np.lexsort((start, at - start, source, doc))
+            doc, start, source, at = doc[order], start[order], source[order], at[order]
+            fresh = np.ones(len(doc), bool)
+            fresh[1:] = (doc[1:] != doc[:-1]) | (source[1:] != source[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(fresh)
+            size = np.diff(np.append(first, len(doc))) + window - 1
+            yield pa.record_batch({"doc": pa.array(doc[first]), "at": pa.array(start[first], pa.int32()), "size": pa.array(size, pa.int32()), "source": pa.array(source[first]), "source_at": pa.array(at[first], pa.int32())})
+
+    return run
+
+
+def _digest(words: list[bytes], at: int, size: int) -> bytes:
+    return blake2b(b" ".join(words[at : at + size]), digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, source_at, size, digest) of the asked stretches (asked: at, size) of each text."""
+    for batch in slices(batches):
+        rows = []
+        for source, text, asked in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+            words = (text or "").encode().split()
+            rows += [(source, x["at"], x["size"], _digest(words, x["at"], x["size"])) for x in asked if x["at"] + x["size"] <= len(words)]
+        source, at, size, digest = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.record_batch({"source": pa.array(source, pa.int64()), "source_at": pa.array(at, pa.int32()), "size": pa.array(size, pa.int32()), "digest": pa.array(digest, pa.binary())})
+
+
 def _kept_rows(window: int):
-    """doc_id, the kept words joined by a blank, n_words and n_removed; starts: the removed windows; whole: all of them."""
+    """doc_id, the kept words joined by a blank, n_words and n_removed; passages: what repeats, if its digest agrees; whole: all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts, counts, removed = [], [], []
-            for text, starts, whole in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("whole").to_pylist(), strict=True):
+            for text, passages, whole in zip(batch.column("text").to_pylist(), batch.column("passages").to_pylist(), batch.column("whole").to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
+                gone = np.zeros(len(words), bool)
                 if whole and len(words) >= window:
-                    gone[:] = 1
-                elif starts:
-                    at = np.array([s for s in starts if s + window <= len(words)], np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
-                    gone = np.cumsum(gone)
-                gone = gone[:-1] > 0
+                    gone[:] = True
+                for x in () if whole else passages or ():
+                    if x["at"] + x["size"] <= len(words) and x["digest"] == _digest(words, x["at"], x["size"]):
+                        gone[x["at"] : x["at"] + x["size"]] = True
                 counts.append(len(words))
                 removed.append(int(gone.sum()))
                 texts.append(b" ".join(np.array(words, object)[~gone].tolist() if removed[-1] else words))
@@ -227,23 +258,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     """
     first_id = -(1 << 63)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(first_id)))
-    named = plain.select("doc", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), F.col("text")).alias("b"), F.length("text").alias("c"))
-    least = named.groupBy("a", "b", "c").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("a", "b", "c", "least")
-    copies = written(named.join(least, ["a", "b", "c"]).where("doc > least").select("doc").distinct())
+    named = plain.where("text IS NOT NULL").select("doc", F.sha2("text", 256).alias("sha"))
+    least = named.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sha", "least")
+    copies = written(named.join(least, "sha").where("doc > least").select("doc").distinct())
     own = _without(plain, copies)
     rows = own.select("doc", "text").mapInArrow(_anchor_rows(window, rounds), "key long, doc long, n long")
     repeated = rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     hits = written(rows.select("key", "doc").join(repeated, "key").groupBy("doc").agg(F.collect_list("key").alias("keys")))
     searched = _among(own.select("doc", "text"), hits).join(hits, "doc")
-    windows = written(searched.select("doc", "text", "keys").mapInArrow(_window_rows(window, rounds), "high long, low int, doc long, start int, again boolean"))
-    fresh = windows.where("not again")
+    windows = written(searched.select("doc", "text", "keys").mapInArrow(_window_rows(window, rounds), "high long, low int, doc long, start int"))
     place = F.struct("doc", "start")
-    firsts = fresh.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
-    later = fresh.join(firsts, ["high", "low"]).where(place != F.col("first")).select("doc", "start").union(windows.where("again").select("doc", "start"))
-    removed = later.groupBy("doc").agg(F.collect_set("start").alias("starts")).withColumn("whole", F.lit(False))
-    removed = written(removed.union(copies.select("doc", F.array().cast("array<int>"), F.lit(True))))
-    cut = _among(plain, removed).join(removed, "doc").select("doc_id", "text", "starts", "whole")
-    clean = _without(plain, removed).select("doc_id", "text", F.array().cast("array<int>").alias("starts"), F.lit(False).alias("whole"))
+    firsts = windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    later = windows.join(firsts, ["high", "low"]).where(place != F.col("first"))
+    places = later.groupBy("doc").agg(F.collect_list(F.struct("start", F.col("first.doc").alias("source"), F.col("first.start").alias("source_at"))).alias("places"))
+    passages = written(places.mapInArrow(_passages(window), _PASSAGES))
+    stretch = ["source", "source_at", "size"]
+    asked = passages.select(*stretch).distinct().groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct(F.col("source_at").alias("at"), "size")).alias("asked"))
+    asked = written(asked)
+    digests = _among(own.select("doc", "text"), asked).join(asked, "doc").mapInArrow(_digests, "source long, source_at int, size int, digest binary")
+    checked = passages.join(digests, stretch).groupBy("doc").agg(F.collect_list(F.struct("at", "size", "digest")).alias("passages"))
+    none = F.array().cast("array<struct<at:int,size:int,digest:binary>>")
+    removed = written(checked.withColumn("whole", F.lit(False)).union(copies.select("doc", none, F.lit(True))))
+    cut = _among(plain, removed).join(removed, "doc").select("doc_id", "text", "passages", "whole")
+    clean = _without(plain, removed).select("doc_id", "text", none.alias("passages"), F.lit(False).alias("whole"))
     schema = "doc_id long, text string, n_words long, n_removed long"
     return cut.mapInArrow(_kept_rows(window), schema).union(clean.mapInArrow(_kept_rows(window), schema))
 
