@@ -155,7 +155,7 @@ def _anchor_rows(window: int, rounds: int):
 
 
 def _window_rows(window: int, rounds: int):
-    """(high, low, doc, start) of each text's windows with a repeated anchor."""
+    """(high, low, doc, start) of each text's windows with a repeated anchor; earlier: where the same text has the window first, or -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -169,6 +169,12 @@ def _window_rows(window: int, rounds: int):
             hit = np.isin(mark(owner, key), mark(np.repeat(np.arange(batch.num_rows), counts), held))
             starts, owner = starts[hit], owner[hit]
             name = span_hashes(words.hashes, starts, starts + window)
+            order = np.lexsort((starts, name, owner))
+            again = np.zeros(len(name), bool)
+            again[1:] = (name[order[1:]] == name[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+            group = np.flatnonzero(~again)[np.cumsum(~again) - 1] if len(name) else order
+            earlier = np.full(len(name), -1)
+            earlier[order] = np.where(again, starts[order[group]] - words.first[owner[order]], -1)
             check = np.zeros(len(starts), np.uint64)
             for j, factor in enumerate(odd_factors(window, 5)):
                 check += (words.hashes[starts + j] ^ np.uint64(0x5851F42D4C957F2D)) * factor
@@ -179,6 +185,7 @@ def _window_rows(window: int, rounds: int):
                     "low": pa.array((mix(check, 12) >> np.uint64(33)).astype(np.int32)),
                     "doc": pa.array(docs[owner]),
                     "start": pa.array((starts - words.first[owner]).astype(np.int32)),
+                    "earlier": pa.array(earlier.astype(np.int32)),
                 }
             )
 
@@ -266,10 +273,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     repeated = rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     hits = written(rows.select("key", "doc").join(repeated, "key").groupBy("doc").agg(F.collect_list("key").alias("keys")))
     searched = _among(own.select("doc", "text"), hits).join(hits, "doc")
-    windows = written(searched.select("doc", "text", "keys").mapInArrow(_window_rows(window, rounds), "high long, low int, doc long, start int"))
+    windows = written(searched.select("doc", "text", "keys").mapInArrow(_window_rows(window, rounds), "high long, low int, doc long, start int, earlier int"))
     place = F.struct("doc", "start")
-    firsts = windows.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
-    later = windows.join(firsts, ["high", "low"]).where(place != F.col("first"))
+    # windows that a text repeats itself have their source in it; only its first ones meet those of other texts
+    fresh = windows.where("earlier < 0")
+    firsts = fresh.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first")
+    later = fresh.join(firsts, ["high", "low"]).where(place != F.col("first")).select("doc", "start", "first")
+    later = later.union(windows.where("earlier >= 0").select("doc", "start", F.struct("doc", F.col("earlier").alias("start"))))
     places = later.groupBy("doc").agg(F.collect_list(F.struct("start", F.col("first.doc").alias("source"), F.col("first.start").alias("source_at"))).alias("places"))
     passages = written(places.mapInArrow(_passages(window), _PASSAGES))
     stretch = ["source", "source_at", "size"]
