@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi, radians, sin
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,12 @@ def in_bounds(
 
 
 def near_pairs(points: DataFrame, key: str, degrees: float) -> DataFrame:
-    """Pairs of rows (``key`` < ``_key``, with all columns of both) at most ``degrees`` of arc apart.
+    """Pairs of rows of a table (``key`` < ``_key``) at most ``degrees`` of arc apart."""
+    return near_join(points, points, degrees).where(F.col(key) < F.col(f"_{key}"))
+
+
+def near_join(points: DataFrame, others: DataFrame, degrees: float) -> DataFrame:
+    """Rows of two tables, with all columns of both (the others' named _), at most ``degrees`` of arc apart.
 
     Points become unit vectors in a grid whose cells are as wide as the chord of that arc, so partners lie in the 27 cells
     around; the join is one of equal cells, and its work grows with the pairs that are near.
@@ -86,9 +92,9 @@ def near_pairs(points: DataFrame, key: str, degrees: float) -> DataFrame:
     one = points.select("*", *cell)
     for i in range(3):
         one = one.withColumn("_d", F.explode(around)).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_d")).drop("_d")
-    other = points.select(*[F.col(c).alias(f"_{c}") for c in points.columns], *cell)
+    other = others.select(*[F.col(c).alias(f"_{c}") for c in others.columns], *cell)
     away = degrees_between(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude"))
-    pairs = one.join(other, ["_c0", "_c1", "_c2"]).where(F.col(key) < F.col(f"_{key}"))
+    pairs = one.join(other, ["_c0", "_c1", "_c2"])
     return pairs.withColumn("degrees", away).where(F.col("degrees") <= degrees).drop("_c0", "_c1", "_c2")
 
 
@@ -139,3 +145,22 @@ def ellipsoid_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, a:
         )
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)
+
+
+def rotate_ne_rt(n: Column, e: Column, back_azimuth: Column) -> tuple[Column, Column]:
+    """Radial and transverse; with 360 degrees less the back azimuth, north and east from those."""
+    return -e * F.sin(back_azimuth) - n * F.cos(back_azimuth), -e * F.cos(back_azimuth) + n * F.sin(back_azimuth)
+
+
+def rotate_lqt_zne(l: Column, q: Column, t: Column, back_azimuth: Column, incidence: Column) -> tuple[Column, Column, Column]:  # noqa: E741
+    """Ray components back to vertical, north and east; angles in radians."""
+    flat = q * F.cos(incidence) - l * F.sin(incidence)
+    return l * F.cos(incidence) + q * F.sin(incidence), flat * F.cos(back_azimuth) + t * F.sin(back_azimuth), flat * F.sin(back_azimuth) - t * F.cos(back_azimuth)
+
+
+def rotate_to_zne(components: list[Column], directions: list[tuple[float, float]]) -> list[Column]:
+    """Vertical, north and east from three components with (azimuth, dip) in degrees; they must not lie in a plane."""
+    base = np.array([[-np.sin(dip), np.cos(azimuth) * np.cos(dip), np.sin(azimuth) * np.cos(dip)] for azimuth, dip in np.radians(directions)])
+    if not 1e-6 < abs(np.linalg.det(base)) < 1e6:
+        raise ValueError("the directions are not linearly independent")
+    return [sum((float(w) * c for w, c in zip(row[1:], components[1:], strict=True)), float(row[0]) * components[0]) for row in np.linalg.inv(base)]

@@ -44,3 +44,34 @@ def next_power_of_two(n: Column) -> Column:
 
 def round_half_away(x: Column, digits: int = 0) -> Column:
     return F.round(x, digits)
+
+
+def parse_instant(value: Column) -> Column:
+    """Timestamp of a calendar (2010-02-03), ordinal (2010-034) or week date (2010-W05-3), with T and a time of day or without."""
+    date, clock = F.split_part(value, F.lit("T"), F.lit(1)), F.split_part(value, F.lit("T"), F.lit(2))
+    year = F.left(date, F.lit(4)).cast("int")
+    ordinal = F.date_add(F.make_date(year, F.lit(1), F.lit(1)), F.substring(date, 6, 3).cast("int") - 1)
+    fourth = F.make_date(year, F.lit(1), F.lit(4))  # the 4th of January lies in week 1
+    week = F.date_add(fourth, (F.substring(date, 7, 2).cast("int") - 1) * 7 + F.substring(date, 10, 1).cast("int") - 1 - F.weekday(fourth))
+    day = F.when(date.rlike("^[0-9]{4}-[0-9]{3}$"), ordinal).when(date.rlike("^[0-9]{4}-W[0-9]{2}-[1-7]$"), week).when(date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(date))
+    parts = F.split(F.when(clock == "", F.lit("0")).otherwise(clock), ":")
+    part = lambda i: F.coalesce(F.get(parts, i).cast("decimal(20,6)"), F.lit(0))
+    seconds = part(0) * 3600 + part(1) * 60 + part(2)
+    return F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + (seconds * 1000000).cast("long"))
+
+
+# The usual sampling rate of each band code of a channel.
+BAND_RATES = {"F": 1000.0, "G": 1000.0, "D": 250.0, "C": 250.0, "E": 80.0, "S": 10.0, "H": 80.0, "B": 10.0, "M": 1.0, "L": 1.0, "V": 0.1, "U": 0.01, "R": 0.0001, "P": 1e-6, "T": 1e-7, "Q": 1e-8}
+
+
+def band_delta(channel: Column) -> Column:
+    """Seconds between samples that a channel code suggests; 0 where it says nothing."""
+    rates = F.create_map(*[F.lit(x) for kv in BAND_RATES.items() for x in kv])
+    return F.coalesce(1 / F.try_element_at(rates, F.left(channel, F.lit(1))), F.lit(0.0))
+
+
+def power_of_two(n: Column, which: str) -> Column:
+    """The previous, next or nearest (of equally near, the previous) power of two of a positive integer."""
+    low = F.pow(F.lit(2.0), F.length(F.bin(n.cast("long"))) - 1).cast("long")
+    high = F.when(low == n, low).otherwise(low * 2)
+    return {"previous": low, "next": high}.get(which, F.when(high - n < n - low, high).otherwise(low))

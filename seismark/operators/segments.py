@@ -107,3 +107,12 @@ def epoch_join(events: DataFrame, epochs: DataFrame, key: str, at: str, bucket:
 def active(start: Column, end: Column, time: Column) -> Column:
     """Closed test of a time against an epoch with open ends."""
     return (start.isNull() | (start <= time)) & (end.isNull() | (end >= time))
+
+
+def archive_files(paths: DataFrame) -> DataFrame:
+    """Codes and day of daily files named .../network.station.location.channel.D.year.day; other paths give no row."""
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = F.split(name, "[.]")
+    day = F.date_add(F.make_date(F.get(parts, 5).cast("int"), F.lit(1), F.lit(1)), F.get(parts, 6).cast("int") - 1)
+    codes = [F.get(parts, i).alias(c) for i, c in enumerate(("network", "station", "location", "channel"))]
+    return paths.where(name.rlike(r"^[^.]*[.][^.]*[.][^.]*[.][^.]*[.][A-Z][.][0-9]{4}[.][0-9]{3}$")).select("path", *codes, day.alias("day"))

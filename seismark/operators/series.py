@@ -6,7 +6,7 @@ operators that need a whole trace's figure take it from a pre-aggregated table t
 
 from __future__ import annotations
 
-from math import ceil, log
+from math import ceil, log, pi
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -296,3 +296,46 @@ def delayed_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
     out = running(df.join(sums, [TRACE, IDX]), _sta=F.col("_short"), _lta=F.col("_long"))
     ratio = (F.col("_sta") / nsta) / (F.col("_lta") / nlta)
     return out.withColumn("cft", F.when(F.col(IDX) >= nlta + nsta + 50, ratio).otherwise(0.0)).select(*df.columns, "cft")
+
+
+def interpolate(df: DataFrame, start: float, step: float, method: str = "linear") -> DataFrame:
+    """(trace, k, y) at places start + k step within the trace: on the line between the samples around, or the nearest sample.
+
+    Every sample gives the places up to the next one, so neither a grid nor a join is needed.
+    """
+    ahead = moving(df, 0, 1, _next=lambda rows: F.when(F.count("*").over(rows(0, 1)) == 2, F.last(X).over(rows(0, 1))))
+    first = F.greatest(F.ceil((F.col(IDX) - start) / step), F.lit(0))
+    last = F.when(F.col("_next").isNull(), F.floor((F.col(IDX) - start) / step)).otherwise(F.ceil((F.col(IDX) + 1 - start) / step) - 1)
+    places = ahead.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k"))
+    part = start + F.col("k") * step - F.col(IDX)
+    line = F.when(F.col("_next").isNull() | (part == 0), F.col(X)).otherwise(F.col(X) + (F.col("_next") - F.col(X)) * part)
+    near = F.when(F.col("_next").isNull() | (part < 0.5), F.col(X)).otherwise(F.col("_next"))
+    return places.select(TRACE, "k", (line if method == "linear" else near).alias("y"))
+
+
+def taper(df: DataFrame, kind: str = "hann", max_percentage: float | None = 0.05, max_length: int | None = None, side: str = "both") -> DataFrame:
+    """Flanks of a symmetric window at the ends of a trace; the shorter of a share and a number of samples, at most half of it."""
+    sizes = df.groupBy(TRACE).agg((F.max(IDX) + 1).alias("_n"))
+    limits = [F.floor(F.col("_n") * max_percentage)] if max_percentage is not None else []
+    limits += [F.lit(max_length).cast("long")] if max_length is not None else []
+    half = F.floor(F.col("_n") / 2)
+    flank = F.least(*limits, half) if limits else half
+    out = df.join(sizes, TRACE).withColumn("_flank", flank)
+    # an even trace that is all flank takes an even window, others an odd one
+    size = F.when(2 * F.col("_flank") == F.col("_n"), 2 * F.col("_flank")).otherwise(2 * F.col("_flank") + 1)
+    shapes = {
+        "hann": lambda i: 0.5 - 0.5 * F.cos(2 * pi * i / (size - 1)),
+        "hamming": lambda i: 0.54 - 0.46 * F.cos(2 * pi * i / (size - 1)),
+        "cosine": lambda i: F.sin(pi * (i + 0.5) / size),
+        "triang": lambda i: F.when(size % 2 == 1, 2 * (i + 1) / (size + 1)).otherwise((2 * i + 1) / size),
+    }
+    left, right = F.col(IDX), F.col("_n") - 1 - F.col(IDX)
+    at = {"left": left, "right": right, "both": F.least(left, right)}[side]
+    return out.withColumn("y", F.when(at < F.col("_flank"), F.col(X) * shapes[kind](at.cast("double"))).otherwise(F.col(X))).drop("_n", "_flank")
+
+
+def frames(df: DataFrame, length: int, step: int) -> DataFrame:
+    """(window, trace, idx, y): full frames of a trace, each minus its mean."""
+    cut = slide(df, length, step)
+    means = cut.groupBy(TRACE, "window").agg(F.avg(X).alias("_mean"))
+    return cut.join(means, [TRACE, "window"]).withColumn("y", F.col(X) - F.col("_mean")).drop("_mean", X)

@@ -1,11 +1,9 @@
-"""All registered queries by name, and the DuckDB SQL of those that have a twin."""
+"""The registered queries and their DuckDB twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, text
@@ -13,32 +11,13 @@ from ..operators import catalog, correlation, kernels, segments, series
 from ..operators import spectra_histogram as ppsd
 from ..sources import sac, tables, text_series
 from ..streaming import processes
-from . import data
+from . import data, more  # noqa: F401 - more registers queries of its own
 from .data import DAYS, QUAKES, SAMPLES, STATIONS, TIMED, VECTORS
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .registry import ORACLES, QUERIES, query, rounded
 
 DAY_US = 86_400_000_000
 
 
-def query(oracle: str | None = None, *views: str):
-    """Registers a query under its function's name, with its DuckDB twin over the named views."""
-
-    def register(make: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[make.__name__] = make
-        if oracle:
-            ORACLES[make.__name__] = (f"WITH {', '.join(views)} " if views else "") + oracle
-        return make
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Rounded, without negative zeros."""
-    return df.withColumns({c: F.round(F.col(c), digits) + 0.0 for c in columns})
-
-
 # --- selection, slicing, windowing
 
 
@@ -432,10 +411,10 @@ def geobounds(spark, d):
 _ARC = "degrees(atan2(sqrt(pow(cos(radians(B.latitude)) * sin(radians(B.longitude - A.longitude)), 2) + pow(cos(radians(A.latitude)) * sin(radians(B.latitude)) - sin(radians(A.latitude)) * cos(radians(B.latitude)) * cos(radians(B.longitude - A.longitude)), 2)), sin(radians(A.latitude)) * sin(radians(B.latitude)) + cos(radians(A.latitude)) * cos(radians(B.latitude)) * cos(radians(B.longitude - A.longitude))))"
 
 
-@query(f"SELECT * FROM (SELECT a.station AS one, b.station AS other, round({_ARC.replace('A.', 'a.').replace('B.', 'b.')}, 6) AS degrees FROM st a JOIN st b ON a.station < b.station) WHERE degrees <= 10", STATIONS)
+@query(f"SELECT * FROM (SELECT a.station AS one, b.station AS other, round({_ARC.replace('A.', 'a.').replace('B.', 'b.')}, 6) AS degrees FROM st a JOIN st b ON a.station < b.station) WHERE degrees <= 10.3", STATIONS)
 def great_circle_pairs(spark, d):
-    """Stations at most ten degrees apart."""
-    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.0)
+    """Stations at most 10.3 degrees apart."""
+    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.3)
     return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), F.round("degrees", 6).alias("degrees"))
 
 
@@ -717,7 +696,7 @@ def rotate_zne_lqt(spark, d):
 
 @query()
 def ellipsoid_pairs(spark, d):
-    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.0)
+    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.3)
     return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), geodesy.ellipsoid_inverse(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude")).alias("g")).select("one", "other", "g.*")
 
 

@@ -17,6 +17,14 @@ STATE = "last long, numbers array<double>"
 Process = Callable[[np.ndarray, list[float]], tuple[np.ndarray, list[float]]]
 
 
+def scale(factor: float) -> Process:
+    return lambda x, state: (x * factor, state)
+
+
+def offset(shift: float) -> Process:
+    return lambda x, state: (x + shift, state)
+
+
 def integrate(dt: float) -> Process:
     """Running sum of rectangles."""
 
