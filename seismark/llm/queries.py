@@ -76,7 +76,47 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_packing": op1_packing, "op2_near_duplicates": op2_near_duplicates, "op3_mixing": op3_mixing, "op4_substring_dedup": op4_substring_dedup, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_top_k": op7_top_k, "op8_licences": op8_licences, "op9_pii": op9_pii, "op10_language_id": op10_language_id}
+_WORDS = r"w AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS ws FROM documents)"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES: dict[str, str] = {
+    "op2_near_duplicates": f"""
+        WITH RECURSIVE {_WORDS.format(text=_LOWER)}, s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 3], ' ') END AS shingle
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        links AS (
+            SELECT p.u AS u, p.v AS v FROM (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2) p
+            JOIN n a ON a.doc_id = p.u JOIN n b ON b.doc_id = p.v WHERE 100 * shared >= 80 * (a.n + b.n - shared)
+        ), r(u, v) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.u, links.v FROM r JOIN links ON links.u = r.v),
+        c AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY 1)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept FROM w JOIN c ON c.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+    """,
+    "op4_substring_dedup": f"""
+        WITH {_WORDS.format(text="coalesce(text, '')")},
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS key FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+        later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY key ORDER BY doc_id, i) AS place FROM k) WHERE place > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM later),
+        each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+        left_over AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) FILTER (gone.pos IS NULL) AS kept, count(gone.pos) AS n_removed FROM each e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.pos = e.pos GROUP BY 1)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN left_over l ON l.doc_id = w.doc_id
+    """,
+    "op5_quality_rules": rf"""
+        WITH {_WORDS.format(text="coalesce(text, '')")},
+        h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM (SELECT doc_id, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3))),
+        repeated AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS pos FROM h WHERE n > 1) GROUP BY 1),
+        line AS (SELECT doc_id, source, regexp_extract_all(translate(lower(l), '123456789', '000000000'), '[^ 	-]+') AS lw FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS l FROM w)),
+        keyed AS (SELECT doc_id, source, array_to_string(lw, ' ') AS key, len(lw) AS n FROM line WHERE len(lw) > 0),
+        host AS (SELECT source, count(DISTINCT doc_id) AS documents FROM w GROUP BY 1),
+        frequent AS (SELECT k.source, key FROM keyed k JOIN host ON host.source IS NOT DISTINCT FROM k.source GROUP BY k.source, key, documents HAVING count(DISTINCT doc_id) > 5 AND count(DISTINCT doc_id) > 0.01 * documents),
+        lost AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM keyed k JOIN frequent f ON f.source IS NOT DISTINCT FROM k.source AND f.key = k.key GROUP BY 1),
+        b AS (
+            SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                   CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ 	-]')))) AS BIGINT) AS n_dup_lines,
+                   coalesce(r.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS removed_words
+            FROM w LEFT JOIN repeated r ON r.doc_id = w.doc_id LEFT JOIN lost ON lost.doc_id = w.doc_id
+        ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+        SELECT *, NOT base_failed AND 2 * removed_words <= n_words AS kept FROM f
+    """,
     "op7_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
