@@ -323,12 +323,12 @@ def preview_minmax(spark, d):
 
 
 @query(
-    "SELECT trace, count(*) AS samples, min(x) AS sample_min, max(x) AS sample_max, round(avg(x), 6) AS sample_mean, round(quantile_cont(x, 0.5), 6) AS sample_median, round(quantile_cont(x, 0.25), 6) AS sample_lower_quartile, round(quantile_cont(x, 0.75), 6) AS sample_upper_quartile, round(sqrt(avg(x * x)), 6) AS sample_rms, round(stddev_pop(x), 6) AS sample_stdev FROM s GROUP BY 1",
+    "SELECT trace, count(*) AS samples, min(x) AS sample_min, max(x) AS sample_max, round(avg(x), 9) AS sample_mean, round(quantile_cont(x, 0.5), 6) AS sample_median, round(quantile_cont(x, 0.25), 6) AS sample_lower_quartile, round(quantile_cont(x, 0.75), 6) AS sample_upper_quartile, round(sqrt(avg(x * x)), 6) AS sample_rms, round(stddev_pop(x), 6) AS sample_stdev FROM s GROUP BY 1",
     SAMPLES,
 )
 def quality_metrics(spark, d):
     out = series.statistics(data.samples(spark, d))
-    return rounded(out, 6, "sample_mean", "sample_median", "sample_lower_quartile", "sample_upper_quartile", "sample_rms", "sample_stdev")
+    return rounded(rounded(out, 9, "sample_mean"), 6, "sample_median", "sample_lower_quartile", "sample_upper_quartile", "sample_rms", "sample_stdev")
 
 
 @query("SELECT label, idx, round(avg(x), 7) + 0.0 AS y FROM v GROUP BY 1, 2", VECTORS)
