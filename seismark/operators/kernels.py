@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import BLOCK, with_halo
+
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
@@ -97,6 +100,31 @@ def sections_filter(sections: np.ndarray, zero_phase: bool = False) -> Kernel:
     return lambda x: once(once(x)[:, ::-1])[:, ::-1] if zero_phase else once(x)
 
 
+#: The share of a filter's response that no longer counts, and how many samples a block may warm up for its own ones.
+FADED, WARM_SHARE = 1e-18, 4
+
+
+def filter_blocks(df: DataFrame, sections: np.ndarray, block: int = BLOCK) -> DataFrame:
+    """(trace, idx, y): second-order sections over traces of any length.
+
+    A block starts with zero state some samples early; the slowest pole tells after how many the start has faded, so every
+    block gives what the whole trace would give, and no task holds more than a block and its halo.
+    """
+    slowest = max(np.abs(np.roots(r)).max() for r in sections[:, 3:])
+    # cascaded sections with like poles fade as a power of n times the pole's power, hence the factor
+    warm = 1 if slowest == 0 else ceil(1.5 * log(FADED) / log(min(slowest, 1 - 1e-9)))
+    run = sections_filter(sections)
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        y = run(rows["x"].to_numpy(float)[None, :])[0]
+        return rows[["trace", "idx"]].assign(y=y)[rows["_own"].to_numpy(bool)]
+
+    halo = with_halo(df.select("trace", "idx", "x"), warm, 0, max(block, WARM_SHARE * warm))
+    types = dict(df.dtypes)
+    return halo.groupBy("trace", "_block").applyInPandas(work, f"trace {types['trace']}, idx {types['idx']}, y double")
+
+
 def _analytic(x: np.ndarray) -> np.ndarray:
     n = x.shape[1]
     gain = np.zeros(n)
@@ -122,6 +150,32 @@ def instantaneous_frequency(rate: float) -> Kernel:
     return run
 
 
+def instantaneous_bandwidth(rate: float) -> Kernel:
+    """Size of the envelope's change over the envelope; central differences, edges repeated."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        a = np.pad(envelope(x), ((0, 0), (1, 1)), mode="edge")
+        return np.abs(a[:, 2:] - a[:, :-2]) * rate / (4 * np.pi * np.maximum(a[:, 1:-1], 1e-30))
+
+    return run
+
+
+def centroid(x: np.ndarray) -> np.ndarray:
+    """The share of a segment after which half of the area below the envelope is reached; one figure each, NaN below 3 samples.
+
+    As in the definition that is matched here, the part of a sample is taken as (half - sample) / area before it.
+    """
+    n = x.shape[1]
+    if n < 3:
+        return np.full((len(x), 1), np.nan)
+    area = np.cumsum(envelope(x), 1)
+    half = area[:, -1:] / 2
+    k = np.argmax(area[:, 1 : n - 1] >= half, 1)[:, None] + 1  # from the second sample on, as the definition scans
+    before, at = np.take_along_axis(area, k - 1, 1), np.take_along_axis(area, k, 1)
+    found = at >= half
+    return np.where(found, (k + 1 + (half - (at - before)) / before) / n, 0.0)
+
+
 def polynomial_detrend(order: int) -> Kernel:
     def run(x: np.ndarray) -> np.ndarray:
         basis = np.polynomial.chebyshev.chebvander(np.linspace(-1, 1, x.shape[1]), order)
@@ -231,17 +285,6 @@ def deconvolve(poles: list[complex], zeros: list[complex], gain: float, rate: fl
     return run
 
 
-def peak_motion(rate: float) -> Kernel:
-    """Largest absolute acceleration, velocity and displacement of segments of acceleration."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        integral = lambda a: np.concatenate([np.zeros((len(a), 1)), np.cumsum((a[:, 1:] + a[:, :-1]) / (2 * rate), 1)], 1)
-        velocity = integral(x)
-        return np.stack([np.abs(a).max(1) for a in (x, velocity, integral(velocity))], 1)
-
-    return run
-
-
 def polarization(x: np.ndarray) -> np.ndarray:
     """From three equal thirds E, N, Z: azimuth, incidence, rectilinearity, planarity of the covariance's axes."""
     n = x.shape[1] // 3

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from math import ceil, log, pi
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,26 +154,71 @@ def trigger_onset(df: DataFrame, on: float, off: float, max_len: int | None = No
     return listed.select(TRACE, F.explode(taken).alias("on_idx"), "_last").select(TRACE, "on_idx", F.least("_last", F.col("on_idx") + max_len).alias("off_idx"))
 
 
+#: Triggers that a range of time should hold.
+RANGE_ROWS = 100_000
+
+
+def _chains(triggers: DataFrame, extension: int = 0) -> DataFrame:
+    """Triggers (_a, _z, ...) with ``_chain``: the start of their run of triggers without a pause longer than ``extension``.
+
+    Triggers are dealt to ranges of start time, as many as their number asks for. The greatest end before a range and the
+    last chain that was open there come from one row per range, so no task sees all triggers.
+    """
+    edges = triggers.agg(F.min("_a").alias("_lo"), F.max("_a").alias("_hi"), F.ceil(F.count("*") / RANGE_ROWS).alias("_n"))
+    edges = edges.select("_lo", F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1)))).alias("_width"))
+    dealt = triggers.crossJoin(F.broadcast(edges)).withColumn("_range", F.floor((F.col("_a") - F.col("_lo")) / F.col("_width"))).drop("_lo", "_width")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = dealt.groupBy("_range").agg(F.max("_z").alias("_last")).select("_range", F.max("_last").over(before).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy("_a", "_z", "_s")
+    reach = F.greatest(F.col("_before"), F.max("_z").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    out = dealt.join(carried, "_range").withColumn("_reach", reach)
+    out = out.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("_a") > F.col("_reach") + extension), F.col("_a")))
+    opened = out.groupBy("_range").agg(F.max("_opens").alias("_open")).select("_range", F.max("_open").over(before).alias("_open"))
+    chain = F.coalesce(F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    return out.join(opened, "_range").withColumn("_chain", chain).select(*triggers.columns, "_chain")
+
+
 def coincidences(triggers: DataFrame, start: str, end: str, station: str, least: int) -> DataFrame:
-    """Groups of overlapping triggers with at least ``least`` distinct stations.
+    """Groups of overlapping triggers with at least ``least`` distinct stations."""
+    rows = triggers.select(F.col(start).alias("_a"), F.col(end).alias("_z"), F.col(station).alias("_s"))
+    found = _chains(rows).groupBy("_chain").agg(F.min("_a").alias("start"), F.max("_z").alias("end"), F.countDistinct("_s").alias("stations"), F.count("*").alias("triggers"))
+    return found.where(F.col("stations") >= least).drop("_chain")
+
 
-    The running greatest end tells where a group starts. Triggers are dealt to ranges of start time first; a range's
-    greatest end before it comes from one row per range, so no task sees all triggers.
+def network_triggers(triggers: DataFrame, start: str, end: str, station: str, least: float, weight: str | None = None, extension: int = 0) -> DataFrame:
+    """(start, end, coincidence_sum, stations): network events from single-station triggers, each scanned from its first one.
+
+    An event takes later triggers of further stations in order of time, station by station, until one starts more than
+    ``extension`` after all of the event has ended. It stands if its weights sum to ``least`` and it ends after every event
+    that stood before. No scan crosses a pause in which no trigger is on, so each task takes whole chains of overlapping
+    triggers; the largest chain (not the catalog) bounds its memory.
     """
-    spark_ranges = 64
-    edges = triggers.agg(F.min(start).alias("lo"), F.max(start).alias("hi")).withColumn("width", F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / spark_ranges)))
-    dealt = triggers.crossJoin(F.broadcast(edges)).withColumn("_range", F.floor((F.col(start) - F.col("lo")) / F.col("width"))).drop("lo", "hi", "width")
-    ranges = dealt.groupBy("_range").agg(F.max(end).alias("_last"))
-    carried = ranges.withColumn("_before", F.max("_last").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", "_before")
-    inside = Window.partitionBy("_range").orderBy(start, end, station)
-    out = dealt.join(F.broadcast(carried), "_range")
-    out = out.withColumn("_reach", F.greatest(F.col("_before"), F.max(end).over(inside.rowsBetween(Window.unboundedPreceding, -1))))
-    out = out.withColumn("_new", F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), 1).otherwise(0))
-    counts = out.groupBy("_range").agg(F.sum("_new").alias("_news"))
-    shift = counts.withColumn("_base", F.coalesce(F.sum("_news").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_range", "_base")
-    out = out.join(F.broadcast(shift), "_range").withColumn("_group", F.col("_base") + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    found = out.groupBy("_group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.countDistinct(station).alias("stations"), F.count("*").alias("triggers"))
-    return found.where(F.col("stations") >= least).drop("_group")
+    rows = triggers.select(F.col(start).alias("_a"), F.col(end).alias("_z"), F.col(station).alias("_s"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
+    chains = _chains(rows, extension)
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_a", "_z", "_s"], ignore_index=True)
+        a, z, s, w = (part[c].tolist() for c in ("_a", "_z", "_s", "_w"))
+        out, last = [], None
+        for i in range(len(a)):
+            off, names, total = z[i], [s[i]], w[i]
+            seen = {s[i]}
+            for j in range(i + 1, len(a)):
+                if s[j] in seen:
+                    continue
+                if a[j] > off + extension:
+                    break
+                seen.add(s[j])
+                names.append(s[j])
+                total += w[j]
+                off = max(off, z[j])
+            if total >= least and (last is None or off > last):
+                out.append((a[i], off, total, names))
+                last = off
+        return pd.DataFrame(out, columns=["start", "end", "coincidence_sum", "stations"])
+
+    types = dict(rows.dtypes)
+    return chains.groupBy("_chain").applyInPandas(scan, f"start {types['_a']}, end {types['_z']}, coincidence_sum double, stations array<{types['_s']}>")
 
 
 def demean(df: DataFrame) -> DataFrame:
@@ -194,6 +240,31 @@ def detrend_linear(df: DataFrame) -> DataFrame:
     return df.join(line, TRACE).withColumn("y", F.col(X) - fit).drop("_slope", "_at", "_mean")
 
 
+def detrend_polynomial(df: DataFrame, order: int) -> DataFrame:
+    """Minus the least-squares polynomial; traces of at most ``order`` + 1 samples become 0.
+
+    Polynomials that are orthogonal on n even places follow from a three-term recurrence in n alone, so each coefficient is
+    one quotient of sums and all of them come from one aggregation.
+    """
+    sizes = df.groupBy(TRACE).agg(F.count("*").cast("double").alias("_n"))
+    sized = df.join(sizes, TRACE).withColumn("_u", (2 * F.col(IDX) - F.col("_n") + 1) / F.col("_n"))
+    terms = [F.lit(1.0), F.col("_u")]
+    for k in range(1, order):
+        terms.append(F.col("_u") * terms[k] - k * k * (1 - k * k / (F.col("_n") * F.col("_n"))) / (4 * k * k - 1) * terms[k - 1])
+    terms = terms[: order + 1]
+    sums = sized.groupBy(TRACE).agg(*[(F.sum(F.col(X) * p) / F.nullif(F.sum(p * p), F.lit(0.0))).alias(f"_k{i}") for i, p in enumerate(terms)])
+    fit = sum((F.col(f"_k{i}") * p for i, p in enumerate(terms)), F.lit(0.0))
+    out = sized.join(sums, TRACE).withColumn("y", F.when(F.col("_n") <= order + 1, F.lit(0.0)).otherwise(F.col(X) - fit))
+    return out.select(*df.columns, "y")
+
+
+def peak_motion(df: DataFrame, dt: float = 1.0) -> DataFrame:
+    """Largest absolute acceleration, velocity and displacement of traces of acceleration."""
+    velocity = integrate(df, dt).withColumnRenamed("y", "_v")
+    motion = integrate(velocity.select(TRACE, IDX, F.col(X).alias("_a"), F.col("_v").alias(X)), dt)
+    return motion.groupBy(TRACE).agg(F.max(F.abs("_a")).alias("acceleration"), F.max(F.abs(X)).alias("velocity"), F.max(F.abs("y")).alias("displacement"))
+
+
 def normalize(df: DataFrame, over_all: bool = False) -> DataFrame:
     """Divided by the trace's (or all traces') largest absolute value; zeros stay."""
     norm = df.agg(F.max(F.abs(X)).alias("_norm")) if over_all else df.groupBy(TRACE).agg(F.max(F.abs(X)).alias("_norm"))
@@ -248,6 +319,56 @@ def preview(df: DataFrame, time: Column, delta: float) -> DataFrame:
     return df.groupBy(TRACE, F.floor(time / delta).alias("bucket")).agg((F.max(X) - F.min(X)).alias("peak_to_peak"), F.count("*").alias("samples"))
 
 
+def merge_previews(df: DataFrame) -> DataFrame:
+    """(trace, idx, x): the largest value of previews on one grid; places between that no preview has are -1."""
+    merged = df.groupBy(TRACE, IDX).agg(F.max(X).alias(X))
+    ahead = Window.partitionBy(TRACE).orderBy(IDX)
+    width = F.coalesce(F.lead(IDX).over(ahead) - F.col(IDX), F.lit(1))
+    spread = merged.withColumn("_width", width).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_width") - 1)))
+    return spread.select(TRACE, (F.col(IDX) + F.col("_k")).alias(IDX), F.when(F.col("_k") == 0, F.col(X)).otherwise(-1.0).alias(X))
+
+
+def resample_preview(df: DataFrame, samples: int, fast: bool = False) -> DataFrame:
+    """(trace, k, x): the largest values of ``samples`` windows of a trace, as even as its length allows.
+
+    ``fast`` takes windows of one length and leaves out what remains at the end. Traces that are shorter than ``samples`` have none.
+    """
+    sizes = df.groupBy(TRACE).agg(F.count("*").alias("_n")).where(F.col("_n") >= samples)
+    rows = df.join(sizes, TRACE)
+    if fast:
+        k = F.floor(F.col(IDX) / F.floor(F.col("_n") / samples))
+        return rows.select(TRACE, k.alias("k"), X).where(F.col("k") < samples).groupBy(TRACE, "k").agg(F.max(X).alias(X))
+    # window k ends before floor((k + 1) n / samples)
+    k = F.ceil((F.col(IDX) + 1) * F.lit(samples) / F.col("_n")) - 1
+    return rows.select(TRACE, k.alias("k"), X).groupBy(TRACE, "k").agg(F.max(X).alias(X))
+
+
+def weighted_line(df: DataFrame, x: str, y: str, weight: str, origin: bool = False) -> DataFrame:
+    """(trace, slope, intercept, slope_error, intercept_error) of least squares with weights 1 / sigma, in one aggregation.
+
+    ``origin`` holds the line at the origin. Errors are standard deviations, scaled by what the line leaves; traces without
+    a degree of freedom have none and are left out.
+    """
+    q = F.col(weight) * F.col(weight)
+    sums = df.groupBy(TRACE).agg(
+        F.count("*").alias("_n"), *[F.sum(q * v).alias(n) for n, v in {"_w": F.lit(1.0), "_x": F.col(x), "_y": F.col(y), "_xx": F.col(x) * F.col(x), "_xy": F.col(x) * F.col(y), "_yy": F.col(y) * F.col(y)}.items()]
+    )
+    if origin:
+        slope = F.col("_xy") / F.col("_xx")
+        left = (F.col("_yy") - slope * F.col("_xy")) / (F.col("_n") - 1)
+        out = sums.where("_n > 1 AND _xx > 0").withColumns({"slope": slope, "intercept": F.lit(0.0), "slope_error": F.sqrt(left / F.col("_xx")), "intercept_error": F.lit(0.0)})
+    else:
+        spread = F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_w")
+        shared = F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_w")
+        slope = shared / spread
+        left = (F.col("_yy") - F.col("_y") * F.col("_y") / F.col("_w") - slope * shared) / (F.col("_n") - 2)
+        mean = F.col("_x") / F.col("_w")
+        out = sums.where((F.col("_n") > 2) & (spread > 0)).withColumns(
+            {"slope": slope, "intercept": F.col("_y") / F.col("_w") - slope * mean, "slope_error": F.sqrt(left / spread), "intercept_error": F.sqrt(left * (1 / F.col("_w") + mean * mean / spread))}
+        )
+    return out.select(TRACE, "slope", "intercept", "slope_error", "intercept_error")
+
+
 def statistics(df: DataFrame) -> DataFrame:
     """Sample metrics of each trace."""
     part = lambda p: F.percentile(X, p)

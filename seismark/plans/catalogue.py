@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, text
-from ..operators import catalog, correlation, kernels, segments, series
+from ..operators import catalog, correlation, segments, series
 from ..operators import spectra_histogram as ppsd
 from ..sources import sac, tables, text_series
 from ..streaming import processes
-from . import data, more  # noqa: F401 - more registers queries of its own
-from .data import DAYS, QUAKES, SAMPLES, STATIONS, TIMED, VECTORS
+from . import data, more, waveforms  # noqa: F401 - these register queries of their own
+from .data import DAYS, PACKETS, QUAKES, SAMPLES, STATIONS, TIMED, VECTORS
 from .registry import ORACLES, QUERIES, query, rounded
 
 DAY_US = 86_400_000_000
@@ -469,42 +468,7 @@ def seed_ids(spark, d):
     return data.table(spark, d, "events").select("event_id", text.seed_id(F.lit("XX"), F.col("user_id"), F.lit(""), F.col("event_type")).alias("seed_id"))
 
 
-# --- array kernels, correlation
-
-
-def _folder(spark) -> str:
-    """A new folder in the cluster's shared one; a temporary one only where none is named (tests)."""
-    import tempfile
-    import uuid
-
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='seismark-')}/{uuid.uuid4().hex}"
-
-
-def _kernel(name: str, *run):
-    def make(spark, d):
-        return data.vectors(spark, d).select("trace", kernels.on_segments(*run)(F.col("data")).alias("data"))
-
-    make.__name__ = name
-    QUERIES[name] = make
-
-
-_kernel("bandpass", kernels.sections_filter(kernels.butterworth("bandpass", 4, 100.0, 2.0, 20.0)))
-_kernel("bandpass_zero_phase", kernels.sections_filter(kernels.butterworth("bandpass", 4, 100.0, 2.0, 20.0), zero_phase=True))
-_kernel("bandstop", kernels.sections_filter(kernels.butterworth("bandstop", 4, 100.0, 8.0, 20.0)))
-_kernel("lowpass", kernels.sections_filter(kernels.butterworth("lowpass", 4, 100.0, high=10.0)))
-_kernel("highpass", kernels.sections_filter(kernels.butterworth("highpass", 4, 100.0, low=10.0)))
-_kernel("detrend_filter_envelope", kernels.polynomial_detrend(1), kernels.sections_filter(kernels.butterworth("bandpass", 4, 100.0, 2.0, 20.0)), kernels.envelope)
-_kernel("detrend_polynomial", kernels.polynomial_detrend(3))
-_kernel("envelope", kernels.envelope)
-_kernel("instantaneous_frequency", kernels.instantaneous_frequency(100.0))
-_kernel("resample", kernels.fourier_resample(64 / 48))
-_kernel("interpolate_lanczos", kernels.lanczos(0.75, 8))
-_kernel("power_density", kernels.power_density(100.0))
-_kernel("konno_ohmachi", kernels.power_density(100.0), kernels.konno_ohmachi(np.fft.rfftfreq(64, 0.01)))
-_kernel("spectral_attributes", kernels.spectral_attributes(100.0))
-_kernel("remove_response", kernels.deconvolve([-4.44 + 4.44j, -4.44 - 4.44j], [0j, 0j], 1500.0, 100.0))
-_kernel("peak_motion", kernels.peak_motion(100.0))
-_kernel("polarization", kernels.polarization)
+# --- correlation
 
 
 _PAIRS = "pr AS (SELECT a.trace, a.idx, a.x AS a, b.x AS b FROM v a JOIN v b ON b.trace = a.trace + 1 AND b.idx = a.idx)"
@@ -577,14 +541,14 @@ def _samples_of(traces: DataFrame) -> DataFrame:
 
 @query(_READ_BACK)
 def slist_round_trip(spark, d):
-    path = _folder(spark)
+    path = data.folder(spark)
     text_series.write_slist(_order_traces(spark, d), path)
     return _samples_of(text_series.read_series(spark, path))
 
 
 @query(_READ_BACK)
 def tspair_round_trip(spark, d):
-    path = _folder(spark)
+    path = data.folder(spark)
     text_series.write_tspair(_order_traces(spark, d), path)
     return _samples_of(text_series.read_series(spark, path))
 
@@ -597,21 +561,21 @@ def sac_round_trip(spark, d):
 
 @query("SELECT epoch_us(time) AS t, latitude, longitude, depth, magnitude FROM q", QUAKES)
 def zmap_round_trip(spark, d):
-    path = _folder(spark)
+    path = data.folder(spark)
     tables.write_zmap(data.quakes(spark, d), path)
     return tables.read_zmap(spark, path).select(F.unix_micros("time").alias("t"), "latitude", "longitude", "depth", "magnitude")
 
 
 @query("SELECT CAST(event AS VARCHAR) AS event, epoch_us(time) AS t, latitude, longitude, depth, magnitude FROM q", QUAKES)
 def event_xml_round_trip(spark, d):
-    path = _folder(spark)
+    path = data.folder(spark)
     tables.write_events_xml(data.quakes(spark, d), path)
     return tables.read_events_xml(spark, path).select("event", F.unix_micros("time").alias("t"), "latitude", "longitude", "depth", "magnitude")
 
 
 @query("SELECT CAST(network AS VARCHAR) AS network, CAST(station AS VARCHAR) AS station, latitude, longitude FROM st", STATIONS)
 def station_text_round_trip(spark, d):
-    path = _folder(spark)
+    path = data.folder(spark)
     tables.write_delimited(data.stations(spark, d).select("network", "station", "latitude", "longitude"), path)
     rows = tables.read_delimited(spark, path, ("network", "station", "latitude", "longitude"))
     return rows.select("network", "station", F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude"))
@@ -626,33 +590,19 @@ def json_output(spark, d):
 # --- streams
 
 
-def _packets(spark, d) -> DataFrame:
-    schema = data.table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")  # a pattern may stand for a file or a folder
-    return rows.select(F.col("user_id").alias("trace"), (text.micros(F.col("ts")) * 64 + F.col("event_id") % 64).alias("t"), F.col("value").alias("x"))
-
-
-_PACKETS = "pk AS (SELECT user_id AS trace, epoch_us(ts) * 64 + event_id % 64 AS t, value AS x FROM events)"
-
-
-@query("SELECT trace, t, round(sum(x * 0.5) OVER (PARTITION BY trace ORDER BY t ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS y FROM pk", _PACKETS)
+@query("SELECT trace, t, round(sum(x * 0.5) OVER (PARTITION BY trace ORDER BY t ROWS UNBOUNDED PRECEDING), 4) + 0.0 AS y FROM pk", PACKETS)
 def rt_integrate(spark, d):
-    return rounded(processes.finish(processes.run_process(_packets(spark, d), processes.integrate(0.5)), _folder(spark)), 4, "y")
+    return rounded(processes.finish(processes.run_process(data.packets(spark, d), processes.integrate(0.5)), data.folder(spark)), 4, "y")
 
 
-@query("SELECT trace, t, round((x - coalesce(lag(x) OVER (PARTITION BY trace ORDER BY t), x)) / 0.5, 5) + 0.0 AS y FROM pk", _PACKETS)
+@query("SELECT trace, t, round((x - coalesce(lag(x) OVER (PARTITION BY trace ORDER BY t), x)) / 0.5, 5) + 0.0 AS y FROM pk", PACKETS)
 def rt_differentiate(spark, d):
-    return rounded(processes.finish(processes.run_process(_packets(spark, d), processes.differentiate(0.5)), _folder(spark)), 5, "y")
+    return rounded(processes.finish(processes.run_process(data.packets(spark, d), processes.differentiate(0.5)), data.folder(spark)), 5, "y")
 
 
-@query("SELECT trace, t, round(sum(x) OVER (PARTITION BY trace ORDER BY t ROWS 4 PRECEDING) / 5, 5) + 0.0 AS y FROM pk", _PACKETS)
+@query("SELECT trace, t, round(sum(x) OVER (PARTITION BY trace ORDER BY t ROWS 4 PRECEDING) / 5, 5) + 0.0 AS y FROM pk", PACKETS)
 def rt_boxcar(spark, d):
-    return rounded(processes.finish(processes.run_process(_packets(spark, d), processes.boxcar(4)), _folder(spark)), 5, "y")
-
-
-@query()
-def rt_kurtosis(spark, d):
-    return processes.finish(processes.run_process(_packets(spark, d), processes.kurtosis(1.0, 20.0)), _folder(spark))
+    return rounded(processes.finish(processes.run_process(data.packets(spark, d), processes.boxcar(4)), data.folder(spark)), 5, "y")
 
 
 @query("SELECT trace, min(t) AS first, count(*) AS n FROM (SELECT *, sum(f) OVER (PARTITION BY trace ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY trace ORDER BY t, event_id) >= 21600000000 THEN 1 ELSE 0 END AS f FROM e)) GROUP BY trace, g", TIMED)
@@ -660,7 +610,7 @@ def session_windows(spark, d):
     return processes.sessions(data.timed(spark, d), "6 hours")
 
 
-# --- further triggers, geometry and stacks
+# --- further triggers and rotations
 
 
 @query(
@@ -692,23 +642,3 @@ def rotate_zne_lqt(spark, d):
     q = F.col("z") * F.sin("i") + F.col("n") * F.cos("i") * F.cos("ba") + F.col("e") * F.cos("i") * F.sin("ba")
     t = F.col("n") * F.sin("ba") - F.col("e") * F.cos("ba")
     return rounded(out.select("trace", "idx", l.alias("l"), q.alias("q"), t.alias("t")), 8, "l", "q", "t")
-
-
-@query()
-def ellipsoid_pairs(spark, d):
-    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.3)
-    return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), geodesy.ellipsoid_inverse(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude")).alias("g")).select("one", "other", "g.*")
-
-
-@query()
-def stack_phase_weighted(spark, d):
-    """Mean of the traces of a label times the squared length of their mean phasor."""
-    both = data.vectors(spark, d).select("label", F.size("data").alias("n"), kernels.on_segments(kernels.with_phasors)(F.col("data")).alias("p"))
-    rows = both.select("label", "n", F.posexplode("p").alias("place", "x"))
-    means = rows.withColumn("part", F.floor(F.col("place") / F.col("n"))).withColumn("idx", F.pmod("place", "n"))
-    part = lambda k: F.avg(F.when(F.col("part") == k, F.col("x")))
-    return means.groupBy("label", "idx").agg((part(0) * (part(1) * part(1) + part(2) * part(2))).alias("y"))
-
-
-_kernel("interpolate_weighted_slopes", kernels.weighted_slopes(0.75))
-_kernel("band_energies", kernels.band_energies(100.0, 3.0, 6, 2))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="seismark-")
+    return f"{shared}/{uuid.uuid4().hex}"
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of (trace, t, x); t in 64ths of a microsecond, distinct in a trace."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may stand for a file or a folder
+    return rows.select(F.col("user_id").alias("trace"), (micros(F.col("ts")) * 64 + F.col("event_id") % 64).alias("t"), F.col("value").alias("x"))
+
+
+PACKETS = "pk AS (SELECT user_id AS trace, epoch_us(ts) * 64 + event_id % 64 AS t, value AS x FROM events)"
+
+
 def numbered(rows: DataFrame, time: Column, *order: str) -> DataFrame:
     """``idx`` of each row in its trace: its number within a block of time, plus the rows of the blocks before."""
     rows = rows.withColumn("_block", F.floor(time / BLOCK_US))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -304,11 +301,7 @@ def nearest_station(spark, d):
 
 
 def _stream(spark, d, process) -> DataFrame:
-    schema = data.table(spark, d, "events").schema
-    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    packets = rows.select(F.col("user_id").alias("trace"), (text.micros(F.col("ts")) * 64 + F.col("event_id") % 64).alias("t"), F.col("value").alias("x"))
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='seismark-')}/{uuid.uuid4().hex}"
-    return processes.finish(processes.run_process(packets, process), folder)
+    return processes.finish(processes.run_process(data.packets(spark, d), process), data.folder(spark))
 
 
 @query("SELECT user_id AS trace, epoch_us(ts) * 64 + event_id % 64 AS t, round(value * 2.5, 6) AS y FROM events")

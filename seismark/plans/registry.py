@@ -17,7 +17,7 @@ def query(oracle: str | None = None, *views: str):
     def register(make: Callable[[SparkSession, str], DataFrame]):
         QUERIES[make.__name__] = make
         if oracle:
-            ORACLES[make.__name__] = (f"WITH {', '.join(views)} " if views else "") + oracle
+            ORACLES[make.__name__] = (f"WITH RECURSIVE {', '.join(views)} " if views else "") + oracle
         return make
 
     return register
