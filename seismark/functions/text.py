@@ -60,6 +60,33 @@ def parse_instant(value: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + (seconds * 1000000).cast("long"))
 
 
+def add_seconds(ts: Column, seconds: Column) -> Column:
+    """An instant some seconds later, to the microsecond."""
+    return F.timestamp_micros(F.unix_micros(ts) + F.round(seconds * 1000000).cast("long"))
+
+
+# Patterns in which data centres write instants.
+INSTANT_FORMATS = {
+    "seed": "yyyy,DDD,HH:mm:ss.SSSS",
+    "fissures": "yyyyDDD'T'HHmmss.SSSS'Z'",
+    "arclink": "yyyy,M,d,H,m,s,",
+    "seedlink": "yyyy,M,d,H,m,s",
+    "iris": "yyyy-MM-dd'T'HH:mm:ss.SSS",
+}
+
+
+def format_instant(ts: Column, style: str) -> Column:
+    """An instant as text; fractions are cut. ``seed`` leaves out midnight, ``seed_compact`` all that is zero at the end."""
+    if style == "seed_compact":
+        micro, second, minute = F.unix_micros(ts) % 1000000, F.second(ts), F.minute(ts)
+        part = lambda pattern: F.date_format(ts, pattern)
+        return F.when(micro > 0, part(INSTANT_FORMATS["seed"])).when(second > 0, part("yyyy,DDD,HH:mm:ss")).when(minute > 0, part("yyyy,DDD,HH:mm")).when(F.hour(ts) > 0, part("yyyy,DDD,HH")).otherwise(part("yyyy,DDD"))
+    out = F.date_format(ts, INSTANT_FORMATS[style])
+    if style == "seed":
+        return F.when(F.unix_micros(ts) % 86_400_000_000 == 0, F.date_format(ts, "yyyy,DDD")).otherwise(out)
+    return F.concat(out, (F.unix_micros(ts) % 1000000).cast("string")) if style == "arclink" else out
+
+
 # The usual sampling rate of each band code of a channel.
 BAND_RATES = {"F": 1000.0, "G": 1000.0, "D": 250.0, "C": 250.0, "E": 80.0, "S": 10.0, "H": 80.0, "B": 10.0, "M": 1.0, "L": 1.0, "V": 0.1, "U": 0.01, "R": 0.0001, "P": 1e-6, "T": 1e-7, "Q": 1e-8}
 

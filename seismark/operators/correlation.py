@@ -10,10 +10,20 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def correlate(a: Column, b: Column, shift: int) -> Column:
-    """Normalised correlation of two equally long arrays for lags -shift to shift: sum of a[i + lag] b[i]; zeros where a norm is near zero."""
+def _demeaned(values: Column) -> Column:
+    """The mean is bound once, as the element of an array, instead of once per sample."""
+    mean = F.array(_total(values) / F.size(values))
+    return F.get(F.transform(mean, lambda m: F.transform(values, lambda x: x - m)), F.lit(0))
+
+
+def correlate(a: Column, b: Column, shift: int, demean: bool = False, normalize: bool = True) -> Column:
+    """Correlation of two equally long arrays for lags -shift to shift: sum of a[i + lag] b[i]; normalised ones are zero where a norm is near zero."""
+    if demean:
+        a, b = _demeaned(a), _demeaned(b)
     norm = F.sqrt(_total(F.transform(a, lambda x: x * x)) * _total(F.transform(b, lambda x: x * x)))
     lag = lambda k: _total(F.transform(b, lambda x, i: x * F.coalesce(F.when(i + k >= 0, F.get(a, i + k)), F.lit(0.0))))
+    if not normalize:
+        return F.transform(F.sequence(F.lit(-shift), F.lit(shift)), lag)
     return F.transform(F.sequence(F.lit(-shift), F.lit(shift)), lambda k: F.when(norm > 1e-12, lag(k) / norm).otherwise(0.0))
 
 

@@ -238,6 +238,45 @@ def power_density(rate: float) -> Kernel:
     return run
 
 
+def octave_densities(rate: float, nfft: int, overlap: int, width: float = 1.0, step: float = 0.125) -> Kernel:
+    """Decibels of squared acceleration by octaves of period, from segments of velocity.
+
+    Windows of ``nfft`` samples lose their least-squares line, get cosine ends of a tenth each and their periodograms are
+    averaged. A bin is the mean of the decibels of all periods within ``width`` octaves around its centre; centres go from the
+    shortest period up in steps of ``step`` octaves. Segments shorter than a window, and bins without a period, give NaN.
+    """
+    f = rate * np.arange(1, nfft // 2 + 1) / nfft
+    centres = octave_centres(rate, nfft, step)
+    half, slack = 2 ** (width / 2), 1e-9
+    inside = (1 / f >= centres[:, None] / half * (1 - slack)) & (1 / f <= centres[:, None] * half * (1 + slack))
+    flank = int(nfft * 0.1 + 0.5)
+    window = np.ones(nfft)
+    if flank > 1:
+        window[:flank] = 0.5 * (1 - np.cos(np.pi * np.arange(flank) / (flank - 1)))
+        window[-flank:] = window[:flank][::-1]
+
+    def run(x: np.ndarray) -> np.ndarray:
+        if x.shape[1] < nfft:
+            return np.full((len(x), len(centres)), np.nan)
+        total, count = np.zeros((len(x), len(f))), 0
+        line = polynomial_detrend(1)
+        for at in range(0, x.shape[1] - nfft + 1, nfft - overlap):
+            total += np.abs(np.fft.rfft(line(x[:, at : at + nfft]) * window)[:, 1:]) ** 2
+            count += 1
+        density = total / count / (rate * (window**2).sum()) * np.where(np.arange(1, len(f) + 1) * 2 == nfft, 1, 2)
+        db = 10 * np.log10(np.maximum(density * (2 * np.pi * f) ** 2, np.finfo(float).tiny))
+        with np.errstate(invalid="ignore"):
+            return db @ inside.T / np.where(inside.sum(1), inside.sum(1), np.nan)
+
+    return run
+
+
+def octave_centres(rate: float, nfft: int, step: float = 0.125) -> np.ndarray:
+    """Periods from the shortest to the longest of a window, in steps of octaves."""
+    shortest, longest = 2 / rate if nfft % 2 == 0 else nfft / (rate * (nfft // 2)), nfft / rate
+    return shortest * 2 ** (step * np.arange(int(np.ceil(np.log2(longest / shortest) / step - 1e-9)) + 1))
+
+
 def konno_ohmachi(frequencies: np.ndarray, bandwidth: float = 40.0) -> Kernel:
     """Log-frequency smoothing of spectra, each window normalised."""
 

@@ -104,6 +104,19 @@ def epoch_join(events: DataFrame, epochs: DataFrame, key: str, at: str, bucket:
     return hit.drop("_bucket")
 
 
+def trim_common(rows: DataFrame, group: list[str], channel: str, at: str) -> DataFrame:
+    """Rows of a group between the latest start and the earliest end of its channels."""
+    spans = rows.groupBy(*group, channel).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    common = spans.groupBy(*group).agg(F.max("_lo").alias("_lo"), F.min("_hi").alias("_hi"))
+    return rows.join(common, group).where(F.col(at).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+
+
+def merge_checks(rows: DataFrame, key: str, headers: list[str]) -> DataFrame:
+    """How many values of each header the segments of a key have, and the first header that differs among them."""
+    counts = rows.groupBy(key).agg(*[F.countDistinct(h).alias(f"n_{h}") for h in headers])
+    return counts.withColumn("problem", F.coalesce(*[F.when(F.col(f"n_{h}") > 1, F.lit(f"differing {h}")) for h in headers]))
+
+
 def active(start: Column, end: Column, time: Column) -> Column:
     """Closed test of a time against an epoch with open ends."""
     return (start.isNull() | (start <= time)) & (end.isNull() | (end >= time))

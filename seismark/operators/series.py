@@ -369,6 +369,60 @@ def weighted_line(df: DataFrame, x: str, y: str, weight: str, origin: bool = Fal
     return out.select(TRACE, "slope", "intercept", "slope_error", "intercept_error")
 
 
+#: Sums of squared slopes that count as none.
+NO_SLOPE = 1e-20
+
+
+def dominant_period(df: DataFrame, width: int, dt: float = 1.0) -> DataFrame:
+    """2 pi times the root of squares over squared slopes, both summed over the last ``width`` samples."""
+    slope = moving(df, 1, 0, _v=lambda rows: (F.col(X) - F.first(X).over(rows(-1, 0))) / dt)
+
+    def period(rows) -> Column:
+        last = rows(1 - width, 0)
+        slopes = F.sum(F.col("_v") * F.col("_v")).over(last)
+        return F.when(slopes > NO_SLOPE, 2 * pi * F.sqrt(F.sum(F.col(X) * F.col(X)).over(last) / slopes)).otherwise(0.0)
+
+    return moving(slope, width - 1, 0, y=period).drop("_v")
+
+
+def moment_integral(df: DataFrame, pick: int, length: int, dt: float, gain: float) -> DataFrame:
+    """(trace, idx, y): running sum of what exceeds the value at the pick, from anew at each change of sign, over ``length`` samples.
+
+    Only those samples of a trace take part, so a window per trace is bounded by ``length``.
+    """
+    after = df.where(F.col(IDX).between(pick, pick + length - 1))
+    order = Window.partitionBy(TRACE).orderBy(IDX)
+    above = after.withColumn("_a", F.col(X) - F.first(X).over(order)).withColumn("_up", F.col("_a") >= 0)
+    turns = above.withColumn("_turn", F.when(F.col("_up") == F.lag("_up").over(order), 0).otherwise(1)).withColumn("_run", F.sum("_turn").over(order))
+    total = F.sum("_a").over(Window.partitionBy(TRACE, "_run").orderBy(IDX).rowsBetween(Window.unboundedPreceding, 0))
+    return turns.select(TRACE, IDX, (total * dt / gain).alias("y"))
+
+
+# Density, wave speed and the mean radiation of the broadband moment magnitude.
+MOMENT_FACTOR = 4 * pi * 3400 * 7900.0**3 * 2 * (10000 / 90) * 1000
+
+
+def moment_magnitude(peak: Column, degrees: Column) -> Column:
+    """Magnitude of the peak of a moment integral at a distance; -9.9 for none."""
+    moment = MOMENT_FACTOR * peak * degrees
+    return F.when(moment > 0, 2.0 / 3 * (F.log10(moment) - 9.1)).otherwise(-9.9)
+
+
+def window_sum(df: DataFrame, length: int) -> DataFrame:
+    """(trace, idx, y): sums of the full windows that start at a sample."""
+    ahead = moving(df, 0, length - 1, y=lambda rows: F.when(F.count("*").over(rows(0, length - 1)) == length, F.sum(X).over(rows(0, length - 1))))
+    return ahead.where("y IS NOT NULL").select(TRACE, IDX, "y")
+
+
+def taper_welch(df: DataFrame) -> DataFrame:
+    """Parabolic sides that meet in the middle; the first and the last sample become 0."""
+    sizes = df.groupBy(TRACE).agg(F.count("*").cast("double").alias("_n"))
+    rise, fall = F.ceil(F.col("_n") / 2), F.floor(F.col("_n") / 2)
+    side = F.when(F.col(IDX) < rise, (rise - 1 - F.col(IDX)) / rise).otherwise((F.col(IDX) - rise) / fall)
+    edge = (F.col(IDX) == 0) | (F.col(IDX) == F.col("_n") - 1)
+    return df.join(sizes, TRACE).withColumn("y", F.when(edge, F.lit(0.0)).otherwise(F.col(X) * (1 - side * side))).drop("_n")
+
+
 def statistics(df: DataFrame) -> DataFrame:
     """Sample metrics of each trace."""
     part = lambda p: F.percentile(X, p)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels
+
 
 def calendar(time: Column, years: list[int] | None = None, months: list[int] | None = None, weekdays: list[int] | None = None, isoweeks: list[int] | None = None, hours: tuple[float, float] | None = None) -> Column:
     """Which segments to take, by their start; weekday 1 is Monday."""
@@ -18,6 +20,19 @@ def calendar(time: Column, years: list[int] | None = None, months: list[int] | N
     return out
 
 
+def octave_densities(segments: DataFrame, column: str, rate: float, nfft: int, overlap: int, step: float = 0.125) -> DataFrame:
+    """Segments with (bin, period, db) instead of their samples, in one Arrow pass and without a shuffle."""
+    density = kernels.on_segments(kernels.octave_densities(rate, nfft, overlap, step=step))(F.col(column))
+    shortest = float(kernels.octave_centres(rate, nfft, step)[0])
+    rows = segments.select("*", F.posexplode(density).alias("bin", "db")).drop(column).where(~F.isnan("db"))
+    return rows.select(*[c for c in segments.columns if c != column], F.col("bin").cast("long").alias("bin"), (shortest * F.pow(F.lit(2.0), F.col("bin") * step)).alias("period"), "db")
+
+
+def at_period(densities: DataFrame, key: str, period: float) -> DataFrame:
+    """(key, db): the bin whose centre is nearest to a period, the shorter of equally near ones."""
+    return densities.groupBy(key).agg(F.min_by("db", F.struct(F.abs(F.col("period") - period), "bin")).alias("db"))
+
+
 def histogram(values: DataFrame, low: float, high: float, step: float) -> DataFrame:
     """(period, bin, n): counts of db in (edge, edge + step]; values outside go to the edge bins."""
     bins = int(round((high - low) / step))

@@ -11,6 +11,49 @@ FDSN_EVENT = ("event", "time", "latitude", "longitude", "depth", "author", "cata
 FDSN_STATION = ("network", "station", "latitude", "longitude", "elevation", "site", "start", "end")
 
 
+# Columns of station text at its three levels, with their types.
+STATION_TEXT = {
+    "network": {"network": "string", "description": "string", "starttime": "timestamp", "endtime": "timestamp", "totalstations": "bigint"},
+    "station": {"network": "string", "station": "string", "latitude": "double", "longitude": "double", "elevation": "double", "sitename": "string", "starttime": "timestamp", "endtime": "timestamp"},
+    "channel": {
+        "network": "string", "station": "string", "location": "string", "channel": "string", "latitude": "double", "longitude": "double", "elevation": "double", "depth": "double", "azimuth": "double", "dip": "double",
+        "sensordescription": "string", "scale": "double", "scalefreq": "double", "scaleunits": "string", "samplerate": "double", "starttime": "timestamp", "endtime": "timestamp",
+    },
+}
+
+
+def write_station_text(rows: DataFrame, path: str, level: str) -> None:
+    """Station text with its # header line; columns that the rows lack, and nulls, are empty cells."""
+    types = STATION_TEXT[level]
+    cell = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if types[c] == "timestamp" else F.col(c).cast("string")
+    cells = [cell(c).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in types]
+    names = [f"#{c}" if i == 0 else c for i, c in enumerate(types)]
+    rows.select(*cells).toDF(*names).write.option("header", True).option("sep", "|").option("comment", "~").option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def read_station_text(spark: SparkSession, path: str, level: str) -> DataFrame:
+    """Typed columns of a level; empty cells, and cells that are no value of the type, are null."""
+    rows = read_delimited(spark, path, tuple(STATION_TEXT[level]))
+    return rows.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in STATION_TEXT[level].items()])
+
+
+def read_event_csv(spark: SparkSession, path: str, names: str, sep: str = ",", header: bool = False) -> DataFrame:
+    """(event, time, latitude, longitude, depth, magnitude) of a delimited catalog whose columns ``names`` lists, in order.
+
+    The time is one column ``time`` or six: year mon day hour minu sec. Depths are kilometers (``dep``) or meters (``depm``) and
+    come out in meters. Columns named _ are skipped; missing columns and cells that are no numbers are null.
+    """
+    columns = [f"_skipped{i}" if c == "_" else c for i, c in enumerate(names.split())]
+    rows = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("sep", sep).option("header", header).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    raw = F.lit(None).cast("double")
+    number = lambda c: F.when(~F.isnan(F.col(c).try_cast("double")), F.col(c).try_cast("double")) if c in columns else raw
+    whole = lambda c: F.col(c).try_cast("int")
+    time = F.col("time").try_cast("timestamp") if "time" in columns else F.try_make_timestamp(*[whole(c) for c in ("year", "mon", "day", "hour", "minu")], F.col("sec").try_cast("decimal(8,6)"))
+    depth = number("depm") if "depm" in columns else number("dep") * 1000
+    event = F.col("id") if "id" in columns else F.lit(None).cast("string")
+    return rows.select(event.alias("event"), time.alias("time"), number("lat").alias("latitude"), number("lon").alias("longitude"), depth.alias("depth"), number("mag").alias("magnitude"))
+
+
 def write_zmap(events: DataFrame, path: str) -> None:
     """(time, latitude, longitude, depth, magnitude); decimal years, nulls as NaN."""
     t = F.col("time")

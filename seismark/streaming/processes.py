@@ -56,6 +56,25 @@ def boxcar(width: int) -> Process:
     return run
 
 
+def dominant_period(dt: float, width: int) -> Process:
+    """2 pi times the root of squares over squared slopes of the last ``width`` samples; the state holds both."""
+
+    def run(x: np.ndarray, state: list[float]) -> tuple[np.ndarray, list[float]]:
+        old_x, old_v = np.asarray(state[: len(state) // 2]), np.asarray(state[len(state) // 2 :])
+        v = np.diff(x, prepend=old_x[-1] if len(old_x) else x[0]) / dt
+        xs, vs = np.concatenate([old_x, x]), np.concatenate([old_v, v])
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            padded = np.concatenate([np.zeros(width), values**2])
+            return np.lib.stride_tricks.sliding_window_view(padded, width)[1:].sum(1)[-len(x) :]
+
+        slopes = sums(vs)
+        y = np.where(slopes > 1e-20, 2 * np.pi * np.sqrt(sums(xs) / np.maximum(slopes, 1e-20)), 0.0)
+        return y, [*xs[-width:].tolist(), *vs[-width:].tolist()]
+
+    return run
+
+
 def kurtosis(dt: float, window: float) -> Process:
     """Recursive kurtosis from exponential first, second and fourth moments."""
     c1 = dt / window

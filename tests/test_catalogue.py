@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -17,7 +18,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False):
-        out.append(tuple(None if x is None or x != x else round(float(x), 9) if isinstance(x, (float, np.floating)) else str(x) if isinstance(x, np.ndarray | list) else int(x) if isinstance(x, np.integer) else x for x in row))
+        out.append(tuple(None if x is None or x is pd.NA or x != x else round(float(x), 9) if isinstance(x, (float, np.floating)) else str(x) if isinstance(x, np.ndarray | list) else int(x) if isinstance(x, np.integer) else x for x in row))
     return sorted(out, key=str)
 
 

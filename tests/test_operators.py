@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from seismark.functions import geodesy
 from seismark.functions.text import glob
 from seismark.operators import catalog, kernels, segments, series
+from seismark.sources import tables
 from seismark.streaming import processes
 
 
@@ -183,3 +184,82 @@ def test_bandstop_up_to_nyquist_stops_all_above():
     stop = kernels.sections_filter(kernels.butterworth("bandstop", 4, 100.0, 20.0, 60.0))
     assert np.abs(stop(np.sin(2 * np.pi * 40 * t)[None])[0, 500:]).max() < 0.01
     assert np.abs(stop(np.sin(2 * np.pi * 5 * t)[None])[0, 500:]).max() == pytest.approx(1, abs=0.01)
+
+
+def test_blocks_filter_as_the_whole_trace(spark):
+    values = np.random.RandomState(3).randn(900)
+    for design in (("bandpass", 4, 100.0, 2.0, 20.0), ("lowpass", 2, 100.0, None, 4.0)):
+        sections = kernels.butterworth(*design)
+        want = kernels.sections_filter(sections)(values[None, :])[0]
+        assert np.allclose(column(kernels.filter_blocks(trace(spark, values), sections, 37), "y"), want, atol=1e-12)
+
+
+def test_filter_blocks_splits_long_traces(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "WARM_SHARE", 0)
+    values = np.random.RandomState(4).randn(2000)
+    sections = kernels.butterworth("lowpass", 2, 100.0, None, 30.0)
+    want = kernels.sections_filter(sections)(values[None, :])[0]
+    assert np.allclose(column(kernels.filter_blocks(trace(spark, values), sections, 50), "y"), want, atol=1e-12)
+
+
+def greedy(triggers, least, extension):
+    """Network events by popping the first trigger and scanning the rest."""
+    left, events, last = sorted(triggers), [], None
+    while left:
+        a, off, s, w = left.pop(0)
+        names, total = [s], w
+        for b, z, other, weight in left:
+            if other in names:
+                continue
+            if b > off + extension:
+                break
+            names.append(other)
+            total += weight
+            off = max(off, z)
+        if total >= least and (last is None or off > last):
+            events.append((a, off, total, tuple(names)))
+            last = off
+    return events
+
+
+@pytest.mark.parametrize("rows_per_range", [3, 100_000])
+def test_network_triggers_as_popped_one_by_one(spark, monkeypatch, rows_per_range):
+    monkeypatch.setattr(series, "RANGE_ROWS", rows_per_range)
+    r = np.random.RandomState(5)
+    starts = np.cumsum(r.randint(0, 9, 120))
+    triggers = [(int(a), int(a + r.randint(1, 14)), int(r.randint(0, 6)), float(r.randint(1, 3))) for a in starts]
+    df = spark.createDataFrame(triggers, "a long, z long, s long, w double")
+    got = sorted((e.start, e.end, e.coincidence_sum, tuple(e.stations)) for e in series.network_triggers(df, "a", "z", "s", 3, "w", 1).collect())
+    assert got == sorted(greedy(triggers, 3, 1)) and len(got) > 5
+
+
+def test_polynomial_trend_of_short_and_long_traces(spark):
+    values = np.polynomial.polynomial.polyval(np.arange(400), [3, -2, 0.5, 1e-3])
+    assert np.abs(column(series.detrend_polynomial(trace(spark, values), 3), "y")).max() < 1e-6
+    assert column(series.detrend_polynomial(trace(spark, [4, 5, 9]), 3), "y").tolist() == [0, 0, 0]
+    noise = np.random.RandomState(6).randn(50)
+    fit = np.polynomial.polynomial.polyfit(np.arange(50), noise, 5)
+    assert np.allclose(column(series.detrend_polynomial(trace(spark, noise), 5), "y"), noise - np.polynomial.polynomial.polyval(np.arange(50), fit))
+
+
+def test_dominant_period_of_packets_is_that_of_the_whole():
+    x = np.random.RandomState(7).randn(60)
+    run = processes.dominant_period(0.5, 10)
+    whole, _ = run(x, [])
+    parts, state = [], []
+    for piece in np.split(x, [1, 4, 30, 31]):
+        y, state = run(piece, state)
+        parts.append(y)
+    assert np.allclose(np.concatenate(parts), whole) and whole[0] == 0
+
+
+def test_octave_centres_span_the_periods():
+    centres = kernels.octave_centres(100.0, 32)
+    assert np.isclose(centres[0], 0.02) and np.isclose(centres[-1], 0.32) and len(centres) == 33
+
+
+def test_event_csv_with_missing_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("2023,5,6,19,55,1.3,H,10.2,124.8,nan,0.2,one\n2023,5,6,19,55,2,H,,null,7,,two\n")
+    rows = tables.read_event_csv(spark, str(tmp_path / "a.csv"), "year mon day hour minu sec _ lat lon dep mag id").orderBy("event").collect()
+    assert [(r.event, r.latitude, r.longitude, r.depth, r.magnitude) for r in rows] == [("one", 10.2, 124.8, None, 0.2), ("two", None, None, 7000.0, None)]
+    assert rows[0].time.microsecond == 300000
