@@ -113,11 +113,22 @@ def filter_blocks(df: DataFrame, sections: np.ndarray, block: int = BLOCK) -> Da
     slowest = max(np.abs(np.roots(r)).max() for r in sections[:, 3:])
     # cascaded sections with like poles fade as a power of n times the pole's power, hence the factor
     warm = 1 if slowest == 0 else ceil(1.5 * log(FADED) / log(min(slowest, 1 - 1e-9)))
-    run = sections_filter(sections)
+    steps = [(r[0], r[1], r[2], r[4], r[5]) for r in sections.tolist()]
+
+    def run(x: list[float]) -> list[float]:
+        # one trace at a time: plain floats are faster here than arrays of length 1
+        for b0, b1, b2, a1, a2 in steps:
+            s1, s2, out = 0.0, 0.0, []
+            for v in x:
+                y = b0 * v + s1
+                s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
+                out.append(y)
+            x = out
+        return x
 
     def work(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idx")
-        y = run(rows["x"].to_numpy(float)[None, :])[0]
+        y = run(rows["x"].astype(float).tolist())
         return rows[["trace", "idx"]].assign(y=y)[rows["_own"].to_numpy(bool)]
 
     halo = with_halo(df.select("trace", "idx", "x"), warm, 0, max(block, WARM_SHARE * warm))

@@ -199,11 +199,13 @@ def network_triggers(triggers: DataFrame, start: str, end: str, station: str, le
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["_a", "_z", "_s"], ignore_index=True)
         a, z, s, w = (part[c].tolist() for c in ("_a", "_z", "_s", "_w"))
-        out, last = [], None
+        out, last, everyone = [], None, len(set(s))
         for i in range(len(a)):
             off, names, total = z[i], [s[i]], w[i]
             seen = {s[i]}
             for j in range(i + 1, len(a)):
+                if len(seen) == everyone:
+                    break
                 if s[j] in seen:
                     continue
                 if a[j] > off + extension:
