@@ -100,12 +100,15 @@ def near_join(points: DataFrame, others: DataFrame, degrees: float) -> DataFrame
 
 # The WGS84 ellipsoid.
 WGS84_A, WGS84_F = 6378137.0, 1 / 298.257223563
+# Fixed value: the meters that stand for nearly antipodal points.
+ANTIPODES = 20004314.5
 
 
 def ellipsoid_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, a: float = WGS84_A, f: float = WGS84_F, rounds: int = 60) -> Column:
     """(meters, azimuth, back_azimuth) of a geodesic, by Vincenty's fixed point for the longitude on the auxiliary sphere.
 
-    Null where it does not settle (nearly antipodal points) or a coordinate is null.
+    Where it does not settle (nearly antipodal points) the distance is ``ANTIPODES`` and both azimuths are 0; null where a
+    coordinate is null.
     """
     b = a * (1 - f)
     reduced = lambda lat: F.atan((1 - f) * F.tan(F.radians(lat)))
@@ -142,7 +145,7 @@ def ellipsoid_inverse(lat1: Column, lon1: Column, lat2: Column, lon2: Column, a:
         return F.when(
             state["moved"] <= 1e-9,
             F.struct((b * big * (s["sigma"] - shift)).alias("meters"), turn(F.atan2(s["east"], s["north"])).alias("azimuth"), turn(back + pi).alias("back_azimuth")),
-        )
+        ).when(state["moved"] > 1e-9, F.struct(F.lit(ANTIPODES).alias("meters"), F.lit(0.0).alias("azimuth"), F.lit(0.0).alias("back_azimuth")))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, finish)
 

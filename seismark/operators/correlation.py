@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .detection import correlate_templates
+from .series import with_halo
+
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
@@ -17,14 +20,21 @@ def _demeaned(values: Column) -> Column:
 
 
 def correlate(a: Column, b: Column, shift: int, demean: bool = False, normalize: bool = True) -> Column:
-    """Correlation of two equally long arrays for lags -shift to shift: sum of a[i + lag] b[i]; normalised ones are zero where a norm is near zero."""
+    """Correlation of two arrays, aligned around their middles, for shifts up to ``shift``: sums of a[i + lag] b[i].
+
+    Arrays whose lengths differ by an odd number have no shift 0, so 2 shift values instead of 2 shift + 1. Normalised ones are
+    zero where a norm is near zero.
+    """
     if demean:
         a, b = _demeaned(a), _demeaned(b)
     norm = F.sqrt(_total(F.transform(a, lambda x: x * x)) * _total(F.transform(b, lambda x: x * x)))
+    whole = F.size(a) + F.size(b) - 1
+    first = F.floor(whole / 2).cast("int") - F.size(b) + 1 - shift
     lag = lambda k: _total(F.transform(b, lambda x, i: x * F.coalesce(F.when(i + k >= 0, F.get(a, i + k)), F.lit(0.0))))
+    lags = F.slice(F.sequence(first, first + 2 * shift), F.lit(1), 2 * shift + whole % 2)
     if not normalize:
-        return F.transform(F.sequence(F.lit(-shift), F.lit(shift)), lag)
-    return F.transform(F.sequence(F.lit(-shift), F.lit(shift)), lambda k: F.when(norm > 1e-12, lag(k) / norm).otherwise(0.0))
+        return F.transform(lags, lag)
+    return F.transform(lags, lambda k: F.when(norm > 1e-12, lag(k) / norm).otherwise(0.0))
 
 
 def correlation_peak(values: Column, absolute: bool = True) -> Column:
@@ -35,25 +45,17 @@ def correlation_peak(values: Column, absolute: bool = True) -> Column:
 
 
 def match_template(samples: DataFrame, template: DataFrame, length: int) -> DataFrame:
-    """(trace, idx, cc): correlation of every full window of a trace with its trace's template (trace, k, t), both demeaned.
-
-    The windows' sums come from frames; products come from an equi join on the trace and a window's offset.
-    """
-    frame = Window.partitionBy("trace").orderBy("idx").rowsBetween(0, length - 1)
-    sums = samples.select("trace", "idx", F.sum("x").over(frame).alias("_s"), F.sum(F.col("x") * F.col("x")).over(frame).alias("_q"), F.count("*").over(frame).alias("_n")).where(F.col("_n") == length)
-    figures = template.groupBy("trace").agg(F.avg("t").alias("_m"), (F.sum(F.col("t") * F.col("t")) - F.pow(F.sum("t"), 2) / length).alias("_e"))
-    products = samples.join(template, "trace").withColumn("idx", F.col("idx") - F.col("k")).groupBy("trace", "idx").agg(F.sum(F.col("x") * F.col("t")).alias("_p"))
-    out = sums.join(products, ["trace", "idx"]).join(figures, "trace")
-    spread = (F.col("_q") - F.col("_s") * F.col("_s") / length) * F.col("_e")
-    cc = F.when(spread > 1e-9, (F.col("_p") - F.col("_s") * F.col("_m")) / F.sqrt(spread)).otherwise(0.0)
-    return out.select("trace", "idx", cc.alias("cc"))
+    """(trace, idx, cc): correlation of every full window of a trace with its trace's template (trace, k, t) of ``length`` samples, both demeaned."""
+    whole = template.groupBy("trace").agg(F.count("*").alias("_n")).where(F.col("_n") == length).select("trace")
+    return correlate_templates(samples, template.join(whole, "trace"), ["trace"], []).select("trace", "idx", "cc")
 
 
 def peaks(scores: DataFrame, column: str, height: float, distance: int) -> DataFrame:
     """Rows at least ``height`` high that are the highest (the first of equal ones) within ``distance`` samples of their trace."""
-    near = Window.partitionBy("trace").orderBy("idx").rangeBetween(-distance, distance)
-    best = F.max(F.struct(F.col(column).alias("v"), (-F.col("idx")).alias("i"))).over(near)
-    return scores.where(F.col(column) >= height).withColumn("_best", best).where(-F.col("_best.i") == F.col("idx")).drop("_best")
+    best = lambda rows: F.max(F.struct(F.col(column).alias("v"), (-F.col("idx")).alias("i"))).over(rows)
+    near = Window.partitionBy("trace", "_block").orderBy("idx").rangeBetween(-distance, distance)
+    halo = with_halo(scores, distance, distance).withColumn("_best", best(near))
+    return halo.where(F.col("_own") & (F.col(column) >= height) & (-F.col("_best.i") == F.col("idx"))).select(*scores.columns)
 
 
 def beam_power(samples: DataFrame, offsets: DataFrame, slowness: list[tuple[float, float]]) -> DataFrame:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from math import ceil, log, pi
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +39,9 @@ def moving(df: DataFrame, before: int, after: int, **columns: Column) -> DataFra
 
 
 def classic_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
-    """Ratio of the mean squares over the last nsta and nlta samples; 0 for the first nlta - 1."""
+    """Ratio of the mean squares over the last nsta and nlta samples; 0 for the first nlta - 1 and where the longer mean is 0."""
     square = F.col(X) * F.col(X)
-    ratio = lambda rows: F.when(F.col(IDX) >= nlta - 1, F.avg(square).over(rows(1 - nsta, 0)) / F.avg(square).over(rows(1 - nlta, 0))).otherwise(0.0)
+    ratio = lambda rows: F.when(F.col(IDX) >= nlta - 1, F.coalesce(F.try_divide(F.avg(square).over(rows(1 - nsta, 0)), F.avg(square).over(rows(1 - nlta, 0))), F.lit(0.0))).otherwise(0.0)
     return moving(df, nlta - 1, 0, cft=ratio)
 
 
@@ -158,8 +157,8 @@ def trigger_onset(df: DataFrame, on: float, off: float, max_len: int | None = No
 RANGE_ROWS = 100_000
 
 
-def _chains(triggers: DataFrame, extension: int = 0) -> DataFrame:
-    """Triggers (_a, _z, ...) with ``_chain``: the start of their run of triggers without a pause longer than ``extension``.
+def _chains(triggers: DataFrame) -> DataFrame:
+    """Triggers (_a, _z, ...) with ``_chain``: the start of their run of triggers that overlap or meet.
 
     Triggers are dealt to ranges of start time, as many as their number asks for. The greatest end before a range and the
     last chain that was open there come from one row per range, so no task sees all triggers.
@@ -172,7 +171,7 @@ def _chains(triggers: DataFrame, extension: int = 0) -> DataFrame:
     inside = Window.partitionBy("_range").orderBy("_a", "_z", "_s")
     reach = F.greatest(F.col("_before"), F.max("_z").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     out = dealt.join(carried, "_range").withColumn("_reach", reach)
-    out = out.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("_a") > F.col("_reach") + extension), F.col("_a")))
+    out = out.withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("_a") > F.col("_reach")), F.col("_a")))
     opened = out.groupBy("_range").agg(F.max("_opens").alias("_open")).select("_range", F.max("_open").over(before).alias("_open"))
     chain = F.coalesce(F.max("_opens").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
     return out.join(opened, "_range").withColumn("_chain", chain).select(*triggers.columns, "_chain")
@@ -185,44 +184,6 @@ def coincidences(triggers: DataFrame, start: str, end: str, station: str, least:
     return found.where(F.col("stations") >= least).drop("_chain")
 
 
-def network_triggers(triggers: DataFrame, start: str, end: str, station: str, least: float, weight: str | None = None, extension: int = 0) -> DataFrame:
-    """(start, end, coincidence_sum, stations): network events from single-station triggers, each scanned from its first one.
-
-    An event takes later triggers of further stations in order of time, station by station, until one starts more than
-    ``extension`` after all of the event has ended. It stands if its weights sum to ``least`` and it ends after every event
-    that stood before. No scan crosses a pause in which no trigger is on, so each task takes whole chains of overlapping
-    triggers; the largest chain (not the catalog) bounds its memory.
-    """
-    rows = triggers.select(F.col(start).alias("_a"), F.col(end).alias("_z"), F.col(station).alias("_s"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w"))
-    chains = _chains(rows, extension)
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_a", "_z", "_s"], ignore_index=True)
-        a, z, s, w = (part[c].tolist() for c in ("_a", "_z", "_s", "_w"))
-        out, last, everyone = [], None, len(set(s))
-        for i in range(len(a)):
-            off, names, total = z[i], [s[i]], w[i]
-            seen = {s[i]}
-            for j in range(i + 1, len(a)):
-                if len(seen) == everyone:
-                    break
-                if s[j] in seen:
-                    continue
-                if a[j] > off + extension:
-                    break
-                seen.add(s[j])
-                names.append(s[j])
-                total += w[j]
-                off = max(off, z[j])
-            if total >= least and (last is None or off > last):
-                out.append((a[i], off, total, names))
-                last = off
-        return pd.DataFrame(out, columns=["start", "end", "coincidence_sum", "stations"])
-
-    types = dict(rows.dtypes)
-    return chains.groupBy("_chain").applyInPandas(scan, f"start {types['_a']}, end {types['_z']}, coincidence_sum double, stations array<{types['_s']}>")
-
-
 def demean(df: DataFrame) -> DataFrame:
     mean = df.groupBy(TRACE).agg(F.avg(X).alias("_mean"))
     return df.join(mean, TRACE).withColumn("y", F.col(X) - F.col("_mean")).drop("_mean")
@@ -349,12 +310,13 @@ def weighted_line(df: DataFrame, x: str, y: str, weight: str, origin: bool = Fal
     """(trace, slope, intercept, slope_error, intercept_error) of least squares with weights 1 / sigma, in one aggregation.
 
     ``origin`` holds the line at the origin. Errors are standard deviations, scaled by what the line leaves; traces without
-    a degree of freedom have none and are left out.
+    a degree of freedom, or all of whose weights are 0, have no line and are left out.
     """
     q = F.col(weight) * F.col(weight)
     sums = df.groupBy(TRACE).agg(
         F.count("*").alias("_n"), *[F.sum(q * v).alias(n) for n, v in {"_w": F.lit(1.0), "_x": F.col(x), "_y": F.col(y), "_xx": F.col(x) * F.col(x), "_xy": F.col(x) * F.col(y), "_yy": F.col(y) * F.col(y)}.items()]
     )
+    sums = sums.where("_w > 0")
     if origin:
         slope = F.col("_xy") / F.col("_xx")
         left = (F.col("_yy") - slope * F.col("_xy")) / (F.col("_n") - 1)
@@ -459,19 +421,16 @@ def carl_sta_trig(df: DataFrame, nsta: int, nlta: int, ratio: float, quiet: floa
 def delayed_sta_lta(df: DataFrame, nsta: int, nlta: int) -> DataFrame:
     """Ratio of running sums of each sample's square and a delayed one's; 0 for the first nlta + nsta + 50 samples.
 
-    As in the definition that is matched here, delayed squares are added, and a delay beyond the start wraps to the end.
+    As in the definition that is matched here, delayed squares are added, and a delay beyond the start wraps to the end: the
+    last samples stand before the first as well, so that frames do for all delays. Null where the longer sum is still 0.
     """
+    longest = nsta + nlta + 1
     sizes = df.groupBy(TRACE).agg(F.count("*").alias("_n"))
-    square = F.col(X) * F.col(X)
-    delays = (nsta, nsta + 1, nsta + nlta + 1)
-    # a sample stands for itself and for those that it is the delayed one of; the sums meet in one aggregation
-    sized = df.join(sizes, TRACE)
-    places = F.array(*[F.struct(F.lit(0 if k in (0, nsta) else 1).alias("part"), F.pmod(F.col(IDX) + k, F.col("_n")).alias("at")) for k in (0, *delays)])
-    spread = sized.select(TRACE, square.alias("_square"), F.explode(places).alias("_p"))
-    part = lambda n: F.sum(F.when(F.col("_p.part") == n, F.col("_square")).otherwise(0.0))
-    sums = spread.groupBy(TRACE, F.col("_p.at").alias(IDX)).agg(part(0).alias("_short"), part(1).alias("_long"))
-    out = running(df.join(sums, [TRACE, IDX]), _sta=F.col("_short"), _lta=F.col("_long"))
-    ratio = (F.col("_sta") / nsta) / (F.col("_lta") / nlta)
+    tail = df.join(sizes, TRACE).where(F.col(IDX) >= F.col("_n") - longest).withColumn(IDX, F.col(IDX) - F.col("_n")).select(*df.columns)
+    delayed = lambda k: lambda rows: F.coalesce(F.first(F.col(X) * F.col(X)).over(rows(-k, -k)), F.lit(0.0))
+    out = moving(df.union(tail), longest, 0, _a=delayed(nsta), _b=delayed(nsta + 1), _c=delayed(longest))
+    out = running(out, _sta=F.col(X) * F.col(X) + F.col("_a"), _lta=F.col("_b") + F.col("_c"))
+    ratio = F.try_divide(F.col("_sta") / nsta, F.col("_lta") / nlta)
     return out.withColumn("cft", F.when(F.col(IDX) >= nlta + nsta + 50, ratio).otherwise(0.0)).select(*df.columns, "cft")
 
 

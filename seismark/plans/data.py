@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import micros
+from ..sources.scratch import folder  # noqa: F401
 
 
 #: Microseconds of a trace that are numbered in one task: a day.
@@ -19,16 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        shared = tempfile.mkdtemp(prefix="seismark-")
-    return f"{shared}/{uuid.uuid4().hex}"
-
-
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of (trace, t, x); t in 64ths of a microsecond, distinct in a trace."""
     schema = table(spark, sf_dir, "events").schema

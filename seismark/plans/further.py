@@ -251,7 +251,7 @@ _HELD = "FROM e JOIN ep ON ep.trace = e.trace AND e.t >= ep.start AND (ep.stop I
 @query(f"SELECT e.event_id, round(x / gain, 7) + 0.0 AS y, gain {_HELD}", TIMED, _EPOCHS)
 def remove_sensitivity(spark, d):
     held = segments.epoch_join(data.timed(spark, d), _epochs(spark, d), "trace", "t", 86_400_000_000)
-    return rounded(held.select("event_id", (F.col("x") / F.col("gain")).alias("y"), "gain"), 7, "y")
+    return rounded(held.select("event_id", F.try_divide("x", "gain").alias("y"), "gain"), 7, "y")
 
 
 @query(f"SELECT e.trace, min(azimuth) AS azimuth_low, max(azimuth) AS azimuth_high, min(dip) AS dip_low, max(dip) AS dip_high, count(*) AS samples {_HELD} GROUP BY 1", TIMED, _EPOCHS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy
-from ..operators import kernels, series
+from ..operators import kernels, network, series
 from ..streaming import processes
 from . import data
 from .data import DAYS, PACKETS, SAMPLES, STATIONS, TIMED, VECTORS
@@ -332,7 +332,7 @@ _SCAN = (
 def network_coincidence(spark, d):
     minute = F.col("t") - F.col("t") % 60_000_000
     rows = data.timed(spark, d).where("x > 90").select("trace", minute.alias("a"), (minute + 1_800_000_000 + F.col("trace") % 7 * 600_000_000).alias("z"), F.when(F.col("trace") % 3 == 0, 2).otherwise(1).alias("w"))
-    found = series.network_triggers(rows, "a", "z", "trace", 3, "w", 60_000_000)
+    found = network.network_triggers(rows, "a", "z", "trace", 3, "w", 60_000_000)
     return found.withColumn("stations", F.array_join(F.col("stations").cast("array<string>"), ","))
 
 

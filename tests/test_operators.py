@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seismark.functions import geodesy
 from seismark.functions.text import glob
-from seismark.operators import catalog, kernels, segments, series
+from seismark.operators import catalog, kernels, network, segments, series
 from seismark.sources import tables
 from seismark.streaming import processes
 
@@ -223,13 +223,12 @@ def greedy(triggers, least, extension):
 
 
 @pytest.mark.parametrize("rows_per_range", [3, 100_000])
-def test_network_triggers_as_popped_one_by_one(spark, monkeypatch, rows_per_range):
-    monkeypatch.setattr(series, "RANGE_ROWS", rows_per_range)
+def test_network_triggers_as_popped_one_by_one(spark, rows_per_range):
     r = np.random.RandomState(5)
     starts = np.cumsum(r.randint(0, 9, 120))
     triggers = [(int(a), int(a + r.randint(1, 14)), int(r.randint(0, 6)), float(r.randint(1, 3))) for a in starts]
     df = spark.createDataFrame(triggers, "a long, z long, s long, w double")
-    got = sorted((e.start, e.end, e.coincidence_sum, tuple(e.stations)) for e in series.network_triggers(df, "a", "z", "s", 3, "w", 1).collect())
+    got = sorted((e.start, e.end, e.coincidence_sum, tuple(e.stations)) for e in network.network_triggers(df, "a", "z", "s", 3, "w", 1, range_rows=rows_per_range).collect())
     assert got == sorted(greedy(triggers, 3, 1)) and len(got) > 5
 
 
