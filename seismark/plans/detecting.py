@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correlation, detection, network, series
+from ..operators import correlation, detection, network, picking, series
 from . import data
 from .data import SAMPLES, VECTORS
 from .registry import query, rounded
@@ -175,3 +175,38 @@ def coincidence_details(spark, d):
     found = network.network_triggers(triggers, "on_idx", "off_idx", "trace", 12, "weight", similarity="likeness", details=("peak", "std"))
     found = found.select("start", "end", "coincidence_sum", F.array_join(F.col("stations").cast("array<string>"), ",").alias("stations"), "peak_mean", "std_mean", F.array_max("peak").alias("top"), F.size("likeness").cast("long").alias("likenesses"))
     return rounded(found, 6, "peak_mean", "std_mean", "top")
+
+
+# --- phase picks: the twin runs the machine sample by sample
+
+_PICK = (
+    "x1 AS (SELECT trace, idx AS i, x, max(idx) OVER (PARTITION BY trace) AS n, max(abs(x)) OVER (PARTITION BY trace) AS scale FROM s WHERE idx >= 1)",
+    "x2 AS (SELECT *, (x - coalesce(lag(x) OVER (PARTITION BY trace ORDER BY i), x)) * 2 AS rise, abs(CAST(trunc(256 * x / scale + 0.5) AS BIGINT)) AS size FROM x1)",
+    "x0 AS (SELECT trace, sum(CASE WHEN i >= 2 THEN x * x ELSE 0 END) AS y, sum(CASE WHEN i >= 2 THEN rise * rise ELSE 0 END) AS t, sum(x) AS sx FROM x2 WHERE i <= 6 GROUP BY 1)",
+    "m AS (SELECT trace, CAST(0 AS BIGINT) AS i, y, t, 0.0::DOUBLE AS ssx, 0.0::DOUBLE AS ssq, 0.0::DOUBLE AS num, CASE WHEN (6 * y - sx * sx) / 36 > 0 THEN sqrt(6 * y - sx * sx) / 36 ELSE 1 END AS sdev, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS ev, 0 AS flag, CAST(0 AS BIGINT) AS itar, 0 AS down, CAST(0 AS BIGINT) AS amp, CAST(0 AS BIGINT) AS noise, CAST(0 AS BIGINT) AS pamp, CAST(0 AS BIGINT) AS until, 0 AS first, CAST(0 AS BIGINT) AS pick FROM x0"
+    " UNION ALL SELECT trace, i, y, t, ssx, ssq, num, CASE WHEN keep THEN CASE WHEN num * ssq - ssx * ssx >= 0 THEN sqrt((num * ssq - ssx * ssx) / (num * num)) ELSE 1 END ELSE sdev END, CASE WHEN keep THEN ssx / num ELSE mean END, ev,"
+    " CASE WHEN over THEN CASE WHEN flag = 0 THEN 1 WHEN ev > 6 AND down = 0 THEN flag + 2 ELSE flag END WHEN flag > 0 AND down + 1 > 2 THEN 0 ELSE flag END,"
+    " CASE WHEN over AND flag = 0 THEN i WHEN NOT over AND flag > 0 AND down + 1 > 2 THEN 0 ELSE itar END,"
+    " CASE WHEN over THEN 0 WHEN flag > 0 THEN down + 1 ELSE down END, amp, CASE WHEN over AND flag = 0 AND noise = 0 THEN amp ELSE noise END, CASE WHEN i <= until THEN amp WHEN over AND flag = 0 THEN pamp ELSE pamp END, CASE WHEN over AND flag = 0 THEN i + 5 ELSE until END,"
+    " CASE WHEN over AND flag = 0 THEN CASE WHEN rise < 0 THEN 1 WHEN rise > 0 THEN -1 ELSE first END ELSE first END,"
+    " CASE WHEN NOT over AND flag > 0 AND down + 1 > 2 AND i - itar - (down + 1) + flag >= 4 THEN itar ELSE 0 END"
+    " FROM (SELECT *, ssx0 + CASE WHEN keep THEN e ELSE 0 END AS ssx, ssq0 + CASE WHEN keep THEN e * e ELSE 0 END AS ssq, num0 + CASE WHEN keep THEN 1 ELSE 0 END AS num FROM (SELECT *, ev > 1.5 AND i > 12 AS over, ev < 3 OR i <= 12 AS keep FROM (SELECT *, CASE WHEN sdev > 0 THEN (e - mean) / sdev ELSE ev0 END AS ev FROM ("
+    "SELECT m.trace, x2.i, x2.rise, m.y + x * x AS y, m.t + rise * rise AS t, pow(x * x + m.y / m.t * rise * rise, 2) AS e, m.ssx AS ssx0, m.ssq AS ssq0, m.num AS num0, sdev, mean, m.ev AS ev0, flag, itar, down, greatest(amp, size) AS amp, noise, pamp, until, first FROM m JOIN x2 ON x2.trace = m.trace AND x2.i = m.i + 1 WHERE m.pick = 0))))"
+    ")",
+    "lp AS (SELECT *, max(i) OVER (PARTITION BY trace) AS z FROM m)",
+    "fp AS (SELECT trace, CASE WHEN pick > 0 THEN pick WHEN itar > 0 AND i + 1 - itar - down + flag >= 4 THEN itar ELSE 0 END AS at, first, pamp / noise::DOUBLE AS ratio FROM lp WHERE i = z)",
+    "gp AS (SELECT *, 4 - (ratio > 1.5)::INT - (ratio > 4)::INT - (ratio > 6)::INT - (ratio > 8)::INT AS grade FROM fp)",
+)
+
+
+@query("SELECT trace, at + 1 AS pick, CASE WHEN at = 0 THEN '' ELSE concat(CASE WHEN grade <= 1 THEN 'IP' ELSE 'EP' END, CASE WHEN first < 0 THEN concat('U', grade) WHEN first > 0 THEN concat('D', grade) ELSE '' END) END AS phase FROM gp", SAMPLES, *_PICK)
+def first_picks(spark, d):
+    """The first onset of each trace with its quality, the noise being settled block by block."""
+    return picking.first_picks(data.samples(spark, d), 2.0, 2, 4, 1.5, 3.0, 6, 5, block=16)
+
+
+@query("SELECT trace, i AS idx, round(ev, 5) + 0.0 AS value FROM (SELECT * FROM m WHERE i > 0)", SAMPLES, *[v.replace("WHERE m.pick = 0", "") for v in _PICK[:4]])
+def noise_values(spark, d):
+    """The characteristic function of the picker."""
+    energies = picking.energy_function(data.samples(spark, d), 2.0, 6)
+    return rounded(picking.noise_values(energies, 3.0, 6, block=16), 5, "value")
