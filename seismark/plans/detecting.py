@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correlation, detection, network, picking, series
+from ..operators import arrays, correlation, detection, network, picking, series
 from . import data
 from .data import SAMPLES, VECTORS
 from .registry import query, rounded
@@ -194,12 +194,12 @@ _PICK = (
     "SELECT m.trace, x2.i, x2.rise, m.y + x * x AS y, m.t + rise * rise AS t, pow(x * x + m.y / m.t * rise * rise, 2) AS e, m.ssx AS ssx0, m.ssq AS ssq0, m.num AS num0, sdev, mean, m.ev AS ev0, flag, itar, down, greatest(amp, size) AS amp, noise, pamp, until, first FROM m JOIN x2 ON x2.trace = m.trace AND x2.i = m.i + 1 WHERE m.pick = 0))))"
     ")",
     "lp AS (SELECT *, max(i) OVER (PARTITION BY trace) AS z FROM m)",
-    "fp AS (SELECT trace, CASE WHEN pick > 0 THEN pick WHEN itar > 0 AND i + 1 - itar - down + flag >= 4 THEN itar ELSE 0 END AS at, first, pamp / noise::DOUBLE AS ratio FROM lp WHERE i = z)",
+    "fp AS (SELECT trace, CASE WHEN pick > 0 THEN pick WHEN itar > 0 AND i + 1 - itar - down + flag >= 4 THEN itar ELSE 0 END AS onset, first, pamp / noise::DOUBLE AS ratio FROM lp WHERE i = z)",
     "gp AS (SELECT *, 4 - (ratio > 1.5)::INT - (ratio > 4)::INT - (ratio > 6)::INT - (ratio > 8)::INT AS grade FROM fp)",
 )
 
 
-@query("SELECT trace, at + 1 AS pick, CASE WHEN at = 0 THEN '' ELSE concat(CASE WHEN grade <= 1 THEN 'IP' ELSE 'EP' END, CASE WHEN first < 0 THEN concat('U', grade) WHEN first > 0 THEN concat('D', grade) ELSE '' END) END AS phase FROM gp", SAMPLES, *_PICK)
+@query("SELECT trace, onset + 1 AS pick, CASE WHEN onset = 0 THEN '' ELSE concat(CASE WHEN grade <= 1 THEN 'IP' ELSE 'EP' END, CASE WHEN first < 0 THEN concat('U', grade) WHEN first > 0 THEN concat('D', grade) ELSE '' END) END AS phase FROM gp", SAMPLES, *_PICK)
 def first_picks(spark, d):
     """The first onset of each trace with its quality, the noise being settled block by block."""
     return picking.first_picks(data.samples(spark, d), 2.0, 2, 4, 1.5, 3.0, 6, 5, block=16)
@@ -210,3 +210,52 @@ def noise_values(spark, d):
     """The characteristic function of the picker."""
     energies = picking.energy_function(data.samples(spark, d), 2.0, 6)
     return rounded(picking.noise_values(energies, 3.0, 6, block=16), 5, "value")
+
+
+# --- beams in the frequency domain: arrays are the labels
+
+_GRID = (-0.2, 0.2, -0.2, 0.2, 0.1)
+_BEAMS = (
+    "ge AS (SELECT label, trace, x - avg(x) OVER (PARTITION BY label) AS gx, y - avg(y) OVER (PARTITION BY label) AS gy, count(*) OVER (PARTITION BY label) AS n FROM (SELECT vec_id AS trace, label, (vec_id * 37 % 11) / 10.0 AS x, (vec_id * 53 % 7) / 10.0 AS y FROM embeddings))",
+    "wx AS (SELECT trace, label, win, idx - 16 * win AS i, x - avg(x) OVER (PARTITION BY trace, win) AS x FROM v JOIN (SELECT unnest(range(0, 3)) AS win) ON idx BETWEEN 16 * win AND 16 * win + 31)",
+    "wt AS (SELECT *, x * CASE WHEN i <= 3 THEN 0.5 * (1 - cos(pi() * i / 3)) WHEN i >= 28 THEN 0.5 * (1 + cos(pi() * (i - 28) / 3)) ELSE 1 END AS y FROM wx)",
+    "ft AS (SELECT trace, label, win, k, sum(y * cos(2 * pi() * k * i / 32)) AS re, -sum(y * sin(2 * pi() * k * i / 32)) AS im FROM wt, (SELECT unnest([2, 3, 4]) AS k) GROUP BY 1, 2, 3, 4)",
+    "gr AS (SELECT ix, iy, -0.2 + ix * 0.1 AS sx, -0.2 + iy * 0.1 AS sy FROM (SELECT unnest(range(0, 5)) AS ix), (SELECT unnest(range(0, 5)) AS iy))",
+    "st AS (SELECT ft.label, win, k, ix, iy, sx, sy, sum(re * cos(a) - im * sin(a)) AS re, sum(re * sin(a) + im * cos(a)) AS im FROM (SELECT ft.*, gr.*, 2 * pi() * k * 3.125 * (sx * gx + sy * gy) AS a FROM ft JOIN ge ON ge.trace = ft.trace JOIN gr ON true) ft GROUP BY ALL)",
+    "tw AS (SELECT label, win, sum(re * re + im * im) * max(n) AS total FROM ft JOIN ge USING (trace, label) GROUP BY 1, 2)",
+    "mp AS (SELECT st.label, st.win, ix, iy, any_value(sx) AS sx, any_value(sy) AS sy, sum(re * re + im * im) AS power, sum(re * re + im * im) / any_value(total) AS rel FROM st JOIN tw ON tw.label = st.label AND tw.win = st.win GROUP BY 1, 2, 3, 4)",
+    "be AS (SELECT *, row_number() OVER (PARTITION BY label, win ORDER BY rel DESC, ix, iy) AS r FROM mp)",
+)
+
+
+def _array(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = data.vectors(spark, d).select(F.col("label").alias("array"), F.col("trace").alias("station"), F.posexplode("data").alias("idx", "x"))
+    key = F.col("trace")
+    geometry = data.vectors(spark, d).select(F.col("label").alias("array"), key.alias("station"), (key * 37 % 11 / 10.0).alias("x"), (key * 53 % 7 / 10.0).alias("y"))
+    return rows, geometry
+
+
+@query(
+    "SELECT label AS array, CAST(16 * win AS BIGINT) AS idx, round(rel, 8) AS relative, round(power, 7) AS absolute, round(CASE WHEN degrees(atan2(sx, sy)) > 0 THEN degrees(atan2(sx, sy)) - 180 ELSE degrees(atan2(sx, sy)) + 180 END, 5) + 0.0 AS back_azimuth, round(greatest(sqrt(sx * sx + sy * sy), 1e-8), 8) AS slowness FROM be WHERE r = 1 AND rel > 0.02",
+    VECTORS,
+    *_BEAMS,
+)
+def array_beams(spark, d):
+    """Relative and absolute power, back azimuth and slowness of sliding windows."""
+    found = arrays.array_processing(*_array(spark, d), 100.0, 32, 16, _GRID, 5.0, 12.0, semblance=0.02)
+    return rounded(rounded(rounded(found, 8, "relative", "slowness"), 7, "absolute"), 5, "back_azimuth")
+
+
+@query("SELECT label AS array, CAST(win AS BIGINT) AS \"window\", ix, iy, round(rel, 8) AS relative, round(power, 7) AS absolute FROM mp", VECTORS, *_BEAMS)
+def array_power_maps(spark, d):
+    """The whole maps over slowness, one for each window."""
+    samples, geometry = _array(spark, d)
+    stations = geometry.groupBy("array").agg(F.count("*").alias("stations"))
+    spectra = arrays.window_spectra(samples, 32, 16, 100.0, 5.0, 12.0)
+    return rounded(rounded(arrays.power_maps(spectra, arrays.centred(geometry, "array", "x", "y"), stations, _GRID, 32, 100.0, 5.0), 8, "relative"), 7, "absolute")
+
+
+@query()
+def array_capon(spark, d):
+    found = arrays.array_processing(*_array(spark, d), 100.0, 32, 16, _GRID, 5.0, 12.0, capon=True)
+    return rounded(found, 6, "relative", "absolute", "back_azimuth", "slowness")
