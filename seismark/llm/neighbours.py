@@ -114,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """From labelled rows whose crc32(doc_id) mod 5 is not 0; of more than ``SAMPLE``, those with the least hashes."""
     marked = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(remainder("doc_id", 5) != 0)
     sample = marked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    # one text for each of them, so that repeated rows do not widen the sample
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -13,8 +13,8 @@ it repeats have the same 128-bit cryptographic digest; whole texts that repeat a
 
 Defined cases: null and empty texts have no words and nothing is removed; very long texts are searched whole, and ties
 between places go to the smaller doc_id, then the earlier start; a null doc_id comes before all others; rows that share a
-doc_id are judged by the places found in any of them, equal rows alike; an empty table gives an empty result; other columns
-are ignored.
+doc_id are one document's versions: equal ones are judged alike, and of different ones only what has the same words at its
+source is removed, so words that stand nowhere else stay; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -264,10 +264,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     A word goes if a window over it also starts earlier: in a smaller doc_id, or further up in the same document.
     """
     first_id = -(1 << 63)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("doc", F.coalesce("doc_id", F.lit(first_id)))
-    named = plain.where("text IS NOT NULL").select("doc", F.sha2("text", 256).alias("sha"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = plain.withColumns({"doc": F.coalesce("doc_id", F.lit(first_id)), "sum": F.xxhash64("text")})
+    named = plain.where("text IS NOT NULL").select("doc", "sum", F.sha2("text", 256).alias("sha"))
     least = named.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("sha", "least")
-    copies = written(named.join(least, "sha").where("doc > least").select("doc").distinct())
+    copies = written(named.join(least, "sha").where("doc > least").select("doc", "sum").distinct())
     own = _without(plain, copies)
     rows = own.select("doc", "text").mapInArrow(_anchor_rows(window, rounds), "key long, doc long, n long")
     repeated = rows.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
@@ -288,21 +289,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS)
     digests = _among(own.select("doc", "text"), asked).join(asked, "doc").mapInArrow(_digests, "source long, source_at int, size int, digest binary")
     checked = passages.join(digests, stretch).groupBy("doc").agg(F.collect_list(F.struct("at", "size", "digest")).alias("passages"))
     none = F.array().cast("array<struct<at:int,size:int,digest:binary>>")
-    removed = written(checked.withColumn("whole", F.lit(False)).union(copies.select("doc", none, F.lit(True))))
-    cut = _among(plain, removed).join(removed, "doc").select("doc_id", "text", "passages", "whole")
-    clean = _without(plain, removed).select("doc_id", "text", none.alias("passages"), F.lit(False).alias("whole"))
+    checked = written(checked)
+    cut = _among(own, checked).join(checked, "doc").select("doc_id", "text", "passages", F.lit(False).alias("whole"))
+    whole = _among(plain, copies).select("doc_id", "text", none.alias("passages"), F.lit(True).alias("whole"))
+    clean = _without(own, checked).select("doc_id", "text", none.alias("passages"), F.lit(False).alias("whole"))
     schema = "doc_id long, text string, n_words long, n_removed long"
-    return cut.mapInArrow(_kept_rows(window), schema).union(clean.mapInArrow(_kept_rows(window), schema))
+    return cut.mapInArrow(_kept_rows(window), schema).union(whole.union(clean).mapInArrow(_kept_rows(window), schema))
 
 
-def _small(ids: DataFrame) -> DataFrame:
-    ids = ids.select(F.col("doc").alias("_doc")).distinct()
-    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+def _marked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` that are, or are not, among ``ids``: (doc), or (doc, sum) where one of several texts of a doc_id is meant."""
+    keys = [c for c in ("doc", "sum") if c in ids.columns]
+    ids = ids.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    small = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS // len(keys) ** 2 else ids
+    return docs.join(small, [F.col(c) == F.col(f"_{c}") for c in keys], how)
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(_small(ids), F.col("doc") == F.col("_doc"), "left_semi")
+    return _marked(docs, ids, "left_semi")
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(_small(ids), F.col("doc") == F.col("_doc"), "left_anti")
+    return _marked(docs, ids, "left_anti")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seismark.llm import queries, spelling, suffixes, whitening
+from seismark.llm import neighbours, queries, spelling, substrings, suffixes, whitening
 
 SF = "/root/testdata/sf0.001"
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -207,3 +207,26 @@ def test_spelling_of_odd_texts(spark):
     found = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.group_variants(frame).collect()}
     assert found == grouped(counted(rows)) and found["bbaloon"][:2] == ("baloon", "balloon")
     assert spelling.group_variants(frame.limit(0)).collect() == []
+
+
+# --- 4 substring dedup: rows that share an id
+
+
+def test_substrings_of_shared_ids(spark):
+    """A copy of another document's text goes; an unrelated text under the same id, or without one, stays."""
+    a, b, c = (" ".join(f"{letter}{i * i % 89}x{i}" for i in range(30)) for letter in "abc")
+    rows = [(3, a), (5, a), (5, b), (5, b), (None, c), (None, c + " tail"), (8, "new " + c), (9, b + " more")]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = Counter((r.doc_id, r.text) for r in found)
+    assert left[(3, a)] == 1 and left[(5, "")] == 1 and left[(5, b)] == 2
+    assert left[(None, c)] == 1 and left[(8, "new")] == 1 and left[(9, "more")] == 1
+
+
+# --- 6 quality classifier: one text for each labelled id
+
+
+def test_repeated_rows_do_not_widen_the_sample(spark):
+    rows = [(i % 6, f"good words here {i % 6}" if i % 2 else f"bad bad bad {i % 6}") for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    model = neighbours.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert len(model.labels) <= 6
