@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from math import ceil, log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import BLOCK, with_halo
+from .detection import sample_blocks
+from .series import BLOCK
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -100,40 +102,101 @@ def sections_filter(sections: np.ndarray, zero_phase: bool = False) -> Kernel:
     return lambda x: once(once(x)[:, ::-1])[:, ::-1] if zero_phase else once(x)
 
 
-#: The share of a filter's response that no longer counts, and how many samples a block may warm up for its own ones.
-FADED, WARM_SHARE = 1e-18, 4
+#: The share of a filter's response that no longer counts, samples of a piece at least, and of pieces that are run together.
+FADED, PIECE, TOGETHER = 1e-18, 1024, 1 << 22
 
 
-def filter_blocks(df: DataFrame, sections: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(trace, idx, y): second-order sections over traces of any length.
+def warm_up(sections: np.ndarray) -> int:
+    """Samples after which nothing is left of a filter's start: its slowest pole tells.
 
-    A block starts with zero state some samples early; the slowest pole tells after how many the start has faded, so every
-    block gives what the whole trace would give, and no task holds more than a block and its halo.
+    Cascaded sections with like poles fade as a power of n times the pole's power, hence the factor.
     """
     slowest = max(np.abs(np.roots(r)).max() for r in sections[:, 3:])
-    # cascaded sections with like poles fade as a power of n times the pole's power, hence the factor
-    warm = 1 if slowest == 0 else ceil(1.5 * log(FADED) / log(min(slowest, 1 - 1e-9)))
-    steps = [(r[0], r[1], r[2], r[4], r[5]) for r in sections.tolist()]
-
-    def run(x: list[float]) -> list[float]:
-        # one trace at a time: plain floats are faster here than arrays of length 1
-        for b0, b1, b2, a1, a2 in steps:
-            s1, s2, out = 0.0, 0.0, []
-            for v in x:
-                y = b0 * v + s1
-                s1, s2 = b1 * v - a1 * y + s2, b2 * v - a2 * y
-                out.append(y)
-            x = out
-        return x
+    return 1 if slowest == 0 else ceil(1.5 * log(FADED) / log(min(slowest, 1 - 1e-9)))
+
+
+def _in_pieces(rows: list[np.ndarray], kernel: Kernel, warm: int) -> list[np.ndarray]:
+    """``kernel`` over arrays of any lengths: pieces that start ``warm`` samples early become the rows of one matrix."""
+    size = min(max(PIECE, 2 * warm), max(map(len, rows), default=1))
+    out = [np.empty(len(x)) for x in rows]
+    asked = [(i, a) for i, x in enumerate(rows) for a in range(0, len(x), size)]
+    width = size + warm
+    step = max(1, TOGETHER // width)
+    for begin in range(0, len(asked), step):
+        part = asked[begin : begin + step]
+        matrix = np.zeros((len(part), width))
+        for row, (i, a) in zip(matrix, part, strict=True):
+            held = rows[i][max(0, a - warm) : a + size]
+            row[max(0, warm - a) : max(0, warm - a) + len(held)] = held
+        matrix = kernel(matrix)
+        for row, (i, a) in zip(matrix, part, strict=True):
+            out[i][a : a + size] = row[warm : warm + min(size, len(rows[i]) - a)]
+    return out
+
+
+def filter_blocks(df: DataFrame, sections: np.ndarray, zero_phase: bool = False, block: int = BLOCK) -> DataFrame:
+    """(trace, idx, y): second-order sections over traces (trace, idx, x) of any length; zero phase: forwards, then backwards.
+
+    A block starts with zero state some samples early, at most as many as ``warm_up`` tells, so every block gives what the whole
+    trace would give, and no task holds more than a block and its margin. Blocks of an Arrow batch run together, in pieces.
+    """
+    forwards = _swept(df.select("trace", "idx", "x"), sections, block, False)
+    return _swept(forwards.withColumnRenamed("y", "x"), sections, block, True) if zero_phase else forwards
+
+
+def _swept(df: DataFrame, sections: np.ndarray, block: int, backwards: bool) -> DataFrame:
+    warm, kernel, turn = warm_up(sections), sections_filter(sections), -1 if backwards else 1
+    block = max(block, 2 * warm)
+    typed = df.withColumns({"idx": F.col("idx").cast("long"), "x": F.col("x").cast("double")})
+    blocks = sample_blocks(typed, ["trace"], 0 if backwards else warm, warm if backwards else 0, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            idx, x = ([np.asarray(row.values) for row in batch.column(c)] for c in ("_idx", "_x"))
+            y = [v[::turn] for v in _in_pieces([v[::turn] for v in x], kernel, warm)]
+            own = [i // block == at for i, at in zip(idx, batch.column("_block").to_pylist(), strict=True)]
+            take = pa.array(np.repeat(np.arange(batch.num_rows), [o.sum() for o in own]))
+            join = lambda parts: np.concatenate([p[o] for p, o in zip(parts, own, strict=True)]) if parts else np.zeros(0)
+            yield pa.record_batch({"trace": batch.column("trace").take(take), "idx": pa.array(join(idx), pa.int64()), "y": pa.array(join(y))})
+
+    return blocks.mapInArrow(run, f"trace {dict(df.dtypes)['trace']}, idx long, y double")
+
+
+def chebyshev_lowpass(corner: float, rate: float, ripple: float = 1.0, stop: float = 96.0, most: int = 12) -> np.ndarray:
+    """Sections of a low pass whose stop band, ``stop`` decibels down, begins at ``corner``; its pass band is narrowed until the order is ``most``.
+
+    Poles and zeros of the inverse Chebyshev prototype follow from its order; the bilinear transform maps them.
+    """
+    gain = np.arccosh(np.sqrt((10 ** (stop / 10) - 1) / (10 ** (ripple / 10) - 1)))
+    edge = np.tan(np.pi * corner / rate)
+    share = order = None
+    while order is None or order > most:
+        share = 0.99 * (share or 1.0)
+        passed = np.tan(np.pi * corner * share / rate)
+        order = ceil(gain / np.arccosh(edge / passed))
+    natural = passed * np.cosh(gain / order)
+    m = np.arange(-order + 1, order, 2)
+    zeros = 1j / np.sin(m[m != 0] * np.pi / (2 * order))
+    spread = np.arcsinh(np.sqrt(10 ** (stop / 10) - 1)) / order
+    circle = -np.exp(1j * np.pi * m / (2 * order))
+    poles = 1 / (np.sinh(spread) * circle.real + 1j * np.cosh(spread) * circle.imag)
+    to_z = lambda s: (1 + s * natural) / (1 - s * natural)
+    poles, zeros = to_z(poles), np.concatenate([to_z(zeros), -np.ones(len(poles) - len(zeros))])
+    out = np.array([np.concatenate([np.pad(np.real(np.poly(q)), (0, 3 - len(q) - 1)) for q in (z, p)]) for p, z in zip(_pairs(poles), _pairs(zeros), strict=True)])
+    out[:, :3] *= (out[:, 3:].sum(1) / out[:, :3].sum(1))[:, None]
+    return out
+
+
+#: The greatest factor of a decimation in one step, with which the filter is still sound.
+MOST_DECIMATION = 16
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        y = run(rows["x"].astype(float).tolist())
-        return rows[["trace", "idx"]].assign(y=y)[rows["_own"].to_numpy(bool)]
 
-    halo = with_halo(df.select("trace", "idx", "x"), warm, 0, max(block, WARM_SHARE * warm))
-    types = dict(df.dtypes)
-    return halo.groupBy("trace", "_block").applyInPandas(work, f"trace {types['trace']}, idx {types['idx']}, y double")
+def decimate(df: DataFrame, factor: int, rate: float, block: int = BLOCK) -> DataFrame:
+    """(trace, idx, y): every ``factor``th sample, numbered anew, after a low pass that stops at half of the new rate."""
+    if factor > MOST_DECIMATION:
+        raise ValueError(f"decimate in steps of at most {MOST_DECIMATION}")
+    low = filter_blocks(df, chebyshev_lowpass(0.5 * rate / factor, rate), block=block) if factor > 1 else df.withColumnRenamed("x", "y")
+    return low.where(F.col("idx") % factor == 0).withColumn("idx", F.floor(F.col("idx") / factor))
 
 
 def _analytic(x: np.ndarray) -> np.ndarray:

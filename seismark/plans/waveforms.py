@@ -44,10 +44,6 @@ def _quadratics(kind: str, corner: float, rate: float = RATE) -> list[tuple[floa
     return out
 
 
-def _sections(*design) -> list[tuple[float, ...]]:
-    return [(r[0], r[1], r[2], r[4], r[5]) for r in kernels.butterworth(*design).tolist()]
-
-
 def _cascade(sections: list[tuple[float, ...]], source: str, name: str) -> tuple[str, ...]:
     """Views name1, name2, ...: one per section, each reads the one before; the last one's x is the result."""
     views = []
@@ -61,42 +57,90 @@ def _cascade(sections: list[tuple[float, ...]], source: str, name: str) -> tuple
     return tuple(views)
 
 
-_BAND = _sections("bandpass", 4, RATE, 2.0, 20.0)
-_STOP = _sections("bandstop", 4, RATE, 8.0, 20.0)
+def _quartics(kind: str, low: float, high: float, rate: float = RATE) -> list[tuple[float, ...]]:
+    """The two fourth-order difference equations of a fourth-order band filter: b0 ... b4, a1 ... a4.
+
+    s becomes (s^2 + w^2) / (B s), or the inverse, in each quadratic s^2 + 2 s cos(angle) + 1 of the prototype, and
+    (1 - 1/z) / (1 + 1/z) then stands for s; powers of both binomials are multiplied out.
+    """
+    a, b = tan(pi * low / rate), tan(pi * high / rate)
+    width, centre = b - a, a * b
+    power = lambda k: np.polymul(np.poly1d([-1, 1]) ** k, np.poly1d([1, 1]) ** (4 - k)).coeffs[::-1]
+    terms = [np.pad(power(k), (0, 5 - len(power(k)))) for k in range(5)]
+    out = []
+    for angle in (pi / 8, 3 * pi / 8):
+        d = 2 * cos(angle) * width
+        analog = [centre**2, d * centre, 2 * centre + width**2, d, 1]
+        top = [0, 0, width**2, 0, 0] if kind == "bandpass" else [centre**2, 0, 2 * centre, 0, 1]
+        bottom = sum(c * t for c, t in zip(analog, terms, strict=True))
+        upper = sum(c * t for c, t in zip(top, terms, strict=True)) / bottom[0]
+        out.append((*upper.tolist(), *(bottom[1:] / bottom[0]).tolist()))
+    return out
+
+
+def _wide_cascade(sections: list[tuple[float, ...]], source: str, name: str) -> tuple[str, ...]:
+    """Views name1, name2 of fourth-order equations, each with four states."""
+    views = []
+    for i, (b0, b1, b2, b3, b4, a1, a2, a3, a4) in enumerate(sections, 1):
+        first = lambda b, a: f"({b!r} - ({a!r}) * {b0!r}) * x"  # noqa: B023, E731
+        y = f"({b0!r} * p.x + f.s1)"
+        views.append(
+            f"{name}{i} AS (SELECT trace, idx, {b0!r} * x AS x, {first(b1, a1)} AS s1, {first(b2, a2)} AS s2, {first(b3, a3)} AS s3, {first(b4, a4)} AS s4 FROM {source} WHERE idx = 0"
+            f" UNION ALL SELECT p.trace, p.idx, {y}, {b1!r} * p.x - ({a1!r}) * {y} + f.s2, {b2!r} * p.x - ({a2!r}) * {y} + f.s3, {b3!r} * p.x - ({a3!r}) * {y} + f.s4, {b4!r} * p.x - ({a4!r}) * {y}"
+            f" FROM {name}{i} f JOIN {source} p ON p.trace = f.trace AND p.idx = f.idx + 1)"
+        )
+        source = f"{name}{i}"
+    return tuple(views)
+
+
+_BAND, _STOP = _quartics("bandpass", 2.0, 20.0), _quartics("bandstop", 8.0, 20.0)
 _FILTERED = "SELECT trace, idx, round(x, 6) + 0.0 AS y FROM {}"
 
 
-@query(_FILTERED.format("f4"), VECTORS, *_cascade(_BAND, "v", "f"))
+def _filtered(spark, d, sections: np.ndarray, zero_phase: bool = False) -> DataFrame:
+    rows = data.vectors(spark, d).select("trace", F.posexplode("data").alias("idx", "x"))
+    return rounded(kernels.filter_blocks(rows, sections, zero_phase), 6, "y")
+
+
+@query(_FILTERED.format("f2"), VECTORS, *_wide_cascade(_BAND, "v", "f"))
 def bandpass(spark, d):
-    return _run(spark, d, kernels.sections_filter(kernels.butterworth("bandpass", 4, RATE, 2.0, 20.0)))
+    return _filtered(spark, d, kernels.butterworth("bandpass", 4, RATE, 2.0, 20.0))
 
 
-@query("SELECT trace, 63 - idx AS idx, round(x, 6) + 0.0 AS y FROM g4", VECTORS, *_cascade(_BAND, "v", "f"), "r AS (SELECT trace, 63 - idx AS idx, x FROM f4)", *_cascade(_BAND, "r", "g"))
+@query("SELECT trace, 63 - idx AS idx, round(x, 6) + 0.0 AS y FROM g2", VECTORS, *_wide_cascade(_BAND, "v", "f"), "r AS (SELECT trace, 63 - idx AS idx, x FROM f2)", *_wide_cascade(_BAND, "r", "g"))
 def bandpass_zero_phase(spark, d):
-    return _run(spark, d, kernels.sections_filter(kernels.butterworth("bandpass", 4, RATE, 2.0, 20.0), zero_phase=True))
+    return _filtered(spark, d, kernels.butterworth("bandpass", 4, RATE, 2.0, 20.0), zero_phase=True)
 
 
-@query(_FILTERED.format("f4"), VECTORS, *_cascade(_STOP, "v", "f"))
+@query(_FILTERED.format("f2"), VECTORS, *_wide_cascade(_STOP, "v", "f"))
 def bandstop(spark, d):
-    return _run(spark, d, kernels.sections_filter(kernels.butterworth("bandstop", 4, RATE, 8.0, 20.0)))
+    return _filtered(spark, d, kernels.butterworth("bandstop", 4, RATE, 8.0, 20.0))
 
 
 @query(_FILTERED.format("f2"), VECTORS, *_cascade(_quadratics("low", 10.0), "v", "f"))
 def lowpass(spark, d):
-    return _run(spark, d, kernels.sections_filter(kernels.butterworth("lowpass", 4, RATE, high=10.0)))
+    return _filtered(spark, d, kernels.butterworth("lowpass", 4, RATE, high=10.0))
 
 
 @query(_FILTERED.format("f2"), VECTORS, *_cascade(_quadratics("high", 10.0), "v", "f"))
 def highpass(spark, d):
-    return _run(spark, d, kernels.sections_filter(kernels.butterworth("highpass", 4, RATE, low=10.0)))
+    return _filtered(spark, d, kernels.butterworth("highpass", 4, RATE, low=10.0))
 
 
 @query(_FILTERED.format("f2"), SAMPLES, *_cascade(_quadratics("low", 10.0), "s", "f"))
 def lowpass_long(spark, d):
-    """The same filter on traces of any length, in blocks."""
+    """The same filter on traces of any length."""
     return rounded(kernels.filter_blocks(data.samples(spark, d), kernels.butterworth("lowpass", 4, RATE, high=10.0)), 6, "y")
 
 
+_ALIAS = [(r[0], r[1], r[2], r[4], r[5]) for r in kernels.chebyshev_lowpass(RATE / 8, RATE).tolist()]
+
+
+@query(f"SELECT trace, idx // 4 AS idx, round(x, 5) + 0.0 AS y FROM f{len(_ALIAS)} WHERE idx % 4 = 0", SAMPLES, *_cascade(_ALIAS, "s", "f"))
+def decimate_filtered(spark, d):
+    return rounded(kernels.decimate(data.samples(spark, d), 4, RATE), 5, "y")
+
+
 # --- analytic signal: the twin convolves with the cotangent kernel of the discrete Hilbert transform
 
 _HILBERT = "h AS (SELECT a.trace, a.label, a.idx, any_value(a.x) AS re, sum(CASE WHEN (a.idx - b.idx) % 2 <> 0 THEN b.x / tan(pi() * (a.idx - b.idx) / 64) / 32 ELSE 0 END) AS im FROM {} a JOIN {} b ON b.trace = a.trace GROUP BY 1, 2, 3)"
@@ -129,7 +173,7 @@ def centroid_time(spark, d):
 _LINE = "l AS (SELECT v.trace, v.label, v.idx, v.x - (i + k * v.idx) AS x FROM v JOIN (SELECT trace, regr_slope(x, idx) AS k, regr_intercept(x, idx) AS i FROM v GROUP BY 1) m ON m.trace = v.trace)"
 
 
-@query("SELECT trace, idx, round(sqrt(re * re + im * im), 6) AS y FROM h", VECTORS, _LINE, *_cascade(_BAND, "l", "f"), "q AS (SELECT *, 0 AS label FROM f4)", _HILBERT.format("q", "q"))
+@query("SELECT trace, idx, round(sqrt(re * re + im * im), 6) AS y FROM h", VECTORS, _LINE, *_wide_cascade(_BAND, "l", "f"), "q AS (SELECT *, 0 AS label FROM f2)", _HILBERT.format("q", "q"))
 def detrend_filter_envelope(spark, d):
     return _run(spark, d, kernels.polynomial_detrend(1), kernels.sections_filter(kernels.butterworth("bandpass", 4, RATE, 2.0, 20.0)), kernels.envelope)
 

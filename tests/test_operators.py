@@ -191,15 +191,15 @@ def test_blocks_filter_as_the_whole_trace(spark):
     for design in (("bandpass", 4, 100.0, 2.0, 20.0), ("lowpass", 2, 100.0, None, 4.0)):
         sections = kernels.butterworth(*design)
         want = kernels.sections_filter(sections)(values[None, :])[0]
-        assert np.allclose(column(kernels.filter_blocks(trace(spark, values), sections, 37), "y"), want, atol=1e-12)
+        assert np.allclose(column(kernels.filter_blocks(trace(spark, values), sections, block=37), "y"), want, atol=1e-12)
 
 
 def test_filter_blocks_splits_long_traces(spark, monkeypatch):
-    monkeypatch.setattr(kernels, "WARM_SHARE", 0)
+    monkeypatch.setattr(kernels, "PIECE", 32)
     values = np.random.RandomState(4).randn(2000)
     sections = kernels.butterworth("lowpass", 2, 100.0, None, 30.0)
     want = kernels.sections_filter(sections)(values[None, :])[0]
-    assert np.allclose(column(kernels.filter_blocks(trace(spark, values), sections, 50), "y"), want, atol=1e-12)
+    assert np.allclose(column(kernels.filter_blocks(trace(spark, values), sections, block=50), "y"), want, atol=1e-12)
 
 
 def greedy(triggers, least, extension):
