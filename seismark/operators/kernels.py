@@ -282,18 +282,6 @@ def fourier_resample(factor: float, window: bool = True) -> Kernel:
     return run
 
 
-def lanczos(step: float, a: int) -> Kernel:
-    """Values at multiples of ``step`` samples by a windowed sinc of half width ``a``."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        at = np.arange(0, x.shape[1] - 1 + 1e-9, step)
-        away = at[:, None] - np.arange(x.shape[1])
-        weight = np.where(np.abs(away) <= a, np.sinc(away) * np.sinc(away / a), 0.0)
-        return x @ weight.T
-
-    return run
-
-
 def power_density(rate: float) -> Kernel:
     """One-sided periodogram after demeaning and a 10 % cosine taper at each end; 0 for a single sample."""
 
@@ -398,42 +386,6 @@ def deconvolve(poles: list[complex], zeros: list[complex], gain: float, rate: fl
     return run
 
 
-def polarization(x: np.ndarray) -> np.ndarray:
-    """From three equal thirds E, N, Z: azimuth, incidence, rectilinearity, planarity of the covariance's axes."""
-    n = x.shape[1] // 3
-    parts = x[:, : 3 * n].reshape(len(x), 3, n)
-    parts = parts - parts.mean(2, keepdims=True)
-    values, vectors = np.linalg.eigh(parts @ parts.transpose(0, 2, 1) / max(n, 1))
-    values, (e, up, z) = np.maximum(values, 0), vectors[:, :, 2].T
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rect = np.nan_to_num(1 - np.sqrt(values[:, 1] / values[:, 2]))
-        planar = np.nan_to_num(1 - 2 * values[:, 0] / (values[:, 1] + values[:, 2]))
-    azimuth, incidence = np.degrees(np.arctan2(e, up)), np.degrees(np.arctan2(np.hypot(e, up), z))
-    flip = incidence > 90
-    incidence = np.where(flip, 180 - incidence, incidence)
-    return np.stack([azimuth % 180, incidence, rect, planar], 1)  # an axis has no sense: azimuths lie in [0, 180)
-
-
-def weighted_slopes(step: float) -> Kernel:
-    """Cubic Hermite values at multiples of ``step`` samples; slopes are means weighted by the inverse of their size, 0 at turns."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        if x.shape[1] < 2:
-            return x
-        rise = np.diff(x, axis=1)
-        weight = 1 / np.maximum(np.abs(rise), np.spacing(1))
-        slope = np.empty_like(x)
-        slope[:, 0], slope[:, -1] = rise[:, 0], rise[:, -1]
-        inner = (weight[:, :-1] * rise[:, :-1] + weight[:, 1:] * rise[:, 1:]) / (weight[:, :-1] + weight[:, 1:])
-        slope[:, 1:-1] = np.where(np.sign(rise[:, :-1]) == np.sign(rise[:, 1:]), inner, 0.0)
-        at = np.arange(0, x.shape[1] - 1 + 1e-9, step)
-        i = np.minimum(at.astype(int), x.shape[1] - 2)
-        t = at - i
-        return x[:, i] * (1 + 2 * t) * (1 - t) ** 2 + slope[:, i] * t * (1 - t) ** 2 + x[:, i + 1] * t * t * (3 - 2 * t) + slope[:, i + 1] * t * t * (t - 1)
-
-    return run
-
-
 def with_phasors(x: np.ndarray) -> np.ndarray:
     """The samples, then the cosines and the sines of their instantaneous phases."""
     a = _analytic(x)

@@ -449,6 +449,39 @@ def interpolate(df: DataFrame, start: float, step: float, method: str = "linear"
     return places.select(TRACE, "k", (line if method == "linear" else near).alias("y"))
 
 
+def _places(rows: DataFrame, start: float, step: float, value: Column) -> DataFrame:
+    """(trace, k, y) at places start + k step from a sample (``_last``: the trace's last) up to the next one; value: of the sample's columns and ``_part``."""
+    first = F.greatest(F.ceil((F.col(IDX) - start) / step), F.lit(0))
+    last = F.when(F.col("_last"), F.floor((F.col(IDX) - start) / step)).otherwise(F.ceil((F.col(IDX) + 1 - start) / step) - 1)
+    places = rows.where(first <= last).select("*", F.explode(F.sequence(first, last)).alias("k"))
+    return places.withColumn("_part", start + F.col("k") * step - F.col(IDX)).select(TRACE, "k", value.alias("y"))
+
+
+def interpolate_lanczos(df: DataFrame, start: float, step: float, width: int) -> DataFrame:
+    """(trace, k, y): sums of the samples within ``width`` of a place, weighted by a sinc that a wider one fades out."""
+    held = moving(df, width, width, _near=lambda r: F.collect_list(F.struct((F.col(IDX)).alias("i"), F.col(X).alias("x"))).over(r(-width, width)), _last=lambda r: F.count("*").over(r(0, 1)) == 1)
+    sinc = lambda t: F.when(t == 0, F.lit(1.0)).otherwise(F.sin(pi * t) / F.when(t == 0, F.lit(1.0)).otherwise(pi * t))
+
+    def weighted(s: Column) -> Column:
+        away = F.col(IDX) + F.col("_part") - s["i"]
+        return F.when(F.abs(away) <= width, s["x"] * sinc(away) * sinc(away / width)).otherwise(0.0)
+
+    return _places(held, start, step, F.aggregate(F.transform("_near", weighted), F.lit(0.0), lambda a, v: a + v))
+
+
+def interpolate_weighted_slopes(df: DataFrame, start: float, step: float) -> DataFrame:
+    """(trace, k, y): cubic Hermite values; a sample's slope is the mean of both sides' weighted by the inverse of their size, 0 at turns."""
+    sides = moving(df, 1, 1, _a=lambda r: F.col(X) - F.first(X).over(r(-1, -1)), _b=lambda r: F.first(X).over(r(1, 1)) - F.col(X))
+    weight = lambda c: 1 / F.greatest(F.abs(c), F.lit(2.0**-52))
+    inner = (weight("_a") * F.col("_a") + weight("_b") * F.col("_b")) / (weight("_a") + weight("_b"))
+    slope = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(F.signum("_a") == F.signum("_b"), inner).otherwise(0.0)
+    sloped = sides.withColumn("_k", F.coalesce(slope, F.lit(0.0))).drop("_a", "_b")
+    ahead = moving(sloped, 0, 1, _x=lambda r: F.first(X).over(r(1, 1)), _m=lambda r: F.first("_k").over(r(1, 1)), _last=lambda r: F.count("*").over(r(0, 1)) == 1)
+    t = F.col("_part")
+    cubic = F.col(X) * (1 + 2 * t) * (1 - t) * (1 - t) + F.col("_k") * t * (1 - t) * (1 - t) + F.col("_x") * t * t * (3 - 2 * t) + F.col("_m") * t * t * (t - 1)
+    return _places(ahead, start, step, F.when(F.col("_last"), F.col(X)).otherwise(cubic))
+
+
 def taper(df: DataFrame, kind: str = "hann", max_percentage: float | None = 0.05, max_length: int | None = None, side: str = "both") -> DataFrame:
     """Flanks of a symmetric window at the ends of a trace; the shorter of a share and a number of samples, at most half of it."""
     sizes = df.groupBy(TRACE).agg((F.max(IDX) + 1).alias("_n"))

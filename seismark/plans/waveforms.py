@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy
 from ..operators import kernels, network, series
+from ..operators import polarization as polarization_operators
 from ..streaming import processes
 from . import data
 from .data import DAYS, PACKETS, SAMPLES, STATIONS, TIMED, VECTORS
@@ -24,6 +25,10 @@ def _run(spark, d, *run, digits: int = 6) -> DataFrame:
     return rounded(out.select("trace", F.col("idx").cast("long").alias("idx"), "y"), digits, "y")
 
 
+def _rows(spark, d) -> DataFrame:
+    return data.vectors(spark, d).select("trace", F.posexplode("data").alias("idx", "x")).withColumn("idx", F.col("idx").cast("long"))
+
+
 def _pick(spark, d, names: list[str], *run, digits: int = 6) -> DataFrame:
     """(trace, names...) of kernels that give a few figures for each vector."""
     out = data.vectors(spark, d).select("trace", kernels.on_segments(*run)(F.col("data")).alias("a"))
@@ -98,8 +103,7 @@ _FILTERED = "SELECT trace, idx, round(x, 6) + 0.0 AS y FROM {}"
 
 
 def _filtered(spark, d, sections: np.ndarray, zero_phase: bool = False) -> DataFrame:
-    rows = data.vectors(spark, d).select("trace", F.posexplode("data").alias("idx", "x"))
-    return rounded(kernels.filter_blocks(rows, sections, zero_phase), 6, "y")
+    return rounded(kernels.filter_blocks(_rows(spark, d), sections, zero_phase), 6, "y")
 
 
 @query(_FILTERED.format("f2"), VECTORS, *_wide_cascade(_BAND, "v", "f"))
@@ -224,7 +228,7 @@ def resample(spark, d):
 
 @query("SELECT trace, j AS idx, round(sum(CASE WHEN j * 0.75 = idx THEN x ELSE x * sin(pi() * (j * 0.75 - idx)) / (pi() * (j * 0.75 - idx)) * sin(pi() * (j * 0.75 - idx) / 8) / (pi() * (j * 0.75 - idx) / 8) END), 6) + 0.0 AS y FROM v, (SELECT unnest(range(0, 85)) AS j) WHERE abs(j * 0.75 - idx) <= 8 GROUP BY 1, 2", VECTORS)
 def interpolate_lanczos(spark, d):
-    return _run(spark, d, kernels.lanczos(0.75, 8))
+    return rounded(series.interpolate_lanczos(_rows(spark, d), 0.0, 0.75, 8).withColumnRenamed("k", "idx"), 6, "y")
 
 
 _SLOPES = (
@@ -235,7 +239,7 @@ _SLOPES = (
 
 @query("SELECT p.trace, j AS idx, round(p.x * (1 + 2 * t) * pow(1 - t, 2) + p.k * t * pow(1 - t, 2) + q.x * t * t * (3 - 2 * t) + q.k * t * t * (t - 1), 6) + 0.0 AS y FROM (SELECT j, CAST(least(floor(j * 0.75), 62) AS BIGINT) AS i, j * 0.75 - least(floor(j * 0.75), 62) AS t FROM (SELECT unnest(range(0, 85)) AS j)) JOIN sl p ON p.idx = i JOIN sl q ON q.trace = p.trace AND q.idx = i + 1", VECTORS, *_SLOPES)
 def interpolate_weighted_slopes(spark, d):
-    return _run(spark, d, kernels.weighted_slopes(0.75))
+    return rounded(series.interpolate_weighted_slopes(_rows(spark, d), 0.0, 0.75).withColumnRenamed("k", "idx"), 6, "y")
 
 
 # --- spectra
@@ -301,10 +305,17 @@ _AXES = (
 )
 
 
+def _components(spark, d) -> DataFrame:
+    thirds = [F.slice("data", F.lit(1 + 21 * i), 21) for i in range(3)]
+    rows = data.vectors(spark, d).select("trace", F.posexplode(F.arrays_zip(*[t.alias(c) for t, c in zip(thirds, "enz", strict=True)])).alias("idx", "s"))
+    return rows.select("trace", F.col("idx").cast("long").alias("idx"), "s.e", "s.n", "s.z")
+
+
+
 @query("SELECT trace, round(CASE WHEN atan2(u.a, u.b) < 0 THEN degrees(atan2(u.a, u.b)) + 180 ELSE degrees(atan2(u.a, u.b)) END, 4) AS azimuth, round(degrees(atan2(sqrt(u.a * u.a + u.b * u.b), abs(u.c))), 4) AS incidence, round(1 - sqrt(l2 / l1), 6) AS rectilinearity, round(1 - 2 * l3 / (l1 + l2), 6) AS planarity FROM ax", VECTORS, *_AXES)
 def polarization(spark, d):
-    out = data.vectors(spark, d).select("trace", kernels.on_segments(kernels.polarization)(F.col("data")).alias("a"))
-    figures = out.select("trace", *[F.get("a", F.lit(i)).alias(name) for i, name in enumerate(["azimuth", "incidence", "rectilinearity", "planarity"])])
+    """Axes of thirds of a vector as three components."""
+    figures = polarization_operators.axes(_components(spark, d), ["trace"])
     return rounded(rounded(figures, 4, "azimuth", "incidence"), 6, "rectilinearity", "planarity")
 
 
