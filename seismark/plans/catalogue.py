@@ -10,7 +10,7 @@ from ..operators import catalog, correlation, segments, series
 from ..operators import spectra_histogram as ppsd
 from ..sources import sac, tables, text_series
 from ..streaming import processes
-from . import archives, data, detecting, further, more, polarizing, splines, timefreq, waveforms  # noqa: F401 - these register queries of their own
+from . import archives, data, detecting, further, more, polarizing, splines, timefreq, trees, waveforms  # noqa: F401 - these register queries of their own
 from .data import DAYS, PACKETS, QUAKES, SAMPLES, STATIONS, TIMED, VECTORS
 from .registry import ORACLES, QUERIES, query, rounded
 
@@ -553,10 +553,14 @@ def tspair_round_trip(spark, d):
     return _samples_of(text_series.read_series(spark, path))
 
 
-@query("SELECT CAST(trace AS VARCHAR) AS station, idx, round(x, 7) + 0.0 AS x FROM v", VECTORS)
+@query("SELECT 'XX' AS network, CAST(trace AS VARCHAR) AS station, concat('E', trace % 3) AS channel, 1600000000000000 + trace * 1001000 AS start, CAST(20 * (1 + trace % 5) AS DOUBLE) AS rate, idx, round(x, 7) + 0.0 AS x FROM v", VECTORS)
 def sac_round_trip(spark, d):
-    traces = data.vectors(spark, d).select(F.lit("XX").alias("network"), F.col("trace").cast("string").alias("station"), F.lit("").alias("location"), F.lit("EMB").alias("channel"), F.lit(0).cast("long").alias("start"), F.lit(100.0).alias("rate"), "data")
-    return rounded(_samples_of(sac.decode_sac(sac.encode_sac(traces))).drop("start"), 7, "x")
+    key = F.col("trace")
+    traces = data.vectors(spark, d).select(
+        F.lit("XX").alias("network"), key.cast("string").alias("station"), F.lit("").alias("location"), F.concat(F.lit("E"), key % 3).alias("channel"), (1_600_000_000_000_000 + key * 1_001_000).alias("start"), (20.0 * (1 + key % 5)).alias("rate"), "data"
+    )
+    held = sac.decode_sac(sac.encode_sac(traces)).select("network", "station", "channel", "start", "rate", F.posexplode("data").alias("idx", "x"))
+    return rounded(rounded(held.withColumn("idx", F.col("idx").cast("long")), 7, "x"), 3, "rate")
 
 
 @query("SELECT epoch_us(time) AS t, latitude, longitude, depth, magnitude FROM q", QUAKES)

@@ -43,20 +43,25 @@ def _decode(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in rows:
         out = []
         for content in part["content"]:
+            if len(content) < _HEAD:
+                continue
             order = "<" if int.from_bytes(content[4 * _VERSION : 4 * _VERSION + 4], "little") < 100 else ">"
             ints, floats = np.frombuffer(content, f"{order}i4", 110), np.frombuffer(content, f"{order}f4", 70)
+            if len(content) < _HEAD + 4 * int(ints[_NPTS]) or min(ints[i] for i in (_NPTS, *_TIME[:2])) < 0 or not floats[_DELTA] > 0:
+                continue
             word = lambda place, c=content: c[_WORDS + place : _WORDS + place + 8].decode(errors="replace").strip().replace("-12345", "")
             year, day, hour, minute, second, milli = (int(ints[i]) for i in _TIME)
             start = int(np.datetime64(f"{year:04d}-01-01", "us").astype(np.int64)) + (((day - 1) * 24 + hour) * 60 + minute) * 60_000_000 + second * 1_000_000 + milli * 1000 + round(float(floats[_B]) * 1e6)
-            out.append((word(_NETWORK), word(_STATION), word(_LOCATION), word(_CHANNEL), start, round(1 / float(floats[_DELTA]), 6), np.frombuffer(content, f"{order}f4", int(ints[_NPTS]), _HEAD).astype(float)))
+            out.append((word(_NETWORK), word(_STATION), word(_LOCATION), word(_CHANNEL), start, 1 / float(str(floats[_DELTA])), np.frombuffer(content, f"{order}f4", int(ints[_NPTS]), _HEAD).astype(float)))
         yield pd.DataFrame(out, columns=["network", "station", "location", "channel", "start", "rate", "data"])
 
 
 def decode_sac(files: DataFrame) -> DataFrame:
+    """Segments of (content); files that are cut short or that lack a start, a length or an interval give no row."""
     schema = "network string, station string, location string, channel string, start long, rate double, data array<double>"
     return files.select("content").mapInPandas(_decode, schema)
 
 
 def read_sac(spark: SparkSession, path: str) -> DataFrame:
     """Segments of SAC files of either byte order."""
-    return decode_sac(spark.read.format("binaryFile").load(path).where(F.length("content") >= _HEAD))
+    return decode_sac(spark.read.format("binaryFile").load(path))

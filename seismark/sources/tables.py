@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Column orders of the formats.
 ZMAP = ("longitude", "latitude", "year", "month", "day", "magnitude", "depth", "hour", "minute", "second")
-FDSN_EVENT = ("event", "time", "latitude", "longitude", "depth", "author", "catalog", "contributor", "contributor_id", "magnitude_type", "magnitude", "magnitude_author", "place")
-FDSN_STATION = ("network", "station", "latitude", "longitude", "elevation", "site", "start", "end")
 
 
 # Columns of station text at its three levels, with their types.
