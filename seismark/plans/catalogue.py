@@ -10,7 +10,7 @@ from ..operators import catalog, correlation, segments, series
 from ..operators import spectra_histogram as ppsd
 from ..sources import sac, tables, text_series
 from ..streaming import processes
-from . import archives, bulletins, data, detecting, further, more, polarizing, splines, timefreq, trees, waveforms  # noqa: F401 - these register queries of their own
+from . import archives, bulletins, data, detecting, further, handling, more, polarizing, splines, timefreq, trees, waveforms  # noqa: F401 - these register queries of their own
 from .data import DAYS, PACKETS, QUAKES, SAMPLES, STATIONS, TIMED, VECTORS
 from .registry import ORACLES, QUERIES, query, rounded
 
