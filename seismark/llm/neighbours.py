@@ -73,12 +73,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 class Model:
-    """The latent space and the labelled vectors in it."""
+    """The latent space and the labelled vectors in it; ``counts`` are weighed in place."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, n: int, frequencies: np.ndarray) -> None:
         self.idf = np.log((1 + n) / (1 + frequencies)).astype(np.float32) + 0.05
         self.labels = labels.astype(np.float32)
-        weighted = self.weigh(counts)
+        weighted = self.weigh(counts, counts)
         rng = np.random.default_rng(6)
         rank = min(RANK, *weighted.shape) if len(weighted) else 0
         basis = np.zeros((DIMENSIONS, 0), np.float32)
@@ -89,14 +89,20 @@ class Model:
             _u, _s, v = np.linalg.svd(weighted @ q, full_matrices=False)
             basis = (q @ v.T)[:, :rank]
         self.basis = np.ascontiguousarray(basis, np.float32)
-        self.vectors = self.project(counts)
+        self.vectors = self.unit(weighted @ self.basis)
 
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        weighted = np.log1p(counts) * self.idf
-        return weighted / np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-12)
+    def weigh(self, counts: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+        weighted = np.log1p(counts, out=out)
+        weighted *= self.idf
+        norms = [np.linalg.norm(weighted[i : i + BLOCK], axis=1, keepdims=True) for i in range(0, len(weighted), BLOCK)]
+        weighted /= np.maximum(np.concatenate(norms) if norms else np.ones((0, 1), np.float32), 1e-12)
+        return weighted
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        latent = self.weigh(counts) @ self.basis
+        return self.unit(self.weigh(counts) @ self.basis)
+
+    @staticmethod
+    def unit(latent: np.ndarray) -> np.ndarray:
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
