@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+from math import pi
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import calibration, catalog, collections, named, series
+from ..operators import calibration, collections, named
 from . import data
 from .data import QUAKES, SAMPLES, VECTORS
 from .registry import query, rounded
 
 # --- by name
 
-_DETRENDS = "SELECT '{}' AS name, trace, idx, round({}, 6) + 0.0 AS y FROM (SELECT *, avg(x) OVER w AS m, arg_min(x, idx) OVER w AS a, arg_max(x, idx) OVER w AS z, count(*) OVER w AS n, regr_slope(x, idx) OVER w AS k, regr_intercept(x, idx) OVER w AS i FROM s WINDOW w AS (PARTITION BY trace))"
+_DETRENDS = "SELECT '{}' AS name, trace, idx, round({}, 6) + 0.0 AS y FROM (SELECT *, avg(x) OVER w AS m, arg_min(x, idx) OVER w AS a, arg_max(x, idx) OVER w AS z, count(*) OVER w AS n, regr_slope(x, idx) OVER w AS k, regr_intercept(x, idx) OVER w AS i FROM (SELECT trace, idx, x * pi() AS x FROM s) WINDOW w AS (PARTITION BY trace))"
 
 
 @query(" UNION ALL ".join(_DETRENDS.format(*p) for p in (("demean", "x - m"), ("simple", "x - a - CASE WHEN n > 1 THEN idx * (z - a) / (n - 1) ELSE 0 END"), ("linear", "x - coalesce(i + k * idx, m)"))), SAMPLES)
 def detrend_by_name(spark, d):
-    rows = data.samples(spark, d)
+    rows = data.samples(spark, d).withColumn("x", F.col("x") * pi)
     parts = [named.apply("detrend", name, rows).select(F.lit(name).alias("name"), "trace", "idx", "y") for name in ("demean", "simple", "linear")]
     return rounded(collections.joined(*parts), 6, "y")
 

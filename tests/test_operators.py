@@ -129,10 +129,11 @@ def test_ellipsoid_inverse_known_line(spark):
     assert got.s.meters == 0
 
 
-def test_weighted_slopes_keep_samples_and_extrema():
-    x = np.array([[0.0, 1.0, 3.0, 2.0, 2.0, 5.0]])
-    y = kernels.weighted_slopes(0.25)(x)[0]
-    assert np.allclose(y[::4], x[0]) and y.max() <= 5 and y[4:13].max() == 3
+def test_weighted_slopes_keep_samples_and_extrema(spark):
+    x = np.array([0.0, 1.0, 3.0, 2.0, 2.0, 5.0])
+    rows = series.interpolate_weighted_slopes(trace(spark, x), 0.0, 0.25).orderBy("k").collect()
+    y = np.array([r.y for r in rows])
+    assert np.allclose(y[::4], x) and y.max() <= 5 and y[4:13].max() == 3
 
 
 def _triggers(cft, on, off, max_len=None, delete=False):
@@ -175,7 +176,7 @@ def test_recursive_means_over_many_groups(spark):
 
 
 def test_segments_of_one_sample(spark):
-    every = [kernels.instantaneous_frequency(100.0), kernels.power_density(100.0), kernels.spectral_attributes(100.0), kernels.weighted_slopes(0.75), kernels.band_energies(100.0, 3.0, 6, 2)]
+    every = [kernels.instantaneous_frequency(100.0), kernels.power_density(100.0), kernels.spectral_attributes(100.0), kernels.band_energies(100.0, 3.0, 6, 2)]
     assert all(len(kernel(np.ones((2, 1)))) == 2 for kernel in every)
 
 
