@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Wood-Anderson seismometer.
@@ -45,3 +45,22 @@ def cosine_frequency_taper(frequency: Column, f1: float, f2: float, f3: float, f
     rise = 0.5 * (1 - F.cos(pi * (frequency - f1) / (f2 - f1)))
     fall = 0.5 * (1 + F.cos(pi * (frequency - f3) / (f4 - f3)))
     return F.when((frequency >= f1) & (frequency <= f2), rise).when((frequency > f2) & (frequency < f3), 1.0).when((frequency >= f3) & (frequency <= f4), fall).otherwise(0.0)
+
+
+def staged_response(stages: DataFrame, roots: DataFrame, keys: list[str], frequencies: list[float]) -> DataFrame:
+    """(keys, frequency, amplitude, phase): all stages of a channel at some frequencies, as products over stages and their roots.
+
+    stages: (keys, stage, gain, factor); roots: (keys, stage, kind, re, im) of the analog stages, whose ``factor`` is not null. A
+    response with a zero at a frequency has amplitude 0 and no phase there; the phase is in radians and not unwrapped.
+    """
+    at = F.explode(F.array(*[F.lit(float(f)) for f in frequencies]))
+    up = 2 * pi * F.col("frequency") - F.col("im")
+    size, turn = F.sqrt(F.col("re") * F.col("re") + up * up), F.atan2(up, -F.col("re"))
+    zero = F.col("kind") == "zero"
+    # a pole on the axis at the frequency has no amplitude either
+    parts = roots.withColumn("frequency", at).groupBy(*keys, "frequency").agg(F.product(F.when(zero, size).otherwise(F.try_divide(F.lit(1.0), size))).alias("_size"), F.sum(F.when(zero, turn).otherwise(-turn)).alias("_turn"))
+    gains = stages.groupBy(*keys).agg(F.product(F.coalesce("gain", F.lit(1.0)) * F.coalesce("factor", F.lit(1.0))).alias("_gain")).withColumn("frequency", at)
+    rows = gains.join(parts, [*keys, "frequency"], "left")
+    value = F.col("_gain") * F.coalesce("_size", F.lit(1.0))
+    phase = F.coalesce("_turn", F.lit(0.0)) + F.when(F.col("_gain") < 0, F.lit(pi)).otherwise(0.0)
+    return rows.select(*keys, "frequency", F.abs(value).alias("amplitude"), F.when(value != 0, F.atan2(F.sin(phase), F.cos(phase))).alias("phase"))

@@ -354,22 +354,6 @@ def konno_ohmachi(frequencies: np.ndarray, bandwidth: float = 40.0) -> Kernel:
     return run
 
 
-def spectral_attributes(rate: float) -> Kernel:
-    """Central frequency, bandwidth and dominant period of each segment; a single sample has none."""
-
-    def run(x: np.ndarray) -> np.ndarray:
-        if x.shape[1] < 2:
-            return np.full((len(x), 3), np.nan)
-        power = np.abs(np.fft.rfft(x - x.mean(1, keepdims=True))) ** 2
-        f = np.fft.rfftfreq(x.shape[1], 1 / rate)
-        total = np.maximum(power.sum(1), 1e-30)
-        centre = np.sqrt((power * f**2).sum(1) / total)
-        width = np.sqrt((power * (f - centre[:, None]) ** 2).sum(1) / total)
-        return np.stack([centre, width, 1 / np.maximum(f[power[:, 1:].argmax(1) + 1], 1e-30)], 1)
-
-    return run
-
-
 def deconvolve(poles: list[complex], zeros: list[complex], gain: float, rate: float, water_level: float = 60.0) -> Kernel:
     """Divides a pole-zero response out of the spectrum; amplitudes below the water level (dB under the largest) are lifted to it."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import bulletins
+from ..sources import bulletins, tables
 from . import data
 from .registry import query, rounded
 
@@ -92,3 +92,25 @@ def nordic_picks(spark, d):
     """Picks of Nordic blocks by station; some lie on the day after their event."""
     held = _nordic(spark, d)[1].withColumn("time", F.unix_micros("time"))
     return held.groupBy("station", "component", "phase", "weight", "polarity").agg(F.count("*").alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))
+
+
+_SOLVED = {"latitude": "latitude", "longitude": "longitude", "depth": "k % 600 + 0.5", "mb": "k % 9 + 0.5", "ms": "k % 8 + 0.5", "shift": "k % 20 - 0.5", "half_duration": "k % 30 + 0.25", "centroid_latitude": "latitude + 0.25", "centroid_longitude": "longitude - 0.125", "centroid_depth": "k % 500 + 1.5"}
+_MOMENTS = {c: f"(k % {41 + i} - 20 + 0.125) * 1e17" for i, c in enumerate(("m_rr", "m_tt", "m_pp", "m_rt", "m_rp", "m_tp"))}
+
+
+@query("SELECT concat('C', event) AS event, 'PDE' AS catalog, epoch_us(time) AS time, concat('NEAR PLACE ', k % 100) AS place, " + ", ".join([f"round({x}, 4) + 0.0 AS {c}" for c, x in _SOLVED.items()] + [f"round(({x}) / 1e16, 4) + 0.0 AS {c}" for c, x in _MOMENTS.items()]) + " FROM oe", _ORDERS)
+def solution_round_trip(spark, d):
+    """Centroid solutions, a figure a line."""
+    rows = _orders(spark, d).withColumns({c: F.expr(x).cast("double") for c, x in (_SOLVED | _MOMENTS).items()})
+    path = data.folder(spark)
+    bulletins.write_solutions(rows.withColumns({"event": F.concat(F.lit("C"), "event"), "catalog": F.lit("PDE"), "place": F.concat(F.lit("NEAR PLACE "), F.col("k") % 100)}), path)
+    held = bulletins.read_solutions(spark, path).withColumn("time", F.unix_micros("time"))
+    return rounded(held.withColumns({c: F.col(c) / 1e16 for c in _MOMENTS}), 4, *_SOLVED, *_MOMENTS)
+
+
+@query("SELECT event, epoch_us(time) AS time, latitude, longitude, CASE WHEN k % 5 > 0 THEN k % 600 * 1000.0 END AS depth, 'Mw' AS magnitude_type, k % 7 + 0.5 AS magnitude, concat('PLACE ', k % 9) AS place, CAST(NULL AS VARCHAR) AS author FROM oe", _ORDERS)
+def event_text_round_trip(spark, d):
+    rows = _orders(spark, d).withColumns({"depth": F.when(F.col("k") % 5 > 0, F.col("k") % 600 * 1000.0), "magnitude_type": F.lit("Mw"), "magnitude": F.col("k") % 7 + 0.5, "place": F.concat(F.lit("PLACE "), F.col("k") % 9)})
+    path = data.folder(spark)
+    tables.write_event_text(rows, path)
+    return tables.read_event_text(spark, path).select("event", F.unix_micros("time").alias("time"), "latitude", "longitude", "depth", "magnitude_type", "magnitude", "place", "author")

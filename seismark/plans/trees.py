@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import response
 from ..operators import catalog
-from ..sources import trees
+from ..sources import bulletins, trees
 from . import data
-from .registry import query
+from .registry import query, rounded
 
 # --- stations: suppliers of nations, with three channels each, two stages and their poles
 
@@ -83,6 +84,37 @@ def station_tree_stages(spark, d):
     return held.select("network", "station", "location", "channel", "stage", "gain", "factor", "kind", "number", "re", "im")
 
 
+_RESPONSE = "sr AS (SELECT network, station, location, channel, f, 2 * pi() * f AS w, 2.5 * i * sensitivity * sensitivity / 2 AS g, k FROM cha, (SELECT unnest([0.5, 2.0, 8.0]) AS f))"
+
+
+@query(
+    "SELECT network, station, location, channel, f AS frequency, round(g / 1e6 * sqrt(2.25 + pow(w - 0.5 - k, 2)) / sqrt(0.25 + pow(w - k, 2)) / sqrt(1 + pow(w - 0.25 - k, 2)), 6) AS amplitude, round(cos(atan2(w - 0.5 - k, 1.5) - atan2(w - k, 0.5) - atan2(w - 0.25 - k, 1)), 7) AS cosine FROM sr",
+    _STATION,
+    _CHANNEL,
+    _RESPONSE,
+)
+def station_tree_response(spark, d):
+    """Response of all stages of each channel at three frequencies."""
+    tables = _read(spark, d)
+    found = response.staged_response(tables["stages"], tables["poles"], _NAMES, [0.5, 2.0, 8.0])
+    return rounded(rounded(found.select("network", "station", "location", "channel", "frequency", (F.col("amplitude") / 1e6).alias("amplitude"), F.cos("phase").alias("cosine")), 6, "amplitude"), 7, "cosine")
+
+
+@query("SELECT network, station, location, channel, epoch_us(start) AS start, epoch_us(\"end\") AS \"end\", latitude, rate, units, k + 0.5 AS constant, kind, n AS number, re, im FROM cha, (SELECT unnest(['pole', 'pole', 'zero', 'zero', 'zero']) AS kind, unnest([0, 1, 0, 1, 2]) AS n, unnest([-0.5, -1.25, 3.5, 0, 0]) AS re, unnest([2.5, -2.5, 0.0, 0, 0]) AS im)", _STATION, _CHANNEL)
+def pole_zero_round_trip(spark, d):
+    """Poles and zeros of each channel as text; zeros at 0 are counted, not written."""
+    tables = _tree(spark, d)
+    keys = ["network", "station", "location", "channel", "start"]
+    channels = tables["channels"].withColumn("constant", F.substring("station", F.lit(2), F.lit(20)).cast("double") + 0.5)
+    roots = [("pole", 0, -0.5, 2.5), ("pole", 1, -1.25, -2.5), ("zero", 0, 3.5, 0.0), ("zero", 1, 0.0, 0.0), ("zero", 2, 0.0, 0.0)]
+    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("number"), F.lit(re).alias("re"), F.lit(im).alias("im")) for k, n, re, im in roots])
+    path = data.folder(spark)
+    bulletins.write_pole_zeros(channels, channels.select(*keys, F.explode(every).alias("r")).select(*keys, "r.*"), keys, path)
+    held, listed = bulletins.read_pole_zeros(spark, path)
+    out = held.join(listed, ["file", "record"])
+    return _micros(out.select("network", "station", "location", "channel", "start", "end", "latitude", "rate", "units", "constant", "kind", "number", "re", "im"), "start", "end")
+
+
 # --- events: orders with their lines as origins, magnitudes and picks
 
 _EVENTS = (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy
-from ..operators import kernels, network, series
+from ..operators import kernels, network, series, spectra
 from ..operators import polarization as polarization_operators
 from ..streaming import processes
 from . import data
@@ -250,7 +250,8 @@ _POWER = "pd AS (SELECT ft.trace, k, (re * re + im * im) / (100 * ww) * CASE WHE
 
 @query("SELECT trace, k AS idx, round(p, 8) AS y FROM pd", VECTORS, _TAPERED, _DFT.format(n=64, source="tp"), _POWER)
 def power_density(spark, d):
-    return _run(spark, d, kernels.power_density(RATE), digits=8)
+    found = spectra.periodograms(_rows(spark, d), 64, 64, RATE, spectra.flanked(64))
+    return rounded(found.select("trace", F.col("k").alias("idx"), F.col("power").alias("y")), 8, "y")
 
 
 _LOG_WINDOW = "kw AS (SELECT i, j, CASE WHEN i = j THEN 1 WHEN i = 0 OR j = 0 THEN 0 ELSE pow(sin(40 * log10(j / i)) / (40 * log10(j / i)), 4) END AS w FROM (SELECT CAST(unnest(range(0, 33)) AS DOUBLE) AS i), (SELECT CAST(unnest(range(0, 33)) AS DOUBLE) AS j))"
@@ -267,7 +268,10 @@ _ENERGY = "en AS (SELECT trace, k, k * 100.0 / 64 AS f, re * re + im * im AS p F
 
 @query("SELECT en.trace, round(any_value(c), 6) AS centre, round(sqrt(sum(p * pow(f - c, 2)) / sum(p)), 6) AS width, round(1 / arg_max(f, CASE WHEN k > 0 THEN p ELSE -1 END), 6) AS period FROM en JOIN (SELECT trace, sqrt(sum(p * f * f) / sum(p)) AS c FROM en GROUP BY 1) m ON m.trace = en.trace GROUP BY 1", VECTORS, _CENTRED, _DFT.format(n=64, source="z"), _ENERGY)
 def spectral_attributes(spark, d):
-    return _pick(spark, d, ["centre", "width", "period"], kernels.spectral_attributes(RATE))
+    found = spectra.periodograms(_rows(spark, d), 64, 64, RATE)
+    # two-sided energy, as the definition has it
+    halved = found.withColumn("power", F.when((F.col("k") == 0) | (F.col("k") == 32), F.col("power")).otherwise(F.col("power") / 2))
+    return rounded(spectra.attributes(halved, ["trace"]), 6, "centre", "width", "period")
 
 
 _SEISMOMETER = (

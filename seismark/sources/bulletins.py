@@ -168,3 +168,80 @@ def write_nordic(events: DataFrame, picks: DataFrame, path: str) -> None:
     rows = events.join(listed, "event", "left")
     body = F.transform(F.coalesce("_rows", F.array().cast("array<struct<time:timestamp,station:string,row:string>>")), lambda r: r["row"])
     rows.select(F.concat_ws("\n", line(head, "1"), body, F.lit(" "))).write.text(path)
+
+
+# --- centroid solutions: a line of the hypocenter, then one figure a line
+
+# Names of the lines of a solution.
+_SOLUTION = {"event name": "event", "time shift": "shift", "half duration": "half_duration", "latitude": "centroid_latitude", "longitude": "centroid_longitude", "depth": "centroid_depth", "Mrr": "m_rr", "Mtt": "m_tt", "Mpp": "m_pp", "Mrt": "m_rt", "Mrp": "m_rp", "Mtp": "m_tp"}
+
+
+def read_solutions(spark: SparkSession, path: str) -> DataFrame:
+    """One row per solution: catalog, hypocenter, place, centroid, half duration and moment tensor in newton meters; a time that is none gives no row."""
+    name = F.trim(F.split("value", ":", 2)[0])
+    head = ~F.col("value").contains(":") & (F.trim("value") != "")
+    lines = numbered_lines(spark, path, head).where("record > 0 AND trim(value) <> ''")
+    words = F.split(F.trim(F.max(F.when(head, F.col("value")))), r"\s+", 13)
+    cells = {c: F.trim(F.max(F.when(~head & (name == n), F.split("value", ":", 2)[1]))) for n, c in _SOLUTION.items()}
+    rows = lines.groupBy("file", "record").agg(words.alias("_w"), *[v.alias(c) for c, v in cells.items()])
+    number = lambda i, kind="double": F.get("_w", F.lit(i)).try_cast(kind)
+    time = _instant(*[number(i, "int") for i in range(1, 6)], number(6))
+    hypocenter = [number(i).alias(n) for i, n in ((7, "latitude"), (8, "longitude"), (9, "depth"), (10, "mb"), (11, "ms"))]
+    figures = [(F.col(c).try_cast("double") / (1e7 if c.startswith("m_") else 1)).alias(c) for c in _SOLUTION.values() if c != "event"]
+    return rows.select("event", F.get("_w", F.lit(0)).alias("catalog"), time.alias("time"), *hypocenter, F.get("_w", F.lit(12)).alias("place"), *figures).where("time IS NOT NULL")
+
+
+def write_solutions(rows: DataFrame, path: str) -> None:
+    """The columns that ``read_solutions`` gives, as solutions."""
+    f = F.format_string
+    head = f(" %s %s %8.4f %9.4f %5.1f %.1f %.1f %s", "catalog", F.concat(F.date_format("time", "yyyy MM dd HH mm ss."), f("%02d", F.floor(F.unix_micros("time") % 1_000_000 / 10_000))), "latitude", "longitude", "depth", "mb", "ms", "place")
+    lines = [f(f"{n + ':':<12}%15s" if c == "event" else f"{n + ':':<12}%15.6e" if c.startswith("m_") else f"{n + ':':<12}%15.4f", F.col(c) * 1e7 if c.startswith("m_") else F.col(c)) for n, c in _SOLUTION.items()]
+    rows.select(F.concat_ws("\n", head, *lines)).write.text(path)
+
+
+# --- poles and zeros of a channel: header lines with *, then lists
+
+# Names of the header lines.
+_HEADER = {"NETWORK": "network", "STATION": "station", "LOCATION": "location", "CHANNEL": "channel", "START": "start", "END": "end", "LATITUDE": "latitude", "LONGITUDE": "longitude", "ELEVATION": "elevation", "DEPTH": "depth", "DIP": "dip", "AZIMUTH": "azimuth", "SAMPLE RATE": "rate", "INPUT UNIT": "units"}
+_TEXTS = ("network", "station", "location", "channel", "units")
+
+
+def read_pole_zeros(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Channels (codes, start, end, place, rate, units, constant) and roots (file, record, kind, number, re, im) of pole-zero text.
+
+    A record starts with its network line. Roots that a list counts but does not write are 0, as the format has it for zeros; cells
+    that are no numbers are null.
+    """
+    lines = numbered_lines(spark, path, F.col("value").rlike(r"^\*\s*NETWORK\b")).where("record > 0 AND trim(value) <> ''")
+    comment = F.col("value").startswith("*")
+    name = F.trim(F.regexp_replace(F.regexp_extract("value", r"^\*\s*([A-Z ]+)", 1), r"\s+$", ""))
+    content = F.trim(F.regexp_extract("value", r"^[^:]*:(.*)$", 1))
+    words = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
+    key = F.when(comment, F.lit(None)).otherwise(F.when(words[0].rlike("^[A-Z]"), words[0]))
+    cells = {c: F.max(F.when(comment & (name == n), content)) for n, c in _HEADER.items()}
+    heads = lines.groupBy("file", "record").agg(*[v.alias(c) for c, v in cells.items()], F.max(F.when(key == "CONSTANT", F.get(words, F.lit(1)))).try_cast("double").alias("constant"))
+    typed = [F.col(c).alias(c) if c in _TEXTS else F.col(c).try_cast("timestamp").alias(c) if c in ("start", "end") else F.col(c).try_cast("double").alias(c) for c in _HEADER.values()]
+    channels = heads.select("file", "record", *typed, "constant")
+    inside = Window.partitionBy("file", "record").orderBy("line")
+    listed = lines.where(~comment).withColumns({"_key": key, "_words": words}).withColumn("_list", F.last("_key", ignorenulls=True).over(inside)).where("_list IN ('POLES', 'ZEROS')")
+    counts = listed.where("_key IS NOT NULL").select("file", "record", F.col("_list"), F.get("_words", F.lit(1)).try_cast("int").alias("_n"), F.col("line").alias("_from"))
+    given = listed.where("_key IS NULL").join(counts, ["file", "record", "_list"]).select("file", "record", "_list", (F.col("line") - F.col("_from") - 1).cast("int").alias("number"), F.get("_words", F.lit(0)).try_cast("double").alias("re"), F.get("_words", F.lit(1)).try_cast("double").alias("im"))
+    asked = counts.where("_n > 0").withColumn("number", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    roots = asked.join(given, ["file", "record", "_list", "number"], "left")
+    kind = F.when(F.col("_list") == "POLES", "pole").otherwise("zero")
+    return channels, roots.select("file", "record", kind.alias("kind"), "number", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
+
+
+def write_pole_zeros(channels: DataFrame, roots: DataFrame, keys: list[str], path: str) -> None:
+    """Channels and roots (keys, kind, number, re, im) as pole-zero text; zeros at 0 are only counted, and so stand last in their list."""
+    cell = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if c in ("start", "end") else F.col(c).cast("string"), F.lit(""))
+    line = F.lit("* " + "*" * 34)
+    heads = [F.concat(F.lit(f"* {n:<18}: "), cell(c)) if c in channels.columns else None for n, c in _HEADER.items()]
+    plain = (F.col("re") == 0) & (F.col("im") == 0)
+    row = F.when((F.col("kind") == "zero") & plain, F.lit(None)).otherwise(F.format_string("\t%+.6e\t%+.6e", "re", "im"))
+    order = F.struct(F.when(F.col("kind") == "zero", plain).otherwise(False).alias("_last"), "number", row.alias("row"))
+    lists = roots.groupBy(*keys, "kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(order)).alias("rows"))
+    text = lists.select(*keys, "kind", F.concat_ws("\n", F.concat(F.when(F.col("kind") == "pole", "POLES\t").otherwise("ZEROS\t"), F.col("n").cast("string")), F.filter(F.transform("rows", lambda r: r["row"]), lambda r: r.isNotNull())).alias("_text"))
+    both = text.groupBy(*keys).agg(F.max(F.when(F.col("kind") == "zero", F.col("_text"))).alias("_zeros"), F.max(F.when(F.col("kind") == "pole", F.col("_text"))).alias("_poles"))
+    rows = channels.join(both, keys, "left")
+    rows.select(F.concat_ws("\n", line, *[h for h in heads if h is not None], line, F.coalesce("_zeros", F.lit("ZEROS\t0")), F.coalesce("_poles", F.lit("POLES\t0")), F.format_string("CONSTANT\t%.6e", "constant"))).write.text(path)

@@ -102,3 +102,25 @@ def read_events_xml(spark: SparkSession, path: str) -> DataFrame:
         *[F.col(f"origin.{c}.value").alias(c) for c in ("latitude", "longitude", "depth")],
         F.col("magnitude.mag.value").alias("magnitude"),
     )
+
+
+# Columns of event text.
+EVENT_TEXT = {
+    "EventID": "string", "Time": "timestamp", "Latitude": "double", "Longitude": "double", "Depth/km": "double", "Author": "string", "Catalog": "string", "Contributor": "string", "ContributorID": "string", "MagType": "string", "Magnitude": "double", "MagAuthor": "string", "EventLocationName": "string",
+}
+_EVENT_NAMES = dict(zip(EVENT_TEXT, ("event", "time", "latitude", "longitude", "depth", "author", "catalog", "contributor", "contributor_id", "magnitude_type", "magnitude", "magnitude_author", "place"), strict=True))
+
+
+def write_event_text(events: DataFrame, path: str) -> None:
+    """Event text with its # header line; depths in meters become kilometers; columns that the rows lack, and nulls, are empty cells."""
+    cell = {"timestamp": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "double": lambda c: (F.col(c) / 1000 if c == "depth" else F.col(c)).cast("string"), "string": lambda c: F.col(c).cast("string")}
+    cells = [cell[kind](_EVENT_NAMES[n]).alias(n) if _EVENT_NAMES[n] in events.columns else F.lit(None).cast("string").alias(n) for n, kind in EVENT_TEXT.items()]
+    names = [f"#{n}" if i == 0 else n for i, n in enumerate(EVENT_TEXT)]
+    events.select(*cells).toDF(*names).write.option("header", True).option("sep", "|").option("comment", "~").option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def read_event_text(spark: SparkSession, path: str) -> DataFrame:
+    """Typed columns of event text, depths in meters; empty cells, and cells that are no value of the type, are null."""
+    rows = read_delimited(spark, path, tuple(EVENT_TEXT))
+    typed = [F.col(f"`{n}`").try_cast(kind).alias(_EVENT_NAMES[n]) for n, kind in EVENT_TEXT.items()]
+    return rows.select(*typed).withColumn("depth", F.col("depth") * 1000)

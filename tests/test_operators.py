@@ -102,7 +102,6 @@ def test_kernels():
     assert np.allclose(kernels.instantaneous_frequency(100.0)(x)[0, 20:-20], 5, atol=0.1)
     assert np.allclose(kernels.fourier_resample(0.5, window=False)(x)[0, ::2], x[0], atol=1e-9)
     assert np.allclose(kernels.polynomial_detrend(2)(np.arange(50.0)[None, :] ** 2), 0, atol=1e-6)
-    assert np.isclose(kernels.spectral_attributes(100.0)(x)[0, 0], 5)
     filtered = kernels.sections_filter(kernels.butterworth("bandpass", 4, 100.0, 20.0, 30.0))(x)
     assert abs(filtered[0, 100:]).max() < 1e-3
 
@@ -176,7 +175,7 @@ def test_recursive_means_over_many_groups(spark):
 
 
 def test_segments_of_one_sample(spark):
-    every = [kernels.instantaneous_frequency(100.0), kernels.power_density(100.0), kernels.spectral_attributes(100.0), kernels.band_energies(100.0, 3.0, 6, 2)]
+    every = [kernels.instantaneous_frequency(100.0), kernels.power_density(100.0), kernels.band_energies(100.0, 3.0, 6, 2)]
     assert all(len(kernel(np.ones((2, 1)))) == 2 for kernel in every)
 
 
