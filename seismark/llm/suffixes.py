@@ -334,6 +334,21 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
 
 
+def _met(rows: DataFrame, keys: DataFrame, column: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``keys`` (column, _n: how many of the rows have it, ...), of which ``total`` are asked for in all.
+
+    Few keys are broadcast. Of many, those with more than a share of ``MAX_BROADCAST`` are, whose number that bounds, so that no key
+    in the shuffle has more than that share of the rows.
+    """
+    if keys.count() <= MAX_BROADCAST:
+        return rows.join(F.broadcast(keys.drop("_n")), column, how)
+    share = max(total // max(MAX_BROADCAST, 1), 1)
+    hot = keys.where(F.col("_n") > share).drop("_n")
+    cold = keys.where(F.col("_n") <= share).drop("_n")
+    names = hot.select(column)
+    return rows.join(F.broadcast(hot), column, how).union(rows.join(F.broadcast(names), column, "left_anti").join(cold, column, how))
+
+
 def repeated_ranges(texts: DataFrame, window: int = WINDOW, crowd: int = CROWD, shard: int = SHARD) -> DataFrame:
     """Rows of _RANGES: the windows of ``texts`` (doc, sum, text) that stand at two places or more; none is left out, some stand twice."""
     found, searched = [], texts
@@ -341,11 +356,13 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, crowd: int = CROWD,
         rows = written(searched.mapInArrow(_piece_rows(window, max(int(window * share), 1), level > 0), _PIECES))
         place = F.struct("doc", "sum", "start", "windows")
         pieces = written(rows.groupBy("piece").agg(F.min("key").alias("key"), F.count("*").alias("n"), F.max("again").alias("again"), F.min(place).alias("place")))
-        several = pieces.where("n > 1").select("piece")
-        found.append(rows.join(_small(several), "piece", "left_semi").select("doc", "sum", "start", "windows"))
-        kinds = pieces.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.max("again").alias("again")).where("(kinds > 1 OR again) AND least = 1")
-        kinds = written(kinds.select("key", (F.col("kinds") > crowd).alias("crowded")))
-        met = written(pieces.join(_small(kinds), "key").select("key", "crowded", (F.col("n") == 1).alias("single"), "place.*"))
+        several = pieces.where("n > 1").select("piece", F.col("n").alias("_n"))
+        repeated = several.agg(F.sum("_n").alias("n")).first().n or 0
+        found.append(_met(rows, several, "piece", repeated, "left_semi").select("doc", "sum", "start", "windows"))
+        kinds = pieces.groupBy("key").agg(F.count("*").alias("_n"), F.min("n").alias("least"), F.max("again").alias("again")).where("(_n > 1 OR again) AND least = 1")
+        kinds = written(kinds.select("key", "_n", (F.col("_n") > crowd).alias("crowded")))
+        several_kinds = kinds.agg(F.sum("_n").alias("n")).first().n or 0
+        met = written(_met(pieces, kinds, "key", several_kinds).select("key", "crowded", (F.col("n") == 1).alias("single"), "place.*"))
         asked = met.where("NOT crowded").groupBy("doc", "sum").agg(F.collect_list(F.struct("key", "start", "windows", "single")).alias("asked"))
         total = met.where("NOT crowded").agg(F.sum(F.col("windows") + window).alias("n")).first().n or 0
         if total:

@@ -137,9 +137,10 @@ def test_suffix_dedup_on_the_table(spark):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
 
 
-@pytest.mark.parametrize("crowd", [1, 2, 2048])
-def test_suffix_dedup_of_odd_texts(spark, crowd):
-    """Runs, periods, shared ids, repeated rows, passages in many texts; small shards and crowds give the same."""
+@pytest.mark.parametrize("crowd, broadcast", [(1, 500_000), (2, 500_000), (2048, 500_000), (2048, 3), (2, 0)])
+def test_suffix_dedup_of_odd_texts(spark, monkeypatch, crowd, broadcast):
+    """Runs, periods, shared ids, repeated rows, passages in many texts; small shards, crowds and broadcasts give the same."""
+    monkeypatch.setattr(suffixes, "MAX_BROADCAST", broadcast)
     passage = " ".join(f"p{i * i % 97}" for i in range(30))
     rng = np.random.default_rng(5)
     word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 5))
