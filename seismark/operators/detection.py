@@ -309,3 +309,39 @@ def _likeness(at: int, channels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
     if any(p.std() == 0 for p in parts):
         return None
     return float(np.mean([np.corrcoef(short, part)[0, 1] for (short, _), part in zip(cut, parts, strict=True)]))
+
+
+def correct_picks(pairs: DataFrame, samples: DataFrame, before: int, after: int, lag: int) -> DataFrame:
+    """(pair, correction, coefficient): how many samples to move the second pick of each pair so that both waveforms agree.
+
+    pairs: (pair, one, pick_one, two, pick_two), picks in samples of the traces one and two. The samples from ``before`` to ``after`` a
+    pick, half of ``lag`` more on both sides, are correlated for shifts up to ``lag``. Around the largest value, the places where the
+    correlation is bent downwards are fitted by a parabola, whose vertex gives the shift and the coefficient. Pairs whose windows are
+    not whole, or with fewer than three places to fit, have none.
+    """
+    from .correlation import correlate
+
+    half = lag / 2
+    sides = [pairs.select("pair", F.lit(k).alias("_side"), F.col(t).alias("trace"), F.col(p).alias("_pick")) for k, t, p in ((0, "one", "pick_one"), (1, "two", "pick_two"))]
+    asked = sides[0].union(sides[1]).withColumn("_block", F.explode(F.sequence(F.floor((F.col("_pick") - before - half) / BLOCK), F.floor((F.col("_pick") + after + half) / BLOCK))))
+    held = samples.withColumn("_block", F.floor(F.col(IDX) / BLOCK)).join(asked, ["trace", "_block"]).where(F.col(IDX).between(F.col("_pick") - before - half, F.col("_pick") + after + half))
+    side = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_side") == k, F.struct(IDX, F.col(X).cast("double").alias(X))))), lambda r: r[X])
+    both = held.groupBy("pair").agg(side(0).alias("a"), side(1).alias("b"))
+    whole = int(np.floor(after + half) - np.ceil(-before - half)) + 1
+    both = both.where((F.size("a") == whole) & (F.size("b") == whole))
+    rows = both.select("pair", F.posexplode(correlate(F.col("a"), F.col("b"), lag, demean=True)).alias("_p", "_c"))
+    order, all_ = Window.partitionBy("pair").orderBy("_p"), Window.partitionBy("pair")
+    bend = F.coalesce(F.lead("_c").over(order) - 2 * F.col("_c") + F.lag("_c").over(order), F.lit(0.0))
+    peak = F.max(F.struct("_c", (-F.col("_p")).alias("p"))).over(all_)
+    bent = rows.withColumns({"_bend": bend, "_peak": -peak["p"]})
+    low = F.max(F.when((F.col("_bend") > 0) & (F.col("_p") < F.col("_peak")), F.col("_p"))).over(all_)
+    high = F.min(F.when((F.col("_bend") > 0) & (F.col("_p") > F.col("_peak")), F.col("_p"))).over(all_)
+    near = bent.withColumns({"_low": low, "_high": high}).where((F.col("_low").isNull() | (F.col("_p") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_p") < F.col("_high"))))
+    t = near.withColumn("_t", F.col("_p") - lag - F.avg(F.col("_p") - lag).over(all_)).withColumn("_mean", F.avg(F.col("_p") - lag).over(all_))
+    power = lambda k: F.sum(F.pow("_t", F.lit(k)))
+    sums = t.groupBy("pair").agg(F.count("*").alias("n"), F.first("_mean").alias("m"), power(2).alias("s2"), power(3).alias("s3"), power(4).alias("s4"), F.avg("_c").alias("y"), F.sum(F.col("_c") * F.col("_t")).alias("yt"), F.sum(F.col("_c") * F.col("_t") * F.col("_t")).alias("ytt"))
+    fit = sums.where("n >= 3").withColumn("q", F.col("ytt") - F.col("s3") / F.col("s2") * F.col("yt") - F.col("s2") * F.col("y"))
+    fit = fit.withColumn("a", F.try_divide("q", F.col("s4") - F.col("s3") * F.col("s3") / F.col("s2") - F.col("s2") * F.col("s2") / F.col("n")))
+    fit = fit.withColumn("b", F.col("yt") / F.col("s2") - F.col("a") * F.col("s3") / F.col("s2"))
+    vertex = F.try_divide(-F.col("b"), 2 * F.col("a"))
+    return fit.select("pair", (-(F.col("m") + vertex)).alias("correction"), (F.col("y") - F.col("a") * F.col("s2") / F.col("n") + F.col("b") * vertex / 2).alias("coefficient"))

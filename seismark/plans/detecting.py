@@ -259,3 +259,25 @@ def array_power_maps(spark, d):
 def array_capon(spark, d):
     found = arrays.array_processing(*_array(spark, d), 100.0, 32, 16, _GRID, 5.0, 12.0, capon=True)
     return rounded(found, 6, "relative", "absolute", "back_azimuth", "slowness")
+
+
+# --- picks of pairs of traces corrected by their correlation
+
+_CORRECTED = (
+    "pw AS (SELECT trace - trace % 2 AS pair, trace % 2 AS side, idx - CASE WHEN trace % 2 = 0 THEN 11 ELSE 13 END AS i, x FROM s WHERE idx BETWEEN CASE WHEN trace % 2 = 0 THEN 11 ELSE 13 END AND CASE WHEN trace % 2 = 0 THEN 31 ELSE 33 END)",
+    "pm AS (SELECT *, x - avg(x) OVER (PARTITION BY pair, side) AS y FROM pw WHERE pair IN (SELECT pair FROM pw GROUP BY 1 HAVING count(*) = 42))",
+    "pc AS (SELECT a.pair, a.i - b.i AS t, sum(a.y * b.y) / (SELECT sqrt(sum(y * y) FILTER (side = 0) * sum(y * y) FILTER (side = 1)) FROM pm n WHERE n.pair = a.pair) AS c FROM pm a JOIN pm b ON b.pair = a.pair AND a.side = 0 AND b.side = 1 AND abs(a.i - b.i) <= 6 GROUP BY 1, 2)",
+    "pb AS (SELECT *, coalesce(lead(c) OVER w - 2 * c + lag(c) OVER w, 0) AS bend, arg_max(t, struct_pack(c := c, t := -t)) OVER (PARTITION BY pair) AS peak FROM pc WINDOW w AS (PARTITION BY pair ORDER BY t))",
+    "pn AS (SELECT * FROM (SELECT *, max(CASE WHEN bend > 0 AND t < peak THEN t END) OVER (PARTITION BY pair) AS lo, min(CASE WHEN bend > 0 AND t > peak THEN t END) OVER (PARTITION BY pair) AS hi FROM pb) WHERE (lo IS NULL OR t > lo) AND (hi IS NULL OR t < hi))",
+    # the normal equations of a parabola by Cramer's rule
+    "pe AS (SELECT pair, CAST(count(*) AS DOUBLE) AS n, sum(t) AS s1, sum(t * t) AS s2, sum(pow(t, 3)) AS s3, sum(pow(t, 4)) AS s4, sum(c) AS y0, sum(c * t) AS y1, sum(c * t * t) AS y2 FROM pn GROUP BY 1 HAVING count(*) >= 3)",
+    "pf AS (SELECT pair, (y2 * (s2 * n - s1 * s1) - s3 * (y1 * n - s1 * y0) + s2 * (y1 * s1 - s2 * y0)) / d AS a, (s4 * (y1 * n - y0 * s1) - y2 * (s3 * n - s1 * s2) + s2 * (s3 * y0 - y1 * s2)) / d AS b, (s4 * (s2 * y0 - s1 * y1) - s3 * (s3 * y0 - s2 * y1) + y2 * (s3 * s1 - s2 * s2)) / d AS c FROM (SELECT *, s4 * (s2 * n - s1 * s1) - s3 * (s3 * n - s1 * s2) + s2 * (s3 * s1 - s2 * s2) AS d FROM pe))",
+)
+
+
+@query("SELECT pair, round(b / (2 * a), 6) AS correction, round(c - b * b / (4 * a), 6) AS coefficient FROM pf", SAMPLES, *_CORRECTED)
+def pick_correction(spark, d):
+    """Picks at samples 20 and 22 of pairs of traces."""
+    rows = data.samples(spark, d)
+    pairs = rows.select((F.col("trace") - F.col("trace") % 2).alias("pair")).distinct().select("pair", F.col("pair").alias("one"), F.lit(20).alias("pick_one"), (F.col("pair") + 1).alias("two"), F.lit(22).alias("pick_two"))
+    return rounded(detection.correct_picks(pairs, rows, 6, 8, 6), 6, "correction", "coefficient")

@@ -115,6 +115,25 @@ def pole_zero_round_trip(spark, d):
     return _micros(out.select("network", "station", "location", "channel", "start", "end", "latitude", "rate", "units", "constant", "kind", "number", "re", "im"), "start", "end")
 
 
+_CHOSEN = "network LIKE 'N1%' AND station LIKE 'S%' AND (location = '00') AND channel GLOB 'BH[ZN]' AND start <= TIMESTAMP '2003-01-01' AND (\"end\" IS NULL OR \"end\" >= TIMESTAMP '2003-01-01')"
+
+
+@query(
+    f"SELECT 'kept' AS kind, network, station, channel, 2 AS stages FROM cha WHERE {_CHOSEN} UNION ALL SELECT 'left', network, station, channel, 2 FROM cha WHERE NOT ({_CHOSEN.replace('station LIKE', 'station_start IS NOT NULL AND station LIKE')})", _STATION, _CHANNEL
+)
+def inventory_select(spark, d):
+    """Channels chosen by codes and time, and those that are left without them."""
+    tables = _tree(spark, d)
+    tables["networks"] = tables["stations"].select("network").distinct()
+    out = []
+    for kind, remove in (("kept", False), ("left", True)):
+        part = trees.select_inventory(tables, "N1*", "S*", "00", "BH[ZN]", F.lit("2003-01-01").cast("timestamp"), remove=remove)
+        stages = part["stages"].groupBy("network", "station", "channel").agg(F.countDistinct("stage").cast("int").alias("stages"))
+        held = part["channels"].join(part["stations"].select("network", "station"), ["network", "station"], "left_semi").join(part["networks"], "network", "left_semi")
+        out.append(held.join(stages, ["network", "station", "channel"]).select(F.lit(kind).alias("kind"), "network", "station", "channel", "stages"))
+    return out[0].union(out[1])
+
+
 # --- events: orders with their lines as origins, magnitudes and picks
 
 _EVENTS = (

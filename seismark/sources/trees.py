@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import glob
+from ..operators.segments import active
+
 #: Stations of a network element.
 STATIONS = 1000
 
@@ -82,6 +85,31 @@ def write_station_xml(stations: DataFrame, channels: DataFrame, stages: DataFram
     rows.write.format("xml").option("rootTag", "FDSNStationXML").option("rowTag", "Network").save(path)
 
 
+def select_inventory(tables: dict[str, DataFrame], network: str = "*", station: str = "*", location: str = "*", channel: str = "*", time: Column | None = None, keep_empty: bool = False, remove: bool = False) -> dict[str, DataFrame]:
+    """The part of an inventory (tables as ``read_station_xml`` gives them) that codes with wildcards and a time choose, level by level.
+
+    A network or station stands if it matches and, unless ``keep_empty``, if a station or channel below it does. With ``remove`` the
+    chosen channels go, or all of a station if only its code and the network's are given, and what is then empty goes too.
+    """
+    held = lambda start, end: (F.lit(True) if time is None else active(F.col(start), F.col(end), time))
+    keys = ["network", "station", "station_start"]
+    stations = tables["stations"].where(glob(F.col("network"), network) & glob(F.col("station"), station) & held("station_start", "station_end"))
+    channels = tables["channels"].join(stations.select(*keys), keys, "left_semi").where(glob(F.col("location"), location) & glob(F.col("channel"), channel) & held("start", "end"))
+    names = [*keys, "location", "channel", "start"]
+    if remove:
+        if channel == location == "*":
+            channels = tables["channels"].join(stations.select(*keys), keys, "left_anti")
+        else:
+            channels = tables["channels"].join(channels.select(*names), names, "left_anti")
+        stations = tables["stations"] if channel != "*" or location != "*" else tables["stations"].join(stations.select(*keys), keys, "left_anti")
+    if not keep_empty:
+        stations = stations.join(channels.select(*keys), keys, "left_semi")
+    networks = tables["networks"].where(glob(F.col("network"), network)) if not remove else tables["networks"]
+    networks = networks if keep_empty else networks.join(stations.select("network"), "network", "left_semi")
+    parts = {name: tables[name].join(channels.select(*names), names, "left_semi") for name in ("stages", "poles")}
+    return {"networks": networks, "stations": stations, "channels": channels} | parts
+
+
 # Elements and attributes of the event format.
 _VALUE, _WHEN = "struct<value: double, uncertainty: double>", "struct<value: string, uncertainty: double>"
 _STREAM = "struct<_networkCode: string, _stationCode: string, _locationCode: string, _channelCode: string>"

@@ -417,3 +417,13 @@ def test_places_slices_and_names(spark):
         named.apply("filter", "notch", rows)
     assert collections.repeated(rows, 0).collect() == []
     assert segments.gaps is not None
+
+
+def test_picks_of_a_shifted_wavelet_are_corrected(spark):
+    t = np.arange(200.0)
+    wave = lambda at: np.exp(-(((t - at) / 9) ** 2)) * np.cos((t - at) / 5)
+    rows = collections.joined(trace(spark, wave(100.0), 1), trace(spark, wave(103.4), 2))
+    pairs = spark.createDataFrame([(7, 1, 100, 2, 102), (8, 1, 5, 2, 102)], "pair int, one long, pick_one int, two long, pick_two int")
+    found = detection.correct_picks(pairs, rows, 30, 40, 10).collect()
+    # a pick of 102 is 1.4 samples early; the pair whose window starts before the trace has no correction
+    assert [r.pair for r in found] == [7] and found[0].correction == pytest.approx(1.4, abs=0.05) and 0.95 < found[0].coefficient < 1.05
