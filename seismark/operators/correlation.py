@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .detection import correlate_templates
+from .detection import correlate_templates, sample_blocks
 from .series import with_halo
 
 
@@ -58,12 +62,43 @@ def peaks(scores: DataFrame, column: str, height: float, distance: int) -> DataF
     return halo.where(F.col("_own") & (F.col(column) >= height) & (-F.col("_best.i") == F.col("idx"))).select(*scores.columns)
 
 
-def beam_power(samples: DataFrame, offsets: DataFrame, slowness: list[tuple[float, float]]) -> DataFrame:
+#: Samples of a block of beams, in which all traces of an array meet.
+BEAM_BLOCK = 4096
+
+
+def beam_power(samples: DataFrame, offsets: DataFrame, slowness: list[tuple[float, float]], block: int = BEAM_BLOCK) -> DataFrame:
     """(array, sx, sy, power): mean square of the stack of shifted traces for each slowness (samples per offset unit).
 
-    samples: (array, trace, idx, x); offsets: (trace, dx, dy).
+    samples: (array, trace, idx, x); offsets: (trace, dx, dy). The traces of an array meet block by block, each with as many samples
+    around as the largest shift asks for, and a block gives a sum and a number for each slowness; at the ends fewer traces count.
     """
-    grid = offsets.sparkSession.createDataFrame([(float(x), float(y)) for x, y in slowness], "sx double, sy double")
-    shifts = offsets.crossJoin(F.broadcast(grid)).select("trace", "sx", "sy", F.round(F.col("sx") * F.col("dx") + F.col("sy") * F.col("dy")).cast("long").alias("shift"))
-    stacked = samples.join(shifts, "trace").groupBy("array", "sx", "sy", (F.col("idx") - F.col("shift")).alias("idx")).agg(F.avg("x").alias("b"))
-    return stacked.groupBy("array", "sx", "sy").agg(F.avg(F.col("b") * F.col("b")).alias("power"))
+    grid = [(float(x), float(y)) for x, y in slowness]
+    wide = offsets.agg(F.max(F.abs("dx")), F.max(F.abs("dy"))).first()
+    reach = int((wide[0] or 0) * max(abs(x) for x, _ in grid) + (wide[1] or 0) * max(abs(y) for _, y in grid)) + 1
+    block = max(block, reach)
+    rows = sample_blocks(samples.withColumns({"idx": F.col("idx").cast("long"), "x": F.col("x").cast("double")}), ["array", "trace"], reach, reach, block).join(offsets.select("trace", "dx", "dy"), "trace")
+    met = rows.groupBy("array", "_block").agg(F.collect_list(F.struct("_idx", "_x", "dx", "dy")).alias("_traces"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums, counts = np.zeros((batch.num_rows, len(grid))), np.zeros((batch.num_rows, len(grid)), np.int64)
+            for i, (at, traces) in enumerate(zip(batch.column("_block").to_pylist(), batch.column("_traces").to_pylist(), strict=True)):
+                held = [(np.array(t["_idx"]), np.array(t["_x"]), t["dx"], t["dy"]) for t in traces]
+                low = at * block - (reach if at == 0 else 0)  # shifts before the first sample belong to the first block
+                size = (at + 1) * block - low
+                for j, (sx, sy) in enumerate(grid):
+                    total, number = np.zeros(size), np.zeros(size)
+                    for idx, x, dx, dy in held:
+                        shift = sx * dx + sy * dy
+                        place = idx - int(np.sign(shift) * np.floor(abs(shift) + 0.5)) - low
+                        inside = (place >= 0) & (place < size)
+                        total += np.bincount(place[inside], x[inside], size)
+                        number += np.bincount(place[inside], minlength=size)
+                    some = number > 0
+                    sums[i, j], counts[i, j] = ((total[some] / number[some]) ** 2).sum(), some.sum()
+            take = pa.array(np.repeat(np.arange(batch.num_rows), len(grid)))
+            axes = {n: pa.array(np.tile([g[k] for g in grid], batch.num_rows)) for k, n in enumerate(("sx", "sy"))}
+            yield pa.record_batch({"array": batch.column("array").take(take)} | axes | {"total": pa.array(sums.ravel()), "n": pa.array(counts.ravel())})
+
+    parts = met.mapInArrow(run, f"array {dict(samples.dtypes)['array']}, sx double, sy double, total double, n long")
+    return parts.groupBy("array", "sx", "sy").agg((F.sum("total") / F.sum("n")).alias("power"))
