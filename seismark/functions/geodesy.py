@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from math import pi, radians, sin
+from collections.abc import Callable
+from math import cos, pi, radians, sin
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -167,3 +168,30 @@ def rotate_to_zne(components: list[Column], directions: list[tuple[float, float]
     if not 1e-6 < abs(np.linalg.det(base)) < 1e6:
         raise ValueError("the directions are not linearly independent")
     return [sum((float(w) * c for w, c in zip(row[1:], components[1:], strict=True)), float(row[0]) * components[0]) for row in np.linalg.inv(base)]
+
+
+# The ellipsoid of the local plane (radius in kilometers, flattening), a degree in radians and the squared axes' ratio.
+PLANE_RADIUS, PLANE_FLATTENING, PLANE_DEGREE, PLANE_RATIO = 6378.163, 298.26, 1.7453292e-2, 9.9330647e-1
+
+
+def _plane(lat0: Column) -> tuple[Column, Column, Callable[[Column], Column]]:
+    """Kilometers of a minute of latitude and (at the equator's cosine) of longitude near a latitude, and the reduced latitude of degrees."""
+    reduced = lambda degrees: F.atan(PLANE_RATIO * F.tan(degrees * PLANE_DEGREE))
+    here = reduced(lat0)
+    radius = PLANE_RADIUS * (1 - F.sin(here) * F.sin(here) / PLANE_FLATTENING)
+    north = radius * (reduced(lat0 + 1 / 60) - here)
+    east = radius * F.acos(1 - (1 - cos(PLANE_DEGREE / 60)) * F.cos(here) * F.cos(here)) / F.cos(here)
+    return north, east, reduced
+
+
+def to_plane(lon0: Column, lat0: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Kilometers east and north of a place from an origin, on a plane at the latitude between both."""
+    north, east, reduced = _plane(lat0)
+    return (lon - lon0) * 60 * east * F.cos(reduced((lat + lat0) / 2)), (lat - lat0) * 60 * north
+
+
+def from_plane(lon0: Column, lat0: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of kilometers east and north of an origin."""
+    north, east, reduced = _plane(lat0)
+    lat = lat0 + y / north / 60
+    return lon0 + x / (east * F.cos(reduced((lat + lat0) / 2))) / 60, lat

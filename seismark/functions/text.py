@@ -102,3 +102,33 @@ def power_of_two(n: Column, which: str) -> Column:
     low = F.pow(F.lit(2.0), F.length(F.bin(n.cast("long"))) - 1).cast("long")
     high = F.when(low == n, low).otherwise(low * 2)
     return {"previous": low, "next": high}.get(which, F.when(high - n < n - low, high).otherwise(low))
+
+
+def prime_factors(x: Column) -> Column:
+    """Prime factors of a whole number from 1 on, rising; [1] of 1. Its work grows with the root of the number."""
+    whole = x.cast("long")
+    start = F.struct(whole.alias("rest"), F.array().cast("array<bigint>").alias("found"))
+
+    def divided(state: Column, d: Column) -> Column:
+        times = F.floor(F.log2(F.greatest(state["rest"], F.lit(1))) / F.log2(d)).cast("int") + 1
+
+        def once(s: Column, _: Column) -> Column:
+            hit = s["rest"] % d == 0
+            return F.struct(F.when(hit, F.floor(s["rest"] / d)).otherwise(s["rest"]).cast("long").alias("rest"), F.when(hit, F.concat(s["found"], F.array(d))).otherwise(s["found"]).alias("found"))
+
+        return F.when(state["rest"] % d == 0, F.aggregate(F.sequence(F.lit(1), times), state, once)).otherwise(state)
+
+    root = F.floor(F.sqrt(whole.cast("double"))).cast("long")
+    tried = F.when(root >= 2, F.sequence(F.lit(2).cast("long"), root)).otherwise(F.array().cast("array<bigint>"))
+    rest = lambda s: F.when(s["rest"] > 1, F.concat(s["found"], F.array(s["rest"]))).otherwise(s["found"])
+    return F.when(whole == 1, F.array(F.lit(1).cast("long"))).otherwise(F.aggregate(tried, start, divided, rest))
+
+
+def transform_length(samples: Column, most: int = 500, tries: int = 10) -> Column:
+    """Samples of a transform that does not wrap: twice the (even) number; where that is over 5000 and has a prime factor of ``most`` or more, the
+    first of the next ``tries`` even numbers without one, else the next power of two.
+    """
+    twice = (2 * (samples + samples % 2)).cast("long")
+    smooth = lambda n: F.array_max(prime_factors(n)) < most
+    other = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: twice + 2 * i), smooth), F.lit(0))
+    return F.when((twice <= 5000) | smooth(twice), twice).otherwise(F.coalesce(other, next_power_of_two(twice)))

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geodesy, text
 from ..operators import calibration, collections, named
 from . import data
-from .data import QUAKES, SAMPLES, VECTORS
+from .data import QUAKES, SAMPLES, STATIONS, VECTORS
 from .registry import query, rounded
 
 # --- by name
@@ -147,3 +148,41 @@ def relative_calibration(spark, d):
     found = calibration.relative_response(rows, known, 32, 100.0)
     out = found.select("array", "k", "frequency", "amplitude", F.cos("phase").alias("cosine"), F.sin("phase").alias("sine"))
     return rounded(rounded(out, 5, "amplitude"), 4, "cosine", "sine")
+
+
+# --- a local plane, lengths of transforms
+
+_REDUCED = "atan(9.9330647e-1 * tan(({}) * 1.7453292e-2))"
+_FLAT = (
+    f"pl AS (SELECT *, 10.0 + station % 7 AS lon0, latitude / 2 + 1 AS lat0, {_REDUCED.format('latitude / 2 + 1')} AS u, {_REDUCED.format('latitude / 2 + 1 + 1 / 60.0')} AS v FROM st WHERE abs(latitude) < 80)",
+    "pf AS (SELECT *, 6378.163 * (1 - pow(sin(u), 2) / 298.26) * (v - u) AS north, 6378.163 * (1 - pow(sin(u), 2) / 298.26) * acos(1 - (1 - cos(1.7453292e-2 / 60)) * pow(cos(u), 2)) / cos(u) AS east FROM pl)",
+)
+
+
+@query(
+    f"SELECT station, round((longitude - lon0) * 60 * east * cos({_REDUCED.format('(latitude + lat0) / 2')}), 4) + 0.0 AS x, round((latitude - lat0) * 60 * north, 4) + 0.0 AS y, round(longitude, 6) AS longitude, round(latitude, 6) AS latitude FROM pf",
+    STATIONS,
+    *_FLAT,
+)
+def local_plane(spark, d):
+    """Kilometers from an origin, and degrees again from those."""
+    rows = data.stations(spark, d).where("abs(latitude) < 80").withColumns({"lon0": 10.0 + F.col("station") % 7, "lat0": F.col("latitude") / 2 + 1})
+    x, y = geodesy.to_plane(F.col("lon0"), F.col("lat0"), F.col("longitude"), F.col("latitude"))
+    flat = rows.select("station", "lon0", "lat0", x.alias("x"), y.alias("y"))
+    lon, lat = geodesy.from_plane(F.col("lon0"), F.col("lat0"), F.col("x"), F.col("y"))
+    return rounded(rounded(flat.select("station", "x", "y", lon.alias("longitude"), lat.alias("latitude")), 4, "x", "y"), 6, "longitude", "latitude")
+
+
+@query(
+    "SELECT station, array_to_string(factors, ' ') AS factors, CASE WHEN twice <= 5000 OR list_max(f2) < 500 THEN twice ELSE coalesce((SELECT min(t) FROM tr WHERE tr.station = fa.station AND NOT EXISTS (SELECT 1 FROM pr WHERE p >= 500 AND tr.t % p = 0)), CAST(pow(2, ceil(log2(twice))) AS BIGINT)) END AS length FROM fa",
+    STATIONS,
+    "pr AS (SELECT n AS p FROM (SELECT unnest(range(2, 20000)) AS n) c WHERE NOT EXISTS (SELECT 1 FROM (SELECT unnest(range(2, 142)) AS m) d WHERE m < n AND n % m = 0))",
+    "nu AS (SELECT station, 2400 + station * 7 AS x, 2 * (2400 + station * 7 + (2400 + station * 7) % 2) AS twice FROM st)",
+    "pw AS (SELECT station, p, e FROM nu, pr, (SELECT unnest(range(1, 15)) AS e) WHERE x % p = 0 AND x % pow(p, e) = 0)",
+    "fa AS (SELECT nu.station, any_value(twice) AS twice, list(p ORDER BY p) AS factors, (SELECT list(p) FROM pr WHERE any_value(nu.twice) % p = 0) AS f2 FROM nu JOIN pw ON pw.station = nu.station GROUP BY 1)",
+    "tr AS (SELECT station, twice + 2 * i AS t FROM nu, (SELECT unnest(range(1, 11)) AS i))",
+)
+def transform_lengths(spark, d):
+    rows = data.stations(spark, d).select("station", (2400 + F.col("station") * 7).alias("x"))
+    factors = F.array_join(F.transform(text.prime_factors(F.col("x")), lambda f: f.cast("string")), " ")
+    return rows.select("station", factors.alias("factors"), text.transform_length(F.col("x")).alias("length"))
