@@ -50,8 +50,7 @@ def correlation_peak(values: Column, absolute: bool = True) -> Column:
 
 def match_template(samples: DataFrame, template: DataFrame, length: int) -> DataFrame:
     """(trace, idx, cc): correlation of every full window of a trace with its trace's template (trace, k, t) of ``length`` samples, both demeaned."""
-    whole = template.groupBy("trace").agg(F.count("*").alias("_n")).where(F.col("_n") == length).select("trace")
-    return correlate_templates(samples, template.join(whole, "trace"), ["trace"], []).select("trace", "idx", "cc")
+    return correlate_templates(samples, template, ["trace"], [], length=length).select("trace", "idx", "cc")
 
 
 def peaks(scores: DataFrame, column: str, height: float, distance: int) -> DataFrame:

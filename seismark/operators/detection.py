@@ -85,15 +85,16 @@ def _correlated(keys: list[str], labels: list[str], demean: bool, normalize: boo
     return run
 
 
-def correlate_templates(samples: DataFrame, templates: DataFrame, keys: list[str], labels: list[str], demean: bool = True, normalize: bool = True, block: int = BLOCK) -> DataFrame:
+def correlate_templates(samples: DataFrame, templates: DataFrame, keys: list[str], labels: list[str], demean: bool = True, normalize: bool = True, block: int = BLOCK, length: int | None = None) -> DataFrame:
     """(labels, keys, idx, cc, amplitude): each full window of a channel against each template of that channel.
 
     samples: (keys, idx, x) with double x; templates: (labels, keys, k, t). Windows over a gap are left out; amplitude is the
-    mean absolute value of the window.
+    mean absolute value of the window. With a ``length``, templates of another length are left out; without, the longest is looked for.
     """
     arrays = templates.groupBy(*labels, *keys).agg(F.array_sort(F.collect_list(F.struct("k", F.col("t").cast("double").alias("t")))).alias("_s"))
     arrays = arrays.select(*labels, *keys, F.col("_s.t").alias("_t"))
-    longest = arrays.agg(F.max(F.size("_t"))).first()[0] or 1
+    arrays = arrays if length is None else arrays.where(F.size("_t") == length)
+    longest = length or arrays.agg(F.max(F.size("_t"))).first()[0] or 1
     blocks = sample_blocks(samples.withColumn(IDX, F.col(IDX).cast("long")).withColumn(X, F.col(X).cast("double")), keys, 0, longest - 1, max(block, longest))
     joined = blocks.join(arrays, keys)
     types = dict(joined.dtypes)

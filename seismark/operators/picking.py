@@ -113,7 +113,7 @@ def first_picks(df: DataFrame, rate: float, down: int, up: int, on: float, limit
     (impulsive, emergent), P, U or D by the slope at the first sample, and 0 to 4 by the largest amplitude to ``duration`` samples
     later over that up to the first trigger. Without a pick: 1 and an empty phase.
     """
-    energies = energy_function(df, rate, preset)
+    energies = written(energy_function(df, rate, preset))
     values = noise_values(energies, limit, preset, block)
     high = values.where((F.col("value") > on) & (F.col(IDX) > 2 * preset))
     before = Window.partitionBy(TRACE, "_block").orderBy(IDX)

@@ -202,14 +202,14 @@ _PICK = (
 @query("SELECT trace, onset + 1 AS pick, CASE WHEN onset = 0 THEN '' ELSE concat(CASE WHEN grade <= 1 THEN 'IP' ELSE 'EP' END, CASE WHEN first < 0 THEN concat('U', grade) WHEN first > 0 THEN concat('D', grade) ELSE '' END) END AS phase FROM gp", SAMPLES, *_PICK)
 def first_picks(spark, d):
     """The first onset of each trace with its quality, the noise being settled block by block."""
-    return picking.first_picks(data.samples(spark, d), 2.0, 2, 4, 1.5, 3.0, 6, 5, block=16)
+    return picking.first_picks(data.samples(spark, d), 2.0, 2, 4, 1.5, 3.0, 6, 5, block=64)
 
 
 @query("SELECT trace, i AS idx, round(ev, 5) + 0.0 AS value FROM (SELECT * FROM m WHERE i > 0)", SAMPLES, *[v.replace("WHERE m.pick = 0", "") for v in _PICK[:4]])
 def noise_values(spark, d):
     """The characteristic function of the picker."""
     energies = picking.energy_function(data.samples(spark, d), 2.0, 6)
-    return rounded(picking.noise_values(energies, 3.0, 6, block=16), 5, "value")
+    return rounded(picking.noise_values(energies, 3.0, 6, block=64), 5, "value")
 
 
 # --- beams in the frequency domain: arrays are the labels
