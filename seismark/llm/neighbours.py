@@ -73,12 +73,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 class Model:
-    """The latent space and the labelled vectors in it; ``counts`` are weighed in place."""
+    """The latent space and the labelled vectors in it; with ``own`` the counts are weighed in place."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, n: int, frequencies: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, n: int, frequencies: np.ndarray, own: bool = False) -> None:
         self.idf = np.log((1 + n) / (1 + frequencies)).astype(np.float32) + 0.05
         self.labels = labels.astype(np.float32)
-        weighted = self.weigh(counts, counts)
+        weighted = self.weigh(counts, counts if own else None)
         rng = np.random.default_rng(6)
         rank = min(RANK, *weighted.shape) if len(weighted) else 0
         basis = np.zeros((DIMENSIONS, 0), np.float32)
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     counts = np.zeros((len(found), DIMENSIONS), np.float32)
     for row, bucket, n in zip(counts, found["bucket"], found["n"], strict=True):
         row[np.asarray(bucket.values)] = np.asarray(n.values)
-    return Model(counts, found["label"].to_numpy(), *document_frequencies(docs))
+    return Model(counts, found["label"].to_numpy(), *document_frequencies(docs), own=True)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
