@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, text
-from ..operators import arrays, catalog, correlation, kernels, segments, series
+from ..operators import arrays, catalog, correlation, segments, series
 from ..operators import spectra_histogram as ppsd
 from ..sources import tables
 from ..streaming import processes

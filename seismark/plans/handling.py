@@ -5,7 +5,6 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geodesy, text

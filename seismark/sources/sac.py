@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Places in the header and the mark of an undefined number.
 _DELTA, _B, _NPTS, _VERSION, _EVEN = 0, 5, 79, 76, 105
