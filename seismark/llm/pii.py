@@ -3,9 +3,9 @@
 A kind's matches and the text between them come from one regular expression, and places from running sums of their
 lengths. Base spans are checked (digits, ranges, Luhn) and always stay. Generators then propose further, overlapping spans
 (numbers, long tokens, addresses, account numbers) of any length, with format and context features; gradient-boosted trees,
-fitted on the driver to a bounded sample of weakly labelled candidates and turned into a column expression, score them, and
-those above a threshold that keeps a held-out fold's precision are added. Only candidates that can be added, which overlap
-no base span, are learned from and set the threshold.
+grown from Spark's sums over all weakly labelled candidates and turned into a column expression, score them, and those above a
+threshold that keeps a held-out fold's precision are added. All candidates that can be added, which overlap no base span, are
+learned from or set the threshold.
 
 Weak labels: a candidate that follows a word such as token or password with = or :, or an account number with a right check
 sum, is positive. The trees see neither: they learn what such strings look like, so that those without the word are found.
@@ -43,9 +43,13 @@ CANDIDATES = {
 }
 KINDS = (*BASE, *CANDIDATES)
 CONTEXT = 24
-#: Candidates that the trees are fitted to at most; trees, their depth and step; the precision that the threshold keeps, below
-#: 1 also because secrets without a word before them count as false.
-SAMPLE, TREES, DEPTH, STEP, PRECISION = 20_000, 30, 3, 0.3, 0.95
+#: Trees, their depth and step; the precision that the threshold keeps, below 1 also because secrets without a word before them
+#: count as false.
+TREES, DEPTH, STEP, PRECISION = 30, 3, 0.3, 0.95
+#: Cuts of all features, which are whole numbers: each to 48, then by a quarter of their size; what is above the last is one bin.
+EDGES = np.concatenate([np.arange(49.0), np.floor(48 * 1.25 ** np.arange(1, 46))])
+#: Parts of 1 that gradients are rounded to; parts of 1 that thresholds stand on, and how many of them to either side.
+SCALE, STEPS, MOST = 1 << 20, 256, 1 << 12
 FEATURES = ("length", "digits", "letters", "capitals", "marks", "groups", "vowels", "turns", "is_number", "is_token", "is_address", "is_account", "hexadecimal", "quoted", "alone", "contact")
 _SECRET = r"(?i)(token|secret|passw(or)?d|api[_\s-]?key)\s*[=:]\s*[\"']?$"
 
@@ -159,73 +163,145 @@ def _features(x: Column, base: Column) -> Column:
     )
 
 
+def _topped(features: Column) -> Column:
+    """Features raised to the next of EDGES, which takes them to the same side of every cut; infinite above the last."""
+    edges = F.array(*[F.lit(float(e)) for e in EDGES])
+    return F.transform(features, lambda x: F.coalesce(F.when(x.isin(*range(49)), x), F.get(F.filter(edges, lambda e: e >= x), 0), F.lit(float("inf"))))
+
+
+def empty_sums() -> np.ndarray:
+    return np.zeros((2 ** (DEPTH + 1) - 1, len(FEATURES), len(EDGES) + 1, 3), np.int64)
+
+
 class Trees:
-    """Gradient-boosted regression trees for the logistic loss."""
+    """Gradient-boosted regression trees for the logistic loss, grown level by level from sums over the bins of all rows.
+
+    A tree is (features, cuts, values) of its nodes, the children of i at 2i + 1 and 2i + 2; leaves have the feature -1.
+    """
+
+    def __init__(self, x: np.ndarray | None = None, y: np.ndarray | None = None) -> None:
+        self.start, self.trees = 0.0, []
+        if y is not None and len(y):
+            self.grow(int(y.sum()), len(y), lambda level: self._bin_sums(x, y, level))
+
+    def grow(self, positive: int, rows: int, sums) -> None:
+        """Adds all trees; ``sums(level)`` gives (node, feature, bin, rows or gradient or curvature) of the last tree's open nodes.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 1e-3
+        Gradients and curvatures are whole numbers of 1/SCALE, so that no order of adding up changes them.
+        """
+        share = float(np.clip(positive / rows, 1e-3, 1 - 1e-3)) if rows else 1e-3
         self.start = float(np.log(share / (1 - share)))
-        self.trees: list = []
-        if not len(y) or y.min() == y.max():
+        if not 0 < positive < rows:
             return
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[:-1])) for c in x.T]
-        margin = np.full(len(y), self.start)
         for _ in range(TREES):
-            p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(x, y - p, p * (1 - p), np.arange(len(y)), cuts, DEPTH)
-            margin += self._apply(tree, x)
-            self.trees.append(tree)
-
-    def _grow(self, x: np.ndarray, gradient: np.ndarray, curvature: np.ndarray, rows: np.ndarray, cuts: list, depth: int):
-        g, h = gradient[rows].sum(), curvature[rows].sum()
-        best, gain = None, 1e-6
-        for f in range(x.shape[1] if depth else 0):
-            for cut in cuts[f]:
-                low = x[rows, f] <= cut
-                gl, hl = gradient[rows][low].sum(), curvature[rows][low].sum()
-                won = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                if 5 <= low.sum() <= len(rows) - 5 and won > gain:
-                    best, gain = (f, float(cut), low), won
-        if best is None:
-            return float(STEP * g / (h + 1))
-        f, cut, low = best
-        return f, cut, self._grow(x, gradient, curvature, rows[low], cuts, depth - 1), self._grow(x, gradient, curvature, rows[~low], cuts, depth - 1)
-
-    def _apply(self, tree, x: np.ndarray) -> np.ndarray:
-        if isinstance(tree, float):
-            return np.full(len(x), tree)
-        f, cut, low, high = tree
-        return np.where(x[:, f] <= cut, self._apply(low, x), self._apply(high, x))
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        return self.start + sum((self._apply(t, x) for t in self.trees), np.zeros(len(x)))
+            size = 2 ** (DEPTH + 1) - 1
+            self.trees.append((np.full(size, -1), np.zeros(size), np.zeros(size)))
+            for level in range(DEPTH):
+                if not self._split(sums(level)):
+                    break
+            if self.trees[-1][0][0] < 0:  # the next would see the same sums
+                self.trees.pop()
+                return
+
+    def _bin_sums(self, x: np.ndarray, y: np.ndarray, level: int) -> np.ndarray:
+        out = empty_sums()
+        at = self._places(self.trees[-1], x)
+        here = at >= 2**level - 1
+        p = 1 / (1 + np.exp(-self.margins(x[here], len(self.trees) - 1)))
+        each = np.stack([np.ones(len(p)), np.rint((y[here] - p) * SCALE), np.rint(p * (1 - p) * SCALE)], 1).astype(np.int64)
+        for f in range(len(FEATURES)):
+            np.add.at(out, (at[here], f, np.searchsorted(EDGES, x[here, f])), each)
+        return out
+
+    def _split(self, sums: np.ndarray) -> bool:
+        """Splits the nodes with rows in ``sums`` where that gains; whether any was."""
+        features, cuts, values = self.trees[-1]
+        leaf = lambda g, h: STEP * g / (h + 1)
+        any_split = False
+        for node in np.flatnonzero(sums[:, 0, :, 0].any(1)):
+            low = np.cumsum(sums[node], 1)[:, :-1]
+            n, g, h = sums[node, 0].sum(0) / (1, SCALE, SCALE)
+            nl, gl, hl = low[:, :, 0], low[:, :, 1] / SCALE, low[:, :, 2] / SCALE
+            gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+            gain[(nl < 5) | (nl > n - 5)] = 0
+            f, j = np.unravel_index(np.argmax(gain), gain.shape)
+            values[node] = leaf(g, h)
+            if gain[f, j] > 1e-6:
+                features[node], cuts[node] = f, EDGES[j]
+                values[2 * node + 1], values[2 * node + 2] = leaf(gl[f, j], hl[f, j]), leaf(g - gl[f, j], h - hl[f, j])
+                any_split = True
+        return any_split
+
+    def _places(self, tree, x: np.ndarray) -> np.ndarray:
+        features, cuts, _ = tree
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _level in range(DEPTH):
+            f = features[at]
+            at = np.where(f >= 0, 2 * at + 1 + (x[rows, f] > cuts[at]), at)
+        return at
+
+    def margins(self, x: np.ndarray, first: int | None = None) -> np.ndarray:
+        """Margins by all trees, or by the ``first`` ones."""
+        total = np.full(len(x), self.start)
+        for tree in self.trees[:first]:
+            total = total + tree[2][self._places(tree, x)]
+        return total
 
-    def column(self, features: Column) -> Column:
-        def of(tree) -> Column:
-            if isinstance(tree, float):
-                return F.lit(tree)
-            f, cut, low, high = tree
-            return F.when(F.get(features, f) <= cut, of(low)).otherwise(of(high))
+    def walked(self, tree: int, features: Column, leaf) -> Column:
+        """``leaf(node)`` of the leaf that features reach in a tree."""
+        names, cuts, _ = self.trees[tree]
+
+        def of(node: int) -> Column:
+            if names[node] < 0:
+                return F.lit(leaf(node))
+            return F.when(F.get(features, int(names[node])) <= float(cuts[node]), of(2 * node + 1)).otherwise(of(2 * node + 2))
 
+        return of(0)
+
+    def added(self, tree: int, features: Column) -> Column:
+        return self.walked(tree, features, lambda node: float(self.trees[tree][2][node]))
+
+    def column(self, features: Column) -> Column:
         total = F.lit(self.start)
-        for tree in self.trees:
-            total = total + of(tree)
+        for tree in range(len(self.trees)):
+            total = total + self.added(tree, features)
         return total
 
 
 def fit(candidates: DataFrame) -> tuple[Trees, float]:
-    """Trees and the margin from which candidates are chosen; rows: (order, label, features). Four fifths fit, one sets the threshold."""
-    rows = candidates.orderBy("order").limit(SAMPLE).collect()
-    x = np.array([r["features"] for r in rows], float).reshape(len(rows), len(FEATURES))
-    y = np.array([r["label"] for r in rows], float)
-    fold = np.arange(len(rows)) % 5 == 0
-    trees = Trees(x[~fold], y[~fold])
-    margin, truth = trees.margins(x[fold]), y[fold]
-    order = np.argsort(-margin, kind="stable")
-    precise = np.cumsum(truth[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero(precise >= PRECISION)
-    # the column adds the trees up in another order than numpy
-    return trees, float(max(margin[order][good[-1]], 0.0)) - 1e-6 if len(good) and len(trees.trees) else np.inf
+    """Trees and the margin from which candidates are chosen; rows: (order, label, features). Four fifths fit, one sets the threshold.
+
+    All rows count. Spark counts those of equal bins, fold and label; each level of a tree is one sum over these cells, of which
+    the driver gets a number per node, feature and bin. The threshold is the least step that keeps the precision.
+    """
+    cells = candidates.select(_topped(F.col("features")).alias("features"), F.coalesce("label", F.lit(False)).cast("int").alias("label"), (F.pmod("order", F.lit(5)) == 0).alias("fold"))
+    cells = written(cells.groupBy("features", "label", "fold").agg(F.count("*").alias("n")))
+    fitted, held = cells.where("NOT fold").drop("fold"), cells.where("fold")
+    trees, features = Trees(), F.col("features")
+
+    def sums(level: int) -> np.ndarray:
+        nonlocal fitted
+        if level == 0:
+            before = F.lit(trees.start) if len(trees.trees) == 1 else F.col("margin") + trees.added(-2, features)
+            fitted = written(fitted.withColumn("margin", before))
+        p = 1 / (1 + F.exp(-F.col("margin")))
+        rows = fitted.select("*", trees.walked(-1, features, int).alias("node"), p.alias("p")).where(F.col("node") >= 2**level - 1)
+        rows = rows.select("node", "n", F.rint((F.col("label") - F.col("p")) * SCALE).cast("long").alias("g"), F.rint(F.col("p") * (1 - F.col("p")) * SCALE).cast("long").alias("h"), F.posexplode("features").alias("f", "x"))
+        found = rows.groupBy("node", "f", "x").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("g")).alias("g"), F.sum(F.col("n") * F.col("h")).alias("h")).toArrow()
+        out = empty_sums()
+        node, f, x = (found[c].to_numpy() for c in ("node", "f", "x"))
+        out[node, f, np.searchsorted(EDGES, x)] = np.stack([found[c].to_numpy() for c in "ngh"], 1)
+        return out
+
+    counted = fitted.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("positive")).first()
+    trees.grow(counted.positive or 0, counted.n or 0, sums)
+    if not trees.trees:
+        return trees, np.inf
+    step = F.least(F.greatest(F.floor(trees.column(features) * STEPS), F.lit(-MOST)), F.lit(MOST))
+    steps = held.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("positive")).orderBy(F.desc("step")).toArrow()
+    step, n, positive = (steps[c].to_numpy() for c in ("step", "n", "positive"))
+    good = np.flatnonzero(np.cumsum(positive) >= PRECISION * np.cumsum(n))
+    return trees, max(float(step[good[-1]]) / STEPS, 0.0) if len(good) else np.inf
 
 
 def find_spans(docs: DataFrame) -> DataFrame:

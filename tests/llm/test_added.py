@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seismark.llm import neighbours, queries, spelling, substrings, suffixes, whitening
+from seismark.llm import neighbours, pii, queries, spelling, substrings, suffixes, whitening
 
 SF = "/root/testdata/sf0.001"
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -231,3 +231,31 @@ def test_repeated_rows_do_not_widen_the_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
     model = neighbours.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     assert len(model.labels) <= 6
+
+
+# --- 9 personal data
+
+
+def test_trees_and_threshold_use_all_candidates(spark, monkeypatch):
+    """The positive ones come after the first 20,000; splitting the rows otherwise changes nothing; NumPy over all rows gives the same trees."""
+    monkeypatch.setattr(pii, "TREES", 4)
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 60, (40_000, len(pii.FEATURES))).astype(float)
+    x[:, 1] **= 3
+    y = (np.arange(len(x)) >= 25_000) & (x[:, 0] > 30)
+    x[y, 2] += 60
+    frame = spark.createDataFrame([(i, bool(y[i]), r.tolist()) for i, r in enumerate(x)], "order long, label boolean, features array<double>")
+    trees, least = pii.fit(frame.repartition(3))
+    again, same = pii.fit(frame.repartition(7))
+    fold = np.arange(len(x)) % 5 == 0
+    whole = pii.Trees(x[~fold], y[~fold].astype(float))
+    assert len(trees.trees) == len(again.trees) == len(whole.trees) == pii.TREES and least == same
+    assert all(np.array_equal(a, b) and np.array_equal(a, c) for ts in zip(trees.trees, again.trees, whole.trees, strict=True) for a, b, c in zip(*ts, strict=True))
+    chosen = fold & (trees.margins(x) >= least)
+    assert chosen.any() and y[chosen].mean() >= pii.PRECISION
+
+
+def test_no_or_only_positive_candidates_give_no_threshold(spark):
+    for rows in ([], [(i, True, [1.0] * len(pii.FEATURES)) for i in range(9)], [(i, i % 2 == 0, [1.0] * len(pii.FEATURES)) for i in range(40)]):
+        trees, least = pii.fit(spark.createDataFrame(rows, "order long, label boolean, features array<double>"))
+        assert trees.trees == [] and np.isinf(least)
