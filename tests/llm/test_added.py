@@ -106,6 +106,12 @@ def test_suffix_arrays():
         assert suffixes.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
+def test_names_tell_a_string_from_its_beginning_at_a_full_word():
+    """With ten bits a symbol six are compared at once: of six symbols and a longer string that begins with them, the longer is the smaller."""
+    t = np.array([1] * 6 + [2] * 6 + [511])
+    assert suffixes._named(np.tile(t, 2), np.array([0, 13]), np.array([5, 24])).tolist() == [1, 0]
+
+
 def windows_of(texts, window):
     count = Counter(b[i : i + window] for b in texts for i in range(len(b) - window + 1))
     return [[i for i in range(len(b) - window + 1) if count[b[i : i + window]] > 1] for b in texts]
