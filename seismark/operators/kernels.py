@@ -390,3 +390,10 @@ def band_energies(rate: float, lowest: float, bands: int, frames: int) -> Kernel
         return np.stack([power[:, :, (f >= a) & (f < b)].sum(2) for a, b in zip(edges, edges[1:], strict=False)], 2).reshape(len(x), -1)
 
     return run
+
+
+def bands_held(rate: float, lowest: float, bands: int, length: int) -> list[int]:
+    """The bands of ``band_energies`` that hold a frequency of a frame of ``length`` samples."""
+    f = np.fft.rfftfreq(length, 1 / rate)
+    edges = lowest * 2 ** (np.arange(bands + 1) / 2)
+    return [i for i in range(bands) if ((f >= edges[i]) & (f < edges[i + 1])).any()]

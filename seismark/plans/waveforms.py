@@ -291,8 +291,8 @@ _HALVES = "hv AS (SELECT trace * 2 + idx // 32 AS trace, idx % 32 AS idx, x * (0
 
 @query("SELECT trace // 2 AS trace, (trace % 2) * 6 + CAST(floor(2 * log2(k * 3.125 / 3)) AS BIGINT) AS idx, round(sum(re * re + im * im), 6) AS y FROM ft WHERE k * 3.125 >= 3 AND k * 3.125 < 24 GROUP BY 1, 2", VECTORS, _HALVES, _DFT.format(n=32, source="hv"))
 def band_energies(spark, d):
-    """Bands without a frequency are left out."""
-    return _run(spark, d, kernels.band_energies(RATE, 3.0, 6, 2)).where("y <> 0")
+    """Bands without a frequency are left out; those without energy stay."""
+    return _run(spark, d, kernels.band_energies(RATE, 3.0, 6, 2)).where((F.col("idx") % 6).isin(kernels.bands_held(RATE, 3.0, 6, 32)))
 
 
 # --- polarisation: the twin takes eigenvalues of the covariance in closed form
