@@ -413,7 +413,7 @@ _ARC = "degrees(atan2(sqrt(pow(cos(radians(B.latitude)) * sin(radians(B.longitud
 @query(f"SELECT * FROM (SELECT a.station AS one, b.station AS other, round({_ARC.replace('A.', 'a.').replace('B.', 'b.')}, 6) AS degrees FROM st a JOIN st b ON a.station < b.station) WHERE degrees <= 10.3", STATIONS)
 def great_circle_pairs(spark, d):
     """Stations at most 10.3 degrees apart."""
-    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 10.3)
+    pairs = geodesy.near_pairs(data.stations(spark, d).drop("network"), "station", 10.3)
     return pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), F.round("degrees", 6).alias("degrees"))
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seismark.functions import geodesy
 from seismark.plans import catalogue
 
 
@@ -24,3 +25,60 @@ def test_bands_without_energy_stay(spark, tmp_path):
     rows = "SELECT CAST(i AS BIGINT) AS vec_id, list_transform(range(0, 64), lambda k: CAST(CASE i WHEN 0 THEN 0 WHEN 1 THEN 1e-5 * k ELSE sin(k * k) END AS FLOAT)) AS embedding, 0::INTEGER AS label FROM range(0, 3) r(i)"
     got, want = against_twin(spark, tmp_path, "band_energies", embeddings=rows)
     assert len(want) == 30 and (want.y == 0).sum() >= 10 and got.equals(want.astype(got.dtypes.to_dict()))
+
+
+def brute_degrees(a, b):
+    """Great-circle angles of all rows of a (latitude, longitude) with all of b."""
+    (p, l), (q, m) = np.radians(np.asarray(a, float)).T, np.radians(np.asarray(b, float)).T
+    p, d = p[:, None], m[None] - l[:, None]
+    east, north = np.cos(q) * np.sin(d), np.cos(p) * np.sin(q) - np.sin(p) * np.cos(q) * np.cos(d)
+    return np.degrees(np.arctan2(np.hypot(east, north), np.sin(p) * np.sin(q) + np.cos(p) * np.cos(q) * np.cos(d)))
+
+
+@pytest.mark.parametrize("rows, degrees", [(32_768, 10.3), (16, 10.3), (16, 0.5), (16, 180.0)])
+def test_near_pairs_meet_in_parts_of_cells(spark, monkeypatch, rows, degrees):
+    monkeypatch.setattr(geodesy, "MEET_ROWS", rows)
+    rng = np.random.default_rng(3)
+    places = np.concatenate([np.stack([rng.uniform(-90, 90, 100), rng.uniform(-180, 180, 100)], 1), [[12.0, 179.9]] * 30, [[12.0, -179.9]] * 30])
+    frame = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)] + [(900, None, 1.0), (901, float("nan"), 1.0)], "k long, latitude double, longitude double")
+    plan = geodesy.near_pairs(frame, "k", degrees)
+    away = brute_degrees(places, places)
+    want = {(i, j) for i, j in zip(*np.nonzero(away <= degrees), strict=True) if i < j}
+    found = plan.collect()
+    assert len(found) == len(want) and {(r.k, r._k) for r in found} == want
+    assert all(r.degrees == pytest.approx(away[r.k, r._k], abs=1e-9) for r in found)
+
+
+def test_pairs_broadcast_no_multiplied_rows(spark, tmp_path):
+    spark.range(200).select(F.col("id").alias("s_suppkey"), F.lit("x").alias("s_name"), F.lit(1).alias("s_nationkey"), F.lit(0.0).alias("s_acctbal")).write.parquet(str(tmp_path / "supplier.parquet"))
+    for name in ("great_circle_pairs", "ellipsoid_pairs"):
+        assert "Broadcast" not in catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_take_no_lambda_rounds(spark, tmp_path):
+    line = geodesy.ellipsoid_inverse(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
+    rows = spark.createDataFrame([(10.0, 20.0, -33.3, 41.5), (0.0, 0.0, 0.3, 179.9), (None, 0.0, 1.0, 1.0), (5.0, 5.0, 5.0, 5.0)], "a double, b double, c double, d double").select(line.alias("g"))
+    assert "aggregate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    far, odd, none, same = [r.g for r in rows.collect()]
+    assert far.meters == pytest.approx(5_305_000, rel=0.01) and 0 < far.azimuth < 360 and (odd.meters, odd.azimuth, none, same.meters) == (geodesy.ANTIPODES, 0.0, None, 0.0)
+
+
+@pytest.mark.parametrize("rows", [32_768, 16])
+def test_nearest_of_equally_near_ones_has_the_least_key(spark, monkeypatch, rows):
+    monkeypatch.setattr(geodesy, "MEET_ROWS", rows)
+    rng = np.random.default_rng(4)
+    others = rng.integers([-40, -180], [40, 180], (120, 2)).astype(float)
+    others[60:] = others[:60]
+    points = np.concatenate([rng.integers([-90, -180], [90, 180], (200, 2)), others[:40]]).astype(float)
+    keys = rng.permutation(120)
+    frame = lambda rows, keys: spark.createDataFrame([(int(k), float(x), float(y)) for k, (x, y) in zip(keys, rows, strict=True)], "k long, latitude double, longitude double")
+    found = geodesy.nearest(frame(points, range(240)), "k", frame(others, keys).withColumnRenamed("k", "s"), "s", 25.3, 5).collect()
+    away = np.round(brute_degrees(points, others), 5)
+    want = {i: min(zip(row, keys, strict=True)) for i, row in enumerate(away) if row.min() <= 25.3}
+    assert {r.k: (r.degrees, r.s) for r in found} == want and len(found) == len(want) and 100 < len(want) < 240
+
+
+def test_azimuths_just_below_north_turn_as_in_the_twin(spark, tmp_path):
+    rows = "SELECT i AS s_suppkey, 'x' AS s_name, 1::INTEGER AS s_nationkey, 0.0::DOUBLE AS s_acctbal FROM unnest([44, 538, 401, 0, 783, 14, 587, 949, 1492]::BIGINT[]) t(i)"
+    got, want = against_twin(spark, tmp_path, "ellipsoid_pairs", supplier=rows)
+    assert len(want) >= 4 and (want[["azimuth", "back_azimuth"]] == 0).any(axis=None) and got.to_numpy().tolist() == want.to_numpy().tolist()
