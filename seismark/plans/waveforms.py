@@ -349,7 +349,7 @@ _LENGTH = f"SELECT *, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu
     _VINCENTY,
 )
 def ellipsoid_pairs(spark, d):
-    pairs = geodesy.near_pairs(data.stations(spark, d), "station", 25.3)
+    pairs = geodesy.near_pairs(data.stations(spark, d).drop("network"), "station", 25.3)
     lines = pairs.select(F.col("station").alias("one"), F.col("_station").alias("other"), geodesy.ellipsoid_inverse(F.col("latitude"), F.col("longitude"), F.col("_latitude"), F.col("_longitude")).alias("g"))
     return rounded(rounded(lines.select("one", "other", "g.*"), 2, "meters"), 6, "azimuth", "back_azimuth")
 
