@@ -292,9 +292,7 @@ _NEAR = "n AS (SELECT q.event, st.station, round(degrees(acos(least(1, greatest(
 def nearest_station(spark, d):
     """The nearest station of each event, if one lies within 25.3 degrees."""
     events = data.quakes(spark, d).select("event", "latitude", "longitude")
-    pairs = geodesy.near_join(events, data.stations(spark, d).select("station", "latitude", "longitude"), 25.3).withColumn("degrees", F.round("degrees", 5))
-    best = pairs.groupBy("event").agg(F.min(F.struct("degrees", F.col("_station").alias("station"))).alias("s"))
-    return best.select("event", "s.station", "s.degrees")
+    return geodesy.nearest(events, "event", data.stations(spark, d), "station", 25.3, 5)
 
 
 # --- streams
