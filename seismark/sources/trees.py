@@ -8,6 +8,8 @@ code or name, so that no row outgrows a task; reading joins them by key.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,59 +124,100 @@ _MECHANISM = f"struct<_publicID: string, nodalPlanes: {_PLANES}, momentTensor: s
 EVENT = f"_publicID string, preferredOriginID string, preferredMagnitudeID string, preferredFocalMechanismID string, type string, description array<struct<text: string, type: string>>, origin array<{_ORIGIN}>, magnitude array<{_MAGNITUDE}>, pick array<{_PICK}>, focalMechanism array<{_MECHANISM}>"
 
 
+def _events(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("xml").option("rowTag", "event").schema(EVENT).load(path).where("_publicID IS NOT NULL")
+
+
+def read_preferred(spark: SparkSession, path: str) -> DataFrame:
+    """(event, text, mag, strike, rake, moment): each description of an event with its preferred magnitude and mechanism, if they are there.
+
+    It takes elements that hold a whole event, as ``write_events`` and ``write_event_tree`` write them, so that nothing is joined.
+    """
+    wanted = lambda name, first: F.try_element_at(F.filter(name, lambda x: x["_publicID"] == F.col(first)), F.lit(1))
+    held = _events(spark, path).select(
+        F.col("_publicID").alias("event"), F.explode("description").alias("_d"), wanted("magnitude", "preferredMagnitudeID").alias("_m"), wanted("focalMechanism", "preferredFocalMechanismID").alias("_f")
+    )
+    plane = lambda n: F.col(f"_f.nodalPlanes.nodalPlane1.{n}.value").alias(n)
+    return held.select("event", "_d.text", F.col("_m.mag.value").alias("mag"), plane("strike"), plane("rake"), F.col("_f.momentTensor.scalarMoment.value").alias("moment"))
+
+
 def read_event_tree(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables events, descriptions, origins, arrivals, magnitudes, picks and mechanisms of event XML; depths in meters, as there."""
-    root = spark.read.format("xml").option("rowTag", "event").schema(EVENT).load(path).where("_publicID IS NOT NULL")
+    """Tables events, descriptions, origins, arrivals, magnitudes, picks and mechanisms of event XML; depths in meters, as there.
+
+    located holds the arrivals with all of the origin that they lie in, as a join of both would, where an origin is one element.
+    """
+    root = _events(spark, path)
     key = F.col("_publicID").alias("event")
     instant = lambda c: F.to_timestamp(F.regexp_replace(c, "Z$", ""))
     part = lambda c: _exploded(root, c, [key])
     value = lambda *names: [F.col(f"_e.{n}.value").alias(n) for n in names]
     first = {f"preferred{kind}ID": name for kind, name in (("Origin", "preferred_origin"), ("Magnitude", "preferred_magnitude"), ("FocalMechanism", "preferred_mechanism"))}
     events = root.groupBy(key).agg(*[F.max(c).alias(n) for c, n in first.items()], F.max("type").alias("type"))
-    origins = part("origin").select("event", F.col("_e._publicID").alias("origin"), instant(F.col("_e.time.value")).alias("time"), *value("latitude", "longitude", "depth"), F.col("_e.depth.uncertainty").alias("depth_error"), F.col("_e.evaluationMode").alias("mode"))
+    place = [F.col("_e._publicID").alias("origin"), instant(F.col("_e.time.value")).alias("time"), *value("latitude", "longitude", "depth"), F.col("_e.depth.uncertainty").alias("depth_error"), F.col("_e.evaluationMode").alias("mode")]
+    arrived = [F.col("_e.pickID").alias("pick"), "_e.phase", "_e.azimuth", "_e.distance", F.col("_e.timeResidual").alias("residual")]
+    origins = part("origin").select("event", *place)
     arrivals = _exploded(part("origin"), "_e.arrival", ["event", F.col("_e._publicID").alias("origin")])
+    located = _exploded(part("origin"), "_e.arrival", ["event", *place])
     plane = lambda i: [F.col(f"_e.nodalPlanes.nodalPlane{i}.{n}.value").alias(f"{n}{i}") for n in ("strike", "dip", "rake")]
     return {
         "events": events,
         "descriptions": part("description").select("event", "_e.text", F.col("_e.type").alias("kind")),
         "origins": origins,
-        "arrivals": arrivals.select("event", "origin", F.col("_e.pickID").alias("pick"), "_e.phase", "_e.azimuth", "_e.distance", F.col("_e.timeResidual").alias("residual")),
+        "arrivals": arrivals.select("event", "origin", *arrived),
+        "located": located.select("event", *origins.columns[1:], *arrived),
         "magnitudes": part("magnitude").select("event", F.col("_e._publicID").alias("magnitude"), F.col("_e.mag.value").alias("mag"), "_e.type", F.col("_e.originID").alias("origin")),
         "picks": part("pick").select("event", F.col("_e._publicID").alias("pick"), instant(F.col("_e.time.value")).alias("time"), F.col("_e.waveformID._networkCode").alias("network"), F.col("_e.waveformID._stationCode").alias("station"), F.col("_e.phaseHint").alias("phase"), "_e.polarity"),
         "mechanisms": part("focalMechanism").select("event", F.col("_e._publicID").alias("mechanism"), *plane(1), *plane(2), F.col("_e.momentTensor.scalarMoment.value").alias("moment")),
     }
 
 
+def _one(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.struct(c.alias("value")))
+
+
+def _moment(c: Column) -> Column:
+    return F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("value"))
+
+
+#: The element of a row of each table of ``read_event_tree``; its columns are given by name.
+ELEMENTS: dict[str, Callable[[Mapping[str, Column]], Column]] = {
+    "descriptions": lambda c: F.struct(c["text"].alias("text"), c["kind"].alias("type")),
+    "arrivals": lambda c: F.struct(F.concat_ws("/", c["origin"], c["pick"]).alias("_publicID"), c["pick"].alias("pickID"), *[c[n].alias(n) for n in ("phase", "azimuth", "distance")], c["residual"].alias("timeResidual")),
+    "origins": lambda c: F.struct(
+        c["origin"].alias("_publicID"),
+        _moment(c["time"]).alias("time"),
+        *[_one(c[n]).alias(n) for n in ("latitude", "longitude")],
+        (F.when(c["depth"].isNotNull(), F.struct(c["depth"].alias("value"), c["depth_error"].alias("uncertainty"))) if "depth_error" in c else _one(c["depth"])).alias("depth"),
+        *([c["mode"].alias("evaluationMode")] if "mode" in c else []),
+        *([c["_arrivals"].alias("arrival")] if "_arrivals" in c else []),
+    ),
+    "magnitudes": lambda c: F.struct(c["magnitude"].alias("_publicID"), _one(c["mag"]).alias("mag"), c["type"].alias("type"), c["origin"].alias("originID")),
+    "picks": lambda c: F.struct(c["pick"].alias("_publicID"), _moment(c["time"]).alias("time"), F.struct(c["network"].alias("_networkCode"), c["station"].alias("_stationCode")).alias("waveformID"), c["phase"].alias("phaseHint"), c["polarity"].alias("polarity")),
+    "mechanisms": lambda c: F.struct(
+        c["mechanism"].alias("_publicID"),
+        F.struct(*[F.struct(*[_one(c[f"{n}{i}"]).alias(n) for n in ("strike", "dip", "rake")]).alias(f"nodalPlane{i}") for i in (1, 2)]).alias("nodalPlanes"),
+        F.struct(_one(c["moment"]).alias("scalarMoment")).alias("momentTensor"),
+    ),
+}
+
+
 def write_event_tree(tables: dict[str, DataFrame], path: str) -> None:
     """The tables that ``read_event_tree`` gives (only events need be there) as event XML; children of no event are left out."""
-    one = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("value")))
-    moment = lambda c: F.struct(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("value"))
     out = tables["events"]
-
-    def nest(rows: DataFrame, element: Column, order: list[str], name: str) -> None:
-        nonlocal out
-        out = out.join(_listed(rows, ["event"], element, order, name), "event", "left")
-
-    if "descriptions" in tables:
-        nest(tables["descriptions"], F.struct("text", F.col("kind").alias("type")), ["text"], "_descriptions")
-    if "origins" in tables:
-        rows, arrivals = tables["origins"], []
-        if "arrivals" in tables:
-            item = F.struct(F.concat_ws("/", "origin", "pick").alias("_publicID"), F.col("pick").alias("pickID"), "phase", "azimuth", "distance", F.col("residual").alias("timeResidual"))
-            rows, arrivals = rows.join(_listed(tables["arrivals"], ["event", "origin"], item, ["pick"], "_arrivals"), ["event", "origin"], "left"), [F.col("_arrivals").alias("arrival")]
-        depth = F.when(F.col("depth").isNotNull(), F.struct(F.col("depth").alias("value"), F.col("depth_error").alias("uncertainty"))) if "depth_error" in rows.columns else one("depth")
-        mode = [F.col("mode").alias("evaluationMode")] if "mode" in rows.columns else []
-        nest(rows, F.struct(F.col("origin").alias("_publicID"), moment("time").alias("time"), one("latitude").alias("latitude"), one("longitude").alias("longitude"), depth.alias("depth"), *mode, *arrivals), ["origin"], "_origins")
-    if "magnitudes" in tables:
-        nest(tables["magnitudes"], F.struct(F.col("magnitude").alias("_publicID"), one("mag").alias("mag"), "type", F.col("origin").alias("originID")), ["magnitude"], "_magnitudes")
-    if "picks" in tables:
-        stream = F.struct(F.col("network").alias("_networkCode"), F.col("station").alias("_stationCode"))
-        nest(tables["picks"], F.struct(F.col("pick").alias("_publicID"), moment("time").alias("time"), stream.alias("waveformID"), F.col("phase").alias("phaseHint"), "polarity"), ["pick"], "_picks")
-    if "mechanisms" in tables:
-        plane = lambda i: F.struct(*[one(f"{n}{i}").alias(n) for n in ("strike", "dip", "rake")])
-        planes = F.struct(plane(1).alias("nodalPlane1"), plane(2).alias("nodalPlane2"))
-        nest(tables["mechanisms"], F.struct(F.col("mechanism").alias("_publicID"), planes.alias("nodalPlanes"), F.struct(one("moment").alias("scalarMoment")).alias("momentTensor")), ["mechanism"], "_mechanisms")
-    lists = {"_descriptions": "description", "_origins": "origin", "_magnitudes": "magnitude", "_picks": "pick", "_mechanisms": "focalMechanism"}
-    first = [F.col(c).alias(n) for c, n in (("preferred_origin", "preferredOriginID"), ("preferred_magnitude", "preferredMagnitudeID"), ("preferred_mechanism", "preferredFocalMechanismID")) if c in out.columns]
-    rows = out.select(F.col("event").alias("_publicID"), *first, "type", *[F.col(c).alias(n) for c, n in lists.items() if c in out.columns])
-    rows.write.format("xml").option("rootTag", "eventParameters").option("rowTag", "event").save(path)
+    order = {"descriptions": "text", "origins": "origin", "magnitudes": "magnitude", "picks": "pick", "mechanisms": "mechanism"}
+    for name in (n for n in order if n in tables):
+        rows = tables[name]
+        if name == "origins" and "arrivals" in tables:
+            arrivals = tables["arrivals"]
+            rows = rows.join(_listed(arrivals, ["event", "origin"], ELEMENTS["arrivals"]({c: F.col(c) for c in arrivals.columns}), ["pick"], "_arrivals"), ["event", "origin"], "left")
+        out = out.join(_listed(rows, ["event"], ELEMENTS[name]({c: F.col(c) for c in rows.columns}), [order[name]], name), "event", "left")
+    write_events(out, path)
+
+
+def write_events(events: DataFrame, path: str) -> None:
+    """Events as event XML, packed and without indents; their children are arrays of elements (``ELEMENTS``) in columns named as the tables of ``read_event_tree``."""
+    lists = {"descriptions": "description", "origins": "origin", "magnitudes": "magnitude", "picks": "pick", "mechanisms": "focalMechanism"}
+    first = {"preferred_origin": "preferredOriginID", "preferred_magnitude": "preferredMagnitudeID", "preferred_mechanism": "preferredFocalMechanismID"}
+    named = lambda names: [F.col(c).alias(n) for c, n in names.items() if c in events.columns]
+    rows = events.select(F.col("event").alias("_publicID"), *named(first), "type", *named(lists))
+    rows.write.format("xml").option("rootTag", "eventParameters").option("rowTag", "event").option("compression", "gzip").option("indent", "").save(path)
