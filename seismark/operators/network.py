@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
+from typing import Any, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,45 +14,114 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 from .series import BLOCK, IDX, TRACE
 
-#: Triggers that a range of time should hold, and that a scan looks at first.
-RANGE_ROWS, FIRST_LOOK = 100_000, 256
+#: Triggers that a range of time should hold, and members of events that a task holds before it passes them on.
+RANGE_ROWS, MEMBERS = 100_000, 1_000_000
 
 
-def _members(i: int, a: np.ndarray, z: np.ndarray, before: np.ndarray, extension: float, everyone: int) -> tuple[np.ndarray, bool]:
-    """Places of the triggers that the event of trigger i takes, and whether its end was seen.
+class _Firsts:
+    """The first trigger of each station from trigger i on, in order of time, and how far they reach without a gap.
 
-    before: the place of the same station's trigger before, so that before < i holds for the first one of each station from i on.
+    A tree over all triggers holds for each stretch the latest end, the sums of weights and likenesses, and the start of its last
+    gap, that is of the last trigger that starts more than the extension after all before it in the stretch. Starts rise, so a
+    stretch has a gap after an end exactly if its last one is: both passing to the next trigger and finding an event's end
+    take as many steps as the tree has levels, however many stations the event has.
     """
-    look = FIRST_LOOK
-    while True:
-        taken = i + np.flatnonzero(before[i : i + look] < i)
-        late = np.flatnonzero(a[taken[1:]] > np.maximum.accumulate(z[taken])[:-1] + extension)
-        if len(late):
-            return taken[: late[0] + 1], True
-        if len(taken) == everyone or i + look >= len(a):
-            return taken, len(taken) == everyone
-        look *= 4
-
 
-def _scan(least: float, extension: float, everyone: int, reach: int, last: int, details: list[str]) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """The events of a range that may stand: they end after all that qualified before them in it; _open: the end may lie beyond ``reach`` ranges."""
+    def __init__(self, a: np.ndarray, z: np.ndarray, w: np.ndarray, alike: np.ndarray, first: np.ndarray, extension: float):
+        whole = a.dtype.kind == z.dtype.kind == "i"
+        kind, never = (np.int64, -(2**62)) if whole else (np.float64, -np.inf)
+        n = 1 << max(1, (len(a) - 1).bit_length())
+        self.n, self.extension = n, extension
+        trees = [np.full(2 * n, fill, t) for fill, t in ((never, kind), (never, kind), (0.0, np.float64), (0, np.int64))]
+        for tree, values in zip(trees, (a, z, w, alike), strict=True):
+            tree[n : n + len(a)][first] = values[first]
+        gap, end, weight, like = trees
+        while n > 1:
+            level, left, right = slice(n // 2, n), slice(n, 2 * n, 2), slice(n + 1, 2 * n, 2)
+            end[level], weight[level], like[level] = np.maximum(end[left], end[right]), weight[left] + weight[right], like[left] + like[right]
+            gap[level] = np.where(gap[right] > end[left] + extension, gap[right], gap[left])
+            n //= 2
+        packed = lambda x, t: array("d" if t is np.float64 else "q", x.astype(t).tobytes())
+        kinds = kind, kind, np.float64, np.int64
+        self.trees, self.values = ([packed(x, t) for x, t in zip(held, kinds, strict=True)] for held in (trees, (a, z, w, alike)))
+
+    def add(self, i: int) -> None:
+        """Trigger i becomes the first of its station."""
+        (gap, end, weight, like), k, extension = self.trees, self.n + i, self.extension
+        gap[k], end[k], weight[k], like[k] = (v[i] for v in self.values)
+        k >>= 1
+        while k:
+            left = 2 * k
+            right, until = left + 1, end[left]
+            end[k] = max(until, end[right])
+            gap[k] = gap[right] if gap[right] > until + extension else gap[left]
+            weight[k], like[k] = weight[left] + weight[right], like[left] + like[right]
+            k >>= 1
+
+    def event(self, i: int) -> tuple[float, float, bool, int]:
+        """End, sum of weights and likeness of the event of trigger i, and the trigger that it does not reach (-1: it reaches all)."""
+        (gap, end, weight, like), k, n, extension = self.trees, self.n + i, self.n, self.extension
+        until, total, alike = end[k], weight[k], like[k]
+        while k > 1:
+            if not k & 1:
+                node = k + 1
+                if gap[node] > until + extension:
+                    while node < n:
+                        node *= 2
+                        if not gap[node] > until + extension:
+                            until, total, alike = max(until, end[node]), total + weight[node], alike + like[node]
+                            node += 1
+                    return until, total, alike > 0, node - n
+                until, total, alike = max(until, end[node]), total + weight[node], alike + like[node]
+            k >>= 1
+        return until, total, alike > 0, -1
+
+
+def _scan(least: float, extension: float, everyone: int, reach: int, last: int, details: list[str]) -> Callable[[tuple, pd.DataFrame], Iterator[pd.DataFrame]]:
+    """The events of a range that may stand: they end after all that qualified before them in it; _open: an end may lie beyond ``reach`` ranges.
+
+    An open range is scanned again, so nothing else of it is passed on.
+    """
+    columns = ["_range", "_i", "_open", "start", "end", "coincidence_sum", "stations", "_weights", *details]
 
-    def work(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_a", "_z", "_s"], ignore_index=True)
+    def events(at: int, part: pd.DataFrame) -> Iterator[tuple | None]:
         a, z, w, own = (part[c].to_numpy() for c in ("_a", "_z", "_w", "_own"))
-        alike = part["_alike"].to_numpy(bool)
-        before = part.groupby("_s", sort=False).cumcount().to_numpy()
-        before = np.where(before > 0, part.index.to_series().groupby(part["_s"], sort=False).shift(1).fillna(-1).to_numpy(int), -1)
-        rows, latest, shut = [], None, key[0] + reach >= last
-        for i in np.flatnonzero(own):
-            taken, seen = _members(i, a, z, before, extension, everyone)
-            off, total = z[taken].max(), w[taken].sum()
-            opened = not seen and not shut
-            if opened or ((total >= least or alike[taken].any()) and (latest is None or off > latest)):
-                held = part.iloc[taken]
-                rows.append((key[0], i, opened, a[i], off, float(total), held["_s"].tolist(), held["_w"].tolist(), *[held[c].tolist() for c in details]))
-                latest = latest if opened else off
-        return pd.DataFrame(rows, columns=["_range", "_i", "_open", "start", "end", "coincidence_sum", "stations", "_weights", *details])
+        alike, places = part["_alike"].to_numpy(bool), part.index.to_series().groupby(part["_s"], sort=False)
+        before, after = places.shift(1).fillna(-1).to_numpy(int), places.shift(-1).fillna(-1).to_numpy(int).tolist()
+        firsts, latest, shut = _Firsts(a, z, w, alike.astype(np.int64), before < 0, extension), None, at + reach >= last
+        left = int((before < 0).sum())
+        for i in range(int(own.sum())):
+            off, total, like, beyond = firsts.event(i)
+            if beyond < 0 and left < everyone and not shut:
+                yield None
+                return
+            # the sum over the tree may differ from that in the stations' order by rounding
+            if (like or total >= least - 1e-9 * max(1.0, abs(least))) and (latest is None or off > latest):
+                taken = i + np.flatnonzero(before[i : len(a) if beyond < 0 else beyond] < i)
+                total = float(w[taken].sum())
+                if like or total >= least:
+                    held, latest = part.iloc[taken], off
+                    yield (at, i, False, a[i], off, total, held["_s"].tolist(), held["_w"].tolist(), *[held[c].tolist() for c in details])
+            if after[i] >= 0:
+                firsts.add(after[i])
+            else:
+                left -= 1
+
+    def work(key: tuple[Any, ...], parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = pd.concat(parts).sort_values(["_a", "_z", "_s"], ignore_index=True)
+        rows, held, any_open = [], 0, False
+        for row in events(key[0], part):
+            if row is None:
+                any_open = True
+                break
+            rows.append(row)
+            held += len(row[6])
+            if held > MEMBERS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+        if any_open:
+            rows = [(key[0], -1, True, part["_a"].iloc[0], part["_z"].iloc[0], 0.0, [], [], *[[] for _ in details])]
+        yield pd.DataFrame(rows, columns=columns)
 
     return work
 

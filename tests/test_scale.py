@@ -4,10 +4,13 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from test_operators import greedy
 
 from seismark.functions import geodesy
+from seismark.operators import network
 from seismark.plans import catalogue
 from seismark.plans import trees as tree_plans
 from seismark.sources import trees
@@ -112,3 +115,19 @@ def test_event_trees_are_packed_and_shuffle_lines_once(spark, tmp_path):
         assert plan.count("Exchange hashpartitioning") <= 2
         for name in ("event_tree_origins", "event_tree_picks", "event_tree_preferred"):
             assert "Exchange" not in catalogue.QUERIES[name](spark, str(SF))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows, members, gap", [(100_000, 1_000_000, 2), (40, 50, 2), (40, 50, 60)])
+def test_events_of_all_stations_are_scanned_without_their_lists(spark, monkeypatch, rows, members, gap):
+    """Chains that hardly end: what a range passes on is its standing events, or one open row, not the stations of each trigger."""
+    monkeypatch.setattr(network, "MEMBERS", members)
+    r = np.random.RandomState(8)
+    starts = np.cumsum(r.randint(0, gap, 600))
+    triggers = [(int(a), int(a + r.randint(5, 40)), int(r.randint(0, 70)), float(r.randint(1, 3))) for a in starts]
+    df = spark.createDataFrame(triggers, "a long, z long, s long, w double")
+    for least in (3, 8, 30):
+        got = sorted((e.start, e.end, round(e.coincidence_sum, 9), tuple(e.stations)) for e in network.network_triggers(df, "a", "z", "s", least, "w", 1, range_rows=rows).collect())
+        assert got == [(*e[:2], round(e[2], 9), e[3]) for e in sorted(greedy(triggers, least, 1))]
+    part = pd.DataFrame(triggers, columns=["_a", "_z", "_s", "_w"]).assign(_own=True, _alike=False)
+    passed = pd.concat(network._scan(3, 1, 71, 1, 9, [])((0,), iter([part])))
+    assert passed["_open"].sum() <= 1 and passed.loc[passed["_open"], "stations"].map(len).sum() == 0
